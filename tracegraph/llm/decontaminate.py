@@ -173,11 +173,12 @@ def _flags(words: Words, hit: np.ndarray, n: int) -> list[bytes]:
 
 
 def match(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_n_words`` long, ``_hits`` binary (a bit for each word, first word first; empty: none) and
-    ``_items`` array of string (items with an occurring window, sorted)."""
+    """``docs`` with ``_tg_n_words`` long, ``_tg_hits`` binary (a bit for each word, first word first; empty: none) and
+    ``_tg_items`` array of string (items with an occurring window, sorted)."""
     spark = docs.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n_words long, _hits binary, _items array<string>"
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.lit(b"").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    docs = docs.drop("_tg_n_words", "_tg_hits", "_tg_items")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _tg_n_words long, _tg_hits binary, _tg_items array<string>"
+    out = docs.select("*", F.lit(0).cast("long").alias("_tg_n_words"), F.lit(b"").alias("_tg_hits"), F.array().cast("array<string>").alias("_tg_items"))
     for k, shard in enumerate(item_shards(items)):
         automaton = spark.sparkContext.broadcast(Automaton(shard))
 
@@ -186,13 +187,13 @@ def match(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
                 for part in slices(batch, text):
                     n = part.num_rows
                     words, hit, found = match_batch(automaton.value, part.column(text))
-                    before, had = part.column("_hits").to_pylist(), part.column("_items").to_pylist()
+                    before, had = part.column("_tg_hits").to_pylist(), part.column("_tg_items").to_pylist()
                     flags = [_either(a, b) for a, b in zip(before, _flags(words, hit, n), strict=True)]
                     names = [sorted(f | set(h)) for f, h in zip(found, had, strict=True)]
-                    columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name not in ("_n_words", "_hits", "_items")]
+                    columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name not in ("_tg_n_words", "_tg_hits", "_tg_items")]
                     yield pa.RecordBatch.from_arrays(
                         [*columns, pa.array(words.per_doc(n)), pa.array(flags, pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                        names=[*(x for x in part.schema.names if x not in ("_n_words", "_hits", "_items")), "_n_words", "_hits", "_items"],
+                        names=[*(x for x in part.schema.names if x not in ("_tg_n_words", "_tg_hits", "_tg_items")), "_tg_n_words", "_tg_hits", "_tg_items"],
                     )
 
         out = (saved(out, "matched") if k else out).mapInArrow(run, schema)
@@ -210,12 +211,12 @@ def digest(matched: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [int.from_bytes(x).bit_count() for x in b.column("_hits").to_pylist()]
-            names = b.column("_items").to_pylist()
+            hits = [int.from_bytes(x).bit_count() for x in b.column("_tg_hits").to_pylist()]
+            names = b.column("_tg_items").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
-                    b.column("_n_words"),
+                    b.column("_tg_n_words"),
                     pa.array(hits, pa.int64()),
                     pa.array([len(x) for x in names], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
@@ -224,7 +225,7 @@ def digest(matched: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    kept = matched.select("doc_id", "_n_words", "_hits", "_items")
+    kept = matched.select("doc_id", "_tg_n_words", "_tg_hits", "_tg_items")
     return kept.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -235,8 +236,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, max_coverage: float = MAX_CO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [x for x in batch.schema.names if x not in ("_n_words", "_hits", "_items")]
-            n_words, hits = batch.column("_n_words").to_pylist(), batch.column("_hits").to_pylist()
+            names = [x for x in batch.schema.names if x not in ("_tg_n_words", "_tg_hits", "_tg_items")]
+            n_words, hits = batch.column("_tg_n_words").to_pylist(), batch.column("_tg_hits").to_pylist()
             share = np.array([int.from_bytes(h).bit_count() / max(1, n) for h, n in zip(hits, n_words, strict=True)])
             stay = share <= max_coverage
             touched = np.flatnonzero(stay & (share > 0))

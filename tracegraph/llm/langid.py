@@ -242,7 +242,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score (the probability of that language). Reads ``text`` alone."""
+    """``docs`` with lang_pred and lang_score (the probability of that language). Reads ``text`` alone;
+    columns of these names that ``docs`` may have are replaced."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double"
 

@@ -322,9 +322,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).where("doc_id = class_id").select("doc_id", "key").distinct()
     plain = docs.where("doc_id is not null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    keyed = plain.mapInArrow(_append_key, f"{schema}, `_key` binary, `_words` boolean")
-    worded = keyed.where("_words").join(found.withColumnRenamed("key", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return worded.unionByName(keyed.where("not _words")).select(*(f"`{c}`" for c in docs.columns))
+    keyed = plain.mapInArrow(_append_key, f"{schema}, `_tg_key` binary, `_tg_words` boolean")
+    worded = keyed.where("_tg_words").join(found.withColumnRenamed("key", "_tg_key"), ["doc_id", "_tg_key"], "left_semi").dropDuplicates(["doc_id", "_tg_key"])
+    return worded.unionByName(keyed.where("not _tg_words")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _append_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +333,7 @@ def _append_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = words_of(part.column("text"), fold=True)
             key = text_keys(words.hash, words.doc, part.num_rows)
             has = pa.array(words.per_doc(part.num_rows) > 0)
-            yield pa.RecordBatch.from_arrays([*part.columns, _binary(key), has], names=[*part.schema.names, "_key", "_words"])
+            yield pa.RecordBatch.from_arrays([*part.columns, _binary(key), has], names=[*part.schema.names, "_tg_key", "_tg_words"])
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -222,7 +222,8 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs``, all its columns, with ``quality_score``."""
+    """``docs``, all its columns, with ``quality_score``, which replaces a column of that name."""
+    docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
 
