@@ -1,0 +1,4 @@
+"""Registered queries of the library and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
