@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = saved(bands.join(shared, "band").select("band", "rep_id", "size"), "members")
     n_members = members.count()
-    units = _units(members, "band", F.ceil(F.col("size") / BLOCK_ROWS), max(1, n_members // 20_000))
+    units = _units(members, "band", F.ceil(F.col("size") / BLOCK_ROWS), max(1, n_members // 8_000))
     units = units.join(classes.select("rep_id", "sig"), "rep_id")
     forest = units.groupBy("unit", "cut").applyInArrow(_forest, "src long, dst long").distinct()
     grouped = star_edges(saved(forest, "forest"))
@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = held.groupBy("comp").agg(F.sum("n_words").alias("words"))
     texts = rows.mapInArrow(_with_key, "doc_id long, key binary, text string")
     held = held.join(sizes, "comp").select("key", F.col("rep_id").alias("doc_id"), "rep_id", "comp", "copies", "words")
-    held = held.join(texts, ["key", "doc_id"]).dropDuplicates(["key"])
+    # texts are many at any size: sorted, never held in memory
+    held = held.join(texts.hint("merge"), ["key", "doc_id"]).dropDuplicates(["key"])
     total = (sizes.agg(F.sum("words")).first()[0] or 0) // BLOCK_WORDS
     units = _units(held, "comp", F.ceil(F.col("words") / BLOCK_WORDS), max(1, total))
     exact = saved(units.groupBy("unit", "cut").applyInArrow(_verify, "rep_id long, links long, root_id long"), "exact")
