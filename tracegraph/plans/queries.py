@@ -381,8 +381,8 @@ def overview_level(spark, d):
 
 @query(f"""with {F4}, ray as (select cast(s_suppkey as bigint) ray, s_suppkey % 40 ax, s_suppkey * 7 % 40 ay, 0 az, s_suppkey * 3 % 40 bx, s_suppkey * 11 % 40 b2, 50 bz from supplier),
 k as (select *, greatest(1, cast(ceil(2 * sqrt((bx - ax) ** 2 + (b2 - ay) ** 2 + (bz - az) ** 2)) as bigint)) c from ray), i as (select *, unnest(generate_series(0, c)) i from k),
-at as (select ray, i, cast(greatest(0, least(39, floor(round(ax + (bx - ax) * i / c::double, 9)))) as int) x, cast(greatest(0, least(39, floor(round(ay + (b2 - ay) * i / c::double, 9)))) as int) y, cast(greatest(0, least(50, floor(round(az + (bz - az) * i / c::double, 9)))) as int) z from i),
-o as (select ray, at.x, at.y, at.z, coalesce(v, 0) v, row_number() over (partition by ray order by coalesce(v, 0) desc, i) r from at left join vox using (x, y, z)) select ray, x, y, z, v from o where r = 1""")
+pts as (select ray, i, cast(greatest(0, least(39, floor(round(ax + (bx - ax) * i / c::double, 9)))) as int) x, cast(greatest(0, least(39, floor(round(ay + (b2 - ay) * i / c::double, 9)))) as int) y, cast(greatest(0, least(50, floor(round(az + (bz - az) * i / c::double, 9)))) as int) z from i),
+o as (select ray, pts.x, pts.y, pts.z, coalesce(v, 0) v, row_number() over (partition by ray order by coalesce(v, 0) desc, i) r from pts left join vox using (x, y, z)) select ray, x, y, z, v from o where r = 1""")
 def ray_pick(spark, d):
     k = F.col("s_suppkey").cast("long")
     rays = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("ray"), (k % 40).alias("ax"), (k * 7 % 40).alias("ay"), F.lit(0).alias("az"), (k * 3 % 40).alias("bx"), (k * 11 % 40).alias("by"), F.lit(50).alias("bz"))
