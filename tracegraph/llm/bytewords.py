@@ -94,7 +94,7 @@ def words_of(texts: pa.Array, separators: np.ndarray = SPACES, fold: bool = Fals
             hi = hi + int(ahead[0]) if len(ahead) else len(data)
         piece = data[lo:hi]
         sep = separators[piece]
-        inner = offsets[(offsets > lo) & (offsets < hi)] - lo
+        inner = np.unique(offsets[(offsets > lo) & (offsets < hi)]) - lo
         s, e = _spans(sep)
         if len(inner) and len(s):
             inner = inner[~sep[inner] & ~sep[inner - 1]]  # a text ends inside a run of word bytes
