@@ -32,9 +32,9 @@ def repetition_rates(docs: DataFrame, weights: dict[str | None, float] | None =
         pairs = [x for k, v in weights.items() for x in (F.lit(k or ""), F.lit(float(v)))]
         weight = F.coalesce(F.create_map(*pairs)[F.col("_tg_source")], F.lit(0.0)) if pairs else F.lit(0.0)
     sizes = saved(sizes.withColumn("weight", weight), "sizes")
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0)
-    return sizes.crossJoin(F.broadcast(total)).select("_tg_source", (share * F.col("all_size") / F.col("size")).alias("rate"))  # total: one row
+    all_size, all_weight = sizes.agg(F.sum("size").cast("double"), F.sum("weight")).first()
+    share = F.col("weight") / F.lit(all_weight) if all_weight else F.lit(0.0)
+    return sizes.select("_tg_source", (share * F.lit(all_size or 0.0) / F.col("size")).alias("rate"))
 
 
 def poisson_tables(rates: DataFrame) -> DataFrame:
