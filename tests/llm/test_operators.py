@@ -277,6 +277,7 @@ def test_base_scores(spark, docs):
     assert all(g.train_tokens == N and math.isfinite(g.score) and g.score < 0 for g in got)
     nothing = lattice.score(docs, F.lit(False)).collect()
     assert all(math.isfinite(g.score) and g.base_score == pytest.approx(0, abs=1e-6) for g in nothing if g.n_tokens == 1)
+    assert all(math.isfinite(g.score) for g in lattice.score(docs, F.col("doc_id") == 75).collect())
 
 
 def test_rare_words_are_joined(spark, docs, monkeypatch):

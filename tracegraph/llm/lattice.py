@@ -211,6 +211,7 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
     tokens = stats[:, 0] + [ends, *sizes]
     discount = np.where(stats[:, 2] > 0, stats[:, 2] / np.maximum(stats[:, 2] + 2 * stats[:, 3], 1), 0.5)
     left = np.where(tokens > 0, discount * stats[:, 1] / np.maximum(tokens, 1), 0.5)  # the mass of the lattice
+    left = np.maximum(left, 1e-9)  # texts without a word leave none: other texts' words are still possible
     N, V = int(tokens[0]), int(stats[0, 1]) + (ends > 0)
     lattice = fit(words.select("word", "n"), read_pieces(vocabulary))
     shared = spark.sparkContext.broadcast(lattice)
@@ -253,7 +254,7 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
                 at[at == len(keys)] = 0
                 hit = (keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool))[inverse]
                 doc, at = w.doc[hit], at[inverse[hit]]
-                of = lambda v: np.bincount(doc, weights=v, minlength=n)  # noqa: B023, E731
+                of = lambda v: np.bincount(doc, weights=v, minlength=n).astype(np.float64)  # noqa: B023, E731  (of nothing it counts in integers)
                 p = np.stack([of(log_p[at, k]) for k in range(parts)], 1) + first
                 best = p.argmax(1)
                 cut = np.concatenate([[0], np.cumsum(np.bincount(w.doc[~hit], minlength=n))])
