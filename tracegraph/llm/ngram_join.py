@@ -18,6 +18,7 @@ with a null doc_id can't be named in a result and are left out. Repeated rows co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ def minhash(shingles: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@cache
 def min_matches(threshold: float, tolerance: float) -> np.ndarray:
     """least[n]: the fewest matches among n compared values with which a pair stays a candidate (uniform prior)."""
     s = (np.arange(4000) + 0.5) / 4000
