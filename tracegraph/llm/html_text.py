@@ -301,7 +301,11 @@ LAYOUTS = [
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Model:
-    rows = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(sample).collect()
+    # ids first, so that no partition sends its pages to the driver; rows with a null id teach nothing
+    some = pages.where("html is not null and page_id is not null")
+    ids = [r.page_id for r in some.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    found = {r.page_id: r for r in some.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).collect()}
+    rows = [found[i] for i in dict.fromkeys(ids)]
     marked = [[(b, label_by_markup(b)) for b in blocks_of(r.html)] for r in rows]
     layouts = [[(b, b.label or 0) for b in blocks_of(x)] for x in LAYOUTS]
     return fit(marked + layouts * max(1, len(marked) // (4 * len(LAYOUTS))))
