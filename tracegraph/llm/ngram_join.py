@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.operators.components import star_edges
-from tracegraph.llm.bytewords import mix, shingle_hashes, slices, words_of
+from tracegraph.llm.bytewords import SLICE, mix, shingle_hashes, slices, words_of
 from tracegraph.store import saved
 
 WIDTH = 5
@@ -133,7 +133,7 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE):
             n = part.num_rows
             words = words_of(part.column("text"), fold=True)
             sh, of = shingle_hashes(words.hash, words.doc, n, WIDTH)
@@ -195,21 +195,30 @@ def _forest(table: pa.Table) -> pa.Table:
 
 
 def _verify(table: pa.Table) -> pa.Table:
-    """Component unit: exact links among its texts. Rows (comp, part, rep_id, copies, text)."""
+    """Component unit: exact links among its texts. Rows (comp, part, rep_id, copies, key, text); a text that hasn't its
+    class's key belongs to another row of the same doc_id, and of several that have it one is enough."""
     comp = table.column("comp").to_numpy()
     order = np.argsort(comp, kind="stable")
     table = table.take(pa.array(order))
-    comp, part = comp[order], table.column("part").to_numpy()
-    rep, copies = table.column("rep_id").to_numpy(), table.column("copies").to_numpy()
-    n = len(rep)
+    keys: list[bytes] = []
     sets, sig = [], []
-    for piece in slices(table.select(["text"]).combine_chunks().to_batches()[0]):
+    for piece in slices(table.select(["text"]).combine_chunks().to_batches()[0], limit=SLICE):
         words = words_of(piece.column("text"), fold=True)
         sh, of = shingle_hashes(words.hash, words.doc, piece.num_rows, WIDTH)
         sig.append(minhash(sh, of, piece.num_rows))
         at = np.searchsorted(of, np.arange(piece.num_rows + 1))
         sets += [np.unique(sh[at[i] : at[i + 1]]) for i in range(piece.num_rows)]
-    sig, size = np.concatenate(sig), np.array([len(s) for s in sets])
+        keys += [k.tobytes() for k in text_keys(words.hash, words.doc, piece.num_rows)]
+    own: dict[bytes, int] = {}
+    for i, (key, wanted) in enumerate(zip(keys, table.column("key").to_pylist(), strict=True)):
+        if key == wanted:
+            own.setdefault(key, i)
+    mine = list(own.values())
+    table, comp = table.drop_columns("text").take(pa.array(mine, pa.int64())), comp[order][mine]
+    part, rep, copies = (table.column(c).to_numpy() for c in ("part", "rep_id", "copies"))
+    n = len(mine)
+    sets, sig = [sets[i] for i in mine], np.concatenate(sig)[mine]
+    size = np.array([len(s) for s in sets])
     least = min_matches(THRESHOLD, TOLERANCE)
     links, root = np.zeros(n, np.int64), np.arange(n)
     for a, b in run_pairs(comp, None if part[0] == 2 else part):
@@ -282,10 +291,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = classes.select("rep_id", "key", "copies", "n_words").join(grouped.select(F.col("nid").alias("rep_id"), "comp"), "rep_id")
     held = saved(held, "held")
     sizes = held.groupBy("comp").agg(F.sum("n_words").alias("words"))
-    texts = rows.mapInArrow(_with_key, "doc_id long, key binary, text string")
     held = held.join(sizes, "comp").select("key", F.col("rep_id").alias("doc_id"), "rep_id", "comp", "copies", "words")
-    # texts are many at any size: sorted, never held in memory
-    held = held.join(texts.hint("merge"), ["key", "doc_id"]).dropDuplicates(["key"])
+    # texts are many at any size: sorted, never held in memory; repeated rows go before they meet in a unit
+    held = held.join(rows.hint("merge"), "doc_id").dropDuplicates(["doc_id", "key", "text"])
     total = (sizes.agg(F.sum("words")).first()[0] or 0) // BLOCK_WORDS
     units = _units(held, "comp", F.ceil(F.col("words") / BLOCK_WORDS), max(1, total))
     exact = saved(units.groupBy("unit", "cut").applyInArrow(_verify, "rep_id long, links long, root_id long"), "exact")
@@ -309,14 +317,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            words = words_of(part.column("text"), fold=True)
-            key = text_keys(words.hash, words.doc, part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, _binary(key)], names=[*part.schema.names, "key"]).select(["doc_id", "key", "text"])
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document with the least doc_id stays, once.
 
