@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.bytewords import mix, slices, string_buffers, words_of
+from tracegraph.llm.bytewords import SLICE, mix, slices, string_buffers, words_of
 from tracegraph.store import saved
 
 #: Random cosines, the kernel's width in standardised units, the ridge penalty per row, and bins of the calibration.
@@ -125,7 +125,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 x = statistics(part.column("text"))
                 names = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([r.tobytes() for r in x], pa.binary())], names=[*names, "stats"])
@@ -229,7 +229,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 score = shared.value.scores(statistics(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "quality_score"])
 
