@@ -223,3 +223,27 @@ def test_registered(name):
     from tracegraph.plans.queries import QUERIES, SQL
 
     assert name in QUERIES and name in SQL
+
+
+def test_brightest_path_of_many_steps(spark):
+    """A bright way that winds through 600 voxels: more steps than any number of rounds once allowed."""
+    bright = [(x, y) for x in range(0, 41) for y in range(41) if x % 2 == 0 or y == (40 if x % 4 == 1 else 0)]
+    v = spark.createDataFrame([(x, y, 0, 1000 if (x, y) in set(bright) else 0) for x in range(41) for y in range(41)], "x int, y int, z int, v int")
+    e = spark.createDataFrame([(1, 0, 0, 0, 40, 40, 0)], "edge long, ax long, ay long, az long, bx long, by long, bz long")
+    got = voxels.brightest_paths(e, v, margin=0).orderBy("ord").collect()
+    assert len(got) > 600 and {(r.x, r.y) for r in got} <= set(bright)
+    assert all(max(abs(a.x - b.x), abs(a.y - b.y)) == 1 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_long_edges_become_chains(spark):
+    n = [(1, 0, 0, 0), (2, 12, 0, 0), (3, 14, 0, 0), (4, 14, 9, 0), (5, 14, 400, 0), (9, 0, 6, 0)]
+    n = spark.createDataFrame([(*r, "a", 0, 1) for r in n], "nid long, x long, y long, z long, creator string, type int, checked int")
+    e = [(2, 1, "a"), (2, 3, "a"), (3, 4, "seger"), (4, 5, "a"), (1, 9, "a"), (9, 1, "b")]
+    v = spark.createDataFrame([(x, 0, 0, 100) for x in range(20)], "x int, y int, z int, v int")
+    nodes, edges = repair.interpolated(n, spark.createDataFrame(e, "src long, dst long, creator string"), v)
+    # 1-2 along x: voxels 3, 6, 9; 1-9 along y: voxel 3
+    new = rows(nodes.where("creator = 'astar'"), "nid", "x", "y", "z")
+    assert new[:3] == [(10, 3, 0, 0), (11, 6, 0, 0), (12, 9, 0, 0)] and [r[0] for r in new[3:]] == [13]
+    assert rows(edges.where("creator = 'astar'"), "src", "dst") == [(1, 10), (1, 13), (10, 11), (11, 12), (12, 2), (13, 9)]
+    assert rows(edges.where("creator <> 'astar'"), "src", "dst") == [(2, 3), (3, 4), (4, 5)]
+    assert nodes.count() == 10

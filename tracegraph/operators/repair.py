@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tracegraph.functions.geometry import AXES, angle, norm, step
+from tracegraph.functions.geometry import AXES, angle, every_third, norm, step
 from tracegraph.operators.components import MAX_ROUNDS
-from tracegraph.operators.graph import adjacency, degree
+from tracegraph.operators.graph import adjacency, canonical, degree
 from tracegraph.operators.grid import box_pairs, ends, neighbours
 from tracegraph.operators.paths import walk_from_ends
+from tracegraph.operators.voxels import brightest_paths
+from tracegraph.sources.tables import not_by, numbered
 from tracegraph.store import saved
 
 
@@ -111,3 +114,31 @@ def next_points(nodes: DataFrame, edges: DataFrame, points: int = 5) -> DataFram
     at = lambda key, p: nodes.select(F.col("nid").alias(key), *(F.col(k).cast("double").alias(p + k) for k in AXES))
     both = whole.join(at("nid", "a"), "nid").join(at("far", "b"), "far")
     return both.select("nid", *(F.round(F.col(f"a{k}") + (F.col(f"a{k}") - F.col(f"b{k}")) / (points - 1), 6).alias(k) for k in AXES))
+
+
+def interpolated(nodes: DataFrame, edges: DataFrame, voxels: DataFrame, least: float = 6, most: float = 300) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` and ``edges`` with every edge of ``least`` to ``most`` voxels that 'seger' has not made replaced by a
+    chain along its brightest path: every third voxel becomes a node, and nodes and edges are by 'astar'.
+
+    The two directions of an edge are one and go together; a way of two points leaves its edge as it is. New nids follow
+    the highest one, in order of the edges and along them. ``nodes`` has nid, x, y, z, creator, type and checked.
+    """
+    manual = canonical(not_by(edges)).where("src < dst")
+    long = ends(manual, nodes).where(norm(step("a", "b")).between(least, most))
+    long = saved(numbered(long.select("src", "dst", *(p + k for p in "ab" for k in AXES)), "edge", "src", "dst"), "long")
+    ways = brightest_paths(long, voxels).groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("ord", *AXES))).alias("p"))
+    ways = ways.select("edge", every_third(F.col("p")).alias("p")).where(F.size("p") > 2)
+    ways = saved(ways.join(long.select("edge", "src", "dst"), "edge"), "ways")
+    inner = F.expr("slice(p, 2, size(p) - 2)")
+    made = ways.select("edge", F.posexplode(inner).alias("i", "p")).select("edge", "i", *(F.col(f"p.{k}") for k in AXES))
+    top = nodes.agg(F.coalesce(F.max("nid"), F.lit(0))).first()[0]
+    made = saved(numbered(made, "nid", "edge", "i").withColumn("nid", F.col("nid") + top), "made")
+    new = made.select("nid", *AXES, F.lit("astar").alias("creator"), F.lit(0).alias("type"), F.lit(0).alias("checked"))
+    first = ways.select("edge", F.lit(-1).alias("i"), F.col("src").alias("nid"))
+    last = ways.select("edge", F.size("p").alias("i"), F.col("dst").alias("nid"))
+    steps = first.unionByName(made.select("edge", "i", "nid")).unionByName(last)
+    steps = steps.select("edge", F.col("nid").alias("src"), F.lead("nid").over(W.partitionBy("edge").orderBy("i")).alias("dst"))
+    steps = steps.where("dst is not null").select("src", "dst", F.lit("astar").alias("creator"))
+    gone = ways.select("src", "dst").unionAll(ways.select("dst", "src"))
+    kept = edges.where(F.coalesce(F.col("creator") == "seger", F.lit(True))).unionByName(not_by(edges).join(gone, ["src", "dst"], "left_anti").select(*edges.columns))
+    return nodes.select(*new.columns).unionByName(new), kept.select(*steps.columns).unionByName(steps)

@@ -20,6 +20,8 @@ from tracegraph.store import saved
 #: Half of the 26 neighbours: each pair of voxels once.
 FORWARD = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 BASE = 1 << 20
+#: Side of a packed cube of voxels.
+TILE = 8
 
 
 def voxel_id(prefix: str = "") -> Column:
@@ -117,46 +119,91 @@ def skeleton_segments(voxels: DataFrame, longer_than: int = 6) -> DataFrame:
     return chains.unionByName(single).join(nodes, "nid").select("sid", "ord", *AXES)
 
 
-def brightest_paths(edges: DataFrame, voxels: DataFrame, margin: int = 5, rounds: int = 400) -> DataFrame:
+def packed_tiles(voxels: DataFrame, size: int = TILE) -> DataFrame:
+    """(tx, ty, tz, tile): the values of a cube of voxels as little-endian 32-bit numbers, x first; 0 where there is none."""
+
+    def run(cube: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((size, size, size), "<i4")
+        values[tuple(cube[k].to_numpy() % size for k in AXES)] = cube["v"].to_numpy()
+        return pd.DataFrame([(*(cube[k].iloc[0] // size for k in AXES), values.tobytes())], columns=["tx", "ty", "tz", "tile"])
+
+    rows = voxels.select(*(F.col(k).cast("long").alias(k) for k in AXES), F.col("v").cast("int").alias("v"))
+    return rows.groupBy(*(F.floor(F.col(k) / size) for k in AXES)).applyInPandas(run, "tx long, ty long, tz long, tile binary")
+
+
+def cheapest_way(bright: np.ndarray, start: tuple, end: tuple) -> tuple[np.ndarray, float]:
+    """The voxels (n x 3) of the cheapest 26-connected way through a box, ends included, and its cost; a step costs its
+    length over the brightness (more than 0, at most 1) of the voxel it enters. Ties go to the lower voxel.
+
+    Layers of open voxels are relaxed, the cheaper half at a time, until none is cheaper than the end: all costs below
+    the end's are then the least ones. As no step costs less than 1, all within 1 of the cheapest are final at once.
+    """
+    shape = tuple(n + 2 for n in bright.shape)
+    inside = np.pad(np.ones(bright.shape, bool), 1).ravel()
+    weight = np.pad(bright, 1, constant_values=1.0).ravel()
+    moves = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)])
+    length, move = np.sqrt((moves**2).sum(1)), moves @ np.array([shape[1] * shape[2], shape[2], 1])
+    a, b = (int(np.ravel_multi_index(tuple(int(c) + 1 for c in p), shape)) for p in (start, end))
+    cost, open_ = np.full(len(weight), np.inf), np.array([a])
+    cost[a] = 0.0
+    while len(open_):
+        now = cost[open_]
+        now = now <= max(now.min() + 0.999, np.median(now))
+        from_, open_ = open_[now], open_[~now]
+        to = from_[:, None] + move
+        new = np.round(cost[from_][:, None] + length / weight[to], 9)
+        better = inside[to] & (new < cost[to]) & (new <= cost[b])
+        to = to[better]
+        np.minimum.at(cost, to, new[better])
+        open_ = np.unique(np.concatenate([open_, to]))
+        open_ = open_[cost[open_] < cost[b]]
+    way = [b]
+    while way[-1] != a:
+        before = way[-1] + move
+        way.append(int(before[np.flatnonzero(inside[before] & (np.round(cost[before] + length / weight[way[-1]], 9) == cost[way[-1]]))[0]]))
+    return np.stack(np.unravel_index(way[::-1], shape), 1) - 1, float(cost[b])
+
+
+def brightest_paths(edges: DataFrame, voxels: DataFrame, margin: int = 5) -> DataFrame:
     """(edge, ord, x, y, z, cost): the cheapest 26-connected way between the ends of each edge (edge, ax..az, bx..bz) in
-    the box around it; a step costs its length over the brightness of the voxel it enters, at least 1e-3. All edges are
-    relaxed at once; an edge that is not reached falls back to its two ends. Ties go to the lower voxel id.
+    the box around it; a step costs its length over the brightness of the voxel it enters, at least 1e-3. ``edge`` is a
+    number of its own for each row. Ties go to the lower voxel.
+
+    Every voxel of a box can be entered, so each edge has its cheapest way; only one with an end outside the image (a
+    coordinate below 0) gets its two ends instead, with a null cost. A task holds one box at a time.
     """
     box = edges.select("edge", *(F.col(p + k).cast("long").alias(p + k) for p in "ab" for k in AXES))
+    at = box
     for k in AXES:
-        box = box.withColumn(k, F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.least(f"a{k}", f"b{k}") - margin), F.greatest(f"a{k}", f"b{k}") + margin)))
-    box = box.join(voxels.select(*(F.col(k).cast("long").alias(k) for k in AXES), "v"), list(AXES), "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    box = saved(min_max(box, "edge").select("edge", *AXES, F.greatest(F.col("norm"), F.lit(1e-3)).alias("bright")), "boxes")
-    ends = edges.select("edge", *(F.col(p + k).cast("long").alias(p + k) for p in "ab" for k in AXES))
-    state = ends.select("edge", *(F.col("a" + k).alias(k) for k in AXES), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("pred"))
-    front = state
-    all26 = [o for o in ((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)) if o != (0, 0, 0)]
-    around = F.explode(F.array(*(F.struct(*(F.lit(c).alias(k) for c, k in zip(o, AXES, strict=True)), F.lit(float(np.sqrt(sum(c * c for c in o)))).alias("len")) for o in all26)))
-    for _ in range(rounds):
-        moved = front.withColumn("o", around).select("edge", *((F.col(k) + F.col(f"o.{k}")).alias(k) for k in AXES), "cost", F.col("o.len").alias("len"), voxel_id().alias("pred"))
-        moved = moved.join(box, ["edge", *AXES]).select("edge", *AXES, F.round(F.col("cost") + F.col("len") / F.col("bright"), 9).alias("cost"), "pred")
-        best = moved.groupBy("edge", *AXES).agg(F.min(F.struct("cost", "pred")).alias("k")).select("edge", *AXES, "k.cost", "k.pred")
-        had = state.select("edge", *AXES, F.col("cost").alias("had"))
-        front = saved(best.join(had, ["edge", *AXES], "left").where("had is null or cost < had").drop("had"), "front")
-        if front.isEmpty():
-            break
-        state = saved(state.join(front.select("edge", *AXES), ["edge", *AXES], "left_anti").unionByName(front), "state")
-    at = state.select("edge", *AXES, "cost", "pred").withColumn("vid", voxel_id())
-    now = ends.select("edge", *(F.col("b" + k).alias(k) for k in AXES)).withColumn("vid", voxel_id())
-    reached = now.join(at.select("edge", "vid", "cost"), ["edge", "vid"])
-    total = reached.select("edge", F.col("cost").alias("total"))
-    walk = saved(reached.select("edge", "vid", F.lit(0).cast("long").alias("back")), "walk")
-    step_, k = walk, 0
-    while not step_.isEmpty() and k < rounds:
-        k += 1
-        step_ = step_.join(at.select("edge", "vid", "pred"), ["edge", "vid"]).where("pred is not null").select("edge", F.col("pred").alias("vid"), F.lit(k).cast("long").alias("back"))
-        step_ = saved(step_, "walk")
-        walk = walk.unionAll(step_)
-    found = walk.join(at, ["edge", "vid"]).join(total, "edge")
-    ordered = found.select("edge", (F.max("back").over(W.partitionBy("edge")) - F.col("back")).alias("ord"), *AXES, F.col("total").alias("cost"))
-    missed = ends.join(total, "edge", "left_anti")
-    two = [missed.select("edge", F.lit(i).cast("long").alias("ord"), *(F.col(p + k).alias(k) for k in AXES), F.lit(None).cast("double").alias("cost")) for i, p in enumerate("ab")]
-    return ordered.unionByName(two[0]).unionByName(two[1])
+        lo, hi = F.greatest(F.lit(0), F.least(f"a{k}", f"b{k}") - margin), F.greatest(F.lit(0), F.greatest(f"a{k}", f"b{k}") + margin)
+        at = at.withColumn(f"t{k}", F.explode(F.sequence(F.floor(lo / TILE), F.floor(hi / TILE))))
+    at = at.join(saved(packed_tiles(voxels.where("x >= 0 and y >= 0 and z >= 0")), "tiles"), ["tx", "ty", "tz"], "left")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        a, b = (np.array([row[p + k] for k in AXES], np.int64) for p in "ab")
+        if min(a.min(), b.min()) < 0:
+            way, total = np.stack([a, b]), None
+        else:
+            lo, hi = np.maximum(np.minimum(a, b) - margin, 0), np.maximum(a, b) + margin + 1
+            values = np.zeros(hi - lo, np.float64)
+            for tx, ty, tz, tile in group[["tx", "ty", "tz", "tile"]].itertuples(index=False):
+                if tile is not None:
+                    corner = np.array([tx, ty, tz]) * TILE
+                    first, last = np.maximum(corner, lo), np.minimum(corner + TILE, hi)
+                    cut = tuple(slice(*c) for c in zip(first - corner, last - corner, strict=True))
+                    values[tuple(slice(*c) for c in zip(first - lo, last - lo, strict=True))] = np.frombuffer(tile, "<i4").reshape(TILE, TILE, TILE)[cut]
+            values -= values.min()
+            bright = np.maximum(values / (values.max() or 1), 1e-3)
+            way, total = cheapest_way(bright, a - lo, b - lo)
+            way = way + lo
+        out = pd.DataFrame(way, columns=list(AXES))
+        out.insert(0, "ord", np.arange(len(way)))
+        out.insert(0, "edge", row["edge"])
+        out["cost"] = pd.Series([total] * len(way), dtype="float64")
+        return out
+
+    return at.groupBy("edge").applyInPandas(run, f"edge {dict(edges.dtypes)['edge']}, ord long, x long, y long, z long, cost double")
 
 
 def along(points: DataFrame, voxels: DataFrame) -> DataFrame:

@@ -589,14 +589,21 @@ def next_points(spark, d):
     return repair.next_points(*_f1(spark, d))
 
 
+def _interpolated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """F1, folded into the volume, with its long edges replaced."""
+    n, e = _f1(spark, d)
+    inside = n.select("nid", (F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), (F.col("z") % 51).alias("z"), "creator", "type", "checked")
+    return repair.interpolated(inside, e, f4_voxels(spark, d))
+
+
 @query()
 def interpolated_edges(spark, d):
-    """Brightest paths of the edges of 6 to 9 voxels, folded into the volume."""
-    n, e = _f1(spark, d)
-    inside = n.select("nid", (F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), (F.col("z") % 51).alias("z"))
-    long = grid.ends(e, inside).withColumn("edge", F.col("dst"))
-    long = long.where("sqrt(pow(ax - bx, 2) + pow(ay - by, 2) + pow(az - bz, 2)) between 6 and 9")
-    return voxels.brightest_paths(saved(long.select("edge", *(p + k for p in "ab" for k in AXES)), "long"), f4_voxels(spark, d))
+    return _interpolated(spark, d)[1]
+
+
+@query()
+def interpolated_nodes(spark, d):
+    return _interpolated(spark, d)[0]
 
 
 # review
