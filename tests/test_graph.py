@@ -247,3 +247,19 @@ def test_long_edges_become_chains(spark):
     assert rows(edges.where("creator = 'astar'"), "src", "dst") == [(1, 10), (1, 13), (10, 11), (11, 12), (12, 2), (13, 9)]
     assert rows(edges.where("creator <> 'astar'"), "src", "dst") == [(2, 3), (3, 4), (4, 5)]
     assert nodes.count() == 10
+
+
+def test_a_bundle_of_tied_ends_is_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(repair, "MAX_ROUNDS", 2, raising=False)
+    n = 5
+    c = [(i, 10 + j, 0.0, 180.0) for i in range(n) for j in range(n)]
+    c = spark.createDataFrame(c, "src long, dst long, turn double, bend double")
+    assert rows(repair.match_ends(c), "src", "dst") == [(i, 10 + i) for i in range(n)]
+
+
+def test_hops_raise_at_a_limit(spark):
+    _, e = G(spark, [(i, i + 1) for i in range(6)])
+    start = spark.createDataFrame([(0,)], "nid long")
+    with pytest.raises(RuntimeError):
+        graph.hops(e, start, limit=3)
+    assert dict(rows(graph.hops(e, start, limit=7), "nid", "hops"))[6] == 6

@@ -5,6 +5,8 @@ Edges are undirected; ``canonical`` gives one row with src <= dst for each.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -95,10 +97,11 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
     return down.unionAll(roots.select("nid", F.lit(-1).cast("long")))
 
 
-def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None, limit: int = 10_000) -> DataFrame:
+def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(nid, hops): least number of edges from the nodes of ``start`` (nid), by a frontier that grows edge by edge.
 
     With ``nodes_cost`` (nid, cost of 0 or 1) a step costs what the node it leaves costs (nothing at a start).
+    Goes on until nothing is reached at a lower cost; raises if that takes more than ``limit`` rounds.
     """
     adj = saved(adjacency(edges).where("nid <> nbr").distinct(), "adjacency")
     if nodes_cost is None:
@@ -107,7 +110,9 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
         adj = saved(adj.join(nodes_cost.select("nid", F.col("cost").cast("long")), "nid", "left").fillna({"cost": 0}), "adjacency")
     first = start.select("nid").distinct().withColumn("hops", F.lit(0).cast("long"))
     done, front, zero = first, first, nodes_cost is not None
-    for _ in range(limit):
+    for n in count():
+        if n == limit:
+            raise RuntimeError(f"hops did not settle in {limit} rounds")
         reached = front.join(adj, "nid").select(F.col("nbr").alias("nid"), (F.col("hops") + (F.lit(0) if zero else F.col("cost"))).alias("hops"))
         zero = False
         reached = reached.groupBy("nid").agg(F.min("hops").alias("hops"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES, angle, every_third, norm, step
-from tracegraph.operators.components import MAX_ROUNDS
 from tracegraph.operators.graph import adjacency, canonical, degree
 from tracegraph.operators.grid import box_pairs, ends, neighbours
 from tracegraph.operators.paths import walk_from_ends
@@ -87,19 +86,21 @@ def connect_candidates(nodes: DataFrame, edges: DataFrame, half: float = 6, turn
 
 
 def match_ends(candidates: DataFrame) -> DataFrame:
-    """The candidate edges that are made: rounds of pairs that are each other's best by (turn, src, dst); an end is used
-    once."""
-    left, made = saved(candidates, "candidates"), None
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            break
+    """The candidate edges that are made: rounds of pairs that are each other's best by (turn, src, dst), until no pair is
+    left; an end is used once. Each round makes the best pair at least, so the rounds end. Where many ends that compete
+    have equal turns, one pair may be made a round."""
+    left, made = saved(candidates.where("src <> dst"), "candidates"), None
+    rounds = 0
+    while not left.isEmpty():
         key = F.struct("turn", "src", "dst")
-        best = adjacency(left).select("nid").distinct()
         both = left.select(F.col("src").alias("nid"), key.alias("k")).unionAll(left.select("dst", key))
         best = both.groupBy("nid").agg(F.min("k").alias("k"))
         mutual = best.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("k.src", "k.dst", "k.turn")
         mutual = saved(mutual, "mutual")
         made = mutual if made is None else made.unionAll(mutual)
+        rounds += 1
+        if rounds % 20 == 0:  # one table instead of a plan that grows
+            made = saved(made, "made")
         used = adjacency(mutual).select("nid").distinct()
         left = left.join(used.withColumnRenamed("nid", "src"), "src", "left_anti").join(used.withColumnRenamed("nid", "dst"), "dst", "left_anti")
         left = saved(left.select(*candidates.columns), "candidates")
