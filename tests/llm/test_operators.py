@@ -338,3 +338,12 @@ def test_mixing(spark, docs):
 
 def test_html_references():
     assert html_text.blocks_of("<p>a&nbsp;&lt;b&gt; &amp")[0].text == html.unescape("a <b> &")
+
+
+def test_rare_grams_are_looked_up(spark, docs, monkeypatch):
+    ids = docs.where("doc_id is not null and doc_id < 40")
+    every = {r.doc_id: r.log_ppl for r in perplexity.measured(ids, perplexity.train(ids)).collect()}
+    monkeypatch.setattr(perplexity, "RARE", 0.005)
+    model = perplexity.train(ids)
+    assert {r.doc_id: r.log_ppl for r in perplexity.measured(ids, model).collect()} == pytest.approx(every)
+    assert len(every) == 40

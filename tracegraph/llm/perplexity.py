@@ -1,10 +1,9 @@
 """Quality rules: plain counts of a text, and its n-gram perplexity under a modified Kneser-Ney model.
 
-The model predicts each byte of each word (``[^\\x20\\x09-\\x0D]+``, a space on either side) from up to ORDER - 1 bytes
-before it in the word. Spark counts the n-grams of all texts, takes continuation counts, discounts and contexts' weights
-from them, and the model is two sorted arrays of 64-bit keys for each order, searched by bisection. An n-gram stays in
-the arrays if it has at least RARE of its order's counts, so that an array never has more than 1 / RARE entries; the
-mass of the others goes to the shorter contexts, and the model still sums to one.
+The model predicts each byte of each word (``[^\\x20\\x09-\\x0D]+``) and the space after it from up to ORDER - 1 bytes
+before it in the word. Spark counts the n-grams of all texts, takes continuation
+counts, discounts and contexts' weights from them, and keeps the probability of every counted n-gram in a table. Those
+with at least RARE of all occurrences (never more than 1 / RARE) are broadcast; all others are looked up by a join.
 
 A text's log-perplexity is the mean over all its bytes in words and their ends. Each language has a band around its
 median, BAND times the scaled median absolute deviation to either side and wider for short texts; texts outside, above
@@ -19,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.bytewords import SPACES, Words, mix, shingle_hashes, slices, string_buffers, words_of
+from tracegraph.llm.bytewords import SLICE, SPACES, Words, mix, shingle_hashes, slices, string_buffers, words_of
 from tracegraph.store import saved
 
 ORDER = 5
@@ -82,95 +81,100 @@ def rule_counts(texts: pa.Array) -> tuple[Words, dict[str, np.ndarray]]:
     }
 
 
-def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, key) of the longest n-gram at every byte of each word and at its end.
+def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the longest n-gram at every byte of each word and at the space after it.
 
     A key has the n-gram's bytes, the last one lowest, and its length in the top byte; the first byte of an n-gram
     shorter than ORDER is the space before the word.
     """
-    n = end - start + 1
-    of = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    last = place == n[of] - 1
-    s = np.full(len(of) + 0, 32, np.uint64)
-    s[~last] = data[(start[of] + place)[~last]]
+    n = words.end - words.start + 1
+    ends = np.cumsum(n)
+    s = np.full(int(ends[-1]) if len(n) else 0, 32, np.uint64)
+    body = np.ones(len(s), bool)
+    body[ends - 1] = False
+    word = np.repeat(np.arange(len(n)), n)[body]
+    s[body] = words.data[np.flatnonzero(body) - (ends - n)[word] + words.start[word]]
+    of = np.repeat(words.doc, n)
+    first = np.repeat(ends - n, n)
+    place = np.arange(len(of)) - first
     size = np.minimum(place + 2, ORDER)
     key = s.copy()
     for k in range(1, ORDER):
         back = np.full(len(of), 32, np.uint64)
-        inside = place >= k
-        back[inside] = s[np.flatnonzero(inside) - k]
+        back[k:] = np.where(place[k:] >= k, s[: len(s) - k], np.uint64(32))
         key |= np.where(size > k, back << np.uint64(8 * k), np.uint64(0))
     return of, key | (size.astype(np.uint64) << np.uint64(56))
 
 
-def shorter(key: np.ndarray, size: int) -> np.ndarray:
-    """The last ``size`` bytes of n-grams."""
-    return key & np.uint64((1 << (8 * size)) - 1) | np.uint64(size << 56)
-
-
-def context(key: np.ndarray) -> np.ndarray:
-    """n-grams without their last byte."""
-    return ((key & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | ((key >> np.uint64(56)) - np.uint64(1)) << np.uint64(56)
-
-
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    keys: list = [np.zeros(0, np.uint64)]
+    counts: list = [np.zeros(0, np.int64)]
 
-    def merged(keys: list, counts: list) -> list:
-        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return [keys, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)]
+    def merge() -> None:
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        counts[:] = [np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)]
+        keys[:] = [every]
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=["gram", "n"])
 
     for b in batches:
-        for part in slices(b):
-            words = words_of(part.column("text"))
-            _, first, count = np.unique(words.hash, return_index=True, return_counts=True)
-            of, key = grams(words.data, words.start[first], words.end[first])
-            held = merged([held[0], key], [held[1], count[of]])
-            if len(held[0]) > 2_000_000:
-                yield batch()
-                held = [held[0][:0], held[1][:0]]
+        for part in slices(b, limit=SLICE):
+            key, n = np.unique(grams(words_of(part.column("text")))[1], return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            if sum(map(len, keys)) > 4_000_000:
+                merge()
+                if len(keys[0]) > 2_000_000:
+                    yield batch()
+                    keys[:], counts[:] = [keys[0][:0]], [counts[0][:0]]
+    merge()
     yield batch()
 
 
-@dataclass
-class Model:
-    """For each order: sorted n-grams and their discounted probabilities, sorted contexts and the weights of what is shorter."""
+def _last(gram: Column, size: int) -> Column:
+    """The last ``size`` bytes of n-grams."""
+    return gram.bitwiseAND(F.lit((1 << (8 * size)) - 1)).bitwiseOR(F.lit(size << 56))
+
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+def _context(gram: Column, size: int) -> Column:
+    """n-grams of ``size`` bytes without their last byte."""
+    return F.shiftright(gram.bitwiseAND(F.lit((1 << (8 * size)) - 1)), 8).bitwiseOR(F.lit((size - 1) << 56))
 
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, default: float) -> np.ndarray:
-        keys, values = table
-        if not len(keys):
-            return np.full(len(key), default)
-        at = np.searchsorted(keys, key)
-        at[at == len(keys)] = 0
-        return np.where(keys[at] == key, values[at], default)
+
+@dataclass
+class Model:
+    """For each order the table of its n-grams (gram, p), with their interpolated probabilities, and that of its contexts
+    (ctx, rest), with the weight of what is shorter; the frequent n-grams' keys, sorted, and log-probabilities."""
+
+    levels: list[DataFrame]
+    contexts: list[DataFrame]
+    keys: np.ndarray
+    log_p: np.ndarray
+
+    def scored(self, grams: DataFrame) -> DataFrame:
+        """(gram, log_p) of distinct n-grams (gram), counted or not."""
+        known = self.levels[0]
+        for level in self.levels[1:]:
+            known = known.unionAll(level)
+        found = saved(grams.select("gram").join(known, "gram", "left"), "found")
+        new = found.where("p is null").select("gram")
+        if new.isEmpty():
+            return found.select("gram", F.log("p").alias("log_p"))
+        new = new.withColumn("p", F.lit(1 / 256))
+        size = F.shiftrightunsigned("gram", 56)
+        for k, (level, contexts) in enumerate(zip(self.levels, self.contexts, strict=True), 1):
+            new = new.withColumn("_g", F.when(size >= k, _last(F.col("gram"), k))).withColumn("_c", F.when(size >= k, _context(F.col("_g"), k)))
+            new = new.join(level.select(F.col("gram").alias("_g"), F.col("p").alias("_p")), "_g", "left").join(contexts.withColumnRenamed("ctx", "_c"), "_c", "left")
+            new = saved(new.select("gram", F.coalesce("_p", F.col("rest") * F.col("p"), "p").alias("p")), "new")
+        return found.where("p is not null").unionAll(new).select("gram", F.log("p").alias("log_p"))
 
     def log_probabilities(self, key: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of the last bytes of the longest n-grams ``key``."""
-        p = np.full(len(key), 1 / 256)
-        size = (key >> np.uint64(56)).astype(np.int64)
-        for k in range(1, ORDER + 1):
-            has = np.flatnonzero(size >= k)
-            g = shorter(key[has], k)
-            p[has] = self._find(self.grams[k - 1], g, 0.0) + self._find(self.contexts[k - 1], context(g), 1.0) * p[has]
-        return np.log(p)
-
-    def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's sum of log-probabilities and number of predictions."""
-        if not len(words.hash):
-            return np.zeros(0), np.zeros(0)
-        _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        of, key = grams(words.data, words.start[first], words.end[first])
-        distinct, back = np.unique(key, return_inverse=True)
-        total = np.bincount(of, weights=self.log_probabilities(distinct)[back], minlength=len(first))
-        return total[inverse], (words.end - words.start + 1).astype(float)
+        """Natural logarithms of the probabilities of the last bytes of some n-grams ``key``, looked up in the tables."""
+        spark = self.levels[0].sparkSession
+        distinct, inverse = np.unique(key.view(np.int64), return_inverse=True)
+        got = self.scored(spark.createDataFrame([(int(g),) for g in distinct], "gram long")).toArrow().sort_by("gram")
+        return got.column("log_p").to_numpy()[inverse]
 
 
 def train(texts: DataFrame) -> Model:
@@ -178,62 +182,75 @@ def train(texts: DataFrame) -> Model:
     counted = texts.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counted = saved(counted, "grams")
     size = F.shiftrightunsigned("gram", 56)
-    model = Model([(np.zeros(0, np.uint64), np.zeros(0))] * ORDER, [(np.zeros(0, np.uint64), np.zeros(0))] * ORDER)
-    above = None
+    parts, above = [], None
     for k in range(ORDER, 0, -1):
         level = counted.where(size == k)
-        if above is not None:  # how many bytes stand before it; a word's beginning keeps its counts
-            tail = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).bitwiseOR(F.lit(k << 56))
-            level = level.union(above.groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        if above is not None:  # how many bytes stand before it; a text's beginning keeps its counts
+            level = level.union(above.groupBy(_last(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
             level = level.groupBy("gram").agg(F.sum("n").alias("n"))
         level = saved(level, f"level{k}")
-        got = level.agg(F.sum("n"), *(F.count_if(F.col("n") == j) for j in (1, 2, 3, 4))).first()
-        total, n1, n2, n3, n4 = (x or 0 for x in got)
+        got = level.agg(*(F.count_if(F.col("n") == j) for j in (1, 2, 3, 4))).first()
+        n1, n2, n3, n4 = (x or 0 for x in got)
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         d = [max(0.0, min(float(j), j - (j + 1) * y * b / a)) if a else 0.5 * j for j, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rest = F.col("gram").bitwiseAND(F.lit((1 << 56) - 1))
-        ctx = F.shiftright(rest, 8).bitwiseOR(F.lit((k - 1) << 56))
-        stays = F.col("n") >= RARE * total
-        contexts = level.groupBy(ctx.alias("ctx")).agg(
-            F.sum("n").alias("total"), F.sum(F.when(stays, F.col("n") - discount).otherwise(0.0)).alias("kept"), F.count_if(stays).alias("some")
-        )
-        contexts = saved(contexts.where("some > 0"), f"contexts{k}")
-        kept = level.where(stays).select("gram", ctx.alias("ctx"), (F.col("n") - discount).alias("n")).join(contexts, "ctx")
-        model.grams[k - 1] = _sorted(kept.select("gram", F.col("n") / F.col("total")))
-        model.contexts[k - 1] = _sorted(contexts.select("ctx", 1 - F.col("kept") / F.col("total")))
+        level = level.select("gram", _context(F.col("gram"), k).alias("ctx"), (F.col("n") - discount).alias("kept"), "n")
+        contexts = saved(level.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("kept").alias("kept")), f"contexts{k}")
+        parts.append((level, contexts))
         above = level
-    return model
-
-
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a table of a bounded number of rows, by key."""
-    t = df.toArrow()
-    keys, values = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
+    levels, contexts = [], []
+    for k, (level, ctx) in enumerate(reversed(parts), 1):
+        ctx = ctx.select("ctx", "total", (1 - F.col("kept") / F.col("total")).alias("rest"))
+        own = level.join(ctx, "ctx").select("gram", (F.col("kept") / F.col("total")).alias("p"), "rest", _last(F.col("gram"), k - 1).alias("_g"))
+        shorter = own.withColumn("below", F.lit(1 / 256)) if k == 1 else own.join(levels[-1].select(F.col("gram").alias("_g"), F.col("p").alias("below")), "_g")
+        levels.append(saved(shorter.select("gram", (F.col("p") + F.col("rest") * F.col("below")).alias("p")), f"order{k}"))
+        contexts.append(ctx.select("ctx", "rest"))
+    model = Model(levels, contexts, np.zeros(0, np.uint64), np.zeros(0))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = model.scored(counted.where(F.col("n") >= RARE * total)).toArrow()
+    keys = often.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], values[order].astype(np.float64)
+    model.keys, model.log_p = keys[order], often.column("log_p").to_numpy()[order].astype(np.float64)
+    return model
 
 
 def measured(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl) of every document; log_ppl is
     null without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.log_p))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, log_p = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 n = part.num_rows
                 words, counts = rule_counts(part.column("text"))
-                total, steps = shared.value.word_scores(words)
-                total, steps = np.bincount(words.doc, weights=total, minlength=n), np.bincount(words.doc, weights=steps, minlength=n)
-                log_ppl = pa.array(-total / np.maximum(steps, 1), mask=steps == 0)
+                of, key = grams(words)
+                distinct, inverse = np.unique(key, return_inverse=True)
+                at = np.searchsorted(keys, distinct)
+                at[at == len(keys)] = 0
+                hit = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+                value = np.where(hit, log_p[at], 0.0) if len(keys) else np.zeros(len(distinct))
+                total = np.bincount(of, weights=value[inverse], minlength=n).astype(np.float64)
+                cold = ~hit[inverse]
+                cut = np.concatenate([[0], np.cumsum(np.bincount(of[cold], minlength=n))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c].astype(np.int64)) for c in names), log_ppl],
-                    names=["doc_id", "lang", *names, "log_ppl"],
-                )
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id long, lang string, {', '.join(f'{c} long' for c in names)}, log_ppl double")
+                    [
+                        part.column("row"), part.column("doc_id"), part.column("lang"), *(pa.array(counts[c].astype(np.int64)) for c in names),
+                        pa.array(total), pa.array(np.bincount(of, minlength=n)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key[cold].view(np.int64))),
+                    ],
+                    names=["row", "doc_id", "lang", *names, "total", "steps", "cold"],
+                )
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
+    rows = numbered.mapInArrow(run, f"row long, doc_id long, lang string, {', '.join(f'{c} long' for c in names)}, total double, steps long, cold array<long>")
+    rows = saved(rows, "rows")
+    cold = rows.select("row", F.explode("cold").alias("gram"))
+    # an n-gram that is not in the arrays has fewer occurrences than they ask for: no key is hot
+    more = cold.join(model.scored(cold.select("gram").distinct()), "gram").groupBy("row").agg(F.sum("log_p").alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    return rows.drop("cold").join(more, "row", "left").select("doc_id", "lang", *names, F.when(F.col("steps") > 0, -total / F.col("steps")).alias("log_ppl"))
 
 
 def judged(rows: DataFrame, band: float = BAND) -> DataFrame:
