@@ -340,6 +340,15 @@ def test_html_references():
     assert html_text.blocks_of("<p>a&nbsp;&lt;b&gt; &amp")[0].text == html.unescape("a <b> &")
 
 
+def test_perplexity_reads_across_words(spark):
+    r = random.Random(2)
+    order = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(i, " ".join(order * 6), "en") for i in range(30)] + [(99, " ".join(r.sample(order * 6, 30)), "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.log_ppl for x in perplexity.measured(d, perplexity.train(d)).collect()}
+    assert got[99] > got[0] + 0.1
+
+
 def test_rare_grams_are_looked_up(spark, docs, monkeypatch):
     ids = docs.where("doc_id is not null and doc_id < 40")
     every = {r.doc_id: r.log_ppl for r in perplexity.measured(ids, perplexity.train(ids)).collect()}

@@ -1,7 +1,7 @@
 """Quality rules: plain counts of a text, and its n-gram perplexity under a modified Kneser-Ney model.
 
 The model predicts each byte of each word (``[^\\x20\\x09-\\x0D]+``) and the space after it from up to ORDER - 1 bytes
-before it in the word. Spark counts the n-grams of all texts, takes continuation
+before it in the text, across words, which are one space apart. Spark counts the n-grams of all texts, takes continuation
 counts, discounts and contexts' weights from them, and keeps the probability of every counted n-gram in a table. Those
 with at least RARE of all occurrences (never more than 1 / RARE) are broadcast; all others are looked up by a join.
 
@@ -26,8 +26,8 @@ from tracegraph.store import saved
 
 ORDER = 5
 RARE = 2.0**-22
-#: Half-width of a band in scaled deviations, and the number of words at which it is sqrt(2) as wide.
-BAND, SHORT = 6.0, 60
+#: Half-width of a band in scaled deviations, chosen on labels (README), and the number of words at which it is sqrt(2) as wide.
+BAND, SHORT = 2.25, 60
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 _NEWLINE = np.arange(256) == 10
@@ -82,10 +82,10 @@ def rule_counts(texts: pa.Array) -> tuple[Words, dict[str, np.ndarray]]:
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the longest n-gram at every byte of each word and at the space after it.
+    """(text, key) of the longest n-gram at every byte of each word and at the space after it, across words.
 
     A key has the n-gram's bytes, the last one lowest, and its length in the top byte; the first byte of an n-gram
-    shorter than ORDER is the space before the word.
+    shorter than ORDER is the space before the text.
     """
     n = words.end - words.start + 1
     ends = np.cumsum(n)
@@ -95,7 +95,7 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(n)), n)[body]
     s[body] = words.data[np.flatnonzero(body) - (ends - n)[word] + words.start[word]]
     of = np.repeat(words.doc, n)
-    first = np.repeat(ends - n, n)
+    first = np.searchsorted(of, of, side="left") if len(of) else of
     place = np.arange(len(of)) - first
     size = np.minimum(place + 2, ORDER)
     key = s.copy()
