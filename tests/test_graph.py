@@ -263,3 +263,16 @@ def test_hops_raise_at_a_limit(spark):
     with pytest.raises(RuntimeError):
         graph.hops(e, start, limit=3)
     assert dict(rows(graph.hops(e, start, limit=7), "nid", "hops"))[6] == 6
+
+
+def test_swc_ids_need_no_task_with_all_files(spark):
+    lines = [(f"f{i:02}", f"{n + 1} {1 if n == 0 else 2} 0 0 0 1 {n or -1}") for i in range(40) for n in range(i % 3 + 1)]
+    n, _ = tables.import_swc(tables.parse_swc(spark.createDataFrame(lines, "file string, value string")))
+    base = 0
+    want = []
+    for i in range(40):
+        want += [(f"f{i:02}", base + k + 1) for k in range(i % 3 + 1)]
+        base += i % 3 + 3
+    assert rows(n, "file", "nid") == want
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "file" not in "".join(x for x in plan.splitlines() if "Exchange SinglePartition" in x or ("Window" in x and "_p" not in x))

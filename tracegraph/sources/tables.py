@@ -41,6 +41,17 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_p").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_p", "_before")  # a row a partition
 
 
+def summed_before(df: DataFrame, value: str, name: str, *order: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each in ``order``: sums inside range partitions plus those of
+    the partitions before, so that no task sees all rows."""
+    placed = saved(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "summed")
+    sums = placed.groupBy("_p").agg(F.sum(value).alias("_n"))
+    upto = F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    before = sums.select("_p", F.coalesce(upto, F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_before")).drop("_p", "_before")  # a row a partition
+
+
 def ingest_segments(points: DataFrame, first_nid: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and chained edges of segments (sid, ord, x, y, z); nids follow ``first_nid`` in (sid, ord) order."""
     nodes = numbered(points, "nid", "sid", "ord").withColumn("nid", F.col("nid") + first_nid)
@@ -61,8 +72,7 @@ def import_swc(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of parsed swc files with exactly one soma; ids move up by the highest id before, plus 2, for each
     file in order of its name. A root's parent gives no edge."""
     good = rows.groupBy("file").agg(F.count_if(F.col("type") == 1).alias("somas"), F.max("n").alias("top")).where("somas = 1")
-    before = F.coalesce(F.sum(F.col("top") + 2).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    moved = rows.join(good.select("file", before.alias("base")), "file")
+    moved = rows.join(summed_before(good.select("file", (F.col("top") + 2).alias("size")), "size", "base", "file").select("file", "base"), "file")
     nodes = moved.select((F.col("n") + F.col("base")).alias("nid"), *AXES, (F.col("type") == 1).cast("int").alias("type"), F.lit(1).alias("checked"), "file")
     edges = moved.where("parent > 0").select((F.col("n") + F.col("base")).alias("src"), (F.col("parent") + F.col("base")).alias("dst"), F.lit("terafly").alias("creator"))
     return nodes, edges
