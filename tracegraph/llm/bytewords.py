@@ -6,11 +6,13 @@ A word's 64-bit hash depends on its bytes (A-Z folded when asked) and length alo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 #: Separators of ``[^\x20\x09-\x0D]+``.
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -165,3 +167,26 @@ def shingle_hashes(h: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> t
             order = np.argsort(of, kind="stable")
             out, of = out[order], of[order]
     return mix(out), of
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back to the machine: workers outlive their tasks and are many."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_udf(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, limit: int = SLICE):
+    """A column function of a text column. ``make`` is called once in each task and gives a function from texts to as
+    many values of type ``returns``; it gets about ``limit`` bytes at a time, a longer text by itself. Only the texts go
+    to Python and only the values come back: whatever else a row has stays in Spark, under any name."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = make()
+        for texts in batches:
+            out = [f(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), limit=limit)]
+            yield pa.concat_arrays(out or [f(texts)])
+        release()
+
+    return F.arrow_udf(run, returns)
