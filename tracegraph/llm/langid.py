@@ -1,17 +1,19 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-The network reads each word (``[^\\x20\\x09-\\x0D]+``) with a space on either side, byte by byte in both directions, and
-labels every position with a distribution over languages; a text's probabilities are the mean over all positions of all
-its words. A word's labels depend on the word alone, so each distinct word of a batch is read once. Words of more than
-CHUNK bytes are read in chunks of that length, so no text is cut short.
-
-Training uses a bounded sample: about SAMPLE_DOCS labelled texts of each language, chosen by a hash of the id, and of
-those the distinct words with their counts by language. A text that is null or has no letter is ``und`` with score 0.
+The network reads the whole text byte by byte in both directions and labels every position with a distribution over
+languages; a text's probabilities are the mean over all its positions. So that many positions are read at once, a text is
+cut into windows of CORE bytes (at borders of characters), each read with the CONTEXT bytes before it (forwards) or after
+it (backwards): every position is labelled once, with states that have read at least CONTEXT bytes of its own text on
+either side, across words and lines, or all there are.
+
+Training uses a bounded sample: about SAMPLE_DOCS labelled texts of each language, chosen by a hash of the id, and
+WINDOWS windows of each, at places chosen by a hash of the text. A text that is null or has no letter is ``und`` with
+score 0; without any language to learn every text is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,189 +21,221 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.bytewords import slices, words_of
+from tracegraph.llm.bytewords import slices, string_buffers, text_udf
 
 UNKNOWN = "und"
-#: Texts of a language in the training sample, about; and distinct words kept of it, those with the most occurrences.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 12_000
-HIDDEN, EMBED, CHUNK = 16, 12, 24
-#: Distinct words that a task remembers between batches; beyond, it forgets them all and reads them again.
-REMEMBERED = 400_000
-
-_ONE_HOT = np.eye(257, dtype=np.float32)
+#: Texts of a language in the training sample, about; windows of each, and their bytes.
+SAMPLE_DOCS, WINDOWS, TRAIN_CORE = 400, 3, 64
+HIDDEN, EMBED = 12, 10
+CORE, CONTEXT = 480, 32
+#: Lengths to which the last windows of texts are filled up, and windows read side by side.
+LENGTHS, WIDTH = (32, 64, 128, 240, CORE), 1024
+#: Stands for what is before or after a text.
+OUTSIDE = 256
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+    """In place."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
 
 
 class Gru:
-    """Parameters of the network and its passes. Bytes are numbered 0 to 255; 256 stands outside a sequence."""
+    """Parameters of the network and its passes. Arrays are (features x sequences), a step at a time."""
 
     def __init__(self, classes: int, seed: int = 1):
         g = np.random.default_rng(seed)
-        r = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"E": (0.3 * g.standard_normal((257, EMBED))).astype(np.float32), "O": r(2 * HIDDEN, classes), "o": np.zeros(classes, np.float32)}
+        r = lambda *s: (g.standard_normal(s) / np.sqrt(s[-1])).astype(np.float32)
+        self.p = {"E": (0.3 * g.standard_normal((EMBED, 257))).astype(np.float32), "o": np.zeros((classes, 1), np.float32)}
         for d in "fb":
-            self.p |= {f"W{d}": r(EMBED, 3 * HIDDEN), f"U{d}": r(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"W{d}": r(3 * HIDDEN, EMBED), f"U{d}": r(3 * HIDDEN, HIDDEN), f"c{d}": np.zeros((3 * HIDDEN, 1), np.float32), f"O{d}": r(classes, HIDDEN)}
 
-    def states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States after each position of the sequences x (n x T), read in direction d; all sequences are T long."""
+    def steps(self, x: np.ndarray, d: str) -> Iterator[tuple[np.ndarray, ...]]:
+        """(state before, update gate, reset gate, candidate, recurrent part of it, state) after each row of x (T x n),
+        read in order; the arrays are the caller's to keep."""
         p, H = self.p, HIDDEN
-        table = p["E"] @ p[f"W{d}"] + p[f"c{d}"]
-        U, n, T = p[f"U{d}"], *x.shape
-        h = np.zeros((n, H), np.float32)
-        out = np.empty((T, n, H), np.float32)
-        for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            a, u = table[x[:, t]], h @ U
-            zr = _sigmoid(a[:, : 2 * H] + u[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(a[:, 2 * H :] + r * u[:, 2 * H :])
-            new = c + z * (h - c)
-            if keep is not None:
-                keep.append((t, h, z, r, c, u[:, 2 * H :]))
-            out[t] = h = new
-        return out
-
-    def labels(self, x: np.ndarray) -> np.ndarray:
-        """T x n x classes: the distribution at every position."""
+        table, U = p[f"W{d}"] @ p["E"] + p[f"c{d}"], p[f"U{d}"]
+        h = np.zeros((H, x.shape[1]), p["E"].dtype)
+        for now in x:
+            a, u = table.take(now, axis=1, mode="clip"), U @ h
+            zr = a[: 2 * H]
+            zr += u[: 2 * H]
+            _sigmoid(zr)
+            uc = u[2 * H :]
+            c = zr[H:] * uc
+            c += a[2 * H :]
+            np.tanh(c, out=c)
+            new = h - c
+            new *= zr[:H]
+            new += c
+            yield h, zr[:H], zr[H:], c, uc, new
+            h = new
+
+    def labels(self, ahead: np.ndarray, back: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """classes x n: the label probabilities summed over the first ``size`` positions of each window. ``ahead`` has
+        CONTEXT rows before the window's, ``back`` the window's last row first and CONTEXT rows before it."""
         p = self.p
-        logits = self.states(x, "f") @ p["O"][:HIDDEN] + self.states(x, "b") @ p["O"][HIDDEN:] + p["o"]
-        e = np.exp(logits - logits.max(-1, keepdims=True))
-        return e / e.sum(-1, keepdims=True)
+        length = len(ahead) - CONTEXT
+        logits = np.empty((length, *p["o"].shape[:1], ahead.shape[1]), np.float32)
+        for t, (*_, h) in enumerate(self.steps(ahead, "f")):
+            if t >= CONTEXT:
+                np.matmul(p["Of"], h, out=logits[t - CONTEXT])
+        out = np.zeros(logits.shape[1:])
+        for t, (*_, h) in enumerate(self.steps(back, "b")):
+            if t >= CONTEXT:
+                at = length - 1 - (t - CONTEXT)
+                q = logits[at]
+                q += p["Ob"] @ h
+                q += p["o"]
+                q -= q.max(0)
+                np.exp(q, out=q)
+                q *= (size > at) / q.sum(0)
+                out += q
+        return out
 
-    def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Weighted cross-entropy summed over positions, and its gradients by backpropagation through time."""
+    def gradients(self, ahead: np.ndarray, back: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Cross-entropy of the label of every position, weighted by window, and its gradients by backpropagation through
+        time. target: classes x n."""
         p, H = self.p, HIDDEN
-        kept: dict[str, list] = {"f": [], "b": []}
-        S = {d: self.states(x, d, kept[d]) for d in "fb"}
-        both = np.concatenate([S["f"], S["b"]], -1)
-        logits = both @ p["O"] + p["o"]
-        logits -= logits.max(-1, keepdims=True)
+        length = len(ahead) - CONTEXT
+        kept = {"f": list(self.steps(ahead, "f")), "b": list(self.steps(back, "b"))}
+        own = {"f": np.stack([k[-1] for k in kept["f"][CONTEXT:]]), "b": np.stack([k[-1] for k in kept["b"][CONTEXT:]][::-1])}
+        logits = p["Of"] @ own["f"] + p["Ob"] @ own["b"] + p["o"]
+        logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
-        q = e / e.sum(-1, keepdims=True)
-        loss = float(-(weight * (target * np.log(q + 1e-9)).sum(-1)).sum())
-        dl = (q - target) * weight[:, None]
+        q = e / e.sum(1, keepdims=True)
+        w = weight * (size > np.arange(length)[:, None])  # length x n
+        loss = float(-(w * (target * np.log(q + 1e-9)).sum(1)).sum())
+        dl = (q - target) * w[:, None, :]
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        grad["O"] = np.einsum("tnh,tnc->hc", both, dl)
-        grad["o"] = dl.sum((0, 1))
-        dboth = dl @ p["O"].T
-        for d, part in (("f", slice(0, H)), ("b", slice(H, 2 * H))):
-            U, dh, dtable = p[f"U{d}"], np.zeros_like(S[d][0]), np.zeros((257, 3 * H), np.float32)
-            for t, h, z, r, c, uc in reversed(kept[d]):
-                dh = dh + dboth[t, :, part]
-                da = np.empty((len(dh), 3 * H), np.float32)
+        grad["o"] = dl.sum((0, 2))[:, None]
+        for d, x in (("f", ahead), ("b", back)):
+            grad[f"O{d}"] = np.einsum("tcn,thn->ch", dl, own[d], optimize=True)
+            U, dh, dtable = p[f"U{d}"], np.zeros_like(kept[d][0][0]), np.zeros((3 * H, 257), p["E"].dtype)
+            douts = p[f"O{d}"].T @ dl
+            for t in range(len(x) - 1, -1, -1):
+                h, z, r, c, uc, _ = kept[d][t]
+                if t >= CONTEXT:
+                    dh = dh + douts[t - CONTEXT if d == "f" else length - 1 - (t - CONTEXT)]
+                da = np.empty((3 * H, x.shape[1]), p["E"].dtype)
                 dc = dh * (1 - z) * (1 - c * c)
-                da[:, :H] = dh * (h - c) * z * (1 - z)
-                da[:, H : 2 * H] = dc * uc * r * (1 - r)
-                da[:, 2 * H :] = dc
+                da[:H] = dh * (h - c) * z * (1 - z)
+                da[H : 2 * H] = dc * uc * r * (1 - r)
+                da[2 * H :] = dc
                 du = da.copy()
-                du[:, 2 * H :] = dc * r
-                grad[f"U{d}"] += h.T @ du
-                dtable += _ONE_HOT[x[:, t]].T @ da
-                dh = dh * z + du @ U.T
-            grad["E"] += dtable @ p[f"W{d}"].T
-            grad[f"W{d}"] += p["E"].T @ dtable
-            grad[f"c{d}"] += dtable.sum(0)
+                du[2 * H :] = dc * r
+                grad[f"U{d}"] += du @ h.T
+                dtable += da @ _ONE_HOT[x[t]]
+                dh = dh * z + U.T @ du
+            grad["E"] += p[f"W{d}"].T @ dtable
+            grad[f"W{d}"] += dtable @ p["E"].T
+            grad[f"c{d}"] += dtable.sum(1, keepdims=True)
         return loss, grad
 
-    def fit(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 2) -> None:
-        """Adam over batches of sequences of one length. groups: (sequences, class distributions, weights) for each length."""
+    def fit(self, ahead: np.ndarray, back: np.ndarray, size: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int, batch: int = 256, rate: float = 0.02, seed: int = 2) -> None:
+        """Adam over batches of windows."""
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, total = 0, sum(-(-len(x) // batch) for x, _, _ in groups) * epochs
-        for _ in range(epochs):
-            todo = [(i, part) for i, (x, _, _) in enumerate(groups) for part in np.array_split(g.permutation(len(x)), -(-len(x) // batch))]
-            for k in g.permutation(len(todo)):
-                i, part = todo[k]
-                x, target, weight = (a[part] for a in groups[i])
-                _, grad = self.gradients(x, target, weight / (weight.sum() * x.shape[1]))
-                step += 1
-                lr = rate * min(1, step / 20) * (1 - 0.95 * step / total)
-                for name, v in grad.items():
-                    m[name] += 0.1 * (v - m[name])
-                    s[name] += 0.002 * (v * v - s[name])
-                    self.p[name] -= (lr * m[name] / (1 - 0.9**step) / (np.sqrt(s[name] / (1 - 0.998**step)) + 1e-8)).astype(np.float32)
-
-
-def sequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of the words, n x T bytes with a space on either side) for each length; long words come in chunks."""
-    n = end - start
-    pieces = -(-n // CHUNK)
-    which = np.repeat(np.arange(len(n)), pieces)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    s = start[which] + nth * CHUNK
-    size = np.minimum(end[which] - s, CHUNK)
-    for length in np.unique(size):
-        rows = np.flatnonzero(size == length)
-        for part in np.array_split(rows, -(-len(rows) // 8192)):
-            x = np.full((len(part), length + 2), 32, np.int64)
-            x[:, 1:-1] = data[s[part][:, None] + np.arange(length)]
-            yield which[part], x
+        todo: list[np.ndarray] = []
+        for step in range(1, steps + 1):
+            if not todo:
+                todo = np.array_split(g.permutation(len(size)), -(-len(size) // batch))
+            part = todo.pop()
+            w = weight[part] / max((weight[part] * size[part]).sum(), 1e-9)
+            _, grad = self.gradients(ahead[:, part], back[:, part], size[part], target[:, part], w)
+            lr = rate * min(1, step / 10) * (1 - 0.95 * step / steps)
+            for name, v in grad.items():
+                m[name] += 0.1 * (v - m[name])
+                s[name] += 0.002 * (v * v - s[name])
+                self.p[name] -= (lr * m[name] / (1 - 0.9**step) / (np.sqrt(s[name] / (1 - 0.998**step)) + 1e-8)).astype(self.p[name].dtype)
 
 
-class Model:
-    def __init__(self, languages: list[str], net: Gru):
-        self.languages, self.net = languages, net
+_ONE_HOT = np.eye(257, dtype=np.float32)
 
-    def word_sums(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Each word's label probabilities summed over its positions; the last column counts the positions."""
-        out = np.zeros((len(start), len(self.languages) + 1))
-        for which, x in sequences(data, start, end):
-            np.add.at(out, which, np.concatenate([self.net.labels(x).sum(0), np.full((len(x), 1), x.shape[1])], 1))
-        return out
 
+def windows(offsets: np.ndarray, data: np.ndarray, core: int = CORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, size) of the windows of all texts: ``core`` bytes or up to 3 fewer, so that none ends in a character."""
+    n = np.diff(offsets)
+    pieces = -(-n // core)
+    text = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cut = offsets[text] + nth * core
+    for _ in range(3):
+        inside = (nth > 0) & ((data[cut] & 0xC0) == 0x80)
+        cut[inside] -= 1
+    last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
+    end = np.where(last, offsets[text + 1], np.append(cut[1:], 0)) if len(text) else cut
+    return text, cut, end - cut
+
+
+def laid_out(data: np.ndarray, start: np.ndarray, length: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (CONTEXT + length) x n bytes read forwards and backwards for windows at ``start`` of texts from lo to hi."""
+
+    def read(place: np.ndarray) -> np.ndarray:
+        return np.where((place >= lo) & (place < hi), data[np.clip(place, 0, len(data) - 1)].astype(np.int64), OUTSIDE)
 
-class Reader:
-    """A task's memory of the words it has read."""
+    return read(start + np.arange(-CONTEXT, length)[:, None]), read(start + np.arange(length + CONTEXT - 1, -1, -1)[:, None])
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.known = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, len(model.languages) + 1))
+
+class Model:
+    def __init__(self, languages: list[str], net: Gru):
+        self.languages, self.net = languages, net
 
     def documents(self, texts: pa.Array) -> np.ndarray:
-        """n x languages: the mean probability over all positions; zeros for a text without words."""
-        words = words_of(texts)
-        distinct, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        have = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        have[inside] = self.known[at[inside]] == distinct[inside]
-        new = np.flatnonzero(~have)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.sums = self.known[:0], self.sums[:0]
-            new = np.arange(len(distinct))
-        if len(new):
-            sums = self.model.word_sums(words.data, words.start[first[new]], words.end[first[new]])
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.sums = known[order], np.concatenate([self.sums, sums])[order]
-        sums = self.sums[np.searchsorted(self.known, distinct)]
-        n = len(texts)
-        out = np.stack([np.bincount(words.doc, weights=sums[:, k][inverse], minlength=n) for k in range(sums.shape[1])], 1)
-        return out[:, :-1] / np.maximum(out[:, -1:], 1)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n x languages: the mean probability over all positions; zeros for an empty text."""
+        data, offsets = string_buffers(texts)
+        text, start, size = windows(offsets, data)
+        sums = np.zeros((len(texts), len(self.languages)))
+        bucket = np.searchsorted(LENGTHS, size)
+        for k, length in enumerate(LENGTHS):
+            of = np.flatnonzero(bucket == k if k < len(LENGTHS) - 1 else bucket >= k)
+            width = max(1, min(WIDTH, (1 << 22) // (length * len(self.languages))))
+            for part in np.array_split(of, -(-len(of) // width)) if len(of) else ():
+                t = text[part]
+                p = self.net.labels(*laid_out(data, start[part], length, offsets[t], offsets[t + 1]), size[part])
+                np.add.at(sums, t, p.T)
+        return sums / np.maximum(np.diff(offsets), 1)[:, None]
+
+    def answers(self) -> Callable[[pa.Array], pa.Array]:
+        names = np.array([*self.languages, UNKNOWN], dtype=object)
+
+        def of(texts: pa.Array) -> pa.Array:
+            n = len(texts)
+            best, score = np.full(n, -1), np.zeros(n)
+            if self.languages and n:
+                p = self.documents(texts)
+                letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                best, score = np.where(letters, p.argmax(1), -1), np.where(letters, p.max(1), 0.0)
+            return pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["lang", "score"])
+
+        return of
+
+
+def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text up to WINDOWS windows of TRAIN_CORE bytes: the bytes from CONTEXT before to CONTEXT after, with how
+    many of those are before."""
     for batch in batches:
         for part in slices(batch):
-            words = words_of(part.column("text"))
-            lang = pc.dictionary_encode(part.column("lang"))
-            code = lang.indices.to_numpy()[words.doc]
-            names = lang.dictionary.to_pylist()
-            for k, name in enumerate(names):
-                mine = np.flatnonzero(code == k)
-                _, first, count = np.unique(words.hash[mine], return_index=True, return_counts=True)
-                at = mine[first]
-                texts = [words.data[s:e].tobytes() for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(at), pa.string()), pa.array(texts, pa.binary()), pa.array(count)], names=["lang", "word", "n"]
-                )
-
-
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+            data, offsets = string_buffers(part.column("text"))
+            langs, raw, before, size = [], [], [], []
+            for lang, lo, hi in zip(part.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                every = -(-(hi - lo) // TRAIN_CORE)
+                place = np.random.default_rng(hi - lo).permutation(every)[:WINDOWS].tolist() if every > 0 else []
+                for k in place:
+                    a, b = lo + k * TRAIN_CORE, min(hi, lo + (k + 1) * TRAIN_CORE)
+                    from_ = max(lo, a - CONTEXT)
+                    langs.append(lang)
+                    raw.append(data[from_ : min(hi, b + CONTEXT)].tobytes())
+                    before.append(a - from_)
+                    size.append(b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(raw, pa.binary()), pa.array(before, pa.int32()), pa.array(size, pa.int32())], names=["lang", "raw", "before", "size"])
+
+
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the languages in ``labelled`` (doc_id, text, lang); rows with a null lang or text teach nothing."""
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -211,60 +245,29 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int
     # a hash of the id against each language's share of its texts
     share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample_docs / counts[k])))))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    words = (
-        rows.where(draw < share[F.col("lang")])
-        .mapInArrow(_word_counts, "lang string, word binary, n long")
-        .groupBy("word")
-        .pivot("lang", languages)
-        .sum("n")
-        .fillna(0)
-        .withColumn("n", sum(F.col(f"`{x}`") for x in languages))
-        .orderBy(F.desc("n"), "word")
-        .limit(sample_words * len(languages))
-        .collect()
-    )
+    # rows of one null id share their draw; their number is bounded by a second draw on the text
+    also = F.col("doc_id").isNotNull() | (F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) / (1 << 30) < share[F.col("lang")])
+    found = rows.where((F.col("doc_id").isNull() | (draw < share[F.col("lang")])) & also).mapInArrow(_training_windows, "lang string, raw binary, before int, size int").collect()
+    found = sorted(found, key=lambda r: (r.lang, bytes(r.raw), r.before))
     net = Gru(len(languages))
-    if words:
-        n = np.array([[r[x] for x in languages] for r in words], np.float64)
-        total = np.maximum(n.sum(0), 1)
-        per = n / total  # as if all languages had as many words
-        target = (per / per.sum(1, keepdims=True)).astype(np.float32)
-        weight = np.sqrt(n.sum(1)).astype(np.float32)
-        size = np.array([len(r.word) for r in words])
-        end = np.cumsum(size)
-        data = np.frombuffer(b"".join(bytes(r.word) for r in words), np.uint8)
-        groups: dict[int, list] = {}
-        for which, x in sequences(data, end - size, end):
-            groups.setdefault(x.shape[1], []).append((x, target[which], weight[which]))
-        # small batches for small samples, and as many steps for large ones as it takes
-        net.fit([tuple(np.concatenate(a) for a in zip(*g, strict=True)) for g in groups.values()], epochs=int(np.clip(250_000 / len(words), 4, 40)))
+    if found:
+        n = np.array([len(r.raw) for r in found])
+        hi = np.cumsum(n)
+        lo = hi - n
+        data = np.frombuffer(b"".join(bytes(r.raw) for r in found), np.uint8)
+        ahead, back = laid_out(data, lo + [r.before for r in found], TRAIN_CORE, lo, hi)
+        code = np.array([languages.index(r.lang) for r in found])
+        weight = (1 / np.bincount(code, minlength=len(languages)))[code].astype(np.float32)  # as if all languages had as many windows
+        target = np.eye(len(languages), dtype=np.float32)[:, code]
+        net.fit(ahead, back, np.array([r.size for r in found]), target, weight, steps=int(np.clip(len(found) / 256 * 5, 80, 300)))
     return Model(languages, net)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and lang_score (the probability of that language). Reads ``text`` alone;
     columns of these names that ``docs`` may have are replaced."""
-    docs = docs.drop("lang_pred", "lang_score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        names = np.array([*shared.value.languages, UNKNOWN], dtype=object)
-        for batch in batches:
-            for part in slices(batch):
-                if shared.value.languages:
-                    p = reader.documents(part.column("text"))
-                    letters = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                    best, score = np.where(letters, p.argmax(1), len(names) - 1), np.where(letters, p.max(1), 0.0)
-                else:
-                    best, score = np.full(part.num_rows, -1), np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())],
-                    names=[*part.schema.names, "lang_pred", "lang_score"],
-                )
-
-    return docs.mapInArrow(run, schema)
+    found = docs.withColumn("_tg_language", text_udf(model.answers, "lang string, score double")("text"))
+    return found.withColumns({"lang_pred": F.col("_tg_language.lang"), "lang_score": F.col("_tg_language.score")}).drop("_tg_language")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
