@@ -2,8 +2,10 @@
 
 Statistics of the whole text (shares of kinds of bytes, word lengths, repetition, line shape) are standardised and sent
 through FEATURES random cosines, which approximate a Gaussian kernel. Each partition sums its part of the normal
-equations; the sums of all partitions are added up and solved for ridge scores, and a monotone step function fitted on
-binned scores (isotonic regression) turns them into probabilities. Every labelled row takes part.
+equations, for two halves of the rows (by a hash of the statistics); the sums of all partitions are added up and solved
+for ridge scores. A monotone step function (isotonic regression) turns scores into probabilities; it is fitted on binned
+scores that each half gets from the other's equations, so that it has not seen the rows it is fitted on. Every labelled
+row takes part.
 
 A null text is an empty one; an empty text gets a score like any other. Labels that are null teach nothing; without any
 label every score is 0.5. A document with two label rows counts twice.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.bytewords import SLICE, mix, slices, string_buffers, words_of
+from tracegraph.llm.bytewords import mix, string_buffers, text_udf, words_of
 from tracegraph.store import saved
 
 #: Random cosines, the kernel's width in standardised units, the ridge penalty per row, and bins of the calibration.
@@ -120,17 +122,9 @@ class Model:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with its ``text`` replaced by ``stats``, the binary row of ``statistics``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", stats binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, limit=SLICE):
-                x = statistics(part.column("text"))
-                names = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([r.tobytes() for r in x], pa.binary())], names=[*names, "stats"])
-
-    return docs.mapInArrow(run, schema)
+    """``docs`` with its ``text`` replaced by ``stats``, the binary row of ``statistics``; a column of that name goes."""
+    packed = lambda texts: pa.array([r.tobytes() for r in statistics(texts)], pa.binary())
+    return docs.withColumn("stats", text_udf(lambda: packed, "binary")("text")).drop("text")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -189,16 +183,29 @@ def train(stats: DataFrame) -> Model:
     scale = np.sqrt(np.maximum(moments[1] / n - mean * mean, 0))
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), empty.weights, empty.steps)
 
+    def half(x: np.ndarray) -> np.ndarray:
+        """False or True by a hash of the statistics."""
+        with np.errstate(over="ignore"):
+            return mix(np.add.reduce(np.ascontiguousarray(x).view(np.uint64), axis=1)) >> np.uint64(63) == 1
+
     def normal(b: pa.RecordBatch) -> np.ndarray:
-        z = model.cosines(_matrix(b.column("stats")))
-        return z.T @ np.concatenate([z, b.column("label").to_numpy()[:, None]], 1)
+        x = _matrix(b.column("stats"))
+        z, y, second = model.cosines(x), b.column("label").to_numpy(), half(x)
+        own = [(z[k], y[k]) for k in (~second, second)]
+        return np.concatenate([np.concatenate([u.T @ np.concatenate([u, v[:, None]], 1), np.full((1, FEATURES + 2), len(u))]) for u, v in own])
 
-    sums = _sums(rows, normal, FEATURES + 2)
-    penalty = np.diag([*[RIDGE * n] * FEATURES, 0.0])
-    model.weights = np.linalg.solve(sums[:, :-1] + penalty + 1e-9 * np.eye(FEATURES + 1), sums[:, -1])
+    def solved(sums: np.ndarray) -> np.ndarray:
+        penalty = np.diag([*[RIDGE * sums[-1, 0]] * FEATURES, 0.0])
+        return np.linalg.solve(sums[:-1, :-1] + penalty + 1e-9 * np.eye(FEATURES + 1), sums[:-1, -1])
+
+    sums = _sums(rows, normal, FEATURES + 2).reshape(2, FEATURES + 2, FEATURES + 2)
+    model.weights = solved(sums.sum(0))
+    other = np.stack([solved(sums[1 - k]) if sums[1 - k, -1, 0] else model.weights for k in (0, 1)])
 
     def binned(b: pa.RecordBatch) -> np.ndarray:
-        at = np.clip(np.rint((model.ridge(_matrix(b.column("stats"))) + 0.5) * (BINS / 2)), 0, BINS).astype(np.int64)
+        x = _matrix(b.column("stats"))
+        score = np.where(half(x), *(model.cosines(x) @ other[k] for k in (1, 0)))
+        at = np.clip(np.rint((score + 0.5) * (BINS / 2)), 0, BINS).astype(np.int64)
         return np.stack([np.bincount(at, minlength=BINS + 1), np.bincount(at, weights=b.column("label").to_numpy(), minlength=BINS + 1)]).astype(float)
 
     count, ones = _sums(rows, binned, BINS + 1)
@@ -209,31 +216,17 @@ def train(stats: DataFrame) -> Model:
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:
     """``stats`` with ``score`` in place of its statistics."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema if f.name != "stats") + ", score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            names = [c for c in b.schema.names if c != "stats"]
-            score = shared.value.scores(_matrix(b.column("stats")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score)], names=[*names, "score"])
+            yield pa.array(model.scores(_matrix(b)))
 
-    return stats.mapInArrow(run, schema)
+    return stats.withColumn("score", F.arrow_udf(run, "double")("stats")).drop("stats")
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all its columns, with ``quality_score``, which replaces a column of that name."""
-    docs = docs.drop("quality_score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, limit=SLICE):
-                score = shared.value.scores(statistics(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "quality_score"])
-
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("quality_score", text_udf(lambda: lambda texts: pa.array(model.scores(statistics(texts))), "double")("text"))
 
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
