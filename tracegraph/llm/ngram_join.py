@@ -1,7 +1,7 @@
 """Near-duplicate documents: an n-gram Jaccard join with Bayesian candidate pruning.
 
 1. Every text becomes a set of five-word shingles and a MinHash signature. Texts of equal words are one class; only its
-   representative (the least doc_id) goes on, with the number of its copies.
+   representative (the least doc_id) goes on, with the number of its copies, under a number of its own.
 2. Classes that agree on a band of the signature are candidates. A band's bucket of any size is cut into blocks, and
    each pair of blocks is a unit of work of its own. In a unit the MinHash values are compared a few at a time; a pair
    is dropped as soon as the posterior probability that it reaches the threshold falls below the tolerance (BayesLSH).
@@ -10,9 +10,10 @@
    texts are sent; there the pairs pass the same pruning and are then verified exactly on their shingle sets. A unit
    returns, for each class, how many documents it links to and a forest of the verified links.
 
-Results are per document: its class id (the least doc_id of its connected group) and its number of links, counted
-over documents, so copies count although they are never expanded. A text without words links to nothing. Documents
-with a null doc_id can't be named in a result and are left out. Repeated rows count as copies of each other.
+Results are per row: its class id (the least doc_id of its connected group) and its number of links, counted over
+documents, so copies count although they are never expanded. A text without words links to nothing. Rows with a null
+doc_id take part like any other: they are answered with a null doc_id, and a group in which no row has an id has a null
+class id. Repeated rows count as copies of each other, and so do different texts under one doc_id if their words agree.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.operators.components import star_edges
-from tracegraph.llm.bytewords import SLICE, mix, shingle_hashes, slices, words_of
+from tracegraph.llm.bytewords import SLICE, mix, release, shingle_hashes, slices, words_of
 from tracegraph.store import saved
 
 WIDTH = 5
@@ -37,7 +38,7 @@ BANDS, ROWS = 24, 4
 TOLERANCE = 1e-6
 STEP = 8
 #: Rows of a bucket's block, and words of a component's block.
-BLOCK_ROWS, BLOCK_WORDS = 512, 200_000
+BLOCK_ROWS, BLOCK_WORDS = 512, 400_000
 
 K = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -140,9 +141,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = words.per_doc(n)
             key = text_keys(words.hash, words.doc, n)
             sig = minhash(sh, of, n)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), _binary(key), pa.array(count), _binary(sig)], names=["doc_id", "key", "n_words", "sig"]
-            )
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _ROW), _binary(key), pa.array(count), _binary(sig)], names=[*_ROW, "key", "n_words", "sig"])
+    release()
+
+
+#: What tells a row apart: whether its doc_id is null, the doc_id or else a hash of the text, and a hash of the text.
+_ROW = ("no_id", "id", "text_id")
+
+
+def _identified(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with the columns of _ROW, under these names."""
+    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    return docs.withColumns(dict(zip(columns, (doc_id.isNull(), F.coalesce(doc_id, text), text), strict=True)))
 
 
 def text_keys(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -176,14 +186,14 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = np.full(len(sig), b + 1, np.uint64)
                 for k in range(b * ROWS, (b + 1) * ROWS):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("rep_id")], names=["band", "rep_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("cid")], names=["band", "cid"])
 
 
 def _forest(table: pa.Table) -> pa.Table:
-    """Bucket unit: rows (band, part, rep_id, sig), part 0 or 1 (unlike parts are compared), or 2 (all with all)."""
+    """Bucket unit: rows (band, part, cid, sig), part 0 or 1 (unlike parts are compared), or 2 (all with all)."""
     band = table.column("band").to_numpy()
     order = np.argsort(band, kind="stable")
-    band, rep, part = band[order], table.column("rep_id").to_numpy()[order], table.column("part").to_numpy()[order]
+    band, rep, part = band[order], table.column("cid").to_numpy()[order], table.column("part").to_numpy()[order]
     sig = _matrix(table.column("sig"), K)[order]
     least = min_matches(THRESHOLD, TOLERANCE)
     root = np.arange(len(rep))
@@ -195,8 +205,8 @@ def _forest(table: pa.Table) -> pa.Table:
 
 
 def _verify(table: pa.Table) -> pa.Table:
-    """Component unit: exact links among its texts. Rows (comp, part, rep_id, copies, key, text); a text that hasn't its
-    class's key belongs to another row of the same doc_id, and of several that have it one is enough."""
+    """Component unit: exact links among its texts. Rows (comp, part, cid, copies, key, text); a text that hasn't its
+    class's key belongs to another row of the same id, and of several that have it one is enough."""
     comp = table.column("comp").to_numpy()
     order = np.argsort(comp, kind="stable")
     table = table.take(pa.array(order))
@@ -215,7 +225,7 @@ def _verify(table: pa.Table) -> pa.Table:
             own.setdefault(key, i)
     mine = list(own.values())
     table, comp = table.drop_columns("text").take(pa.array(mine, pa.int64())), comp[order][mine]
-    part, rep, copies = (table.column(c).to_numpy() for c in ("part", "rep_id", "copies"))
+    part, rep, copies = (table.column(c).to_numpy() for c in ("part", "cid", "copies"))
     n = len(mine)
     sets, sig = [sets[i] for i in mine], np.concatenate(sig)[mine]
     size = np.array([len(s) for s in sets])
@@ -231,7 +241,7 @@ def _verify(table: pa.Table) -> pa.Table:
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
         hook(root, a, b)
-    return pa.table({"rep_id": rep, "links": links, "root_id": rep[root]})
+    return pa.table({"cid": rep, "links": links, "root": rep[root]})
 
 
 def _reach(sets: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,7 +262,7 @@ def _reach(sets: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarra
 def _units(df: DataFrame, group: str, blocks: F.Column, bundles: int) -> DataFrame:
     """Adds unit and part. A group of one block shares a unit with other small groups; one of more is sent once to each
     pair of its blocks, so that a unit never holds more than two of them."""
-    own = F.pmod(F.xxhash64("rep_id"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     df = df.withColumn("blocks", blocks.cast("long")).withColumn("own", F.when(F.col("blocks") > 1, own).otherwise(F.lit(0)))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -264,81 +274,86 @@ def _units(df: DataFrame, group: str, blocks: F.Column, bundles: int) -> DataFra
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, rep_id, class_id, n_links), one row per row of ``docs`` (doc_id, text).
-
-    rep_id: the least doc_id with the same words; class_id: the least of the group joined by links; n_links: documents
-    with a shingle similarity of THRESHOLD or more, copies included, itself not.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = saved(rows.mapInArrow(_signatures, "doc_id long, key binary, n_words long, sig binary"), "signed")
+def grouped(docs: DataFrame) -> DataFrame:
+    """(no_id, id, text_id, n_words, group, rep, class, n_links), one row per row of ``docs`` (doc_id, text). A row is told
+    apart by the first three; group is a number (null without words); rep and class are the structs (no_id, id) of the
+    least row, by doc_id, with the same words and of the group; rows with an id come before those without."""
+    rows = _identified(docs.select("doc_id", F.col("text").cast("string").alias("text")), *_ROW).drop("doc_id")
+    kinds = "no_id boolean, id long, text_id long"
+    signed = saved(rows.mapInArrow(_signatures, f"{kinds}, key binary, n_words long, sig binary"), "signed")
     classes = (
         signed.where("n_words > 0")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sig").alias("sig"))
+        .agg(F.min(F.struct(*_ROW)).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("sig").alias("sig"))
     )
-    classes = saved(classes, "classes")
+    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # written down: the numbers stay
 
-    bands = classes.select("rep_id", "sig").mapInArrow(_band_keys, "band long, rep_id long")
+    bands = classes.select("cid", "sig").mapInArrow(_band_keys, "band long, cid long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(bands.join(shared, "band").select("band", "rep_id", "size"), "members")
+    members = saved(bands.join(shared, "band").select("band", "cid", "size"), "members")
     n_members = members.count()
     units = _units(members, "band", F.ceil(F.col("size") / BLOCK_ROWS), max(1, n_members // 8_000))
-    units = units.join(classes.select("rep_id", "sig"), "rep_id")
+    units = units.join(classes.select("cid", "sig"), "cid")
     forest = units.groupBy("unit", "cut").applyInArrow(_forest, "src long, dst long").distinct()
-    grouped = star_edges(saved(forest, "forest"))
+    near = star_edges(saved(forest, "forest"))
 
-    held = classes.select("rep_id", "key", "copies", "n_words").join(grouped.select(F.col("nid").alias("rep_id"), "comp"), "rep_id")
+    held = classes.select("cid", "key", "row", "copies", "n_words").join(near.select(F.col("nid").alias("cid"), "comp"), "cid")
     held = saved(held, "held")
     sizes = held.groupBy("comp").agg(F.sum("n_words").alias("words"))
-    held = held.join(sizes, "comp").select("key", F.col("rep_id").alias("doc_id"), "rep_id", "comp", "copies", "words")
+    held = held.join(sizes, "comp").select(*(F.col(f"row.{c}").alias(c) for c in _ROW), "key", "cid", "comp", "copies", "words")
     # texts are many at any size: sorted, never held in memory; repeated rows go before they meet in a unit
-    held = held.join(rows.hint("merge"), "doc_id").dropDuplicates(["doc_id", "key", "text"])
+    held = held.join(rows.hint("merge"), list(_ROW)).dropDuplicates([*_ROW, "cid", "text"]).drop(*_ROW)
     total = (sizes.agg(F.sum("words")).first()[0] or 0) // BLOCK_WORDS
     units = _units(held, "comp", F.ceil(F.col("words") / BLOCK_WORDS), max(1, total))
-    exact = saved(units.groupBy("unit", "cut").applyInArrow(_verify, "rep_id long, links long, root_id long"), "exact")
-    grouped = star_edges(exact.select(F.col("rep_id").alias("src"), F.col("root_id").alias("dst")))
-    found = (
-        exact.groupBy("rep_id")
-        .agg(F.sum("links").alias("links"))
-        .join(grouped.select(F.col("nid").alias("rep_id"), F.col("comp").alias("class_id")), "rep_id", "left")
-    )
-    classes = classes.select("key", "rep_id", "copies").join(found, "rep_id", "left")
+    exact = saved(units.groupBy("unit", "cut").applyInArrow(_verify, "cid long, links long, root long"), "exact")
+    linked = star_edges(exact.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
+
+    rep = F.struct("row.no_id", "row.id")
+    found = classes.select("cid", "key", "copies", rep.alias("rep")).join(linked.select(F.col("nid").alias("cid"), "comp"), "cid", "left")
+    found = saved(found.withColumn("comp", F.coalesce("comp", "cid")), "found")
+    found = found.join(found.groupBy("comp").agg(F.min("rep").alias("class")), "comp")
+    found = found.join(exact.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+    none = F.struct("no_id", "id")
     return (
-        signed.select("doc_id", "key", "n_words")
-        .join(classes, "key", "left")
+        signed.select(*_ROW, "n_words", "key")
+        .join(found, "key", "left")
         .select(
-            "doc_id",
-            "key",
-            F.coalesce("rep_id", "doc_id").alias("rep_id"),
-            F.coalesce("class_id", "rep_id", "doc_id").alias("class_id"),
+            *_ROW,
+            "n_words",
+            F.col("comp").alias("group"),
+            F.coalesce("rep", none).alias("rep"),
+            F.coalesce("class", none).alias("class"),
             (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
         )
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the document with the least doc_id stays, once.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, rep_id, class_id, n_links), one row per row of ``docs`` (doc_id, text).
 
-    Texts without words are no duplicates of anything and all stay, as do repeated rows of them.
+    rep_id: the least doc_id with the same words; class_id: the least of the group joined by links; n_links: documents
+    with a shingle similarity of THRESHOLD or more, copies included, itself not.
     """
-    found = near_duplicates(docs).where("doc_id = class_id").select("doc_id", "key").distinct()
-    plain = docs.where("doc_id is not null")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    keyed = plain.mapInArrow(_append_key, f"{schema}, `_tg_key` binary, `_tg_words` boolean")
-    worded = keyed.where("_tg_words").join(found.withColumnRenamed("key", "_tg_key"), ["doc_id", "_tg_key"], "left_semi").dropDuplicates(["doc_id", "_tg_key"])
-    return worded.unionByName(keyed.where("not _tg_words")).select(*(f"`{c}`" for c in docs.columns))
+    known = lambda no_id, id_: F.when(~F.col(no_id), F.col(id_))
+    return grouped(docs).select(known("no_id", "id").alias("doc_id"), known("rep.no_id", "rep.id").alias("rep_id"), known("class.no_id", "class.id").alias("class_id"), "n_links")
 
 
-def _append_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            words = words_of(part.column("text"), fold=True)
-            key = text_keys(words.hash, words.doc, part.num_rows)
-            has = pa.array(words.per_doc(part.num_rows) > 0)
-            yield pa.RecordBatch.from_arrays([*part.columns, _binary(key), has], names=[*part.schema.names, "_tg_key", "_tg_words"])
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the document with the least doc_id stays, once; of a
+    group without ids one row does.
+
+    Texts without words are no duplicates of anything and all stay, as do repeated rows of them. Rows are looked up by
+    doc_id and a hash of the text, in Spark alone.
+    """
+    own = [f"_tg_{c}" for c in _ROW]
+    first = (F.col("no_id") == F.col("class.no_id")) & (F.col("id") == F.col("class.id"))
+    found = grouped(docs).where((F.col("n_words") == 0) | first).select(*(F.col(c).alias(o) for c, o in zip(_ROW, own, strict=True)), F.col("group").alias("_tg_group")).distinct()
+    kept = _identified(docs, *own).join(found, own)
+    # texts of a group under one id are copies, as are repeated rows
+    once = kept.where("_tg_group is not null").dropDuplicates([*own[:2], "_tg_group"])
+    return once.unionByName(kept.where("_tg_group is null")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` with its class id and its number of links."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "rep_id", "class_id", "n_links")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
