@@ -1,20 +1,21 @@
 """WARC archives as a Spark data source, and the archiving of a table of pages with revisit records.
 
-``spark.read.format("warc").load(path)`` plans one partition per file. Filters on record_type, record_id, target_uri,
+``spark.read.format("warc").load(path)`` plans one partition per file; a written file ends with the record that brings
+it to FILE_BYTES, so that no partition of our own archives is much larger. Filters on record_type, record_id, target_uri,
 refers_to and payload_digest are pushed down: a record's headers are parsed first, and the payload of a record that
 they rule out (or of all, with option ``payload`` false) is neither inflated nor decoded. Written files are gzip with a
 member per record, whose length stands in the member's extra field ``sl``, so that a reader skips to the next one;
 other archives, gzip or plain, are read as well.
 
+A member of 4 GB or more has no such field, and is read through.
+
 Null or empty payloads are records of 0 bytes. A null uri has no WARC-Target-URI. Line ends in header values are
 percent-coded.
 """
 
 from __future__ import annotations
 
-import base64
 import contextlib
-import hashlib
 import os
 import struct
 import uuid
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 
@@ -36,6 +37,8 @@ SCHEMA = (
 _HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 _VERSION = b"WARC/1.1\r\n"
 BATCH_BYTES = 8 << 20
+#: Bytes after which a written file ends.
+FILE_BYTES = 1 << 30
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 
@@ -106,7 +109,9 @@ def member(raw: bytes, level: int = LEVEL) -> bytes:
     body = pack.compress(raw) + pack.flush()
     head = struct.pack("<4BI2BH", 0x1F, 0x8B, 8, 4, 0, 0, 255, 12)
     total = len(head) + 12 + len(body) + 8
-    return head + b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(raw) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+    if max(total, len(raw)) >> 32:
+        return struct.pack("<4BI2B", 0x1F, 0x8B, 8, 0, 0, 0, 255) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
+    return head + b"sl" + struct.pack("<HII", 8, total, len(raw)) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
 def _value(x: str) -> str:
@@ -292,11 +297,11 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    paths: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes a file under a hidden name; the files of the tasks that count are renamed at the end."""
+    """Each task writes files under hidden names; the files of the tasks that count are renamed at the end."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
@@ -304,15 +309,23 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, batches):
         store, root = _fs(self.path)
         store.make(root)
-        name = f"{root}/.part-{uuid.uuid4().hex}.warc.gz"
-        some = False
-        with store.open(name, "wb") as out:
+        names, out, size = [], None, 0
+        try:
             for b in batches:
                 for r in b.to_pylist():
-                    some = True
-                    payload = r["payload"] or b""
-                    out.write(member(record(r["record_type"], r["record_id"], r["target_uri"], r["payload_digest"], payload, r["payload_bytes"], r["refers_to"])))
-        return Written(name if some else "")
+                    if out is None:
+                        names.append(f"{root}/.part-{uuid.uuid4().hex}.warc.gz")
+                        out, size = store.open(names[-1], "wb"), 0
+                    raw = member(record(r["record_type"], r["record_id"], r["target_uri"], r["payload_digest"], r["payload"] or b"", r["payload_bytes"], r["refers_to"]))
+                    out.write(raw)
+                    size += len(raw)
+                    if size >= FILE_BYTES:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
+        return Written(names)
 
     def commit(self, messages):
         store, root = _fs(self.path)
@@ -321,16 +334,14 @@ class WarcWriter(DataSourceArrowWriter):
             for x in store.list(root):
                 if x.rpartition("/")[2][0] != ".":
                     store.delete(x)
-        for m in messages:
-            if m and m.path:
-                folder, _, name = m.path.rpartition("/")
-                store.move(m.path, f"{folder}/{name[1:]}")
+        for path in (x for m in messages if m for x in m.paths):
+            folder, _, name = path.rpartition("/")
+            store.move(path, f"{folder}/{name[1:]}")
 
     def abort(self, messages):
         store, _ = _fs(self.path)
-        for m in messages:
-            if m and m.path:
-                store.delete(m.path)
+        for path in (x for m in messages if m for x in m.paths):
+            store.delete(path)
 
 
 class WarcSource(DataSource):
@@ -353,41 +364,41 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def payloads(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest): the html in UTF-8 and its SHA-1 in base 32."""
+def base32_sha1(payload: Column) -> Column:
+    """SHA-1 of a binary column in upper-case base 32: 40 bits at a time are eight digits."""
+    digest = F.sha1(payload)
+    part = lambda i: F.lpad(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 32), 8, "0")
+    return F.translate(F.concat(*map(part, range(4))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
-                raw = [x or b"" for x in b.column("payload").to_pylist()]
-                digest = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("page_id"), b.column("url"), pa.array(raw, pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array(digest, pa.string())],
-                    names=["page_id", "url", "payload", "payload_bytes", "payload_digest"],
-                )
 
-    raw = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("payload"))
-    return raw.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string")
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest): the html in UTF-8 and its SHA-1 in base 32."""
+    raw = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    return raw.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes a record per page to ``path``: of equal payloads of ``least_bytes`` or more, that with the least page_id is
-    a response and the others revisit it. Pages with a null id are left out; rows that repeat an id are alike."""
+    """Writes a record per row of ``pages`` to ``path``: of equal payloads of ``least_bytes`` or more, that with the least
+    page_id is a response and the others revisit it. A page with a null id is a revisit if one with an id has its payload,
+    else a response, as nothing can refer to it; rows that repeat an id and its payload are alike.
+
+    Which pages revisit which is worked out on ids and digests alone; payloads move once, to meet their verdicts by id."""
     register(pages.sparkSession)
     found = payloads(pages)
-    first = found.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
-    revisit = F.col("first_id") < F.col("page_id")
+    small = found.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= least_bytes)
+    first = small.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+    again = small.join(first, ["payload_digest", "payload_bytes"]).where("page_id is null or first_id < page_id")
+    again = again.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "first_id").distinct()
     urn = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
-    records = found.join(first, ["payload_digest", "payload_bytes"], "left").select(
-        urn(F.col("page_id")).alias("record_id"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+    records = found.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").select(
+        F.coalesce(urn(F.col("page_id")), F.concat(F.lit("urn:uuid:"), F.uuid())).alias("record_id"),
+        F.when(F.col("first_id").isNotNull(), "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
         F.lit(DATE).alias("date"),
         "payload_digest",
-        F.when(revisit, urn(F.col("first_id"))).alias("refers_to"),
+        urn(F.col("first_id")).alias("refers_to"),
         "payload_bytes",
-        F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"),
+        F.when(F.col("first_id").isNull(), F.col("payload")).alias("payload"),
     )
     records.write.format("warc").mode("append").save(path)
 
@@ -396,7 +407,7 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Every page's record, as read back from the archives."""
     path = new_path(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.when(F.col(c).startswith("urn:page:"), F.substring_index(c, ":", -1).cast("long"))
     return (
         spark.read.format("warc").option("payload", "false").load(path)
         .where(F.col("record_type").isin("response", "revisit"))
