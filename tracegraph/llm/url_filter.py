@@ -2,13 +2,15 @@
 
 A rule is a host and a path; it fits its host and all subdomains where the url's path starts with its own, and the
 longest fitting rule decides. The urls that rules accept and reject are the examples of two smoothed Markov models of
-variable order over the characters of host and path: the next character's probability given up to ORDER - 1 characters
+variable order over the characters of the url after its scheme (the host lower-cased; the whole url, where it has no
+scheme): the next character's probability given up to ORDER - 1 characters
 is its count drawn towards the probability given one character less (PRIOR pseudo-counts); a context seen fewer than
 LEAST times in a model's examples adds nothing. A url without a rule is accepted if the mean log-likelihood
 difference over its characters and its end reaches the threshold at which both models' examples err alike, taking their
 scores as normal. With examples of one kind only, that kind is the verdict; without any, every url is accepted.
 
-A null url, or one without ``://``, has an empty host and path, and is judged like any other. Equal urls are scored once.
+A null url, or one without ``://``, has an empty host and path, and is judged like any other; a null url is an empty one.
+Equal urls are scored once. Columns of the names that ``judge`` adds are replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(url: Column) -> Column:
+    """What the models read: the url from the host on, the query and fragment included."""
+    rest = F.regexp_extract(url, r"://[^/?#]*([\s\S]*)", 1)
+    return F.coalesce(F.when(url.contains("://"), F.concat(host_of(url), rest)).otherwise(url), F.lit(""))
+
+
 def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULES) -> Column:
     """Struct (size, rule, verdict) of the longest fitting rule, or null."""
     none = F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
@@ -87,10 +95,10 @@ def _positions(urls: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` (with ``url``), all columns, and host, path, rule, verdict, llr (the mean log-likelihood difference)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    named = pages.withColumn("host", host).withColumn("path", path)
-    named = named.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules)).withColumn("_name", F.concat("host", "path"))
-    urls = named.groupBy(F.col("_name").alias("name")).agg(F.max("_rule.verdict").alias("label"))
-    urls = saved(urls, "urls")
+    named = pages.drop("llr", "rule", "verdict").withColumns({"host": host, "path": path, "_tg_name": name_of(F.col("url"))})
+    named = named.withColumn("_tg_rule", best_rule(F.col("host"), F.col("path"), rules))
+    urls = named.groupBy(F.col("_tg_name").alias("name")).agg(F.max("_tg_rule.verdict").alias("label"))
+    urls = saved(urls.repartition("name"), "urls")
     scores = gram_scores(urls)
     if scores.count() <= BROADCAST_GRAMS:
         scores = F.broadcast(scores)
@@ -104,8 +112,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
         model = F.when(F.col("llr") >= at, "allow").otherwise("block")
     else:
         model = F.lit(next(iter(kinds), "allow"))
-    out = named.join(scored.select(F.col("name").alias("_name"), "llr"), "_name")
-    return out.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), model)).drop("_rule", "_name")
+    out = named.join(scored.select(F.col("name").alias("_tg_name"), "llr"), "_tg_name")
+    return out.withColumn("rule", F.col("_tg_rule.rule")).withColumn("verdict", F.coalesce(F.col("_tg_rule.verdict"), model)).drop("_tg_rule", "_tg_name")
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -130,11 +138,13 @@ l{k} as (select g.gram, case when ta >= {LEAST} then (a + {PRIOR} * {pa}) / (ta
     return f"""
 with rules(verdict, h, p) as (values {rules}),
 n as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') host,
-             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path from pages),
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path,
+             coalesce(case when contains(url, '://') then translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') || regexp_extract(url, '://[^/?#]*([\\s\\S]*)', 1)
+                      else url end, '') name from pages),
 hp as (select distinct host, path from n),
 fit as (select host, path, arg_max(h || rules.p, length(h || rules.p)) rule, arg_max(verdict, length(h || rules.p)) verdict
         from hp join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, rules.p) group by 1, 2),
-urls as (select host || path name, max(verdict) label from hp left join fit using (host, path) group by 1),
+urls as (select name, max(verdict) label from n left join fit using (host, path) group by 1),
 pos as (select name, label, substring(s, greatest(1, i - {ORDER - 1}), least({ORDER}, i)) gram
         from (select name, label, chr(2) || name || chr(3) s, unnest(generate_series(2, length(name) + 2)) i from urls)),
 grams as (select gram, count(*) filter (label = 'allow') a, count(*) filter (label = 'block') r from pos group by 1),
@@ -146,7 +156,7 @@ k as (select avg(llr) filter (label = 'allow') ma, stddev_pop(llr) filter (label
 select page_id, n.host, n.path, rule, coalesce(fit.verdict, case
          when ma is null and mr is null then 'allow' when ma is null then 'block' when mr is null then 'allow'
          when llr.llr >= case when sa + sr > 0 then (ma * sr + mr * sa) / (sa + sr) else (ma + mr) / 2 end then 'allow' else 'block' end) verdict
-from n join llr on llr.name = n.host || n.path left join fit using (host, path), k
+from n join llr on llr.name = n.name left join fit using (host, path), k
 """
 
 
