@@ -2,28 +2,32 @@
 
 The units are the pieces of an existing vocabulary file, all single bytes, and the whole words of the training texts. A
 text is read as its words (A-Z folded), each with a space before it, then an end. Its probability is the sum over all
-ways to cut it into units; no unit reaches past a word, so the sum is a product over words. A word's factor has one arc
-over the whole word, with its discounted share of the training tokens (absolute discounting), and, for the mass that the
-discounts leave, the lattice of its pieces, summed up by a forward recursion in log space; lattice words sum to one.
+ways to cut it into units; no unit reaches past a word, so the sum is a product over words. A word's factor sums up, by a forward
+recursion in log space, the lattice of its pieces, and an arc over the whole word.
 
-Whole-word shares are those of a part of the training texts (one language; at most PARTS of them, the rest together),
-with OVERALL of the weight given to the shares in all texts. A text belongs to the part that gives its frequent words
-the highest probability, and pays the logarithm of that part's share of the texts; the sum over all parts would be
-higher by log10 of their number at most. A text's language is never looked at when it is scored.
+Texts come in parts, one for each language of the training texts. In a part the arc over a word has the word's discounted
+share of the part's tokens (absolute discounting). Of the mass that the discounts leave, SHARED goes to the word's share
+of all training tokens, discounted as well, and the rest to the pieces; all words and the end sum to one. A text's
+probability is the sum over all parts of the
+part's share of the training texts times the text's probability in it, over all its words, frequent or not: the marginal
+over parts and segmentations. A text's own language is never looked at when it is scored.
 
 The vocabulary's own scores give the pieces' prior weights: the piece of rank r weighs 1 / (r + 10). ROUNDS rounds of
 expectation maximisation over all distinct training words, with forward-backward counts, then fit the weights; the prior
-counts as PRIOR pieces, so that no piece is impossible.
+counts as PRIOR pieces, so that no piece is impossible. Words of up to LONG bytes are read many at a time; a longer one
+arc by arc, which takes time (some microseconds a byte) and memory (some 20 bytes a byte) in proportion to its length.
 
 Beside it stands a unigram base over whole words. Words' counts are those of all training texts. A word that has at
-least FREQUENT of all tokens is broadcast (never more than 1 / FREQUENT words); all others are looked up by a join, in
-which no key is hot, as each has fewer occurrences than that.
+least FREQUENT of all tokens is broadcast (never more than 1 / FREQUENT words, some 30 bytes each); all others are looked
+up by a join, in which no key is hot, as each has fewer occurrences than that.
 
 A null text is empty: no words, only the end. Repeated rows are each scored.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.bytewords import FOLD, hash_words, slices, words_of
+from tracegraph.llm.bytewords import FOLD, hash_words, release, slices, words_of
 from tracegraph.store import saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS, PRIOR = 2, 1000.0
 FREQUENT = 2.0**-21
-PARTS, OVERALL = 16, 0.05
-#: Bytes of words in one run of the recursion.
-CHUNK = 1 << 20
+SHARED = 0.1
+#: Bytes of words in one run of the recursion, length of a long word, and its arcs' beginnings at a time.
+CHUNK, LONG, STRETCH = 1 << 20, 256, 1 << 14
 
 
 def read_pieces(path: str = VOCABULARY) -> list[tuple[bytes, float]]:
@@ -129,35 +133,90 @@ class Lattice:
             out += np.bincount(k, weights=weight[r] * np.exp(alpha[r, i] + self.log_p[k] + beta[r, j] - total[r]), minlength=len(out))
 
 
+    def arcs(self, x: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(i, [(j, piece), ...]) for each place i from lo to hi of one word x: the pieces that reach from i to j."""
+        start = np.arange(lo, hi)
+        rows, node = start, self.next[0, x[lo:hi]]
+        found_i, found_j, found_k = [], [], []
+        size = 1
+        while len(rows):
+            k = self.piece[node]
+            hit = k >= 0
+            found_i.append(rows[hit])
+            found_j.append(rows[hit] + size)
+            found_k.append(k[hit])
+            on = (node > 0) & (rows + size < len(x))
+            rows, node = rows[on], node[on]
+            node = self.next[node, x[rows + size]]
+            on = node > 0
+            rows, node = rows[on], node[on]
+            size += 1
+        i, j, k = (np.concatenate(f) for f in (found_i, found_j, found_k))
+        order = np.argsort(i, kind="stable")
+        cut = np.searchsorted(i[order], np.arange(lo, hi + 1)).tolist()
+        pairs = list(zip(j[order].tolist(), k[order].tolist(), strict=True))
+        for n in range(hi - lo):
+            yield lo + n, pairs[cut[n] : cut[n + 1]]
+
+    def forward_long(self, x: np.ndarray) -> array:
+        """The log-probabilities of the beginnings of one word x, arc by arc."""
+        T, p = len(x), self.log_p.tolist()
+        alpha = array("d", [-math.inf]) * (T + 1)
+        alpha[0] = 0.0
+        for lo in range(0, T, STRETCH):
+            for i, out in self.arcs(x, lo, min(T, lo + STRETCH)):
+                a = alpha[i]
+                for j, k in out:
+                    alpha[j] = _added(alpha[j], a + p[k])
+        return alpha
+
+    def expected_long(self, x: np.ndarray, out: np.ndarray) -> None:
+        """``expected`` for one long word."""
+        T, p, alpha = len(x), self.log_p.tolist(), self.forward_long(x)
+        beta = array("d", [-math.inf]) * (T + 1)
+        beta[T] = 0.0
+        for lo in range((T - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            for i, arcs in reversed(list(self.arcs(x, lo, min(T, lo + STRETCH)))):
+                for j, k in arcs:
+                    b = p[k] + beta[j]
+                    beta[i] = _added(beta[i], b)
+                    out[k] += math.exp(alpha[i] + b - alpha[T])
+
+
+def _added(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
 def spaced(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of the words, rows of their bytes after a space) for each length, some rows at a time."""
+    """(numbers of the words, rows of their bytes after a space) for each length, some rows at a time; a long word alone."""
     size = np.array([len(w) for w in words], np.int64)
     data = np.frombuffer(b"".join(words), np.uint8)
     start = np.cumsum(size) - size
     for length in np.unique(size).tolist():
         every = np.flatnonzero(size == length)
-        for part in np.array_split(every, -(-len(every) * (length + 1) // CHUNK)):
+        for part in np.array_split(every, len(every) if length > LONG else -(-len(every) * (length + 1) // CHUNK)):
             x = np.full((len(part), length + 1), 32, np.uint8)
             x[:, 1:] = data[start[part][:, None] + np.arange(length)]
             yield part, x
 
 
-def _distinct_words(parts: int):
-    """Distinct words of a batch and, for each part, how often texts of that part have them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = words_of(part.column("text"), fold=True)
-                which = part.column("part").to_numpy(zero_copy_only=False)
-                _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-                raw = FOLD[words.data].tobytes()
-                texts = [raw[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-                of = which[words.doc] if len(words.doc) else np.zeros(0, np.int64)
-                n = [np.bincount(inverse[of == k], minlength=len(first)) for k in range(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *(pa.array(x.astype(np.int64)) for x in n)], names=["word", *(f"n{k}" for k in range(parts))])
-
-    return run
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each part in a batch (part -1: texts that teach nothing), and how often its texts have them."""
+    for batch in batches:
+        for part in slices(batch):
+            words = words_of(part.column("text"), fold=True)
+            which = part.column("part").to_numpy(zero_copy_only=False)[words.doc] if len(words.doc) else np.zeros(0, np.int64)
+            raw = FOLD[words.data].tobytes()
+            for k in np.unique(which).tolist():
+                mine = np.flatnonzero(which == k)
+                _, first, count = np.unique(words.hash[mine], return_index=True, return_counts=True)
+                at = mine[first]
+                texts = [raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(np.full(len(at), k, np.int32)), pa.array((count if k >= 0 else count * 0).astype(np.int64))], names=["word", "part", "n"])
+    release()
 
 
 def fit(words: DataFrame, pieces: list[tuple[bytes, float]], rounds: int = ROUNDS) -> Lattice:
@@ -175,7 +234,11 @@ def fit(words: DataFrame, pieces: list[tuple[bytes, float]], rounds: int = ROUND
                 for lo in range(0, batch.num_rows, 100_000):
                     b = batch.slice(lo, 100_000)
                     for _, x in spaced(b.column("word").to_pylist()):
-                        lattice.expected(x, np.ones(len(x)), out)
+                        if x.shape[1] > LONG + 1:
+                            lattice.expected_long(x[0], out)
+                        else:
+                            lattice.expected(x, np.ones(len(x)), out)
+            release()
             some = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["piece", "n"])
 
@@ -195,24 +258,35 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(taught, F.lit(False)).alias("taught"))
     langs = docs.where("taught").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    sizes = [r["count"] for r in langs]
-    sizes = [*sizes[: PARTS - 1], *([sum(sizes[PARTS - 1 :])] if len(sizes) >= PARTS else [])] or [0]
-    parts, ends = len(sizes), sum(sizes)
+    ends = np.array([r["count"] for r in langs] or [0], float)
+    parts, all_ends = len(ends), int(ends.sum())
     part = F.lit(-1)
     if langs:
-        names = F.create_map(*(x for k, r in enumerate(langs[: PARTS - 1]) for x in (F.lit(r.lang), F.lit(k))))
-        part = F.when(F.col("taught"), F.coalesce(names[F.col("lang")], F.lit(PARTS - 1))).otherwise(-1)
-    columns = [f"n{k}" for k in range(parts)]
-    words = docs.select("text", part.alias("part")).mapInArrow(_distinct_words(parts), "word binary, " + ", ".join(f"{c} long" for c in columns))
-    words = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).withColumn("n", sum(F.col(c) for c in columns))
+        names = F.create_map(*(x for k, r in enumerate(langs) for x in (F.lit(r.lang), F.lit(k))))
+        part = F.when(F.col("taught"), names[F.col("lang")]).otherwise(-1)
+    counted = docs.select("text", part.alias("part")).mapInArrow(_distinct_words, "word binary, part int, n long").groupBy("word", "part").agg(F.sum("n").alias("n"))
+    words = counted.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > 0, F.struct("part", "n"))).alias("by_part"))
     words = saved(words, "words")
-    stats = words.agg(*(f(F.col(c)) for c in ("n", *columns) for f in (F.sum, lambda x: F.count_if(x > 0), lambda x: F.count_if(x == 1), lambda x: F.count_if(x == 2)))).first()
-    stats = np.array([x or 0 for x in stats], float).reshape(-1, 4)
-    tokens = stats[:, 0] + [ends, *sizes]
-    discount = np.where(stats[:, 2] > 0, stats[:, 2] / np.maximum(stats[:, 2] + 2 * stats[:, 3], 1), 0.5)
-    left = np.where(tokens > 0, discount * stats[:, 1] / np.maximum(tokens, 1), 0.5)  # the mass of the lattice
-    left = np.maximum(left, 1e-9)  # texts without a word leave none: other texts' words are still possible
-    N, V = int(tokens[0]), int(stats[0, 1]) + (ends > 0)
+
+    def masses(n: Column) -> list[Column]:
+        return [F.sum(n), F.count_if(n > 0), F.count_if(n == 1), F.count_if(n == 2)]
+
+    of_all = np.array([x or 0 for x in words.agg(*masses(F.col("n"))).first()], float)
+    of_part = np.zeros((parts, 4))
+    for r in words.select(F.explode("by_part").alias("p")).select("p.part", "p.n").groupBy("part").agg(*masses(F.col("n"))).collect():
+        of_part[r[0]] = r[1:]
+
+    def smoothed(stats: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, discount, and the mass that the discounts leave. Texts without a word leave none, and no texts half of
+        all: other texts' words are still possible."""
+        tokens = stats[..., 0] + ends
+        discount = np.where(stats[..., 2] > 0, stats[..., 2] / np.maximum(stats[..., 2] + 2 * stats[..., 3], 1), 0.5)
+        left = np.where(tokens > 0, discount * stats[..., 1] / np.maximum(tokens, 1), 0.5)
+        return np.maximum(tokens, 1), discount, np.maximum(left, 1e-9)
+
+    N, V = int(of_all[0]) + all_ends, int(of_all[1]) + (all_ends > 0)
+    tokens, discount, left = smoothed(of_all, np.float64(all_ends))
+    part_tokens, part_discount, part_left = smoothed(of_part, ends)
     lattice = fit(words.select("word", "n"), read_pieces(vocabulary))
     shared = spark.sparkContext.broadcast(lattice)
 
@@ -220,32 +294,36 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
         for batch in batches:
             for lo in range(0, batch.num_rows, 100_000):
                 b = batch.slice(lo, 100_000)
-                texts = b.column("word").to_pylist()
+                texts, n = b.column("word").to_pylist(), b.column("n").to_numpy()
                 pieces = np.zeros(len(texts))
                 for which, x in spaced(texts):
-                    pieces[which] = shared.value.forward(x)[:, -1]
-                pieces = (pieces + shared.value.log_word)[:, None] + np.log(left)
-                n = np.stack([b.column(c).to_numpy() for c in ("n", *columns)], 1)
+                    pieces[which] = shared.value.forward_long(x[0])[-1] if x.shape[1] > LONG + 1 else shared.value.forward(x)[:, -1]
                 with np.errstate(divide="ignore"):
-                    p = np.logaddexp(np.log(np.maximum(n - discount, 0) / np.maximum(tokens, 1)), pieces)
-                p = np.logaddexp(p[:, 1:] + np.log(1 - OVERALL), p[:, :1] + np.log(OVERALL)) / np.log(10)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(p.astype(np.float32).ravel()), parts).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(hash_words(texts).view(np.int64)), b.column("n"), flat], names=["h", "n", "log_p"])
-
-    known = saved(words.mapInArrow(weigh, "h long, n long, log_p array<float>"), "known")
+                    pieces += shared.value.log_word
+                    log_p = np.logaddexp(np.log(SHARED * np.maximum(n - discount, 0) / tokens), pieces + np.log(1 - SHARED + SHARED * left))
+                by = b.column("by_part")
+                size = by.value_lengths().to_numpy()
+                k, m = (by.flatten().field(i).to_numpy() for i in (0, 1))
+                own = np.log(np.maximum(m - part_discount[k], 0) / (part_tokens[k] * part_left[k]) + 1e-300)
+                gain = np.logaddexp(0, own - np.repeat(log_p, size))
+                flat = pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(gain.astype(np.float32))], names=["k", "g"])
+                gains = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(hash_words(texts).view(np.int64)), b.column("n"), pa.array(log_p.astype(np.float32)), gains], names=["h", "n", "log_p", "gains"])
+        release()
+
+    known = saved(words.mapInArrow(weigh, "h long, n long, log_p float, gains array<struct<k:int,g:float>>"), "known")
     often = known.where(F.col("n") >= max(1, N * FREQUENT)).toArrow().sort_by("h").combine_chunks()
-    log_p = often.column("log_p").combine_chunks()
-    log_p = (log_p.flatten().to_numpy() if len(log_p) else np.zeros(0, np.float32)).reshape(-1, parts)
-    table = spark.sparkContext.broadcast((often.column("h").to_numpy(), often.column("n").to_numpy(), log_p))
+    gains = often.column("gains").combine_chunks() if often.num_rows else None
+    flat = [gains.flatten().field(i).to_numpy() for i in (0, 1)] if gains is not None else [np.zeros(0, np.int32), np.zeros(0, np.float32)]
+    first_gain = np.concatenate([[0], np.cumsum(gains.value_lengths().to_numpy())]) if gains is not None else np.zeros(1, np.int64)
+    table = spark.sparkContext.broadcast((*(often.column(c).to_numpy() for c in ("h", "n", "log_p")), first_gain, *flat))
     fixed = float(np.log10(N + 0.1 * (V + 1)))
-    # the part's share of the texts and the end, and the base's end
-    first = np.log10(np.array(sizes) / max(1, ends)) + np.log10(np.array(sizes) / np.maximum(tokens[1:], 1)) if ends else np.full(parts, np.log10(0.5))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, log_p = table.value
+        keys, counts, log_p, first_gain, gain_k, gain = table.value
         base = np.log10(counts + 0.1)
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, limit=1 << 21):
                 n = b.num_rows
                 w = words_of(b.column("text"), fold=True)
                 h = w.hash.view(np.int64)
@@ -255,32 +333,55 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
                 hit = (keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool))[inverse]
                 doc, at = w.doc[hit], at[inverse[hit]]
                 of = lambda v: np.bincount(doc, weights=v, minlength=n).astype(np.float64)  # noqa: B023, E731  (of nothing it counts in integers)
-                p = np.stack([of(log_p[at, k]) for k in range(parts)], 1) + first
-                best = p.argmax(1)
+                size = first_gain[at + 1] - first_gain[at] if len(at) else np.zeros(0, np.int64)
+                place = np.repeat(first_gain[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                of_parts = np.bincount(np.repeat(doc, size) * parts + gain_k[place], weights=gain[place], minlength=n * parts).astype(np.float64)
                 cut = np.concatenate([[0], np.cumsum(np.bincount(w.doc[~hit], minlength=n))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row"), b.column("doc_id"), b.column("taught"), pa.array(w.per_doc(n)), pa.array(np.bincount(doc[counts[at] > 0], minlength=n)),
-                        pa.array(of(base[at])), pa.array(best.astype(np.int32)), pa.array(p[np.arange(n), best]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[~hit])),
+                        pa.array(of(base[at])), pa.array(of(log_p[at])), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * parts, pa.int32()), pa.array(of_parts)),
+                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[~hit])),
                     ],
-                    names=["row", "doc_id", "taught", "n_words", "n_known", "base", "part", "log_p", "rare"],
+                    names=["row", "doc_id", "taught", "n_words", "n_known", "base", "log_p", "by_part", "rare"],
                 )
+        release()
 
     numbered = docs.drop("lang").withColumn("row", F.monotonically_increasing_id())
-    rows = numbered.mapInArrow(sums, "row long, doc_id long, taught boolean, n_words long, n_known long, base double, part int, log_p double, rare array<long>")
+    rows = numbered.mapInArrow(sums, "row long, doc_id long, taught boolean, n_words long, n_known long, base double, log_p double, by_part array<double>, rare array<long>")
     rows = saved(rows, "rows")
-    rare = rows.select("row", "part", F.explode("rare").alias("h")).join(known, "h").groupBy("row")
-    rare = rare.agg(F.count_if(F.col("n") > 0).alias("r_known"), F.sum(F.log10(F.col("n") + 0.1)).alias("r_base"), F.sum(F.get("log_p", F.col("part")).cast("double")).alias("r_log_p"))
+    found = rows.select("row", F.explode("rare").alias("h")).join(known, "h")
+    # a line for the word itself and one for each part that has it; a document's lines meet once
+    none = F.struct(F.lit(-1).alias("k"), F.lit(0.0).cast("float").alias("g"))
+    lines = found.select("row", "n", "log_p", F.explode(F.concat(F.array(none), "gains")).alias("x")).select("row", "n", "log_p", "x.k", "x.g").repartition("row")
+    own = F.when(F.col("k") < 0, 1)
+    lines = lines.groupBy("row", "k").agg(
+        F.sum(own * (F.col("n") > 0).cast("long")).alias("known"), F.sum(own * F.log10(F.col("n") + 0.1)).alias("base"), F.sum(own * F.col("log_p").cast("double")).alias("log_p"), F.sum(F.col("g").cast("double")).alias("g")
+    )
+    rare = lines.groupBy("row").agg(
+        F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), F.sum("log_p").alias("r_log_p"), F.map_from_entries(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "g")))).alias("r_parts")
+    )
     c = lambda x: F.coalesce(F.col(x), F.lit(0))
-    last = float(np.log10(ends + 0.1))
-    return rows.drop("rare").join(rare, "row", "left").select(
+    # in each part: its share of the texts, its end, and for each word the mass left to all parts
+    with np.errstate(divide="ignore"):
+        first = np.log(ends / all_ends) + np.log(ends / part_tokens + part_left * SHARED * all_ends / tokens) if all_ends else np.log(np.array([0.5]))
+    stay = np.log(part_left) if all_ends else np.zeros(1)
+    constant = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    every = F.transform(
+        F.arrays_zip("by_part", constant(first).alias("first"), constant(stay).alias("stay")),
+        lambda p, k: p["by_part"] + p["first"] + p["stay"] * F.col("n_words") + F.coalesce(F.try_element_at("r_parts", k), F.lit(0.0)),
+    )
+    last = float(np.log10(all_ends + 0.1))
+    out = rows.drop("rare").join(rare, "row", "left").withColumn("every", every).withColumn("top", F.array_max("every"))
+    total = F.col("top") + F.log(F.aggregate("every", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
+    return out.select(
         "doc_id",
         "taught",
         (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("n_known") + c("r_known") + int(ends > 0)).alias("n_known"),
+        (F.col("n_known") + c("r_known") + int(all_ends > 0)).alias("n_known"),
         F.lit(N).cast("long").alias("train_tokens"),
         (F.col("base") + c("r_base") + last - (F.col("n_words") + 1) * fixed).alias("base_score"),
-        (F.col("log_p") + c("r_log_p")).alias("score"),
+        ((F.col("log_p") + c("r_log_p") + total) / math.log(10)).alias("score"),
     )
 
 
