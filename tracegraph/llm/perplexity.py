@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.bytewords import SLICE, SPACES, Words, mix, shingle_hashes, slices, string_buffers, words_of
+from tracegraph.llm.bytewords import SLICE, SPACES, Words, mix, release, shingle_hashes, slices, string_buffers, words_of
 from tracegraph.store import saved
 
 ORDER = 5
@@ -29,6 +29,8 @@ RARE = 2.0**-22
 #: Half-width of a band in scaled deviations, chosen on labels (README), and the number of words at which it is sqrt(2) as wide.
 BAND, SHORT = 2.25, 60
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Languages up to which their bands, a row each, are broadcast; beyond, the join is shuffled.
+BROADCAST_LANGUAGES = 10_000
 
 _NEWLINE = np.arange(256) == 10
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -130,6 +132,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys[:], counts[:] = [keys[0][:0]], [counts[0][:0]]
     merge()
     yield batch()
+    release()
 
 
 def _last(gram: Column, size: int) -> Column:
@@ -242,6 +245,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                     ],
                     names=["row", "doc_id", "lang", *names, "total", "steps", "cold"],
                 )
+        release()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
     rows = numbered.mapInArrow(run, f"row long, doc_id long, lang string, {', '.join(f'{c} long' for c in names)}, total double, steps long, cold array<long>")
@@ -256,14 +260,16 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
 def judged(rows: DataFrame, band: float = BAND) -> DataFrame:
     """``measured`` rows, written down, with base_failed, lower, upper (the band of the language) and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("_lang", F.coalesce("lang", F.lit("")))
+    rows = rows.withColumn("base_failed", failed).withColumn("_lang", F.when(F.col("lang").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("lang"))))
     good = rows.where("not base_failed and log_ppl is not null")
-    middle = good.groupBy("_lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("middle"))
+    middle = saved(good.groupBy("_lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("middle")), "middle")
+    few = middle.count() <= BROADCAST_LANGUAGES
+    joined = lambda a, b, how="inner": a.join(F.broadcast(b) if few else b, "_lang", how)
     wide = F.sqrt(1 + F.lit(float(SHORT)) / F.col("n_words"))
     away = F.abs(F.col("log_ppl") - F.col("middle")) / wide
-    spread = good.join(middle, "_lang").groupBy("_lang").agg((1.4826 * F.percentile_approx(away, 0.5, 10_000)).alias("spread"), F.first("middle").alias("middle"))
+    spread = joined(good, middle).groupBy("_lang").agg((1.4826 * F.percentile_approx(away, 0.5, 10_000)).alias("spread"), F.first("middle").alias("middle"))
     half = band * F.col("spread") * wide
-    out = rows.join(spread, "_lang", "left").withColumn("lower", F.col("middle") - half).withColumn("upper", F.col("middle") + half)
+    out = joined(rows, saved(spread, "spread"), "left").withColumn("lower", F.col("middle") - half).withColumn("upper", F.col("middle") + half)
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "middle", "spread")
 
