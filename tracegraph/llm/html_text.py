@@ -1,30 +1,38 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the document tree.
 
-A page is cut into leaf blocks (text between the borders of block elements) in page order, each with its ancestors. The
-field scores a block as article or not from its ancestors' tags and names and from the shape of its text, scores
-neighbouring labels together, and Viterbi decoding picks the best labelling of the page.
-
-It is trained by gradient ascent on the likelihood of labelled pages: about SAMPLE_PAGES pages of the table, chosen by a
-hash of the id and labelled by what their own markup says (``label_by_markup``), and the layouts in LAYOUTS, which have
-what such pages may lack: sidebars, forms, notices, reader comments, articles without an article element.
-
-A null page is an empty one; a page without article blocks has an empty text. Nothing else is dropped or capped.
+A page is cut into leaf blocks (text between the borders of block elements) in page order. The field scores a block as
+article or not from features of its ancestors (tags, the tags of the four nearest by their distance, whole tokens of
+class, id and role that describe a state, and the words of all others; html and body say nothing), from its place in or outside the page's article and
+main elements, and from the shape of its text; it scores neighbouring labels together, and Viterbi decoding picks the best
+labelling of the page.
+
+It is trained by gradient ascent on the likelihood of labelled pages: the pages of ``layouts``, labelled by construction,
+which have menus, headers, sidebars, adverts, notices, forms, comments and footers under many names, around, beside and
+inside articles with and without an article element; and about SAMPLE_PAGES pages of the table, chosen by a hash of the
+id and labelled by their own layout (``weak_labels``).
+
+A null page is an empty one; a page without article blocks has an empty text. Nothing else is dropped or capped. Time
+and memory are in proportion to a page's length, whatever its nesting and however broken its tags.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 300
-EPOCHS, RATE, PENALTY = 30, 0.1, 1e-3
+from tracegraph.llm.bytewords import text_udf
+
+SAMPLE_PAGES = 100
+EPOCHS, RATE, PENALTY = 30, 0.1, 1e-4
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark picture q ruby s samp "
@@ -40,64 +48,91 @@ CLOSES = {
 }
 SCOPE = frozenset("html body article section main aside nav header footer div table td th ul ol dl form blockquote figure".split())
 
-BOILER_TAGS = frozenset("nav header footer aside form dialog menu button".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
-    "breadcrumbs sidebar side aside widget related recommended footer header masthead cookie cookies consent notice alert popup modal "
-    "newsletter subscribe signup login share sharing social comment comments reply replies disqus respond discussion form search "
-    "copyright legal tags toolbar pagination pager".split()
-)
-CONTENT_WORDS = frozenset("article content post entry story main body text".split())
+#: Tags of a page's frame, wherever they stand; and tags that say nothing about what they hold.
+FRAME = frozenset("nav aside footer form dialog menu".split())
+PLAIN = frozenset("html body div span p section".split())
+#: A token that begins or ends with one of these describes a state of the page, and its other words name no part of it.
+STATE = frozenset("has no not is with without open opened closed enabled disabled active visible".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: The same where quotes are not closed.
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
+_TAG = re.compile(r"</?[a-zA-Z]")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # ancestors, outermost first: the tag and the words of its class, id and role
+    features: list[str]  # of its ancestors that are none of the four nearest's own; only where ``blocks_of`` is asked for them
+    near: list[str]  # of the nearest ancestors
+    score: float  # of the ancestors' features, summed up
+    inside: bool  # in an article or main element
+    home: int  # the number of the element around the nearest one
     text: str
     linked: int  # characters inside links
     label: int | None = None
 
 
-@dataclass
 class _Open:
-    tag: str
-    name: str
-    hidden: bool = False
-    label: int | None = None
+    __slots__ = ("tag", "at", "number", "tokens", "seen", "new", "score", "hidden", "label")
+
 
+def _features(tag: str, attributes: str) -> tuple[list[str], list[str]]:
+    """Features of an element that hold for all below it, and those of its names alone."""
+    if tag in ("html", "body"):
+        return [], []
+    tokens = [t for n in _NAMED.finditer(attributes) for t in (n[2] or n[3] or n[4] or "").split()] if "=" in attributes else []
+    names = []
+    for t in tokens:
+        words = [w.lower() for w in _WORD.findall(t)]
+        state = not words or STATE.intersection((words[0], words[-1]))
+        names += [f"token={t.lower()}"] if state else [f"word={w.removesuffix('s')}" for w in words]
+    return ([] if tag in PLAIN else [f"in={tag}"]) + names, names
 
-def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page that have visible text."""
+
+def blocks_of(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """The leaf blocks of a page that have visible text; with ``weights`` their ancestors' features are summed up at once,
+    else they are listed."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[_Open] = []  # all open elements
+    frame: list[_Open] = []  # those that are no inline elements
+    open_: Counter[str] = Counter()
+    features: Counter[str] = Counter()  # of the open elements
     run: list[str] = []
-    linked = depth = pos = 0
+    linked = pos = number = 0
     size = len(page)
+    tokens = _TOKEN
 
     def flush() -> None:
         nonlocal run, linked
         text = " ".join(entities.unescape("".join(run)).split()) if run else ""
         if text:
-            label = next((o.label for o in reversed(stack) if o.label is not None), None)
-            out.append(Block(tuple(o.name for o in stack if o.tag not in INLINE), text, linked, label))
+            near = [o for o in frame[-4:] if o.tag not in ("html", "body")][::-1]
+            names = [f"{k}:{o.tag}" for k, o in enumerate(near)] + [f"near {t}" for o in near[:2] for t in o.tokens]
+            inside = open_["article"] + open_["main"] > 0
+            if inside and open_["header"]:
+                names.append("heading of the article" if near and near[0].tag in ("h1", "h2", "h3") else "head of the article")
+            listed = [] if weights is not None else sorted({f for o in frame for f in o.new})
+            label = next((o.label for o in reversed(frame) if o.label is not None), None) if weights is None else None
+            out.append(Block(listed, names, frame[-1].score if frame else 0.0, inside, frame[-2].number if len(frame) > 1 else -1, text, linked, label))
         run, linked = [], 0
 
     def close_to(k: int) -> None:
-        nonlocal depth
-        if any(o.tag not in INLINE for o in stack[k:]):
+        if len(frame) and frame[-1].at >= k:
             flush()
-        depth -= sum(o.tag == "a" for o in stack[k:])
+        for o in stack[k:]:
+            open_[o.tag] -= 1
+            features.subtract(o.seen)
         del stack[k:]
+        while frame and frame[-1].at >= k:
+            frame.pop()
 
     while pos < size:
-        m = _TOKEN.match(page, pos)
-        if m[0] == "<" and (loose := _LOOSE.match(page, pos)):
-            m = loose  # a quote that is never closed
+        m = tokens.match(page, pos)
+        if m[0] == "<" and tokens is _TOKEN and _TAG.match(page, pos):
+            tokens = _LOOSE  # a quote that is never closed: from here on none is trusted
+            m = tokens.match(page, pos)
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -105,80 +140,61 @@ def blocks_of(page: str) -> list[Block]:
                 continue  # a comment, a declaration, or a tag cut off by the end
             if not (stack and stack[-1].hidden):
                 run.append(m[0])
-                linked += len(m[0]) if depth else 0
+                linked += len(m[0]) if open_["a"] else 0
             continue
         tag = tag.lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if k >= 0:
-                close_to(k)
+            if open_[tag]:
+                close_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             elif tag in ("br", "p"):
                 flush() if tag == "p" else run.append(" ")
             continue
-        if tag in INLINE:
-            if tag == "br":
-                run.append("\n")
-            elif tag not in VOID and not m[3].endswith("/"):
-                stack.append(_Open(tag, tag, bool(stack and stack[-1].hidden)))
-                depth += tag == "a"
-            continue
-        flush()
-        ends = CLOSES.get(tag, ())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in ends or stack[i].tag == "p":
-                close_to(i)
-                break
-            if stack[i].tag in SCOPE:
-                break
-        if tag in VOID:
+        inline = tag in INLINE
+        if not inline:
+            flush()
+            ends = (*CLOSES.get(tag, ()), "p")
+            if any(open_[t] for t in ends):
+                for o in reversed(frame):
+                    if o.tag in ends:
+                        close_to(o.at)
+                        break
+                    if o.tag in SCOPE:
+                        break
+        elif tag == "br":
+            run.append("\n")
+        if tag in VOID or (inline and re.search(r"(?:^|[\s\"'])/$", m[3])):
             continue
-        words, label = [], None
-        if "=" in m[3]:
-            for n in _NAMED.finditer(m[3]):
-                words += _WORD.findall((n[2] or n[3] or n[4] or "").lower())
-            if 'data-label="' in m[3]:
-                label = int(m[3].split('data-label="')[1][0])
-        stack.append(_Open(tag, " ".join([tag, *words]), tag in HIDDEN or bool(stack and stack[-1].hidden), label))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = end.end() if end else size
-            stack.pop()
+            continue
+        o = _Open()
+        number += 1
+        o.tag, o.at, o.number, o.label = tag, len(stack), number, None
+        o.seen, o.tokens = ([], []) if inline else _features(tag, m[3])
+        o.new = [f for f in dict.fromkeys(o.seen) if not features[f]]
+        features.update(o.seen)
+        o.hidden = tag in HIDDEN or bool(stack and stack[-1].hidden)
+        if not inline:
+            o.score = (frame[-1].score if frame else 0.0) + (sum(weights.get(f, 0.0) for f in o.new) if weights is not None else 0.0)
+            if weights is None and 'data-label="' in m[3]:
+                o.label = int(m[3].split('data-label="')[1][0])
+            frame.append(o)
+        stack.append(o)
+        open_[tag] += 1
     flush()
     return out
 
 
-def label_by_markup(block: Block) -> int:
-    """1 inside an article or main element and in no element that a page's frame is made of."""
-    inside = 0
-    for name in block.path:
-        tag, *words = name.split()
-        if tag in BOILER_TAGS or BOILER_WORDS.intersection(words):
-            return 0
-        inside |= tag in ("article", "main")
-    return inside
-
-
-def path_features(path: tuple[str, ...]) -> list[str]:
-    tags = [name.split()[0] for name in path]
-    words = {w for name in path for w in name.split()[1:]}
-    out = ["bias", f"leaf={tags[-1] if tags else ''}", f"parent={tags[-2] if len(tags) > 1 else ''}"]
-    out += sorted({f"in={t}" for t in tags if t not in ("html", "body", "div", "span", "p")} | {f"named={w}" for w in words})
-    if not BOILER_TAGS.isdisjoint(tags):
-        out.append("frame tag")
-    if not BOILER_WORDS.isdisjoint(words):
-        out.append("frame name")
-    if not CONTENT_WORDS.isdisjoint(words):
-        out.append("content name")
-    if "article" in tags or "main" in tags:
-        out.append("article tag" if BOILER_TAGS.isdisjoint(tags) and BOILER_WORDS.isdisjoint(words) else "framed in article")
-    else:
-        out.append("no article tag")
-    return out
+def page_features(blocks: list[Block]) -> str:
+    """What holds for all blocks outside article and main elements."""
+    return "outside the article" if any(b.inside for b in blocks) else "no article"
 
 
-def text_features(block: Block) -> list[str]:
+def block_features(block: Block, page: str) -> list[str]:
+    """A block's own features, beside those of its ancestors."""
     n = len(block.text)
-    out = [f"length={min(7, n.bit_length() // 2)}"]
+    out = ["bias", f"length={min(7, n.bit_length() // 2)}", "inside" if block.inside else page, *block.near]
     if block.linked * 2 > n:
         out.append("linked")
     if block.text[0] == "©":
@@ -188,29 +204,37 @@ def text_features(block: Block) -> list[str]:
     return out
 
 
+def weak_labels(blocks: list[Block]) -> list[int]:
+    """Labels by a page's own layout: 1 inside an article or main element and in no element of a page's frame, of a header
+    there the headings alone. Where a page has no such element, 1 in the element that directly holds the most text outside
+    links."""
+    if any(b.inside for b in blocks):
+        return [int(b.inside and not any(f"in={t}" in b.features for t in FRAME) and "head of the article" not in b.near) for b in blocks]
+    held: defaultdict[int, int] = defaultdict(int)
+    for b in blocks:
+        held[b.home] += len(b.text) - b.linked
+    best = max(held, key=held.__getitem__, default=-1)
+    return [int(b.home == best and b.linked * 2 <= len(b.text)) for b in blocks]
+
+
 @dataclass
 class Model:
     """Weights of the features for the label 1, and of neighbouring labels."""
 
     weights: dict[str, float]
     pair: np.ndarray
-    seen: dict[tuple[str, ...], float] = field(default_factory=dict)
 
-    def score(self, block: Block) -> float:
-        s = self.seen.get(block.path)
-        if s is None:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            s = self.seen[block.path] = sum(self.weights.get(f, 0.0) for f in path_features(block.path))
-        return s + sum(self.weights.get(f, 0.0) for f in text_features(block))
+    def score(self, block: Block, page: str = "no article") -> float:
+        return block.score + sum(self.weights.get(f, 0.0) for f in block_features(block, page))
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The likeliest labels, by Viterbi's recursion; of equals the one that leaves out."""
         (p00, p01), (p10, p11) = self.pair.tolist()
         a = b = 0.0
         back: list[tuple[int, int]] = []
+        page = page_features(blocks)
         for i, block in enumerate(blocks):
-            s = self.score(block)
+            s = self.score(block, page)
             if i == 0:
                 a, b = 0.0, s
                 continue
@@ -225,7 +249,7 @@ class Model:
         return out[::-1]
 
     def text(self, page: str | None) -> str:
-        blocks = blocks_of(page or "")
+        blocks = blocks_of(page or "", self.weights)
         return "\n\n".join(b.text for b, keep in zip(blocks, self.decode(blocks), strict=True) if keep)
 
 
@@ -237,8 +261,9 @@ def fit(pages: list[list[tuple[Block, int]]]) -> Model:
     n = 0
     for p in pages:
         first.append(n)
+        page = page_features([b for b, _ in p])
         for b, _ in p:
-            for f in path_features(b.path) + text_features(b):
+            for f in b.features + block_features(b, page):
                 rows.append(n)
                 cols.append(names.setdefault(f, len(names)))
             n += 1
@@ -287,17 +312,69 @@ def fit(pages: list[list[tuple[Block, int]]]) -> Model:
 
 _P = "Some sentences of the article follow one another here, long enough to be read, and end as sentences do."
 _Q = "A second paragraph says more about it. It has two sentences."
-#: Labelled layouts; data-label on an element holds for all blocks inside it that have no nearer one.
-LAYOUTS = [
-    f'<body><header data-label="0"><div>Site name</div><nav><a href="/">Home</a></nav></header><main data-label="1"><article><h1>Title</h1><p>{_P}</p><h2>Part</h2><p>{_Q}</p><ul><li>One</li><li>Two</li></ul></article></main><aside data-label="0"><p>{_Q}</p><ul><li><a href="/x">More</a></li></ul></aside><footer data-label="0">&copy; Site</footer></body>',
-    f'<body><div class="cookie-notice" data-label="0"><p>{_Q}</p></div><article data-label="1"><h1>Title</h1><p>{_P}</p><aside data-label="0">{_Q}</aside><p>{_Q}</p><div class="ad" data-label="0">{_Q}</div><blockquote>{_P}</blockquote></article><section id="comments" data-label="0"><h2>Comments</h2><p>{_P}</p><p>{_Q}</p></section></body>',
-    f'<body><div id="menu" data-label="0"><ul><li><a href="/a">A</a></li></ul></div><div id="content" data-label="1"><h1>Title</h1><p>{_P}</p><p>{_P}</p><p>{_Q}</p></div><div class="sidebar" data-label="0"><p>{_P}</p></div><div class="footer" data-label="0"><p>&copy; Site {_Q}</p></div></body>',
-    f'<body><div class="banner" data-label="0">{_Q}</div><div class="post entry" data-label="1"><h2>Title</h2><p>{_P}</p><p>{_Q}</p><div class="share social" data-label="0"><a href="/s">Share</a></div></div><div class="comment-list" data-label="0"><div class="comment"><p>{_P}</p></div></div><form data-label="0"><p>{_Q}</p><label>Mail</label></form></body>',
-    f'<body><article data-label="1"><header data-label="0"><p>By someone</p></header><h1>Title</h1><p>{_P}</p><p>{_Q}</p><table><tr><td>Cell</td></tr></table><footer data-label="0"><p>Tags</p></footer><div class="comments" data-label="0"><p>{_P}</p><p>{_Q}</p></div><form data-label="0">{_Q}</form></article></body>',
-    f'<body><nav data-label="0"><a href="/">Home</a></nav><article data-label="1"><h1>Title</h1><div>{_P}</div><p>{_Q}</p><pre>a b</pre><div class="newsletter" data-label="0"><p>{_Q}</p></div><div class="related" data-label="0"><ul><li><a href="/r">R</a></li></ul></div></article><div class="popup modal" data-label="0">{_P}</div></body>',
-    f'<body><div data-label="0"><a href="/">Home</a></div><div data-label="1"><p>{_P}</p><p>{_P}</p><p>{_Q}</p></div><div data-label="0"><a href="/a">Legal</a> <a href="/b">Contact</a></div></body>',
-    f'<body><div role="navigation" data-label="0"><p><a href="/">Home</a></p></div><main data-label="1"><h1>Title</h1><section><p>{_P}</p><p>{_Q}</p></section></main><div role="alert" class="notice" data-label="0"><p>{_P}</p></div><section class="reader-comments" data-label="0"><article><p>{_P}</p></article></section></body>',
-]
+_R = "Short words"
+#: Parts of a page's frame: for each how it is written in tags alone, and the names that elements without such tags have.
+#: {} holds what a part says.
+PARTS = {
+    "menu": ("<nav>{}</nav>", "menu nav navbar navigation main-menu breadcrumb breadcrumbs pagination pager toc-links skip-links"),
+    "header": ("<header>{}</header>", "header site-header masthead page-header topbar branding"),
+    "sidebar": ("<aside>{}</aside>", "sidebar side-bar rail widget widgets related related-posts recommended recommendations most-read trending popular"),
+    "advert": ("<aside>{}</aside>", "ad ads ad-slot advert adverts advertisement advertising sponsored sponsor promo promotion banner"),
+    "notice": ("<dialog>{}</dialog>", "notice cookie-notice cookies consent cookie-banner alert popup modal overlay paywall newsletter subscribe"),
+    "form": ("<form>{}</form>", "form search search-form login signup contact-form feedback-form poll"),
+    "comments": ("<section id=comments>{}</section>", "comments comment comment-list comments-area reader-comments responses response replies reply discussion disqus_thread reactions respond guestbook"),
+    "share": ("<footer>{}</footer>", "share sharing social social-links tags tag-list toolbar post-meta byline author-bio"),
+    "footer": ("<footer>{}</footer>", "footer site-footer page-footer copyright legal colophon bottom"),
+}
+_LINKS = '<ul><li><a href="/a">First</a></li><li><a href="/b">Second one</a></li></ul>'
+_SAYS = {
+    "menu": [_LINKS, f"<p>{_R}</p>{_LINKS}"], "header": [f"<div>{_R}</div>", f"<p>{_Q}</p>{_LINKS}"], "sidebar": [f"<h3>{_R}</h3><p>{_Q}</p>{_LINKS}", f"<p>{_P}</p>"],
+    "advert": [_Q, f"<p>{_P}</p>"], "notice": [f"<p>{_Q}</p>", _P], "form": [f"<p>{_Q}</p><label>{_R}</label>", f"<h3>{_R}</h3><p>{_P}</p>"],
+    "comments": [f"<h3>{_R}</h3><div><p>{_P}</p></div><div><p>{_Q}</p></div>", f"<p>{_P}</p><p>{_P}</p><p>{_Q}</p>", f"<article><p>{_P}</p></article><article><p>{_Q}</p></article>"],
+    "share": [f'<a href="/s">{_R}</a>', f"<p>{_R}</p>"], "footer": [f"&copy; {_R}", f"<p>{_Q}</p>{_LINKS}"],
+}
+#: Articles and their names; a header's headings are the article's, what else it says is not.
+_ARTICLE = [
+    f"<h1>{_R}</h1><p>{_P}</p><p>{_Q}</p>|<p>{_P}</p>",
+    f'<header><h1>{_R}</h1><p data-label="0">{_R}</p></header><p>{_P}</p><h2>{_R}</h2><ul><li>{_R}</li><li>{_Q}</li></ul>|<p>{_Q}</p>',
+    f"<h1>{_R}</h1><div>{_P}</div><blockquote>{_P}</blockquote>|<table><tr><td>{_R}</td><td>{_R}</td></tr></table><p>{_Q}</p>",
+    f"<h1>{_R}</h1><section><h2>{_R}</h2><p>{_P}</p></section>|<section><p>{_Q}</p><pre>a b</pre><figure><figcaption>{_Q}</figcaption></figure></section>",
+    f"<p>{_P}</p><p>{_P}</p>|<dl><dt>{_R}</dt><dd>{_Q}</dd></dl><p>{_Q}</p>",
+]
+_NAMES = "content post entry article story main text post-content entry-content article-body main-content page has-sidebar comments-open no-ads".split()
+
+
+def layouts() -> list[str]:
+    """Labelled pages; data-label on an element holds for all blocks inside it that have no nearer one. Each name of each
+    part is seen outside and inside of articles of different make; parts of links alone also without a name."""
+    out = []
+    for k, a in enumerate(_ARTICLE * 4):
+        links = f'<div data-label="0"><a href="/">{_R}</a>{" <a href=/c>More</a>" if k % 2 else ""}</div>'
+        out.append(f'<body>{links}<div data-label="1">{a.replace("|", "")}</div>{links}</body>')
+    bodies, names = itertools.cycle(_ARTICLE), itertools.cycle(_NAMES)
+    around = [
+        lambda a, n: f'<article class="{n}" data-label="1">{a}</article>',
+        lambda a, n: f'<div class="{n}" data-label="1">{a}</div>',
+        lambda a, n: f'<main data-label="1"><div id="{n}">{a}</div></main>',
+        lambda a, n: f'<div data-label="1">{a}</div>',
+    ]
+    shapes = itertools.cycle(around)
+    for part, (tagged, named) in PARTS.items():
+        says = itertools.cycle(_SAYS[part])
+        ways = [tagged, *(f'<div class="{n}">{{}}</div>' if k % 2 else f'<section id="{n}">{{}}</section>' for k, n in enumerate(named.split()))]
+        if part in ("menu", "notice"):
+            ways.append(f'<div role="{"navigation" if part == "menu" else "alert"}">{{}}</div>')
+        for k, way in enumerate(ways):
+            for inner in (False, True) * (2 if k else 8):
+                piece = f'<div data-label="0">{way.format(next(says))}</div>' if not inner else way.replace(">", ' data-label="0">', 1).format(next(says))
+                first, second = next(bodies).split("|")
+                if inner and part in ("sidebar", "advert", "notice", "form", "comments", "share"):
+                    page = next(shapes)(first + piece + second, next(names))
+                else:
+                    page = next(shapes)(first + second, next(names))
+                    page = piece + page if part in ("menu", "header", "notice", "advert") else page + piece
+                out.append(f'<body class="single has-sidebar comments-open"><nav data-label="0">{_LINKS}</nav>{page}<footer data-label="0">&copy; {_R}</footer></body>')
+    return out
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Model:
@@ -305,31 +382,22 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Model:
     some = pages.where("html is not null and page_id is not null")
     ids = [r.page_id for r in some.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
     found = {r.page_id: r for r in some.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).collect()}
-    rows = [found[i] for i in dict.fromkeys(ids)]
-    marked = [[(b, label_by_markup(b)) for b in blocks_of(r.html)] for r in rows]
-    layouts = [[(b, b.label or 0) for b in blocks_of(x)] for x in LAYOUTS]
-    return fit(marked + layouts * max(1, len(marked) // (4 * len(LAYOUTS))))
+    marked = [(b, weak_labels(b)) for b in (blocks_of(found[i].html) for i in dict.fromkeys(ids))]
+    made = [(b, [x.label or 0 for x in b]) for b in map(blocks_of, layouts())]
+    return fit([list(zip(b, y, strict=True)) for b, y in marked + made])
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                texts = [model.text(x) for x in b.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
+    def make():
+        return lambda html: pa.array([model.text(x) for x in html.to_pylist()], pa.string())
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_udf(make, "string")("html").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages, train(pages))
