@@ -211,11 +211,152 @@ def test_edit_stream_equals_batch(spark, tmp_path):
     log = [(1, 3, "delete_node", 0), (2, 4, "uncheck", 0), (3, 3, "add_node", 0), (4, 5, "change_type", 2), (5, 4, "check", 0)]
     for k in range(5):
         spark.createDataFrame(log[k : k + 1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    edit_stream(spark, str(tmp_path / "in"), schema, n, e, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    out = str(tmp_path / "out")
+    edit_stream(spark, str(tmp_path / "in"), schema, out, str(tmp_path / "cp")).awaitTermination(120)
+    got_n, got_e = state(spark, schema, n, e, out)
     want_n, want_e = edits.replay(n, e, spark.createDataFrame(log, schema))
     c = ["nid", "creator", "type", "checked"]
-    assert rows(state(spark, str(tmp_path / "out"), "nodes"), *c) == rows(want_n, *c)
-    assert rows(state(spark, str(tmp_path / "out"), "edges"), "src", "dst") == rows(want_e, "src", "dst")
+    assert rows(got_n, *c) == rows(want_n, *c)
+    assert rows(got_e, "src", "dst") == rows(want_e, "src", "dst")
+
+
+def test_tile_stream_gives_segments_and_progress(spark, tmp_path):
+    from tracegraph.streaming.streams import tile_stream
+
+    schema = "tile long, x int, y int, z int, v int"
+    line = lambda t, x0: [(t, x0 + i, 2, 2, 1000) for i in range(16)] + [(t, x0 + i, 9, 9, 1) for i in range(3)]
+    for t in (0, 1):  # two tiles side by side: a line through both is cut at the border
+        spark.createDataFrame(line(t, 16 * t), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    tile_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    found = spark.read.parquet(str(tmp_path / "out" / "segments"))
+    assert sorted(r["count"] for r in found.groupBy("sid").count().collect()) == [16, 16]
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "progress")), "batch", "tiles", "segments") == [(0, 1, 1), (1, 1, 1)]
+
+
+def test_edits_before_a_delete_do_not_count(spark):
+    n = spark.createDataFrame([(i, 5, 5, 5, "a", 0, 0, 1) for i in (1, 2, 3)], "nid long, x long, y long, z long, creator string, type int, checked int, status int")
+    e = spark.createDataFrame([(1, 2, "a"), (2, 3, "a")], "src long, dst long, creator string")
+    log = [(1, 1, "change_type", 3), (2, 1, "check", 0), (3, 1, "delete_node", 0), (4, 1, "add_node", 0), (5, 2, "check", 0)]
+    got, left = edits.replay(n, e, spark.createDataFrame(log, "seq long, nid long, action string, arg int"))
+    assert rows(got, "nid", "creator", "type", "checked") == [(1, "edit", 0, 0), (2, "a", 0, 1), (3, "a", 0, 0)]
+    assert rows(left, "src", "dst") == [(2, 3)]
+    assert rows(edits.reopened(n, spark.createDataFrame(log, "seq long, nid long, action string, arg int")), "nid", "checked") == [(1, 0), (2, -1), (3, 0)]
+
+
+def test_edits_of_edges(spark):
+    n = spark.createDataFrame([(i, 0, 0, 0, "a", 0, 0, 1) for i in range(1, 6)], "nid long, x long, y long, z long, creator string, type int, checked int, status int")
+    e = spark.createDataFrame([(1, 2, "a"), (3, 2, "a"), (3, 4, "a")], "src long, dst long, creator string")
+    log = [
+        (1, 1, "add_edge", 5), (2, 2, "delete_edge", 3), (3, 4, "add_edge", 5), (4, 4, "delete_node", None), (5, 1, "add_edge", 9),
+        (6, 2, "add_edge", 1), (7, 1, "add_edge", 3), (8, 3, "delete_edge", 1), (9, 4, "add_node", None), (10, 5, "add_edge", 4),
+    ]
+    log = spark.createDataFrame([(s, a, what, 0, b) for s, a, what, b in log], "seq long, nid long, action string, arg int, other long")
+    got, left = edits.replay(n, e, log)
+    assert got.count() == 5
+    # 4-5 was added before node 4 went and again after it came back; 9 is no node; 1-2 keeps its row
+    assert rows(left, "src", "dst", "creator") == [(1, 2, "a"), (1, 5, "edit"), (4, 5, "edit")]
+
+
+def test_new_centre_is_in_the_largest_part(spark):
+    n, e = G(spark, [(1, 9), (2, 9), (2, 3), (3, 4), (5, 9), (5, 6), (6, 7)])
+    got = edits.new_centres(n, e, spark.createDataFrame([(9,)], "nid long"))
+    assert rows(got, "gone", "centre", "size", "parts") == [(9, 2, 3, 3)]
+    assert rows(edits.removed_edges(e, spark.createDataFrame([(9,)], "nid long")), "src", "dst") == [(1, 9), (2, 9), (5, 9)]
+
+
+def test_chains_in_a_box_and_their_dense_skeleton(spark):
+    n = points(spark, {1: (2, 0, 0), 2: (6, 0, 0), 3: (10, 0, 0), 4: (30, 0, 0)})
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    v = spark.createDataFrame([(x, 0, 0, 100 + x) for x in range(20)], "x int, y int, z int, v int")
+    got = paths.segments_within(n, e, v, [1, 0, 0], [19, 5, 5], 3)
+    assert rows(got, "ord", "nid", "x", "v") == [(0, 1, 1.0, 102), (1, 2, 5.0, 106), (2, 3, 9.0, 110)]
+    assert paths.segments_within(n, e, v, [1, 0, 0], [19, 5, 5], 4).isEmpty()
+    assert rows(voxels.dense_skeleton(got, v, margin=1), "x", "y", "z") == [(x, 0, 0) for x in range(1, 10)]
+
+
+def test_coloured_paths_have_no_rings(spark):
+    ring = [(i, i + 1) for i in range(1, 12)] + [(12, 1), (3, 20), (20, 21)]
+    n, e = G(spark, [*ring, (50, 51), (51, 52)])
+    got = paths.coloured_paths(n, e)
+    assert 50 not in {r.nid for r in got.collect()}
+    assert rows(got.where("comp = 20"), "ord", "nid") == [(-1, 3), (0, 20), (1, 21)]
+
+
+def test_swc_folder_and_lengths(spark, tmp_path):
+    (tmp_path / "a.swc").write_text("# c\n1 1 0 0 0 1 -1\n2 2 1 0 0 1 1\n")
+    (tmp_path / "b.swc").write_text("1 0 0 0 0 1 -1\n")
+    (tmp_path / "c.txt").write_text("1 1 0 0 0 1 -1\n")
+    lines = tables.read_swc(spark, str(tmp_path))
+    n, e = tables.import_swc(tables.parse_swc(lines))
+    assert rows(n, "file", "nid") == [("a.swc", 1), ("a.swc", 2)] and rows(e, "src", "dst") == [(2, 1)]
+    assert rows(tables.total_length(n), "file", "length") == [("a.swc", 6)]
+    tables.write_swc(tables.swc_lines(review.with_components(n, e), e), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_mask_volume_and_profile(spark, tmp_path):
+    p = spark.createDataFrame([(0, 0, 0), (4, 2, 1), (4, 2, 1), (9, 9, 9), (-1, 0, 0)], "x long, y long, z long")
+    tiles = tables.mask_volume(p, [5, 3, 2], 2)
+    tables.write_mask(tiles, str(tmp_path / "mask"))
+    back = tables.unpacked_mask(spark.read.parquet(str(tmp_path / "mask")), [5, 3, 2], 2)
+    assert back.count() == 30 and rows(back.where("m = 1"), "x", "y", "z") == [(0, 0, 0), (4, 2, 1)]
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "k long, s string")
+    assert rows(tables.column_profile({"d": d}), "column", "type", "n_rows", "n_null", "is_key") == [("k", "bigint", 3, 0, True), ("s", "string", 3, 1, False)]
+
+
+def test_rank_filter_equals_brute_force(spark):
+    r = random.Random(1)
+    size = [7, 5, 3]
+    v = {(x, y, z): r.randrange(50) for x in range(7) for y in range(5) for z in range(3) if r.random() < 0.7}
+
+    def at(p):
+        q = []
+        for k, n in zip(p, size, strict=True):
+            m = k % (2 * n)
+            q.append(m if m < n else 2 * n - 1 - m)
+        return v.get(tuple(q), 0)
+
+    ball = [(a, b, c) for a in range(-4, 5) for b in range(-4, 5) for c in range(-4, 5) if a * a + b * b + c * c <= 16]
+    want = sorted((*p, round(sum(at([i + j for i, j in zip(p, o, strict=True)]) < w for o in ball) / len(ball), 6)) for p, w in v.items())
+    got = voxels.rank_filter(spark.createDataFrame([(*p, w) for p, w in v.items()], "x int, y int, z int, v int"), size, 4, tile=3)
+    assert rows(got, "x", "y", "z", "rank") == want
+
+
+def test_process_volume_ends_in_numbered_segments(spark):
+    line = [(x, 8, 8, 1000) for x in range(2, 30)] + [(x, 20, 20, 1000) for x in range(2, 30)] + [(40, 40, 40, 1000)]
+    dark = [(x, y, 30, 200) for x in range(32) for y in range(32)]
+    v = spark.createDataFrame(line + dark, "x int, y int, z int, v int")
+    got = voxels.process_volume(v, 32, background=500, least=20)
+    assert sorted((r.sid, r["count"]) for r in got.groupBy("sid").count().collect()) == [(1, 28), (2, 28)]
+    nodes, edges = tables.ingest_segments(got)
+    assert nodes.count() == 56 and edges.count() == 54
+
+
+def test_voxel_numbers_do_not_collide(spark):
+    bad = spark.createDataFrame([(-1, 0, 0, 5)], "x int, y int, z int, v int")
+    with pytest.raises(Exception, match="voxel coordinate"):
+        voxels.regions(bad).collect()
+
+
+def test_new_points_by_a_model(spark):
+    n = points(spark, {i: (i, 0, 0) for i in range(8)}).selectExpr("nid", "x", "y", "z", "'a' creator", "0 type", "0 checked")
+    e = spark.createDataFrame([(i, i + 1, "a") for i in range(7)], "src long, dst long, creator string")
+    assert rows(repair.next_points(n, e), "nid", "x", "y", "z") == [(0, -1.0, 0.0, 0.0), (7, 8.0, 0.0, 0.0)]
+    up = repair.next_points(n, e, model=lambda track: track[["x4", "y4", "z4"]].to_numpy() * [[0, 0, 1 / 16]])
+    nodes, edges = repair.extended(n, e, up)
+    assert rows(nodes.where("creator = 'extend'"), "nid", "x", "z") == [(8, 0.0, 1.0), (9, 7.0, 1.0)]
+    assert rows(edges.where("creator = 'extend'"), "src", "dst") == [(0, 8), (7, 9)]
+
+
+def test_generated_set(spark, tmp_path):
+    images = spark.createDataFrame([(i, x, 0, 0, 100 * (x + 1)) for i in "ABC" for x in range(4)], "image string, x int, y int, z int, v int")
+    files = spark.createDataFrame([(f"{k}_{i}.tif",) for k in ("img", "mask") for i in "ABC"], "name string")
+    back = spark.createDataFrame([(1, 130 + x, 0, 0, 7) for x in range(3)], "roi long, x int, y int, z int, v int")
+    rois = spark.createDataFrame([(1, 0, 0, 0, 256, 128, 128)], "roi long, x0 long, y0 long, z0 long, sx long, sy long, sz long")
+    made = augment.gen_dataset(images, files, images.where("image = 'A'").drop("image"), back, rois, 2, 2)
+    assert made.where("sample <= 2").count() == 8 and rows(made.where("sample > 2"), "x", "v", "m") == [(2, 7, 0), (3, 7, 0), (4, 7, 0)]
+    augment.write_set(made, str(tmp_path / "set"))
+    assert spark.read.parquet(str(tmp_path / "set")).count() == 11
 
 
 @pytest.mark.parametrize("name", ["degree", "annotation_info"])

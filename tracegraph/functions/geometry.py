@@ -20,10 +20,11 @@ def step(a: str, b: str) -> list[Column]:
 
 
 def angle(u: Sequence[Column], v: Sequence[Column]) -> Column:
-    """Degrees between two vectors, rounded to 6 places; null if one is zero."""
-    size = norm(u) * norm(v)
-    cosine = sum(a * b for a, b in zip(u, v, strict=True)) / size
-    return F.when(size > 0, F.round(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))), 6))
+    """Degrees between two vectors, rounded to 6 places; null if one is zero. From the lengths of their cross and dot
+    products, which is as exact near 0 and 180 as elsewhere."""
+    (a, b, c), (x, y, z) = u, v
+    across = norm([b * z - c * y, c * x - a * z, a * y - b * x])
+    return F.when((norm(u) > 0) & (norm(v) > 0), F.round(F.degrees(F.atan2(across, a * x + b * y + c * z)), 6))
 
 
 def in_box(origin: Sequence[Column], size: Sequence[Column], prefix: str = "") -> Column:

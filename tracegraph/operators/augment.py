@@ -20,21 +20,57 @@ def paired(files: DataFrame) -> DataFrame:
 
 def triples(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(sample, place, id): n draws of 3 distinct ids, the same for the same seed. Each id takes one hash per sample."""
-    ranked = ids.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.xxhash64(F.lit(seed), "sample", "id"))
+    ranked = ids.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), "id")))
     return ranked.withColumn("place", F.row_number().over(W.partitionBy("sample").orderBy("h", "id"))).where("place <= 3").select("sample", "place", "id")
 
 
 def background_blocks(images: DataFrame, size: int, n: int, seed: int = 0) -> DataFrame:
     """(number, roi, x0, y0, z0, sx, sy, sz): complete tiles of background images, drawn by hash, numbered from 1."""
-    blocks = tiles(images, size, whole_only=True).withColumn("h", F.xxhash64(F.lit(seed), "roi", "x0", "y0", "z0")).orderBy("h", "roi", "x0", "y0", "z0").limit(n)
+    blocks = tiles(images, size, whole_only=True).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("roi", "x0", "y0", "z0"))))).orderBy("h", "roi", "x0", "y0", "z0").limit(n)
     return blocks.withColumn("number", F.row_number().over(W.orderBy("h", "roi", "x0", "y0", "z0"))).drop("h")  # at most n rows
 
 
+#: Values of an image up to which the table of matched ones is broadcast (16 bits); beyond, the join is shuffled.
+BROADCAST_VALUES = 1 << 16
+
+
 def generate(images: DataFrame, files: DataFrame, reference: DataFrame, n: int, seed: int = 0, foreground: int = 150) -> DataFrame:
     """(sample, x, y, z, v, m): the overlay of each sample's three images (image, x, y, z, v), matched to the reference's
     histogram, with the union of their masks."""
     drawn = triples(paired(files), n, seed)
     over = images.join(drawn.select("sample", F.col("id").alias("image")), "image").groupBy("sample", *AXES).agg(F.max("v").alias("v"), F.max((F.col("v") > foreground).cast("int")).alias("m"))
     over = saved(over, "overlay")
-    scale = match_histogram(over, reference)
-    return over.join(F.broadcast(scale), "v").select("sample", *AXES, F.col("to").alias("v"), "m")  # a row for each value of 16 bits
+    scale = saved(match_histogram(over, reference), "scale")
+    scale = F.broadcast(scale) if scale.count() <= BROADCAST_VALUES else scale
+    return over.join(scale, "v").select("sample", *AXES, F.col("to").alias("v"), "m")
+
+
+def background_samples(images: DataFrame, blocks: DataFrame, first: int) -> DataFrame:
+    """(sample, x, y, z, v, m): the voxels of background images (roi, x, y, z, v) in ``blocks``, from each block's corner,
+    with an empty mask; samples are numbered on from ``first``."""
+    box = blocks.select((F.col("number") + first).cast("int").alias("sample"), "roi", "x0", "y0", "z0", F.col("sx").alias("side"))
+    # an equi-join on the cell of a block's side that holds a block's corner or one before it
+    near = images
+    for k in AXES:
+        near = near.withColumn("c" + k, F.explode(F.array(*(F.floor(F.col(k) / _SIDE) - i for i in (0, 1)))))
+    box = box.select("*", *(F.floor(F.col(k + "0") / _SIDE).alias("c" + k) for k in AXES))
+    found = near.join(box, ["roi", "cx", "cy", "cz"])
+    for k in AXES:
+        found = found.where((F.col(k) >= F.col(k + "0")) & (F.col(k) < F.col(k + "0") + F.col("side")))
+    return found.select("sample", *((F.col(k) - F.col(k + "0")).alias(k) for k in AXES), "v", F.lit(0).alias("m"))
+
+
+_SIDE = 128
+
+
+def gen_dataset(images: DataFrame, files: DataFrame, reference: DataFrame, background: DataFrame, rois: DataFrame, n_fg: int, n_bg: int, seed: int = 0) -> DataFrame:
+    """The whole set: ``n_fg`` samples of three images each, then up to ``n_bg`` whole blocks of background images (``rois``
+    and their voxels), numbered on."""
+    made = generate(images, files, reference, n_fg, seed)
+    blocks = saved(background_blocks(rois, _SIDE, n_bg, seed), "blocks")
+    return made.unionByName(background_samples(background, blocks, n_fg).select(*(F.col(c).cast(t).alias(c) for c, t in made.dtypes)))
+
+
+def write_set(samples: DataFrame, path: str) -> None:
+    """A folder for each sample."""
+    samples.repartition("sample").write.partitionBy("sample").parquet(path)

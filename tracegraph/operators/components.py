@@ -1,17 +1,60 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., SoCC 2014).
 
-Each step replaces the edges by as many or fewer edges that join the same nodes and ends when every component is a star
-around its least node. Rounds grow with the logarithm of the longest path, not with its length.
+First each task turns the edges it has read into a forest of stars of their own, some at a time. Each step then replaces
+the edges by as many or fewer edges that join the same nodes and ends when every component is a star around its least
+node. Rounds grow with the logarithm of the longest path, not with its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.store import saved
 
 MAX_ROUNDS = 60
+#: Edges that a task joins at a time.
+LOCAL = 1 << 20
+
+
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins a[i] and b[i] in the forest ``root``; afterwards root[x] is the least position joined to x."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        if not len(a):
+            break
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root[:] = up
+
+
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        ends = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+        held.clear()
+        ids, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(ends.shape)
+        root = np.arange(len(ids))
+        hook(root, at[0], at[1])
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], names=["u", "m"])
+
+    for b in batches:
+        held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]).astype(np.int64))
+        if sum(x.shape[1] for x in held) >= LOCAL:
+            yield stars()
+    yield stars()
 
 
 def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,8 +62,8 @@ def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     Self-loops and rows with a null end are ignored; ``edges`` may repeat an edge or give it in both directions.
     """
-    a, b = F.col(src), F.col(dst)
-    e = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("m")).distinct()
+    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    e = saved(edges.where(a != b).select(a.alias("u"), b.alias("m")).mapInArrow(_local_stars, "u long, m long"), "star")
     before = None
     for _ in range(MAX_ROUNDS):
         # large-star: the larger neighbours of u move to the least node next to u
@@ -42,7 +85,7 @@ def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             .union(least.select("u", F.col("least").alias("m")))
             .distinct()
         )
-        e = saved(small, "star")
+        e = saved(small, "star", instead_of=e)
         after = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "m").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             break

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tracegraph.operators.graph import adjacency, canonical
+from tracegraph.operators.graph import adjacency, canonical, components
+from tracegraph.store import saved
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,27 +60,46 @@ def update_nodes(nodes: DataFrame, changes: DataFrame, stamp: str, *columns: str
 
 
 def replay(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after the log ``edits`` (seq, nid, action, arg, creator).
+    """Nodes and edges after the log ``edits`` (seq, nid, action, arg, and other for edits of edges).
 
-    A node's fate is its last delete_node or add_node; its type and its checked flag come from its last change_type,
-    check or uncheck, each. A deleted node takes its edges along, and one added again after that starts afresh, without
-    edges, at the origin, unless it was never deleted.
+    A node's fate is its last delete_node or add_node. Its type and its checked flag come from its last change_type, check
+    or uncheck, each, that is later than its last delete_node: a node that was deleted and added again starts afresh, at
+    the origin, without edges. A deleted node takes its edges along. An add_edge or delete_edge names the ends nid and
+    other, in either order; the pair's last edit holds, an added edge only if it is later than the last delete_node of
+    both ends and both are there at the end. A pair that was there all along keeps its row.
     """
-    def last(actions: list[str]) -> DataFrame:
-        newest = W.partitionBy("nid").orderBy(F.desc("seq"))
-        return edits.where(F.col("action").isin(actions)).withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
-
-    fate = last(["add_node", "delete_node"]).select("nid", F.col("action").alias("fate"))
-    deleted = edits.where("action = 'delete_node'").select("nid").distinct()
-    kept, edges = delete_nodes(nodes, edges, deleted)
+    if "other" not in edits.columns:
+        edits = edits.withColumn("other", F.lit(None).cast("long"))
+    deleted = edits.where("action = 'delete_node'").groupBy("nid").agg(F.max("seq").alias("gone"))
+    later = edits.where("action in ('change_type', 'check', 'uncheck')").join(deleted, "nid", "left").where("gone is null or seq > gone")
+    fate = edits.where("action in ('add_node', 'delete_node')").groupBy("nid").agg(F.max_by("action", "seq").alias("fate"))
+    kept, left = delete_nodes(nodes, edges, deleted)
     added = fate.where("fate = 'add_node'").join(kept.select("nid"), "nid", "left_anti")
     blank = added.select(
         *(F.col("nid") if c == "nid" else F.lit({"status": 1, "checked": 0, "type": 0, "x": 0, "y": 0, "z": 0, "creator": "edit"}.get(c)).cast(t).alias(c) for c, t in nodes.dtypes)
     )
     nodes = kept.unionByName(blank)
-    nodes = patch(nodes, last(["change_type"]).select("nid", F.col("arg").alias("type")), "type")
-    flags = last(["check", "uncheck"]).select("nid", F.when(F.col("action") == "check", 1).otherwise(-1).alias("checked"))
-    return patch(nodes, flags, "checked"), edges
+    is_type = F.col("action") == "change_type"
+    new = later.groupBy("nid").agg(
+        F.max_by(F.when(is_type, F.col("arg")), F.when(is_type, F.col("seq"))).alias("type"),
+        F.max_by(F.when(F.col("action") == "check", 1).when(F.col("action") == "uncheck", -1), F.when(~is_type, F.col("seq"))).alias("checked"),
+    )
+    return patch(nodes, new, "type", "checked"), _replay_edges(nodes, left, edits, deleted)
+
+
+def _replay_edges(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deleted: DataFrame) -> DataFrame:
+    """``edges``, without those of deleted nodes, after the log's edits of edges."""
+    pairs = edits.where("action in ('add_edge', 'delete_edge') and nid is not null and other is not null")
+    pairs = pairs.select(F.least("nid", "other").alias("_a"), F.greatest("nid", "other").alias("_b"), "seq", "action")
+    pairs = pairs.groupBy("_a", "_b").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"), F.max(F.col("action") == "delete_edge").alias("cut"))
+    own = edges.withColumns({"_a": F.least("src", "dst"), "_b": F.greatest("src", "dst")})
+    stay = own.join(pairs.where("cut").select("_a", "_b"), ["_a", "_b"], "left_anti")
+    new = pairs.where("action = 'add_edge'").join(stay.select("_a", "_b"), ["_a", "_b"], "left_anti")
+    for end in ("_a", "_b"):
+        new = new.join(deleted.select(F.col("nid").alias(end), "gone"), end, "left").where("gone is null or seq > gone").drop("gone")
+        new = new.join(nodes.select(F.col("nid").alias(end)), end, "left_semi")
+    made = new.select(F.col("_a").alias("src"), F.col("_b").alias("dst"), F.lit("edit").alias("creator"))
+    return stay.select("src", "dst", "creator").unionByName(made)
 
 
 def until(edits: DataFrame, seq: int) -> DataFrame:
@@ -93,8 +112,38 @@ def last_task(edits: DataFrame) -> DataFrame:
     return edits.where("action = 'check'").agg(F.max_by("nid", "seq").alias("nid"), F.max("seq").alias("seq"))
 
 
+def reopened(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """``nodes`` with the last node that was checked flagged again (checked -1)."""
+    return patch(nodes, last_task(edits).select("nid", F.lit(-1).alias("checked")), "checked")
+
+
+def highest(segments: DataFrame) -> DataFrame:
+    """(max_sid, max_version) of segments (sid, version), 0 where there are none."""
+    return segments.agg(*(F.coalesce(F.max(c), F.lit(0)).cast("long").alias(f"max_{c}") for c in ("sid", "version")))
+
+
 def reset_around(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
     """``nodes`` without those of ``gone``, whose neighbours become unseen (checked 0)."""
     near = adjacency(edges).join(gone.select("nid"), "nid", "left_semi").select(F.col("nbr").alias("nid")).distinct()
     left, _ = delete_nodes(nodes, edges, gone)
     return patch(left, near.withColumn("checked", F.lit(0)), "checked")
+
+
+def removed_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges that go with the nodes of ``gone``: what the log of an edit has to name."""
+    ids = gone.select("nid").distinct()
+    src = edges.join(ids.withColumnRenamed("nid", "src"), "src", "left_semi").select(*edges.columns)
+    return src.unionByName(edges.join(ids.withColumnRenamed("nid", "src"), "src", "left_anti").join(ids.withColumnRenamed("nid", "dst"), "dst", "left_semi").select(*edges.columns))
+
+
+def new_centres(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """(gone, centre, size, parts): for each node of ``gone`` that has neighbours left after all of them are removed, the
+    neighbour in the largest component of what is left (of equals the least), that component's size, and into how many
+    components its neighbours fall."""
+    left, rest = delete_nodes(nodes.select("nid"), edges, gone)
+    comp = saved(components(left, rest), "rest")
+    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    near = adjacency(edges).join(gone.select("nid"), "nid", "left_semi").where("nid <> nbr").distinct()
+    near = near.join(comp.select(F.col("nid").alias("nbr"), "comp"), "nbr").join(sizes, "comp")
+    best = F.min(F.struct((-F.col("size")).alias("size"), F.col("nbr").alias("nbr")))
+    return near.groupBy(F.col("nid").alias("gone")).agg(best.alias("b"), F.count_distinct("comp").alias("parts")).select("gone", F.col("b.nbr").alias("centre"), (-F.col("b.size")).alias("size"), "parts")

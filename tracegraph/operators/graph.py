@@ -64,6 +64,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             new = merged.select(F.col("nid").alias(k), F.col("comp").alias("to"))
             left = left.join(new, k, "left").withColumn(k, F.coalesce("to", k)).drop("to")
         left = saved(left.where("a <> b").select("src", "dst", "a", "b"), "left")
+    else:
+        raise RuntimeError(f"the forest was not whole after {MAX_ROUNDS} rounds")
     return chosen if chosen is not None else left.select("src", "dst")
 
 
@@ -89,9 +91,14 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
             break
         ahead = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("far").alias("more"))
         state = saved(
-            state.join(ahead, ["na", "nb"], "left").select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")),
+            state.where("nb is null").unionByName(
+                state.where("nb is not null").join(ahead, ["na", "nb"]).select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), (F.col("far") + F.col("more")).alias("far"))
+            ),
             "tour",
+            instead_of=state,
         )
+    else:
+        raise RuntimeError(f"tours were not ranked after {MAX_ROUNDS} rounds")
     back = state.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("far").alias("home"))
     down = state.join(back, ["a", "b"]).where("far > home").select(F.col("b").alias("nid"), F.col("a").alias("parent"))
     return down.unionAll(roots.select("nid", F.lit(-1).cast("long")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegraph.functions.geometry import AXES
 from tracegraph.operators.components import MAX_ROUNDS
-from tracegraph.operators.graph import adjacency, canonical, components, degree, induced
+from tracegraph.operators.graph import adjacency, canonical, components, degree, induced, spanning_forest
 from tracegraph.store import saved
 
 
@@ -32,10 +33,13 @@ def paths(nodes: DataFrame, edges: DataFrame, longer_than: int = 0) -> DataFrame
         if state.where("pu is not null").isEmpty():
             break
         back = state.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("pu2"), F.col("pv").alias("pv2"), F.col("dist").alias("more"), F.col("first").alias("first2"))
-        state = state.join(back, ["pu", "pv"], "left").select(
-            "comp", "u", "v", F.col("pu2").alias("pu"), F.col("pv2").alias("pv"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.coalesce("first2", "first").alias("first")
+        # arcs that have met their chain's end are done; the others move on
+        moved = state.where("pu is not null").join(back, ["pu", "pv"]).select(
+            "comp", "u", "v", F.col("pu2").alias("pu"), F.col("pv2").alias("pv"), (F.col("dist") + F.col("more")).alias("dist"), F.col("first2").alias("first")
         )
-        state = saved(state, "rank")
+        state = saved(state.where("pu is null").unionByName(moved), "rank", instead_of=state)
+    else:
+        raise RuntimeError(f"chains were not ranked after {MAX_ROUNDS} rounds")
     walked = state.join(good, "comp").where("first = start").select("comp", (F.col("dist") + 1).alias("ord"), F.col("v").alias("nid"))
     return good.select("comp", F.lit(0).cast("long").alias("ord"), F.col("start").alias("nid")).unionAll(walked)
 
@@ -56,6 +60,31 @@ def walk_from_ends(ends: DataFrame, edges: DataFrame, steps: int = 5) -> DataFra
     return out
 
 
+def segments_within(nodes: DataFrame, edges: DataFrame, voxels: DataFrame, origin: list[int], size: list[int], least: int = 0) -> DataFrame:
+    """(comp, ord, nid, x, y, z, v): the chains of the subgraph inside a closed box (origin to origin + size), of ``least``
+    nodes or more, with coordinates from the box's origin and the value of the voxel at each point."""
+    for k, o, n in zip(AXES, origin, size, strict=True):
+        nodes = nodes.where((F.col(k) >= o) & (F.col(k) <= o + n))
+    inside = saved(nodes.select("nid", *AXES), "inside")
+    chains = paths(inside, induced(inside, edges), least - 1)
+    moved = chains.join(inside, "nid")
+    at = moved.select("*", *(F.col(k).cast("int").alias("v" + k) for k in AXES))
+    found = voxels.select(*(F.col(k).alias("v" + k) for k in AXES), "v")
+    out = at.join(found, ["vx", "vy", "vz"], "left")
+    return out.select("comp", "ord", "nid", *((F.col(k) - o).alias(k) for k, o in zip(AXES, origin, strict=True)), F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def coloured_paths(nodes: DataFrame, edges: DataFrame, more_than: int = 10, longer_than: int = 1) -> DataFrame:
+    """(comp, ord, nid): the chains, with branch nodes put back at their ends, of a spanning forest of the components of
+    more than ``more_than`` nodes."""
+    forest = saved(spanning_forest(edges), "forest")
+    comp = saved(components(nodes.select("nid"), forest), "comp")
+    large = comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than), "comp", "left_semi").select("nid")
+    large = saved(large, "large")
+    own = saved(induced(large, forest), "own")
+    return attach_branches(saved(paths(large, own, longer_than), "chains"), own)
+
+
 def attach_branches(chains: DataFrame, edges: DataFrame) -> DataFrame:
     """(comp, ord, nid): chains with the branch node put before or after an end that has exactly one neighbour outside."""
     last = chains.groupBy("comp").agg(F.max("ord").alias("last"))

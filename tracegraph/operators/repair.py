@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +15,8 @@ from tracegraph.operators.graph import adjacency, canonical, degree
 from tracegraph.operators.grid import box_pairs, ends, neighbours
 from tracegraph.operators.paths import walk_from_ends
 from tracegraph.operators.voxels import brightest_paths
-from tracegraph.sources.tables import not_by, numbered
+from tracegraph.operators.numbers import numbered
+from tracegraph.sources.tables import not_by
 from tracegraph.store import saved
 
 
@@ -107,14 +112,42 @@ def match_ends(candidates: DataFrame) -> DataFrame:
     return made if made is not None else candidates.select("src", "dst", "turn").limit(0)
 
 
-def next_points(nodes: DataFrame, edges: DataFrame, points: int = 5) -> DataFrame:
-    """(nid, x, y, z): a new point beyond each end whose walk has ``points`` nodes, at the walk's mean step."""
+def mean_step(track: pd.DataFrame) -> np.ndarray:
+    """The default model: n x 3 displacements, each the mean step of a track towards its end at 16, 16, 16. Columns x0, y0,
+    z0 are the track's farthest point."""
+    return (16.0 - track[["x0", "y0", "z0"]].to_numpy(float)) / (track.attrs["points"] - 1)
+
+
+def next_points(nodes: DataFrame, edges: DataFrame, points: int = 5, model: Callable[[pd.DataFrame], np.ndarray] = mean_step) -> DataFrame:
+    """(nid, x, y, z): a new point beyond each end whose walk has ``points`` nodes: where ``model`` moves it.
+
+    The model gets tracks, some at a time: columns x0, y0, z0 of the farthest point to those of the end itself, moved so
+    that the end is at 16 on each axis, the middle of a cube of 32.
+    """
     tips = degree(nodes, edges).where("degree = 1")
     walks = walk_from_ends(tips, edges, points - 1)
-    whole = walks.groupBy("nid").agg(F.max("step").alias("steps"), F.max_by("at", "step").alias("far")).where(F.col("steps") == points - 1)
-    at = lambda key, p: nodes.select(F.col("nid").alias(key), *(F.col(k).cast("double").alias(p + k) for k in AXES))
-    both = whole.join(at("nid", "a"), "nid").join(at("far", "b"), "far")
-    return both.select("nid", *(F.round(F.col(f"a{k}") + (F.col(f"a{k}") - F.col(f"b{k}")) / (points - 1), 6).alias(k) for k in AXES))
+    at = walks.join(nodes.select(F.col("nid").alias("at"), *(F.col(k).cast("double").alias(k) for k in AXES)), "at")
+    whole = at.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("step"), *AXES))).alias("p")).where(F.size("p") == points)
+    end = F.col("p")[points - 1]
+    tracks = whole.select("nid", *(end[k].alias("end_" + k) for k in AXES), *((F.col("p")[i][k] - end[k] + 16).alias(f"{k}{i}") for i in range(points) for k in AXES))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b.attrs["points"] = points
+            moved = np.round(b[[f"end_{k}" for k in AXES]].to_numpy(float) + model(b), 6)
+            yield pd.DataFrame({"nid": b["nid"], **{k: moved[:, i] for i, k in enumerate(AXES)}})
+
+    return tracks.mapInPandas(run, "nid long, x double, y double, z double")
+
+
+def extended(nodes: DataFrame, edges: DataFrame, found: DataFrame, creator: str = "extend") -> tuple[DataFrame, DataFrame]:
+    """``nodes`` and ``edges`` with a new node and an edge to it for each row of ``found`` (nid, x, y, z); new nids follow
+    the highest one in order of the ends. ``nodes`` has nid, x, y, z, creator, type and checked."""
+    top = nodes.agg(F.coalesce(F.max("nid"), F.lit(0))).first()[0]
+    made = saved(numbered(found.withColumnRenamed("nid", "of"), "nid", "of").withColumn("nid", F.col("nid") + top), "made")
+    kinds = dict(nodes.dtypes)
+    new = made.select("nid", *(F.col(k).cast(kinds[k]).alias(k) for k in AXES), F.lit(creator).alias("creator"), F.lit(0).alias("type"), F.lit(0).alias("checked"))
+    return nodes.select(*new.columns).unionByName(new), edges.select("src", "dst", "creator").unionByName(made.select(F.col("of").alias("src"), F.col("nid").alias("dst"), F.lit(creator).alias("creator")))
 
 
 def interpolated(nodes: DataFrame, edges: DataFrame, voxels: DataFrame, least: float = 6, most: float = 300) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.functions.geometry import AXES
+from tracegraph.functions.geometry import AXES, step
 from tracegraph.operators.graph import components, degree, induced
+from tracegraph.operators.grid import ends
 from tracegraph.operators.repair import edge_lengths
 from tracegraph.store import saved
 
@@ -43,6 +44,14 @@ def annotation_info(nodes: DataFrame, edges: DataFrame, least: int = 1) -> DataF
     return out.orderBy(F.desc("length"), "comp")
 
 
+def annotation_members(nodes: DataFrame, least: int = 1) -> DataFrame:
+    """(comp, nid, role): the nodes of the components of ``annotation_info``, a row each; role is branch, end or node."""
+    per = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.count_if(pending()).alias("pending"))
+    done = per.where((F.col("pending") == 0) & (F.col("size") >= least)).select("comp")
+    d = F.col("degree")
+    return nodes.join(done, "comp", "left_semi").select("comp", "nid", F.when(d >= 3, "branch").when(d == 1, "end").otherwise("node").alias("role"))
+
+
 def by_size(nodes: DataFrame, more_than: int = 10, limit: int = 20, long: bool = True) -> DataFrame:
     """Nodes of components of more than ``more_than``, and of those with ``limit`` nodes or more (or, if not ``long``, fewer)."""
     sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > more_than)
@@ -69,6 +78,20 @@ def local_view(nodes: DataFrame, edges: DataFrame, centre: int, half: int) -> Da
     return out.select("nid", "comp", F.when(F.col("nid") == centre, "centre").when(F.col("type") == 1, "soma").otherwise("node").alias("marker"))
 
 
+def local_edges(nodes: DataFrame, edges: DataFrame, centre: int, half: int) -> DataFrame:
+    """(src, dst, dx, dy, dz): the edges with an end in the closed cube around a node, as vectors."""
+    near = local_view(nodes, edges, centre, half).select("nid")
+    seen = edges.join(near.withColumnRenamed("nid", "src"), "src", "left_semi").unionByName(edges.join(near.withColumnRenamed("nid", "dst"), "dst", "left_semi").select(*edges.columns))
+    both = ends(seen.select("src", "dst").distinct(), nodes)
+    return both.select("src", "dst", *(v.cast("long").alias("d" + k) for v, k in zip(step("a", "b"), AXES, strict=True)))
+
+
+def overview(nodes: DataFrame, edges: DataFrame, more_than: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Nodes of components of more than ``more_than`` nodes, and the edges whose ends are both among them."""
+    kept = by_size(nodes, more_than, 0)
+    return kept, dangling(kept, edges)
+
+
 def contrast(nodes: DataFrame, voxels: DataFrame) -> DataFrame:
     """(lo, hi): the contrast window of the voxels (x, y, z, v) at nodes."""
     v = nodes.select(*(F.col(k).cast("int").alias(k) for k in AXES)).join(voxels, list(AXES))

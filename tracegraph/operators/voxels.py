@@ -14,6 +14,7 @@ from tracegraph.functions.geometry import AXES, norm, step
 from tracegraph.operators.components import star_edges
 from tracegraph.operators.graph import adjacency, degree, induced, spanning_forest
 from tracegraph.operators.grid import haloed
+from tracegraph.operators.numbers import numbered
 from tracegraph.operators.paths import paths
 from tracegraph.store import saved
 
@@ -25,18 +26,26 @@ TILE = 8
 
 
 def voxel_id(prefix: str = "") -> Column:
-    """One number for a voxel; coordinates below BASE."""
+    """One number for a voxel that ``checked`` lets through."""
     x, y, z = (F.col(prefix + k).cast("long") for k in AXES)
     return (x * BASE + y) * BASE + z
 
 
+def checked(voxels: DataFrame) -> DataFrame:
+    """``voxels``; a coordinate below 0 or not below BASE is an error, as it would share its number with another voxel's."""
+    for k in AXES:
+        wrong = F.raise_error(F.lit(f"a voxel coordinate is below 0 or not below {BASE}")).cast(dict(voxels.dtypes)[k])
+        voxels = voxels.withColumn(k, F.when(F.col(k).between(0, BASE - 1), F.col(k)).otherwise(wrong))
+    return voxels
+
+
 def _offsets(df: DataFrame, name: str = "o") -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*(F.struct(*(F.lit(c).alias(k) for c, k in zip(o, AXES, strict=True))) for o in FORWARD))))
 
 
 def touching(voxels: DataFrame, *keys: str) -> DataFrame:
     """(keys, src, dst): pairs of 26-neighbours, by voxel id."""
-    moved = _offsets(voxels).select(*keys, voxel_id().alias("src"), *((F.col(k) + F.col(f"o.{k}")).alias(k) for k in AXES))
+    moved = _offsets(voxels.select(*keys, *AXES)).select(*keys, voxel_id().alias("src"), *((F.col(k) + F.col(f"o.{k}")).alias(k) for k in AXES))
     return moved.join(voxels.select(*keys, *AXES), [*keys, *AXES]).select(*keys, "src", voxel_id().alias("dst"))
 
 
@@ -64,7 +73,7 @@ def clip_normalise(voxels: DataFrame, *keys: str, share: float = 0.9999) -> Data
 
 def denormalise(df: DataFrame) -> DataFrame:
     """The inverse: v of norm, lo and hi, clipped to 16 bits."""
-    v = F.col("norm") * (F.col("hi") - F.col("lo")) + F.col("lo")
+    v = F.round(F.col("norm") * (F.col("hi") - F.col("lo")) + F.col("lo"), 6)  # what norm has lost must not cost a whole number
     return df.withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(65535.0), v)).cast("int"))
 
 
@@ -92,8 +101,8 @@ def score_tiles(voxels: DataFrame, size: int, halo: int = 4, scorer: Callable[[p
 
 def regions(voxels: DataFrame) -> DataFrame:
     """``voxels`` with region, the least voxel id of the 26-connected region."""
-    own = voxels.withColumn("nid", voxel_id())
-    found = star_edges(touching(voxels))
+    own = saved(checked(voxels).withColumn("nid", voxel_id()), "voxels")
+    found = star_edges(touching(own))
     return own.join(found, "nid", "left").withColumn("region", F.coalesce("comp", "nid")).drop("nid", "comp")
 
 
@@ -102,14 +111,22 @@ def large_regions(voxels: DataFrame, least: int = 50) -> DataFrame:
     return out.join(out.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least), "region")
 
 
-def skeleton_segments(voxels: DataFrame, longer_than: int = 6) -> DataFrame:
-    """(sid, ord, x, y, z): chains of skeleton voxels and, as segments of one point, branch voxels of degree 3.
+def inner_voxels(voxels: DataFrame, size: int) -> DataFrame:
+    """``voxels`` without the border of one voxel of each tile of side ``size``."""
+    for k in AXES:
+        voxels = voxels.where(F.pmod(F.col(k), F.lit(size)).between(1, size - 2))
+    return voxels
+
+
+def skeleton_segments(voxels: DataFrame, longer_than: int = 6, *keys: str) -> DataFrame:
+    """(sid, ord, x, y, z): chains of skeleton voxels and, as segments of one point, branch voxels of degree 3. With
+    ``keys`` only voxels of equal keys touch; a voxel has one.
 
     Neighbours form a forest in each region; branch voxels and their neighbours go, and chains of more than
     ``longer_than`` voxels with two ends stay. sid is the least voxel id of a chain, or minus a branch voxel's id less 1.
     """
-    nodes = saved(voxels.select(voxel_id().alias("nid"), *AXES), "skeleton")
-    forest = saved(spanning_forest(touching(voxels)), "forest")
+    nodes = saved(checked(voxels).select(voxel_id().alias("nid"), *AXES, *keys), "skeleton")
+    forest = saved(spanning_forest(touching(nodes, *keys)), "forest")
     deg = saved(degree(nodes.select("nid"), forest), "degrees")
     branch = deg.where("degree >= 3").select("nid")
     around = adjacency(forest).join(branch, "nid", "left_semi").select(F.col("nbr").alias("nid"))
@@ -213,20 +230,46 @@ def along(points: DataFrame, voxels: DataFrame) -> DataFrame:
     return cut.join(found, ["vx", "vy", "vz"], "left").withColumn("v", F.coalesce("v", F.lit(0))).drop("vx", "vy", "vz")
 
 
-def rank_filter(voxels: DataFrame, size: list[int], radius: int = 5) -> DataFrame:
-    """``voxels`` with rank, the share of the ball around each that is darker; beyond the image's border (sizes ``size``)
-    it is mirrored, and a voxel without a row is 0."""
-    ball = [(a, b, c) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) for c in range(-radius, radius + 1) if a * a + b * b + c * c <= radius * radius]
-    spark = voxels.sparkSession
-    offsets = spark.createDataFrame([tuple(map(int, o)) for o in ball], "ox int, oy int, oz int")
-    out = voxels.select(*AXES, "v").crossJoin(F.broadcast(offsets))  # a ball's offsets, fixed
+def dense_skeleton(chains: DataFrame, voxels: DataFrame, margin: int = 5) -> DataFrame:
+    """(x, y, z): the voxels of the brightest paths between consecutive points of chains (comp, ord, nid, x, y, z)."""
+    along_ = W.partitionBy("comp").orderBy("ord")
+    steps = chains.select("nid", *(F.col(k).alias("a" + k) for k in AXES), *(F.lead(k).over(along_).alias("b" + k) for k in AXES)).where("bx is not null")
+    return brightest_paths(steps.withColumnRenamed("nid", "edge"), voxels, margin).select(*AXES).distinct()
+
+
+def rank_filter(voxels: DataFrame, size: list[int], radius: int = 5, tile: int = 16) -> DataFrame:
+    """``voxels`` with rank, the share of the ball around each that is darker, and norm, its min-max normalised value in
+    the image: the two channels of a track model. Beyond the image's border (sizes ``size``) it is mirrored, and a voxel
+    without a row is 0. A task holds a tile with a margin of ``radius`` at a time."""
+    spread = range(-radius, radius + 1)
+    ball = np.array([(a, b, c) for a in spread for b in spread for c in spread if a * a + b * b + c * c <= radius * radius])
+    at = voxels.select(*(F.col(k).cast("long").alias(k) for k in AXES), "v").withColumn("own", F.lit(True))
     for k, n in zip(AXES, size, strict=True):
-        at, period = F.col(k) + F.col("o" + k), max(1, 2 * n)
-        m = F.pmod(at, F.lit(period))
-        out = out.withColumn("s" + k, F.when(m < n, m).otherwise(period - 1 - m))
-    found = voxels.select(*(F.col(k).alias("s" + k) for k in AXES), F.col("v").alias("w"))
-    out = out.join(found, ["sx", "sy", "sz"], "left").groupBy(*AXES, "v").agg(F.count_if(F.coalesce("w", F.lit(0)) < F.col("v")).alias("n"))
-    return out.select(*AXES, "v", F.round(F.col("n") / len(ball), 6).alias("rank"))
+        # every place within the margin at which the voxel or one of its mirror images lies
+        turns = range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)
+        places = F.array(*(c for i in turns for c in (F.col(k) + 2 * n * i, 2 * n * i - 1 - F.col(k))))
+        near = at.withColumn("p" + k, F.explode(F.array_distinct(places)))
+        at = near.where((F.col("p" + k) >= -radius) & (F.col("p" + k) < n + radius))
+        first, last = F.floor((F.col("p" + k) - radius) / tile), F.floor((F.col("p" + k) + radius) / tile)
+        at = at.withColumn("t" + k, F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit((n - 1) // tile)))))
+        at = at.withColumn("own", F.col("own") & (F.col("p" + k) == F.col(k)) & (F.floor(F.col(k) / tile) == F.col("t" + k)))
+    side = tile + 2 * radius
+
+    def run(cube: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros((side, side, side), cube["v"].to_numpy().dtype)
+        place = np.stack([cube["p" + k] - cube["t" + k] * tile + radius for k in AXES], 1)
+        dense[tuple(place.T)] = cube["v"]
+        own = cube["own"].to_numpy()
+        values, place, darker = cube["v"].to_numpy()[own], place[own], 0
+        for o in ball:
+            darker = darker + (dense[tuple((place + o).T)] < values)
+        out = cube.loc[own, [*AXES, "v"]]
+        out["rank"] = np.round(darker / len(ball), 6)
+        return out
+
+    kind = dict(voxels.dtypes)
+    ranked = at.groupBy("tx", "ty", "tz").applyInPandas(run, f"x {kind['x']}, y {kind['y']}, z {kind['z']}, v {kind['v']}, rank double")
+    return min_max(saved(ranked, "ranked")).withColumn("norm", F.round("norm", 6))
 
 
 def overlay(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -272,7 +315,9 @@ def ray_pick(rays: DataFrame, voxels: DataFrame, size: list[int]) -> DataFrame:
     return at.withColumn("r", F.row_number().over(first)).where("r = 1").select("ray", *AXES, "v")
 
 
-def process_volume(voxels: DataFrame, size: int, background: int = 150, least: int = 50, scorer: Callable[[pd.DataFrame], np.ndarray] = default_scorer) -> DataFrame:
-    """(sid, ord, x, y, z): tiles scored with halos, masked, small regions removed, what is left turned into segments."""
+def process_volume(voxels: DataFrame, size: int, background: int = 150, least: int = 50, scorer: Callable[[pd.DataFrame], np.ndarray] = default_scorer, longer_than: int = 6) -> DataFrame:
+    """(sid, ord, x, y, z): tiles scored with halos, masked, small regions removed, what is left turned into segments;
+    sids count from 1 over the whole volume, ready for ``tables.ingest_segments``."""
     kept = large_regions(mask(score_tiles(voxels, size, scorer=scorer), background=background), least)
-    return skeleton_segments(saved(kept.select(*AXES), "mask"))
+    found = saved(skeleton_segments(saved(kept.select(*AXES), "mask"), longer_than).withColumnRenamed("sid", "of"), "segments")
+    return found.join(numbered(found.select("of").distinct(), "sid", "of"), "of").select("sid", "ord", *AXES)

@@ -123,6 +123,11 @@ def swc_lines(spark, d):
     return tables.swc_lines(g, e)
 
 
+@query(f"with recursive {PARENTS} select case when somas = 0 then 'no_soma_' when somas = 1 then '' else 'many_soma_' end || 'neuron_' || root || '.swc' file, count(*) * 3 length from g join root using (comp) group by 1")
+def swc_lengths(spark, d):
+    return tables.total_length(tables.swc_lines(*_g1(spark, d)))
+
+
 def _old(spark, d):
     n, e = _f1(spark, d)
     old = n.select("nid", F.concat(F.lit("["), F.concat_ws(",", F.col("x") + 0.5, "y", -F.col("z")), F.lit("]")).alias("coord"), "creator", "type", "checked", "status")
@@ -146,6 +151,17 @@ def table_profile(spark, d):
     return tables.profile({t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("events", "nation", "part")})
 
 
+def _profile_sql(spec: dict[str, list[str]]) -> str:
+    one = "select '{t}' as name, {i}::bigint as place, '{c}' as \"column\", count(*) n_rows, count(*) - count({c}) n_null, count(distinct {c}) = count(*) is_key from {t}"
+    return " union all ".join(one.format(t=t, i=i, c=c) for t, cs in spec.items() for i, c in enumerate(cs))
+
+
+@query(_profile_sql({"nation": ["n_nationkey", "n_name", "n_regionkey"], "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"]}))
+def column_profile(spark, d):
+    t = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"]}
+    return tables.column_profile({k: spark.read.parquet(f"{d}/{k}.parquet").select(*c) for k, c in t.items()}).drop("type", "nullable")
+
+
 def _mirror_sql(padding: str) -> str:
     at = {k: f"(({k}.i + {o}) % {2 * n - 2} + {2 * n - 2}) % {2 * n - 2}" for k, o, n in zip("xyz", (-3, 30, -2), (40, 40, 51), strict=True)}
     src = {k: (f"case when {m} < {n} then {m} else {2 * n - 2} - {m} end" if padding == "reflect" else f"{k}.i + {o}") for (k, m), o, n in zip(at.items(), (-3, 30, -2), (40, 40, 51), strict=True)}
@@ -179,6 +195,12 @@ def raster_tiles(spark, d):
     return tables.raster_tiles(f1_nodes(spark, d))
 
 
+@query(f"with {F1}, p as (select distinct x % 40 x, y % 40 y, z % 51 z from n where creator = 'click'), a as (select unnest(generate_series(0, 39)) x), b as (select unnest(generate_series(0, 39)) y), c as (select unnest(generate_series(0, 50)) z) select a.x, b.y, c.z, cast(p.x is not null as bigint) m from a, b, c left join p on p.x = a.x and p.y = b.y and p.z = c.z")
+def mask_volume(spark, d):
+    p = f1_nodes(spark, d).where("creator = 'click'").select((F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), (F.col("z") % 51).alias("z"))
+    return tables.unpacked_mask(tables.mask_volume(p, [40, 40, 51]), [40, 40, 51])
+
+
 # edits
 
 
@@ -246,8 +268,10 @@ def _replay_sql(log: str) -> str:
     return f"""{F1}, {F6}, log as (select * from ed where {log}),
 fate as (select nid, arg_max(action, seq) fate from log where action in ('add_node', 'delete_node') group by 1),
 del as (select distinct nid from log where action = 'delete_node'),
-kind as (select nid, arg_max(arg, seq) arg from log where action = 'change_type' group by 1),
-flag as (select nid, arg_max(case when action = 'check' then 1 else -1 end, seq) f from log where action in ('check', 'uncheck') group by 1),
+gone as (select nid, max(seq) gone from log where action = 'delete_node' group by 1),
+late as (select log.* from log left join gone using (nid) where gone is null or seq > gone),
+kind as (select nid, arg_max(arg, seq) arg from late where action = 'change_type' group by 1),
+flag as (select nid, arg_max(case when action = 'check' then 1 else -1 end, seq) f from late where action in ('check', 'uncheck') group by 1),
 base as (select nid, x, y, z, creator, type, checked from n where nid not in (select nid from del)
          union all select nid, 0, 0, 0, 'edit', 0, 0 from fate where fate = 'add_node' and nid not in (select nid from n where nid not in (select nid from del))),
 done as (select nid, x, y, z, creator, cast(coalesce(kind.arg, type) as bigint) type, cast(coalesce(flag.f, checked) as bigint) checked from base left join kind using (nid) left join flag using (nid))"""
@@ -268,6 +292,34 @@ def edit_rollback(spark, d):
     return _node(edits.replay(*_f1(spark, d), edits.until(f6_edits(spark, d), 400))[0])
 
 
+def _edge_log(spark, d):
+    """The node log with an edit of an edge of F1, or of a pair that is none, beside every third edit."""
+    log = f6_edits(spark, d)
+    pair = log.where("seq % 3 = 0").select(
+        (F.col("seq") * 2 + 1).alias("seq"), F.col("nid"), F.when(F.col("seq") % 2 == 0, "add_edge").otherwise("delete_edge").alias("action"), "arg", (F.col("nid") * 7 % 500 + 1).alias("other")
+    )
+    cut = f1_edges(spark, d).where("src <= 500 and dst % 2 = 0").select((F.col("dst") * 4 + 1).alias("seq"), F.col("dst").alias("nid"), F.lit("delete_edge").alias("action"), F.lit(0).alias("arg"), F.col("src").alias("other"))
+    return log.select((F.col("seq") * 2).alias("seq"), "nid", "action", "arg", F.lit(None).cast("long").alias("other")).unionByName(pair).unionByName(cut)
+
+
+@query(f"""with {_replay_sql('true')},
+pl as (select seq * 2 + 1 seq, least(nid, nid * 7 % 500 + 1) a, greatest(nid, nid * 7 % 500 + 1) b, case when seq % 2 = 0 then 'add_edge' else 'delete_edge' end action from ed where seq % 3 = 0
+       union all select dst * 4 + 1, least(src, dst), greatest(src, dst), 'delete_edge' from e where src <= 500 and dst % 2 = 0),
+pp as (select a, b, arg_max(action, seq) action, max(seq) seq, bool_or(action = 'delete_edge') cut from pl group by 1, 2),
+stay as (select src, dst, creator from e where src not in (select nid from del) and dst not in (select nid from del) and (least(src, dst), greatest(src, dst)) not in (select (a, b) from pp where cut))
+select src, dst, creator from stay union all
+select a, b, 'edit' from pp left join gone ga on ga.nid = a left join gone gb on gb.nid = b
+where action = 'add_edge' and (a, b) not in (select (least(src, dst), greatest(src, dst)) from stay) and (ga.gone is null or pp.seq > ga.gone * 2) and (gb.gone is null or pp.seq > gb.gone * 2)
+  and a in (select nid from done) and b in (select nid from done)""")
+def edge_edit_replay(spark, d):
+    return edits.replay(*_f1(spark, d), _edge_log(spark, d))[1].select("src", "dst", "creator")
+
+
+@query(f"with {F1}, {F6}, t as (select arg_max(nid, seq) nid from ed where action = 'check') select nid, x, y, z, creator, cast(type as bigint) type, cast(case when nid = (select nid from t) then -1 else checked end as bigint) checked from n")
+def edit_reopen(spark, d):
+    return _node(edits.reopened(f1_nodes(spark, d), f6_edits(spark, d)))
+
+
 @query(f"with {F6} select arg_max(nid, seq) nid, max(seq) seq from ed where action = 'check'")
 def last_task(spark, d):
     return edits.last_task(f6_edits(spark, d))
@@ -279,6 +331,38 @@ def reset_around(spark, d):
     return _node(edits.reset_around(n, e, n.where("nid % 50 = 0")))
 
 
+@query(f"with {F1} select src, dst, creator from e where src % 50 = 0 or dst % 50 = 0")
+def removed_edges(spark, d):
+    n, e = _f1(spark, d)
+    return edits.removed_edges(e, n.where("nid % 50 = 0"))
+
+
+@query(f"""with recursive {F2.replace('n as (', 'n0 as (').replace('e as (', 'e0 as (').replace('from e ', 'from e0 ').replace('from e)', 'from e0)')},
+n as (select nid from n0 where nid % 10 <> 0), e as (select src, dst from e0 where src % 10 <> 0 and dst % 10 <> 0), {ADJ}, {COMP}, z as (select comp, count(*) size from comp group by 1),
+near as (select distinct s gone, d nbr from (select src s, dst d from e0 union all select dst, src from e0) where s % 10 = 0 and s <> d)
+select gone, arg_min(nbr, (-size, nbr)) centre, max(size) size, count(distinct comp) parts from near join comp on comp.nid = nbr join z using (comp) group by 1""")
+def new_centres(spark, d):
+    n, e = f2_nodes(spark, d), f2_edges(spark, d)
+    return edits.new_centres(n, e, n.where("nid % 10 = 0"))
+
+
+def _versioned(spark, d):
+    return f1_segments(spark, d).withColumn("version", F.col("sid") % 5)
+
+
+@query(f"with {F1}, {SEGMENTS} select max(sid) max_sid, max(sid % 5) max_version from s")
+def max_sid_version(spark, d):
+    return edits.highest(_versioned(spark, d))
+
+
+@query(f"""with {F1}, {SEGMENTS}, k as (select max(sid) m from s where sid % 2 = 0), r as (select sid, row_number() over (order by sid) + m "new" from (select distinct sid from s where sid % 2 = 1), k)
+select "new" sid, ord, x, y, z, cast(5 as bigint) as version, '2024-01-01' date from s join r using (sid)""")
+def stamped_segments(spark, d):
+    old, new = (_versioned(spark, d).where(f"sid % 2 = {k}") for k in (0, 1))
+    top = edits.highest(old).first()
+    return tables.new_segments(new, top.max_sid, 4, "2024-01-01")
+
+
 # boxes and tiles
 
 
@@ -452,6 +536,18 @@ def forest_size(spark, d):
     return graph.spanning_forest(f2_edges(spark, d)).agg(F.count(F.lit(1)).alias("forest_edges"))
 
 
+#: Kruskal's forest of F2 in (src, dst) order: an edge is in it if the edges before it do not join its ends.
+FOREST = f"""{NEW}, ce as (select *, row_number() over (order by src, dst) i from (select distinct least(src, dst) src, greatest(src, dst) dst from e2 where src <> dst)),
+ca as (select i, src s, dst d from ce union all select i, dst, src from ce),
+cf(i, pos) as (select i, src from ce union select cf.i, ca.d from cf join ca on ca.s = cf.pos and ca.i < cf.i),
+forest as (select src, dst from ce where not exists (select 1 from cf where cf.i = ce.i and cf.pos = ce.dst))"""
+
+
+@query(f"with recursive {FOREST} select src, dst from forest")
+def forest_edges(spark, d):
+    return graph.spanning_forest(f2_edges(spark, d))
+
+
 @query(f"with recursive {PARENTS} select nid, parent from t")
 def parents(spark, d):
     g, e = _g1(spark, d)
@@ -460,21 +556,21 @@ def parents(spark, d):
 
 
 @query(f"""with recursive {F2}, {DEG}, c as (select min(nid) nid from deg where degree = (select max(degree) from deg)),
-h(nid, k) as (select nid, 0 from c union select adj.d, h.k + case when h.nid <> (select nid from c) and degree >= 3 then 1 else 0 end from h join adj on adj.s = h.nid join deg on deg.nid = h.nid where k < 8)
-select nid, min(k)::bigint hops from h group by 1 having min(k) < 5""")
+h(nid, k) as (select nid, 0 from c union select adj.d, h.k + case when h.nid <> (select nid from c) and degree >= 3 then 1 else 0 end from h join adj on adj.s = h.nid join deg on deg.nid = h.nid where k < 11)
+select nid, min(k)::bigint hops from h group by 1 having min(k) < 10""")
 def branch_order(spark, d):
     n, e = f2_nodes(spark, d), f2_edges(spark, d)
     deg = saved(graph.degree(n.select("nid"), e), "degrees")
     start = deg.orderBy(F.desc("degree"), "nid").limit(1)
-    return graph.hops(e, start, deg.select("nid", (F.col("degree") >= 3).cast("long").alias("cost"))).where("hops < 5")
+    return graph.hops(e, start, deg.select("nid", (F.col("degree") >= 3).cast("long").alias("cost"))).where("hops < 10")
 
 
-@query(f"""with recursive {F1}, {GRAPH}, c as (select comp from g group by 1 order by count(*) desc, comp limit 1), h(nid, k) as (select comp, 0 from c union select adj.d, h.k + 1 from h join adj on adj.s = h.nid where k < 200)
+@query(f"""with recursive {F1}, {GRAPH}, c as (select comp from g group by 1 having count(*) > 10), h(nid, k) as (select comp, 0 from c union select adj.d, h.k + 1 from h join adj on adj.s = h.nid where k < 200)
 select nid, hops from (select nid, min(k)::bigint hops from h group by 1) join g using (nid) where {PENDING}""")
 def pending_by_hops(spark, d):
     g, e = _g1(spark, d)
-    top = g.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1)
-    own = saved(g.join(top, "comp", "left_semi"), "own")
+    large = g.groupBy("comp").count().where("count > 10")
+    own = saved(g.join(large, "comp", "left_semi"), "own")
     far = graph.hops(graph.induced(own, e), own.where("nid = comp"))
     return far.join(own.where(review.pending()).select("nid"), "nid").orderBy("hops", "nid")
 
@@ -495,6 +591,11 @@ def annotation_info(spark, d):
     return review.annotation_info(*_g1(spark, d))
 
 
+@query(f"with recursive {F1}, {GRAPH}, f as (select comp from g group by 1 having count(*) filter ({PENDING}) = 0) select comp, nid, case when degree >= 3 then 'branch' when degree = 1 then 'end' else 'node' end as role from g join f using (comp)")
+def annotation_members(spark, d):
+    return review.annotation_members(_g1(spark, d)[0])
+
+
 @query(f"with recursive {F1}, {GRAPH}, z as (select comp, count(*) size from g group by 1 having count(*) > 10) select nid, comp, size from g join z using (comp) where size >= 20")
 def long_components(spark, d):
     return review.by_size(_g1(spark, d)[0]).select("nid", "comp", "size")
@@ -522,6 +623,42 @@ def branched_paths(spark, d):
     return paths.attach_branches(saved(paths.paths(n, e, 1), "chains"), e)
 
 
+@query(f"""with recursive {FOREST}, fa as (select src s, dst d from forest union all select dst, src from forest), fr(nid, m) as (select nid, nid from n2 union select fa.d, fr.m from fr join fa on fa.s = fr.nid),
+fc as (select nid, min(m) fcomp from fr group by 1), n as (select nid from fc where fcomp in (select fcomp from fc group by 1 having count(*) > 10)),
+e as (select src, dst from forest where src in (select nid from n)), {_path_sql("one as (select 1)", 1).replace("ce as (", "pe as (").replace("from ce", "from pe").replace("ca as (", "pa as (").replace("from ca ", "from pa ").replace("ca.", "pa.").replace("join ca ", "join pa ").replace("left join ca", "left join pa")},
+t as (select comp, max(ord) last from w group by 1), tip as (select w.comp, w.ord, w.nid, last from w join t using (comp) where ord = 0 or ord = last),
+a2 as (select distinct s, d from (select src s, dst d from e union all select dst, src from e)),
+o as (select tip.comp, tip.ord, min(last) last, min(a2.d) nid from tip join a2 on a2.s = tip.nid where not exists (select 1 from w where w.comp = tip.comp and w.nid = a2.d) group by 1, 2 having count(*) = 1)
+select comp, ord, nid from w union all select comp, case when ord = 0 then -1 else last + 1 end, nid from o""")
+def coloured_paths(spark, d):
+    return paths.coloured_paths(f2_nodes(spark, d), f2_edges(spark, d))
+
+
+BOX = "n1 as (select * from n where x >= 100 and x <= 500 and y >= 0 and y <= 300 and z >= 0 and z <= 900)"
+
+
+@query(f"""with recursive {F1}, {BOX}, {F4},
+k0 as (select distinct least(src, dst) src, greatest(src, dst) dst from e where src in (select nid from n1) and dst in (select nid from n1) and src <> dst),
+k1 as (select nid, count(k0.src) k from n1 left join k0 on nid in (src, dst) group by 1), pl as (select nid from k1 where k < 3),
+pe as (select src, dst from k0 where src in (select nid from pl) and dst in (select nid from pl)), pa as (select src s, dst d from pe union all select dst, src from pe),
+pk as (select pl.nid, count(pa.s) k from pl left join pa on pa.s = pl.nid group by 1),
+cr(nid, m) as (select nid, nid from pl union select pa.d, cr.m from cr join pa on pa.s = cr.nid), cc as (select nid, min(m) comp from cr group by 1),
+st as (select comp, min(nid) start from cc join pk using (nid) where k = 1 group by 1 having count(*) = 2), sz as (select comp from cc group by 1 having count(*) >= 5),
+w(comp, ord, nid, prev) as (select comp, 0::bigint, start, -1::bigint from st join sz using (comp) union select w.comp, w.ord + 1, pa.d, w.nid from w join pa on pa.s = w.nid and pa.d <> w.prev)
+select comp, ord, w.nid, n1.x - 100 x, n1.y y, n1.z z, cast(coalesce(v, 0) as bigint) v from w join n1 on n1.nid = w.nid left join vox on vox.x = n1.x and vox.y = n1.y and vox.z = n1.z""")
+def segments_within(spark, d):
+    n, e = _f1(spark, d)
+    return paths.segments_within(n, e, f4_voxels(spark, d), [100, 0, 0], [400, 300, 900], 5).withColumn("v", F.col("v").cast("long"))
+
+
+@query()
+def dense_skeleton(spark, d):
+    """Between the points of F1's chains in a box, folded into the volume."""
+    n, e = _f1(spark, d)
+    inside = n.select("nid", (F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), (F.col("z") % 51).alias("z"))
+    return voxels.dense_skeleton(paths.segments_within(inside, e, f4_voxels(spark, d), [0, 0, 0], [39, 20, 50], 3), f4_voxels(spark, d))
+
+
 @query(f"with {F1}, {SEGMENTS}, k as (select sid, count(*) c from s group by 1) select count(*) filter (c >= 2) chains, count(*) filter (c = 1) points, sum(c)::bigint total from k")
 def segment_counts(spark, d):
     s = f1_segments(spark, d).groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
@@ -539,15 +676,20 @@ def edges_by_creator(spark, d):
 # repair
 
 
+def _angle_sql(u: tuple[str, str, str], v: tuple[str, str, str]) -> str:
+    (a, b, c), (x, y, z) = u, v
+    across = " + ".join(f"({p}) ** 2" for p in (f"{b} * {z} - {c} * {y}", f"{c} * {x} - {a} * {z}", f"{a} * {y} - {b} * {x}"))
+    return f"case when {a} ** 2 + {b} ** 2 + {c} ** 2 > 0 and {x} ** 2 + {y} ** 2 + {z} ** 2 > 0 then round(degrees(atan2(sqrt(({across})::double), ({a} * {x} + {b} * {y} + {c} * {z})::double)), 6) end"
+
+
 BENDS = f"""{F1}, {DEG}, t as (select a.s nid, a.d lo, b.d hi from adj a join adj b on a.s = b.s and a.d < b.d join deg on deg.nid = a.s where degree = 2),
 u as (select t.*, l.x - n.x ux, l.y - n.y uy, l.z - n.z uz, h.x - n.x vx, h.y - n.y vy, h.z - n.z vz from t join n on n.nid = t.nid join n l on l.nid = lo join n h on h.nid = hi),
-v as (select nid, lo, hi, ux * vx + uy * vy + uz * vz dot, sqrt((ux * ux + uy * uy + uz * uz)::double) * sqrt((vx * vx + vy * vy + vz * vz)::double) size from u),
-ang as (select nid, lo, hi, case when size > 0 then round(degrees(acos(greatest(-1.0, least(1.0, dot / size)))), 6) end angle from v)"""
+ang as (select nid, lo, hi, {_angle_sql(("ux", "uy", "uz"), ("vx", "vy", "vz"))} angle from u)"""
 
 
-@query(f"with {BENDS} select nid, lo, hi, round(angle, 4) angle from ang")
+@query(f"with {BENDS} select nid, lo, hi, angle from ang")
 def bend_angles(spark, d):
-    return repair.bend_angles(*_f1(spark, d)).withColumn("angle", F.round("angle", 4))
+    return repair.bend_angles(*_f1(spark, d))
 
 
 @query(f"with {BENDS} select nid from ang where angle < 100")
@@ -555,12 +697,22 @@ def sharp_bends(spark, d):
     return repair.sharp_bends(*_f1(spark, d)).select("nid")
 
 
-@query()
+@query(f"""with recursive {BENDS}, o as (select nid, lo, hi, row_number() over (order by nid) i from ang where angle < 100),
+s(i, cut) as (select 0::bigint, []::bigint[] union all select o.i, case when list_contains(cut, lo) or list_contains(cut, hi) then cut else list_append(cut, nid) end from s join o on o.i = s.i + 1)
+select unnest(cut) nid from s where i = (select max(i) from o)""")
 def sharp_bends_in_order(spark, d):
     return repair.cut_in_order(repair.sharp_bends(*_f1(spark, d)))
 
 
-@query()
+@query(f"""with recursive {F1}, {DEG}, tip as (select n.nid, x, y, z from deg join n using (nid) where degree = 1),
+w(nid, step, pos, prev) as (select nid, 0::bigint, nid, -1::bigint from tip union all
+  select w.nid, w.step + 1, adj.d, w.pos from w join adj on adj.s = w.pos and adj.d <> w.prev join deg on deg.nid = w.pos where w.step < 5 and degree <= 2),
+way as (select a.nid, sum(q.x - p.x) dx, sum(q.y - p.y) dy, sum(q.z - p.z) dz from w a join w b on b.nid = a.nid and b.step = a.step + 1 join n p on p.nid = a.pos join n q on q.nid = b.pos where a.step % 3 = 0 group by 1),
+pr as (select a.nid src, b.nid dst, p.dx, p.dy, p.dz, q.dx ex, q.dy ey, q.dz ez, b.x - a.x ax, b.y - a.y ay, b.z - a.z az from tip a join tip b on a.nid < b.nid and abs(a.x - b.x) <= 6 and abs(a.y - b.y) <= 6 and abs(a.z - b.z) <= 6
+  join way p on p.nid = a.nid join way q on q.nid = b.nid
+  where not exists (select 1 from w where w.nid = a.nid and w.pos = b.nid) and not exists (select 1 from w where w.nid = b.nid and w.pos = a.nid)),
+sc as (select src, dst, {_angle_sql(("dx", "dy", "dz"), ("(-ex)", "(-ey)", "(-ez)"))} turn, {_angle_sql(("dx", "dy", "dz"), ("ax", "ay", "az"))} one, {_angle_sql(("ex", "ey", "ez"), ("(-ax)", "(-ay)", "(-az)"))} other from pr)
+select src, dst, turn, least(one, other) bend from sc where turn <= 45 and least(one, other) >= 120""")
 def connect_candidates(spark, d):
     return repair.connect_candidates(*_f1(spark, d))
 
@@ -589,6 +741,15 @@ def next_points(spark, d):
     return repair.next_points(*_f1(spark, d))
 
 
+@query(f"""with recursive {F1}, {DEG}, w(nid, step, pos, prev) as (select nid, 0::bigint, nid, -1::bigint from deg where degree = 1 union all
+select w.nid, w.step + 1, adj.d, w.pos from w join adj on adj.s = w.pos and adj.d <> w.prev join deg on deg.nid = w.pos where w.step < 4 and degree <= 2),
+k as (select nid, (select max(nid) from n) + row_number() over (order by nid) new from w where step = 4)
+select src, dst, creator from e union all select nid, new, 'extend' from k""")
+def extended_edges(spark, d):
+    n, e = _f1(spark, d)
+    return repair.extended(n, e, repair.next_points(n, e))[1]
+
+
 def _interpolated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """F1, folded into the volume, with its long edges replaced."""
     n, e = _f1(spark, d)
@@ -636,9 +797,21 @@ def local_view(spark, d):
     return review.local_view(n, e, 500, 150)
 
 
+@query(f"""with {F1}, c as (select x, y, z from n where nid = 500), blk as (select nid from n, c where abs(n.x - c.x) <= 150 and abs(n.y - c.y) <= 150 and abs(n.z - c.z) <= 150)
+select distinct src, dst, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz from e join n a on a.nid = src join n b on b.nid = dst where src in (select nid from blk) or dst in (select nid from blk)""")
+def local_edges(spark, d):
+    return review.local_edges(*_f1(spark, d), 500, 150)
+
+
 @query(f"with recursive {F1}, {GRAPH} select nid, comp from g where comp in (select comp from g group by 1 having count(*) > 10)")
 def overview(spark, d):
-    return review.by_size(_g1(spark, d)[0], 10, 0).select("nid", "comp")
+    return review.overview(*_g1(spark, d))[0].select("nid", "comp")
+
+
+@query(f"with recursive {F1}, {GRAPH}, k as (select nid from g where nid % 9 <> 0 and comp in (select comp from g where nid % 9 <> 0 group by 1 having count(*) > 10)) select src, dst, creator from e where src in (select nid from k) and dst in (select nid from k)")
+def overview_edges(spark, d):
+    n, e = _g1(spark, d)
+    return review.overview(n.where("nid % 9 <> 0"), e)[1]
 
 
 @query(f"with {F3.replace('n as (', 'p as (')}, {F4} select cast(least(floor(avg(v) / 2), 200) as bigint) lo, round(avg(v) + stddev_pop(v), 4) hi from p join vox on abs(p.x) % 40 = vox.x and abs(p.y) % 40 = vox.y and abs(p.z) % 40 = vox.z")
@@ -663,18 +836,17 @@ def min_max(spark, d):
 
 
 CLIP = f"""{F4}, t as (select *, {TILE} from vox), o as (select *, row_number() over (partition by tx, ty, tz order by v) - 1 i, count(*) over (partition by tx, ty, tz) c from t),
-m as (select tx, ty, tz, min(v) lo, min(case when i = greatest(cast(floor(c * 0.9) as bigint) - 1, 0) then v end) hi from o group by 1, 2, 3)"""
+m as (select tx, ty, tz, min(v) lo, min(case when i = greatest(cast(floor(c * 0.9999::double) as bigint) - 1, 0) then v end) hi from o group by 1, 2, 3)"""
 
 
 @query(f"with {CLIP} select x, y, z, round(case when hi > lo then (least(v, hi) - lo) / (hi - lo)::double else 0.0 end, 6) norm from t join m using (tx, ty, tz)")
 def clip_normalise(spark, d):
-    return voxels.clip_normalise(_tiled(spark, d), "tx", "ty", "tz", share=0.9).select(*AXES, F.round("norm", 6).alias("norm"))
+    return voxels.clip_normalise(_tiled(spark, d), "tx", "ty", "tz").select(*AXES, F.round("norm", 6).alias("norm"))
 
 
 @query(f"with {CLIP} select x, y, z, cast(case when hi > lo then least(v, hi) else lo end as bigint) v from t join m using (tx, ty, tz)")
 def denormalise(spark, d):
-    back = voxels.clip_normalise(_tiled(spark, d), "tx", "ty", "tz", share=0.9).withColumn("norm", F.round("norm", 12))
-    back = voxels.denormalise(back.withColumn("lo", F.col("lo") + 0.001))
+    back = voxels.denormalise(voxels.clip_normalise(_tiled(spark, d), "tx", "ty", "tz"))
     return back.select(*AXES, F.col("v").cast("long"))
 
 
@@ -696,24 +868,27 @@ def _bright(spark, d):
     return f4_voxels(spark, d).where("v > 45000")
 
 
-@query()
+@query(f"""with recursive {F4}, b as (select (x::bigint * 1048576 + y) * 1048576 + z nid, x, y, z from vox where v > 45000), o as (select unnest(generate_series(-1, 1)) i),
+nb as (select nid s, x + i.i x, y + j.i y, z + k.i z from b, o i, o j, o k), adj as (select s, b.nid d from nb join b using (x, y, z) where s <> b.nid),
+r(nid, m) using key (nid) as (select nid, nid from b union select adj.d, min(r.m) from r join adj on adj.s = r.nid join recurring.r old on old.nid = adj.d where r.m < old.m group by 1),
+z as (select m region, count(*) size from r group by 1 having count(*) >= 50) select x, y, z, region, size from b join r using (nid) join z on region = m""")
 def regions(spark, d):
-    return voxels.large_regions(_bright(spark, d), 3).select(*AXES, "region", "size")
+    return voxels.large_regions(_bright(spark, d)).select(*AXES, "region", "size")
 
 
 @query()
 def skeleton_segments(spark, d):
-    return voxels.skeleton_segments(_bright(spark, d), 2)
+    return voxels.skeleton_segments(_bright(spark, d))
 
 
 @query()
 def process_volume(spark, d):
-    return voxels.process_volume(_bright(spark, d), 16, least=3)
+    return voxels.process_volume(f4_voxels(spark, d), 16, background=45_000)
 
 
-@query(f"with {F4}, s as (select * from vox), o as (select unnest(generate_series(-2, 2)) i), ball as (select a.i dx, b.i dy, c.i dz from o a, o b, o c where a.i * a.i + b.i * b.i + c.i * c.i <= 4), p as (select s.x, s.y, s.z, s.v, ((s.x + dx) % 80 + 80) % 80 sx, ((s.y + dy) % 80 + 80) % 80 sy, ((s.z + dz) % 102 + 102) % 102 sz from s, ball), q as (select x, y, z, v, case when sx < 40 then sx else 79 - sx end sx, case when sy < 40 then sy else 79 - sy end sy, case when sz < 51 then sz else 101 - sz end sz from p) select q.x, q.y, q.z, q.v, round(count(*) filter (coalesce(w.v, 0) < q.v) / (select count(*) from ball)::double, 6) rank from q left join s w on w.x = sx and w.y = sy and w.z = sz group by 1, 2, 3, 4")
+@query(f"with {F4}, s as (select * from vox), o as (select unnest(generate_series(-5, 5)) i), ball as (select a.i dx, b.i dy, c.i dz from o a, o b, o c where a.i * a.i + b.i * b.i + c.i * c.i <= 25), p as (select s.x, s.y, s.z, s.v, ((s.x + dx) % 80 + 80) % 80 sx, ((s.y + dy) % 80 + 80) % 80 sy, ((s.z + dz) % 102 + 102) % 102 sz from s, ball), q as (select x, y, z, v, case when sx < 40 then sx else 79 - sx end sx, case when sy < 40 then sy else 79 - sy end sy, case when sz < 51 then sz else 101 - sz end sz from p) select q.x, q.y, q.z, q.v, round(count(*) filter (coalesce(w.v, 0) < q.v) / (select count(*) from ball)::double, 6) rank, round((q.v - (select min(v) from s)) / ((select max(v) from s) - (select min(v) from s))::double, 6) norm from q left join s w on w.x = sx and w.y = sy and w.z = sz group by 1, 2, 3, 4")
 def rank_filter(spark, d):
-    return voxels.rank_filter(f4_voxels(spark, d), [40, 40, 51], 2)
+    return voxels.rank_filter(f4_voxels(spark, d), [40, 40, 51])
 
 
 def _image(spark, d, name):
@@ -749,12 +924,13 @@ def image_pairs(spark, d):
     return augment.paired(_files(spark, d))
 
 
-@query()
+@query("""with f as (select case when c_custkey % 2 = 0 then 'img' else 'mask' end kind, cast(c_custkey % 61 as varchar) id from customer), i as (select id from f group by 1 having count(distinct kind) = 2),
+r as (select s::int as sample, id, row_number() over (partition by s order by md5('0:' || s || ':' || id), id) place from i, (select unnest(generate_series(1, 20)) s)) select sample, place::int place, id from r where place <= 3""")
 def image_triples(spark, d):
     return augment.triples(augment.paired(_files(spark, d)), 20)
 
 
-@query()
+@query(_tiles_sql("cast(floor({} / 128.0) as bigint)", True).replace("select roi, x0 + tx", "select row_number() over (order by md5(concat_ws(':', '0', roi, x0, y0, z0)), roi, x0, y0, z0)::int number, * from (select roi, x0 + tx") + ") order by number limit 50")
 def background_blocks(spark, d):
     return augment.background_blocks(_rois(spark, d), 128, 50)
 
@@ -763,4 +939,6 @@ def background_blocks(spark, d):
 def generated_set(spark, d):
     names = f5_images(spark, d).select("image").distinct()
     files = names.select(F.concat(F.lit("img_"), "image", F.lit(".tif")).alias("name")).union(names.select(F.concat(F.lit("mask_"), "image", F.lit(".tif"))))
-    return augment.generate(f5_images(spark, d), files, _image(spark, d, "N"), 4)
+    background = f4_voxels(spark, d).crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("roi"))))  # four images
+    rois = spark.range(4).select(F.col("id").alias("roi"), *(F.lit(0).cast("long").alias(f"{k}0") for k in AXES), *(F.lit(130).cast("long").alias(f"s{k}") for k in AXES))
+    return augment.gen_dataset(f5_images(spark, d), files, _image(spark, d, "N"), background, rois, 4, 3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from tracegraph.functions.geometry import AXES
 from tracegraph.operators.graph import rooted, spanning_forest
 from tracegraph.operators.grid import mirror
-from tracegraph.store import saved
+from tracegraph.operators.numbers import numbered, summed_before
 
 
 def read(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
@@ -29,29 +31,6 @@ def parse_segments(segments: DataFrame) -> DataFrame:
     return pts.select("sid", F.col("ord").cast("long"), *(F.col("p")[i].alias(k) for i, k in enumerate(AXES)))
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """``df`` with dense numbers from 1 in ``order``: places inside range partitions plus the counts before them, so that
-    no task sees all rows."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-
-    placed = saved(placed, "numbered")
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return placed.join(F.broadcast(before), "_p").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_p", "_before")  # a row a partition
-
-
-def summed_before(df: DataFrame, value: str, name: str, *order: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before each in ``order``: sums inside range partitions plus those of
-    the partitions before, so that no task sees all rows."""
-    placed = saved(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "summed")
-    sums = placed.groupBy("_p").agg(F.sum(value).alias("_n"))
-    upto = F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
-    before = sums.select("_p", F.coalesce(upto, F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return placed.join(F.broadcast(before), "_p").withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_before")).drop("_p", "_before")  # a row a partition
-
-
 def ingest_segments(points: DataFrame, first_nid: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and chained edges of segments (sid, ord, x, y, z); nids follow ``first_nid`` in (sid, ord) order."""
     nodes = numbered(points, "nid", "sid", "ord").withColumn("nid", F.col("nid") + first_nid)
@@ -61,6 +40,19 @@ def ingest_segments(points: DataFrame, first_nid: int = 0) -> tuple[DataFrame, D
     return nodes.drop("ord"), edges
 
 
+def new_segments(points: DataFrame, max_sid: int, max_version: int, date: str) -> DataFrame:
+    """``points`` (sid, ord, x, y, z) of segments to be taken into a store: sids go on from ``max_sid`` in their own order,
+    and all get the next version and the date."""
+    ids = numbered(points.select("sid").distinct(), "new", "sid").withColumn("new", F.col("new") + max_sid)
+    return points.join(ids, "sid").select(F.col("new").alias("sid"), "ord", *AXES, F.lit(max_version + 1).cast("long").alias("version"), F.lit(date).alias("date"))
+
+
+def read_swc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the lines of all swc files of a folder, each with the name of its file."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.swc").text(path)
+    return lines.select(F.col("_metadata.file_name").alias("file"), "value")
+
+
 def parse_swc(lines: DataFrame) -> DataFrame:
     """(file, n, type, x, y, z, parent) of swc lines (file, value); comments and blank lines go."""
     f = F.split(F.trim("value"), r"\s+")
@@ -90,6 +82,11 @@ def swc_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select(F.concat(prefix, F.lit("neuron_"), F.col("root").cast("string"), F.lit(".swc")).alias("file"), "nid", value.alias("value"))
 
 
+def total_length(lines: DataFrame) -> DataFrame:
+    """(file, length): three voxels a node, the spacing at which chains are sampled."""
+    return lines.groupBy("file").agg((F.count(F.lit(1)) * 3).alias("length"))
+
+
 def write_swc(lines: DataFrame, path: str) -> None:
     """A folder of text for each file; lines in order of nid."""
     lines.repartition("file").sortWithinPartitions("file", "nid").select("file", "value").write.partitionBy("file").text(path)
@@ -114,6 +111,21 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def column_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, place, column, type, nullable, n_rows, n_null, is_key) of each column; is_key: no value is null or occurs twice."""
+    out = None
+    for name, df in tables.items():
+        for i, f in enumerate(df.schema):
+            counts = df.groupBy(F.col(f"`{f.name}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+            row = row.select(
+                F.lit(name).alias("name"), F.lit(i).cast("long").alias("place"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"),
+                "n_rows", "n_null", ((F.col("most") <= 1) & (F.col("n_null") == 0)).alias("is_key"),
+            )
+            out = row if out is None else out.unionAll(row)
+    return out
+
+
 def slab(voxels: DataFrame, low: list[int], high: list[int]) -> DataFrame:
     """Voxels in the half-open box from ``low`` to ``high``."""
     for k, a, b in zip(AXES, low, high, strict=True):
@@ -146,3 +158,39 @@ def raster_tiles(points: DataFrame, size: int = 16) -> DataFrame:
     """(tx, ty, tz, n): the distinct voxels of points (x, y, z) by tile."""
     cells = points.select(*(F.col(k).cast("int").cast("long").alias(k) for k in AXES)).distinct()
     return cells.groupBy(*(F.floor(F.col(k) / size).alias("t" + k) for k in AXES)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mask_volume(points: DataFrame, image: list[int], size: int = 16) -> DataFrame:
+    """(tx, ty, tz, data): the tiles of side ``size`` of a 0/1 volume with the image's shape, a byte a voxel, x first, 1 at
+    the voxels of ``points``; the last tiles are clipped. Points outside the image are left out. A task holds a tile."""
+    counts = [-(-n // size) for n in image]
+    tiles = points.sparkSession.range(counts[0] * counts[1] * counts[2]).select(
+        F.floor(F.col("id") / (counts[1] * counts[2])).alias("tx"), (F.floor(F.col("id") / counts[2]) % counts[1]).alias("ty"), (F.col("id") % counts[2]).alias("tz")
+    )
+    cells = points.select(*(F.floor(k).cast("long").alias(k) for k in AXES)).distinct()
+    for k, n in zip(AXES, image, strict=True):
+        cells = cells.where((F.col(k) >= 0) & (F.col(k) < n))
+    cells = cells.select(*(F.floor(F.col(k) / size).alias("t" + k) for k in AXES), *AXES)
+
+    def run(cube: pd.DataFrame) -> pd.DataFrame:
+        corner = [int(cube["t" + k].iloc[0]) * size for k in AXES]
+        volume = np.zeros([min(size, n - c) for n, c in zip(image, corner, strict=True)], np.uint8)
+        own = cube.dropna(subset=list(AXES))
+        volume[tuple(own[k].to_numpy(np.int64) - c for k, c in zip(AXES, corner, strict=True))] = 1
+        return pd.DataFrame([(*(c // size for c in corner), volume.tobytes())], columns=["tx", "ty", "tz", "data"])
+
+    return tiles.join(cells, ["tx", "ty", "tz"], "left").groupBy("tx", "ty", "tz").applyInPandas(run, "tx long, ty long, tz long, data binary")
+
+
+def write_mask(tiles: DataFrame, path: str) -> None:
+    """A raster's tiles as a table, a folder for each slab of tiles."""
+    tiles.repartition("tx").write.partitionBy("tx").parquet(path)
+
+
+def unpacked_mask(tiles: DataFrame, image: list[int], size: int = 16) -> DataFrame:
+    """(x, y, z, m): every voxel of a 0/1 volume's tiles."""
+    wide = {k: F.least(F.lit(size), F.lit(n) - F.col("t" + k) * size) for k, n in zip(AXES, image, strict=True)}
+    digits = tiles.select("tx", "ty", "tz", F.posexplode(F.split(F.regexp_replace(F.hex("data"), "0([01])", "$1"), "")).alias("i", "m")).where("m <> ''")
+    i = F.col("i")
+    x, y, z = F.floor(i / (wide["y"] * wide["z"])), F.floor(i / wide["z"]) % wide["y"], i % wide["z"]
+    return digits.select(*((F.col("t" + k) * size + v).cast("long").alias(k) for k, v in (("x", x), ("y", y), ("z", z))), F.col("m").cast("long").alias("m"))

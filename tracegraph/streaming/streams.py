@@ -10,36 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracegraph.operators.edits import replay
-from tracegraph.operators.voxels import default_scorer
+from tracegraph.operators.voxels import default_scorer, skeleton_segments
+from tracegraph.store import saved
 
 
-def edit_stream(spark: SparkSession, path: str, schema: str, nodes: DataFrame, edges: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch of edits to a log, once per (batch, seq), and publishes the state after the whole log.
+def edit_stream(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends each micro-batch of edits to a log, a folder for each batch: the work of a batch is the batch.
 
     The log is the state: a batch that runs again writes the same folder, so a restart neither loses nor doubles edits.
     """
 
     def submit(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
-        log = spark.read.schema(batch.schema).parquet(f"{out}/log").dropDuplicates(["seq"])
-        n, e = replay(nodes, edges, log)
-        n.write.mode("overwrite").parquet(f"{out}/nodes/at={batch_id}")
-        e.write.mode("overwrite").parquet(f"{out}/edges/at={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     return stream.writeStream.foreachBatch(submit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def state(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """The newest published table."""
-    every = spark.read.parquet(f"{out}/{table}")
-    newest = every.agg(F.max("at")).first()[0]
-    return every.where(F.col("at") == newest).drop("at")
+def state(spark: SparkSession, schema: str, nodes: DataFrame, edges: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after all that the log holds, each edit once by its seq."""
+    return replay(nodes, edges, spark.read.schema(schema).parquet(f"{out}/log").dropDuplicates(["seq"]))
 
 
-def tile_stream(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, scorer: Callable = default_scorer, background: int = 150) -> StreamingQuery:
-    """Scores tiles (tile, x, y, z, v rows) as files arrive and appends the voxels of their masks; each file holds whole
-    tiles, so no state is kept between them."""
+def tile_stream(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, scorer: Callable = default_scorer, background: int = 150, longer_than: int = 6) -> StreamingQuery:
+    """Scores tiles (tile, x, y, z, v rows) as files arrive and appends the segments (sid, ord, x, y, z) of their masks,
+    each inside its tile, and a line of progress (batch, tiles, segments). Each file holds whole tiles, so no state is
+    kept between them; a batch that runs again writes the same folders."""
 
     def score(tile: pd.DataFrame) -> pd.DataFrame:
         tile["norm"] = scorer(tile)
@@ -47,7 +43,11 @@ def tile_stream(spark: SparkSession, path: str, schema: str, out: str, checkpoin
 
     def batch(df: DataFrame, batch_id: int) -> None:
         kinds = ", ".join(f"{n} {t}" for n, t in df.dtypes)
-        df.groupBy("tile").applyInPandas(score, f"{kinds}, norm double").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        mask = saved(df.groupBy("tile").applyInPandas(score, f"{kinds}, norm double"), "mask")
+        skeleton_segments(mask, longer_than, "tile").write.mode("overwrite").parquet(f"{out}/segments/batch={batch_id}")
+        segments = df.sparkSession.read.schema("sid long").parquet(f"{out}/segments/batch={batch_id}")
+        progress = df.agg(F.count_distinct("tile").alias("tiles")).crossJoin(segments.agg(F.count_distinct("sid").alias("segments")))  # one row each
+        progress.write.mode("overwrite").parquet(f"{out}/progress/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
