@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.operators.components import star_edges
+from tracegraph.operators.components import hook, star_edges
 from tracegraph.llm.bytewords import SLICE, mix, release, shingle_hashes, slices, words_of
 from tracegraph.store import saved
 
@@ -116,22 +116,6 @@ def run_pairs(key: np.ndarray, side: np.ndarray | None = None, most: int = 1 <<
         yield tuple(np.concatenate(got, axis=1))
 
 
-def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins a[i] and b[i] in the forest ``root``; afterwards root[x] is the least position joined to x."""
-    while len(a):
-        ra, rb = root[a], root[b]
-        differ = ra != rb
-        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-        if not len(a):
-            break
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root[:] = up
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, limit=SLICE):
