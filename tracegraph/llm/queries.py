@@ -11,7 +11,7 @@ from tracegraph.llm.ngram_join import op1_ngram_jaccard_join
 from tracegraph.llm.perplexity import op7_quality_rules
 from tracegraph.llm.quality import op4_quality_classifier
 from tracegraph.llm.url_filter import OP8_SQL, op8_url_filters
-from tracegraph.llm.warc import op6_warc
+from tracegraph.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     f.__name__: f
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_source_mixing": OP3_SQL, "op8_url_filters": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL}
+SQL = {"op3_source_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op8_url_filters": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL}

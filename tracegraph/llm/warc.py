@@ -413,3 +413,15 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
         .where(F.col("record_type").isin("response", "revisit"))
         .select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
     )
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+h as (select page_id, cast(octet_length(encode(html)) as bigint) payload_bytes, sha1(html) h from p),
+d as (select page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, 1 + 10 * (i // 8), 10) as bigint) >> (5 * (7 - i % 8))) & 31 as integer), 1)), '') payload_digest from h),
+f as (select payload_bytes, payload_digest, min(page_id) first_id from d group by 1, 2)
+select page_id, payload_bytes, payload_digest, case when page_id is not null and page_id > first_id or page_id is null and first_id is not null then 'revisit' else 'response' end record_type,
+       case when page_id is not null and page_id > first_id or page_id is null then first_id end refers_to
+from d join f using (payload_bytes, payload_digest)
+"""
