@@ -259,7 +259,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         code = np.array([languages.index(r.lang) for r in found])
         weight = (1 / np.bincount(code, minlength=len(languages)))[code].astype(np.float32)  # as if all languages had as many windows
         target = np.eye(len(languages), dtype=np.float32)[:, code]
-        net.fit(ahead, back, np.array([r.size for r in found]), target, weight, steps=int(np.clip(len(found) / 256 * 5, 80, 300)))
+        net.fit(ahead, back, np.array([r.size for r in found]), target, weight, steps=int(np.clip(len(found) / 256 * 8, 80, 400)))
     return Model(languages, net)
 
 
