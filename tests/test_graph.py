@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tracegraph.operators import augment, edits, graph, grid, paths, repair, review, voxels
+from tracegraph.operators.components import _with_least
 from tracegraph.sources import tables
 
 
@@ -417,3 +418,43 @@ def test_swc_ids_need_no_task_with_all_files(spark):
     assert rows(n, "file", "nid") == want
     plan = n._jdf.queryExecution().executedPlan().toString()
     assert "file" not in "".join(x for x in plan.splitlines() if "Exchange SinglePartition" in x or ("Window" in x and "_p" not in x))
+
+
+def test_hops_equal_a_breadth_first_search(spark):
+    r = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(r.randrange(60), r.randrange(60)) for _ in range(6)]
+    edges += [(100, 101), (101, 102), (102, 100), (5, 5), (1, 2), (200, 201)]  # a ring and a pair out of reach
+    n, e = G(spark, edges)
+    start = spark.createDataFrame([(0,), (25,), (300,)], "nid long")
+    cost = graph.degree(n, graph.canonical(e)).selectExpr("nid", "cast(degree >= 3 as long) cost")
+    for costs in (None, cost):
+        price = {x: 1 for x in n.toPandas().nid} if costs is None else dict(rows(costs, "nid", "cost"))
+        if costs is not None:
+            price |= {0: 0, 25: 0}
+        want, changed = {0: 0, 25: 0, 300: 0}, True
+        while changed:
+            changed = False
+            for a, b in [*edges, *((b, a) for a, b in edges)]:
+                if a in want and want[a] + price[a] < want.get(b, 1e9):
+                    want[b], changed = want[a] + price[a], True
+        assert dict(rows(graph.hops(e, start, costs), "nid", "hops")) == want
+
+
+def test_hops_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    names = []
+    real = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, name="table", instead_of=None: names.append(name) or real(df, name, instead_of))
+    _, e = G(spark, [(i, i + 1) for i in range(300)])
+    assert dict(rows(graph.hops(e, spark.createDataFrame([(150,)], "nid long")), "nid", "hops")) == {i: abs(i - 150) for i in range(301)}
+    assert len(names) < 20
+
+
+def test_components_join_may_split_a_hub(spark):
+    _, e = G(spark, [(0, i) for i in range(1, 50)])
+    least = e.groupBy(e.src.alias("u")).agg({"dst": "min"}).withColumnRenamed("min(dst)", "least")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _with_least(e.selectExpr("src u", "dst m"), least)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3

@@ -57,6 +57,13 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+def _with_least(e: DataFrame, least: DataFrame) -> DataFrame:
+    """``e`` with the least of its u. The join's key is an expression: so it is dealt apart from the aggregation, and
+    Spark may split the rows of a node with many neighbours among tasks."""
+    own = least.select(F.col("u").alias("of"), "least")
+    return e.join(own, F.bitwise_not("u") == F.bitwise_not("of")).drop("of")
+
+
 def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(nid, comp): every node that has an edge to another one, with the least node of its component.
 
@@ -70,8 +77,7 @@ def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         both = e.union(e.select(F.col("m").alias("u"), F.col("u").alias("m")))
         least = both.groupBy("u").agg(F.min("m").alias("least"))
         large = (
-            both.where("m > u")
-            .join(least, "u")
+            _with_least(both.where("m > u"), least)
             .select(F.col("m").alias("u"), F.least("least", "u").alias("m"))
             .union(least.where("least < u").select("u", F.col("least").alias("m")))
             .distinct()
@@ -79,7 +85,7 @@ def star_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         # small-star: the smaller neighbours of u, and u, move to the least of them
         least = large.groupBy("u").agg(F.min("m").alias("least"))
         small = (
-            large.join(least, "u")
+            _with_least(large, least)
             .where("m > least")
             .select(F.col("m").alias("u"), F.col("least").alias("m"))
             .union(least.select("u", F.col("least").alias("m")))

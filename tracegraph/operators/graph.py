@@ -5,8 +5,6 @@ Edges are undirected; ``canonical`` gives one row with src <= dst for each.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -104,28 +102,72 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
     return down.unionAll(roots.select("nid", F.lit(-1).cast("long")))
 
 
+def _chains(adj: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, end, far): for each arc (nid, nbr) of ``adj``, the first node with ``key`` that a walk along it meets, and the
+    edges to there. ``own`` has a row (nid, key, lo, hi) for each node; one without key has two neighbours, lo and hi.
+
+    Pointer jumping: rounds grow with the logarithm of the longest chain. Rings without a key node give no rows.
+    """
+    to = own.select(F.col("nid").alias("b"), "key", "lo", "hi")
+    on = ~F.col("key")
+    state = adj.select(F.col("nid").alias("a"), F.col("nbr").alias("b")).join(to, "b")
+    state = state.select(
+        "a",
+        "b",
+        F.when(on, F.col("b")).alias("na"),
+        F.when(on, F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("nb"),
+        F.when(F.col("key"), F.col("b")).alias("end"),
+        F.lit(1).cast("long").alias("far"),
+    )
+    state, before = saved(state, "chains"), None
+    # as long as a walk has not met its end, one each round does; those left are rings
+    while (left := state.where("na is not null").count()) and left != before:
+        before = left
+        ahead = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("end").alias("end2"), F.col("far").alias("more"))
+        moved = state.where("na is not null").join(ahead, ["na", "nb"])
+        moved = moved.select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), F.col("end2").alias("end"), (F.col("far") + F.col("more")).alias("far"))
+        state = saved(state.where("na is null").unionByName(moved), "chains", instead_of=state)
+    return state.where("end is not null").select("a", "end", "far")
+
+
 def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """(nid, hops): least number of edges from the nodes of ``start`` (nid), by a frontier that grows edge by edge.
+    """(nid, hops): least number of edges from the nodes of ``start`` (nid).
 
     With ``nodes_cost`` (nid, cost of 0 or 1) a step costs what the node it leaves costs (nothing at a start).
-    Goes on until nothing is reached at a lower cost; raises if that takes more than ``limit`` rounds.
+    Chains of nodes that no way forks, starts or costs at become one edge first, so that the frontier moves chain by chain:
+    rounds grow with the forks on a way, not with its length. Raises if a node is more than ``limit`` hops away.
     """
     adj = saved(adjacency(edges).where("nid <> nbr").distinct(), "adjacency")
+    first = start.select("nid").where("nid is not null").distinct()
+    own = adj.groupBy("nid").agg(F.count(F.lit(1)).alias("n"), F.min("nbr").alias("lo"), F.max("nbr").alias("hi"))
+    own = own.join(first.withColumn("begin", F.lit(True)), "nid", "left")
     if nodes_cost is None:
-        adj = adj.withColumn("cost", F.lit(1).cast("long"))
+        own = own.withColumn("cost", F.lit(0).cast("long"))
     else:
-        adj = saved(adj.join(nodes_cost.select("nid", F.col("cost").cast("long")), "nid", "left").fillna({"cost": 0}), "adjacency")
-    first = start.select("nid").distinct().withColumn("hops", F.lit(0).cast("long"))
-    done, front, zero = first, first, nodes_cost is not None
-    for n in count():
-        if n == limit:
-            raise RuntimeError(f"hops did not settle in {limit} rounds")
-        reached = front.join(adj, "nid").select(F.col("nbr").alias("nid"), (F.col("hops") + (F.lit(0) if zero else F.col("cost"))).alias("hops"))
-        zero = False
-        reached = reached.groupBy("nid").agg(F.min("hops").alias("hops"))
+        own = own.join(nodes_cost.groupBy("nid").agg(F.min("cost").cast("long").alias("cost")), "nid", "left")
+    cost = F.when(F.col("begin").isNull(), F.coalesce("cost", F.lit(0))).otherwise(0).cast("long")
+    own = own.withColumn("cost", cost)
+    own = saved(own.select("nid", "lo", "hi", "cost", ((F.col("n") != 2) | F.col("begin").isNotNull() | (F.col("cost") != 0)).alias("key")), "ends")
+    chains = _chains(adj, own)
+
+    leaving = own.where("key").select(F.col("nid").alias("a"), "cost")
+    price = F.col("far") if nodes_cost is None else F.col("cost")
+    ways = chains.where("a <> end").join(leaving, "a").groupBy(F.col("a").alias("nid"), F.col("end").alias("nbr")).agg(F.min(price).alias("cost"))
+    ways = saved(ways, "ways")
+    done = front = first.withColumn("hops", F.lit(0).cast("long"))
+    while True:
+        reached = front.join(ways, "nid").groupBy(F.col("nbr").alias("nid")).agg(F.min(F.col("hops") + F.col("cost")).alias("hops"))
         better = reached.join(done.select("nid", F.col("hops").alias("had")), "nid", "left").where("had is null or hops < had").select("nid", "hops")
         front = saved(better, "front")
         if front.isEmpty():
             break
-        done = saved(done.join(front.select("nid", F.col("hops").alias("new")), "nid", "full").select("nid", F.coalesce("new", "hops").alias("hops")), "reached")
-    return done
+        new = done.join(front.select("nid", F.col("hops").alias("new")), "nid", "full").select("nid", F.coalesce("new", "hops").alias("hops"))
+        done = saved(new, "reached", instead_of=done)
+
+    at = done.select(F.col("nid").alias("end"), "hops")
+    inside = chains.join(own.where("not key").select(F.col("nid").alias("a")), "a", "left_semi").join(at, "end")
+    inside = inside.join(leaving.withColumnRenamed("a", "end"), "end")
+    out = done.unionByName(inside.groupBy(F.col("a").alias("nid")).agg(F.min(F.col("hops") + price).alias("hops")))
+    if limit is not None and not out.where(F.col("hops") > limit).isEmpty():
+        raise RuntimeError(f"there are nodes more than {limit} hops away")
+    return out
