@@ -276,7 +276,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = saved(bands.join(shared, "band").select("band", "cid", "size"), "members")
     n_members = members.count()
-    units = _units(members, "band", F.ceil(F.col("size") / BLOCK_ROWS), max(1, n_members // 8_000))
+    units = _units(members, "band", F.ceil(F.col("size") / BLOCK_ROWS), max(1, n_members // (2 * BLOCK_ROWS)))
     units = units.join(classes.select("cid", "sig"), "cid")
     forest = units.groupBy("unit", "cut").applyInArrow(_forest, "src long, dst long").distinct()
     near = star_edges(saved(forest, "forest"))
