@@ -7,7 +7,7 @@ from tracegraph.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from tracegraph.llm.html_text import op5_html_extraction
 from tracegraph.llm.langid import op2_language_id
 from tracegraph.llm.lattice import op9_lm_scoring
-from tracegraph.llm.merkle import op13_merkle_manifest
+from tracegraph.llm.merkle import OP13_SQL, op13_merkle_manifest
 from tracegraph.llm.mixing import OP3_SQL, op3_source_mixing
 from tracegraph.llm.ngram_join import op1_ngram_jaccard_join
 from tracegraph.llm.perplexity import op7_quality_rules
@@ -25,4 +25,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_source_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op8_url_filters": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_exact_dedup": OP11_SQL}
+SQL = {"op3_source_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op8_url_filters": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
