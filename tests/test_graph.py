@@ -127,6 +127,23 @@ def test_spliced_tiles(spark):
     got = grid.spliced(r, 300, 300)
     assert sorted({(t.z0, t.sz) for t in got.collect()}) == [(250, 50), (300, 300), (600, 50)]
     assert sorted({(t.x0, t.sx) for t in got.collect()}) == [(5, 300), (305, 300), (605, 10)]
+    cuts = lambda size, splices: sorted({(t.z0, t.sz) for t in grid.spliced(r, size, splices).collect()})
+    assert cuts(300, 150) == [(250, 50), (300, 150), (450, 150), (600, 50)]
+    assert cuts(300, 200) == [(250, 300), (550, 100)]
+    assert cuts(300, 100_000) == [(250, 300), (550, 100)]
+
+
+def test_spliced_tiles_of_edge_cases(spark):
+    """From the rule itself: every z of a roi is looked at."""
+    r = random.Random(8)
+    cases = [(i, r.randint(-5, 5), 0, r.randint(-70, 70), r.randint(0, 9), 3, r.randint(0, 90)) for i in range(40)]
+    df = spark.createDataFrame(cases, "roi long, x0 long, y0 long, z0 long, sx long, sy long, sz long")
+    for size, splices in ((20, 10), (20, 7), (12, 12), (5, 100)):
+        want = []
+        for roi, x0, y0, z0, sx, sy, sz in cases:
+            zs = [z for z in range(z0, z0 + sz) if z == z0 or (z % splices == 0 or z % size == 0 if size % splices == 0 else (z - z0) % size == 0)] + [z0 + sz]
+            want += [(roi, x0 + x, y0 + y, a, min(size, sx - x), min(size, sy - y), b - a) for a, b in zip(zs, zs[1:], strict=False) for x in range(0, sx, size) for y in range(0, sy, size)]
+        assert rows(grid.spliced(df, size, splices), "roi", "x0", "y0", "z0", "sx", "sy", "sz") == sorted(want)
 
 
 def test_tiles_cover_a_box_once(spark):
@@ -307,14 +324,16 @@ def test_mask_volume_and_profile(spark, tmp_path):
 
 def test_rank_filter_equals_brute_force(spark):
     r = random.Random(1)
-    size = [7, 5, 3]
-    v = {(x, y, z): r.randrange(50) for x in range(7) for y in range(5) for z in range(3) if r.random() < 0.7}
+    size = [7, 5, 1]
+    v = {(x, y, z): r.randrange(50) for x in range(7) for y in range(5) for z in range(1) if r.random() < 0.7}
 
     def at(p):
         q = []
         for k, n in zip(p, size, strict=True):
-            m = k % (2 * n)
-            q.append(m if m < n else 2 * n - 1 - m)
+            while not 0 <= k < n:  # the voxel at the border is the mirror and isn't repeated
+                k = -k if k < 0 else 2 * (n - 1) - k
+                k = 0 if n == 1 else k
+            q.append(k)
         return v.get(tuple(q), 0)
 
     ball = [(a, b, c) for a in range(-4, 5) for b in range(-4, 5) for c in range(-4, 5) if a * a + b * b + c * c <= 16]
@@ -349,15 +368,53 @@ def test_new_points_by_a_model(spark):
     assert rows(edges.where("creator = 'extend'"), "src", "dst") == [(0, 8), (7, 9)]
 
 
+def match_histogram(source, reference):
+    """{value: value} by cumulative shares."""
+    at = lambda vs, v: sum(x <= v for x in vs) / len(vs)
+    known = sorted({(at(reference, v), v) for v in reference})
+    out = {}
+    for v in set(source):
+        q = at(source, v)
+        below, above = [k for k in known if k[0] <= q], [k for k in known if k[0] >= q]
+        lo, hi = (below or above[:1])[-1], (above or below[-1:])[0]
+        out[v] = int(round(lo[1] + (q - lo[0]) / (hi[0] - lo[0]) * (hi[1] - lo[1]) if hi[0] > lo[0] else lo[1], 6))
+    return out
+
+
 def test_generated_set(spark, tmp_path):
-    images = spark.createDataFrame([(i, x, 0, 0, 100 * (x + 1)) for i in "ABC" for x in range(4)], "image string, x int, y int, z int, v int")
-    files = spark.createDataFrame([(f"{k}_{i}.tif",) for k in ("img", "mask") for i in "ABC"], "name string")
+    r = random.Random(3)
+    image = {i: {(x, y): r.randrange(40) * k for x in range(5) for y in range(4)} for k, i in enumerate("ABCD", 1)}
+    masks = {i: {p: r.randrange(3) for p in image[i] if r.random() < 0.8} for i in image}
+    images = spark.createDataFrame([(i, *p, 0, v) for i, vs in image.items() for p, v in vs.items()], "image string, x int, y int, z int, v int")
+    m = spark.createDataFrame([(i, *p, 0, v) for i, vs in masks.items() for p, v in vs.items()], "image string, x int, y int, z int, m int")
+    files = spark.createDataFrame([(f"{k}_{i}.tif",) for k in ("img", "mask") for i in "ABCD"], "name string")
     back = spark.createDataFrame([(1, 130 + x, 0, 0, 7) for x in range(3)], "roi long, x int, y int, z int, v int")
     rois = spark.createDataFrame([(1, 0, 0, 0, 256, 128, 128)], "roi long, x0 long, y0 long, z0 long, sx long, sy long, sz long")
-    made = augment.gen_dataset(images, files, images.where("image = 'A'").drop("image"), back, rois, 2, 2)
-    assert made.where("sample <= 2").count() == 8 and rows(made.where("sample > 2"), "x", "v", "m") == [(2, 7, 0), (3, 7, 0), (4, 7, 0)]
+    drawn = {}
+    for sample, place, i in rows(augment.triples(augment.paired(files), 5), "sample", "place", "id"):
+        drawn.setdefault(sample, {})[place] = i
+    made = augment.gen_dataset(images, m, files, back, rois, 5, 2)
+    want = []
+    for sample, d in drawn.items():
+        over = {p: max(image[d[1]][p], image[d[2]][p]) for p in image["A"]}
+        to = match_histogram(list(over.values()), list(image[d[3]].values()))
+        want += [(sample, *p, to[v], min(1, masks[d[1]].get(p, 0) + masks[d[2]].get(p, 0))) for p, v in over.items()]
+    assert rows(made.where("sample <= 5"), "sample", "x", "y", "v", "m") == sorted(want)
+    assert rows(made.where("sample > 5"), "x", "v", "m") == [(2, 7, 0), (3, 7, 0), (4, 7, 0)]
     augment.write_set(made, str(tmp_path / "set"))
-    assert spark.read.parquet(str(tmp_path / "set")).count() == 11
+    assert spark.read.parquet(str(tmp_path / "set")).count() == made.count()
+    with pytest.raises(Exception, match="16 bits"):
+        voxels.match_histogram(images.selectExpr("v + 65530 v"), images.select("v")).collect()
+
+
+def test_draws_are_distinct_and_cost_a_row_each(spark):
+    ids = spark.range(5).selectExpr("cast(id as string) id")
+    got = {}
+    for sample, _, i in rows(augment.triples(ids, 600, 7), "sample", "place", "id"):
+        got.setdefault(sample, []).append(i)
+    assert len(got) == 600 and all(len(set(v)) == 3 for v in got.values())
+    assert len({tuple(v) for v in got.values()}) == 60  # every ordered triple
+    assert augment.triples(ids.limit(2), 5).count() == 0
 
 
 @pytest.mark.parametrize("name", ["degree", "annotation_info"])
@@ -391,12 +448,44 @@ def test_long_edges_become_chains(spark):
     assert nodes.count() == 10
 
 
-def test_a_bundle_of_tied_ends_is_joined_whole(spark, monkeypatch):
-    monkeypatch.setattr(repair, "MAX_ROUNDS", 2, raising=False)
-    n = 5
-    c = [(i, 10 + j, 0.0, 180.0) for i in range(n) for j in range(n)]
-    c = spark.createDataFrame(c, "src long, dst long, turn double, bend double")
-    assert rows(repair.match_ends(c), "src", "dst") == [(i, 10 + i) for i in range(n)]
+def greedy(candidates):
+    used, made = set(), []
+    for turn, a, b in sorted((t, a, b) for a, b, t, *_ in candidates):
+        if a not in used and b not in used:
+            used |= {a, b}
+            made.append((a, b))
+    return sorted(made)
+
+
+def test_bundles_of_tied_ends_are_joined_in_few_rounds(spark, monkeypatch):
+    names = []
+    real = repair.saved
+    monkeypatch.setattr(repair, "saved", lambda df, name="table", instead_of=None: names.append(name) or real(df, name, instead_of))
+    bundle = [(i, 1000 + j, 0.0, 180.0) for i in range(200) for j in range(200) if abs(i - j) < 30]
+    r = random.Random(4)
+    others = [(2000 + r.randrange(60), 2100 + r.randrange(60), float(r.randrange(4)), 180.0) for _ in range(300)]
+    for together, tables_ in ((1 << 16, 10), (50, 60)):
+        names.clear()
+        c = bundle + others if together > 50 else others
+        got = repair.match_ends(spark.createDataFrame(c, "src long, dst long, turn double, bend double"), together)
+        assert rows(got, "src", "dst") == greedy(c)
+        assert len(names) < tables_
+
+
+def test_auto_connect_cuts_joins_and_flags(spark):
+    """Two facing chains, and a node between them and a third one whose sharp bend goes first; the direction of a chain that
+    curves later does not hide that its first step faces away."""
+    p = {i: (i, 0, 0) for i in range(6)} | {10 + i: (9 + i, 0, 0) for i in range(6)} | {30: (50, 0, 0), 31: (53, 0, 0), 32: (50, 1, 0)}
+    n = points(spark, p).selectExpr("*", "'a' creator", "0 type", "1 checked")
+    e = spark.createDataFrame([(a + i, a + i + 1, "a") for a in (0, 10) for i in range(5)] + [(30, 31, "a"), (31, 32, "a")], "src long, dst long, creator string")
+    nodes, edges = repair.auto_connect(n, e)
+    assert rows(edges.where("creator = 'connector'"), "src", "dst") == [(5, 10)]
+    assert rows(edges.where("src >= 30"), "src", "dst") == []
+    assert rows(nodes.where("checked = -1"), "nid") == [(5,), (10,)]
+    # the first steps lie across the way between the ends, the chains as a whole along it
+    q = {0: (0, 0, 0), 1: (0, 1, 0), 2: (-9, 0, 0), 3: (-9, 1, 0), 4: (-29, 1, 0), 10: (3, 0, 0), 11: (3, 1, 0), 12: (12, 0, 0), 13: (12, 1, 0), 14: (32, 1, 0)}
+    chains = spark.createDataFrame([(a + i, a + i + 1) for a in (0, 10) for i in range(4)], "src long, dst long")
+    assert rows(repair.connect_candidates(points(spark, q), chains), "src", "dst") == []
 
 
 def test_hops_raise_at_a_limit(spark):
@@ -458,3 +547,10 @@ def test_components_join_may_split_a_hub(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_level_info(spark):
+    sizes = spark.createDataFrame([(0, 100, 60, 21), (1, 50, 30, 11)], "level long, sx long, sy long, sz long")
+    got = tables.level_info(sizes, [-30.9, 12.5, 4.0], [169.1, 72.5, 8.2])
+    assert [tuple(round(v, 6) for v in r) for r in rows(got, "px", "py", "pz", "ox", "oy", "oz")] == [(2.0, 1.0, 0.2, -15, 12, 20), (4.0, 2.0, 0.381818, -7, 6, 10)]
+    assert [tuple(round(v, 6) for v in r) for r in rows(tables.level_info(sizes), "px", "pz", "oz")] == [(1.0, 1.0, 0), (2.0, 1.909091, 0)]

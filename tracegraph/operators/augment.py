@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES
 from tracegraph.operators.grid import tiles
+from tracegraph.operators.numbers import numbered
 from tracegraph.operators.voxels import match_histogram
 from tracegraph.store import saved
 
@@ -19,9 +20,21 @@ def paired(files: DataFrame) -> DataFrame:
 
 
 def triples(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(sample, place, id): n draws of 3 distinct ids, the same for the same seed. Each id takes one hash per sample."""
-    ranked = ids.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), "id")))
-    return ranked.withColumn("place", F.row_number().over(W.partitionBy("sample").orderBy("h", "id"))).where("place <= 3").select("sample", "place", "id")
+    """(sample, place, id): n draws of 3 distinct ids, the same for the same seed.
+
+    The ids are numbered once. A draw hashes three numbers, each among what the ones before it leave: the work is a row a
+    draw, however many ids there are. Fewer than 3 ids give no draws."""
+    own = saved(numbered(ids.select("id").distinct(), "number", "id"), "ids")
+    many = own.count()
+    if many < 3:
+        return own.select(F.lit(1).alias("sample"), F.lit(1).alias("place"), "id").limit(0)
+    hashed = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.lit(str(k)))), 1, 13), 16, 10).cast("long") % (many - k)
+    beyond = lambda x, y: x + (x >= y).cast("long")
+    draws = ids.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("sample"))
+    draws = draws.withColumn("a", hashed(0)).withColumn("b", beyond(hashed(1), F.col("a")))
+    third = beyond(beyond(hashed(2), F.least("a", "b")), F.greatest("a", "b"))
+    draws = draws.select("sample", F.posexplode(F.array("a", "b", third)).alias("place", "number"))
+    return draws.select("sample", (F.col("place") + 1).alias("place"), (F.col("number") + 1).alias("number")).join(own, "number").select("sample", "place", "id")
 
 
 def background_blocks(images: DataFrame, size: int, n: int, seed: int = 0) -> DataFrame:
@@ -30,19 +43,19 @@ def background_blocks(images: DataFrame, size: int, n: int, seed: int = 0) -> Da
     return blocks.withColumn("number", F.row_number().over(W.orderBy("h", "roi", "x0", "y0", "z0"))).drop("h")  # at most n rows
 
 
-#: Values of an image up to which the table of matched ones is broadcast (16 bits); beyond, the join is shuffled.
-BROADCAST_VALUES = 1 << 16
-
-
-def generate(images: DataFrame, files: DataFrame, reference: DataFrame, n: int, seed: int = 0, foreground: int = 150) -> DataFrame:
-    """(sample, x, y, z, v, m): the overlay of each sample's three images (image, x, y, z, v), matched to the reference's
-    histogram, with the union of their masks."""
-    drawn = triples(paired(files), n, seed)
-    over = images.join(drawn.select("sample", F.col("id").alias("image")), "image").groupBy("sample", *AXES).agg(F.max("v").alias("v"), F.max((F.col("v") > foreground).cast("int")).alias("m"))
+def generate(images: DataFrame, masks: DataFrame, files: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(sample, x, y, z, v, m): for each draw of three images the overlay of the first two, matched to the histogram of the
+    third, with the union of the first two's masks. ``images`` (image, x, y, z, v) and ``masks`` (image, x, y, z, m) have a
+    row for each voxel; one that only the masks have is 0 in the image, one that only the images have is 0 in the mask."""
+    drawn = saved(triples(paired(files), n, seed).select("sample", "place", F.col("id").alias("image")), "drawn")
+    two, third = drawn.where("place < 3"), drawn.where("place = 3")
+    over = images.join(two, "image").groupBy("sample", *AXES).agg(F.max("v").cast("long").alias("v"))
     over = saved(over, "overlay")
-    scale = saved(match_histogram(over, reference), "scale")
-    scale = F.broadcast(scale) if scale.count() <= BROADCAST_VALUES else scale
-    return over.join(scale, "v").select("sample", *AXES, F.col("to").alias("v"), "m")
+    scale = match_histogram(over, images.join(third, "image").select("sample", "v"), "sample")
+    matched = over.join(scale, ["sample", "v"]).select("sample", *AXES, F.col("to").alias("v"))
+    mask = masks.join(two, "image").groupBy("sample", *AXES).agg(F.least(F.max("m"), F.lit(1)).cast("int").alias("m"))
+    both = matched.join(mask, ["sample", *AXES], "full")
+    return both.select("sample", *AXES, F.coalesce("v", F.lit(0).cast("long")).alias("v"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
 def background_samples(images: DataFrame, blocks: DataFrame, first: int) -> DataFrame:
@@ -63,10 +76,10 @@ def background_samples(images: DataFrame, blocks: DataFrame, first: int) -> Data
 _SIDE = 128
 
 
-def gen_dataset(images: DataFrame, files: DataFrame, reference: DataFrame, background: DataFrame, rois: DataFrame, n_fg: int, n_bg: int, seed: int = 0) -> DataFrame:
-    """The whole set: ``n_fg`` samples of three images each, then up to ``n_bg`` whole blocks of background images (``rois``
-    and their voxels), numbered on."""
-    made = generate(images, files, reference, n_fg, seed)
+def gen_dataset(images: DataFrame, masks: DataFrame, files: DataFrame, background: DataFrame, rois: DataFrame, n_fg: int, n_bg: int, seed: int = 0) -> DataFrame:
+    """The whole set: ``n_fg`` samples of ``generate``, then up to ``n_bg`` whole blocks of background images (``rois`` and
+    their voxels), numbered on."""
+    made = generate(images, masks, files, n_fg, seed)
     blocks = saved(background_blocks(rois, _SIDE, n_bg, seed), "blocks")
     return made.unionByName(background_samples(background, blocks, n_fg).select(*(F.col(c).cast(t).alias(c) for c, t in made.dtypes)))
 

@@ -79,20 +79,24 @@ def sliding(rois: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def spliced(rois: DataFrame, size: int, splices: int) -> DataFrame:
-    """Tiles whose z cuts lie at multiples of ``splices``, or of ``size`` where that divides evenly; x and y as in ``tiles``."""
-    pace = size if size % splices == 0 else splices
-    end = F.col("z0") + F.col("sz")
-    cuts = F.array_union(F.array(F.col("z0").cast("long")), F.filter(F.sequence(F.lit(0).cast("long"), end.cast("long"), F.lit(pace).cast("long")), lambda c: (c > F.col("z0")) & (c < end)))
-    rois = rois.withColumn("cut", F.explode(F.transform(cuts, lambda c, i: F.struct(c.alias("a"), F.coalesce(F.get(cuts, i + 1), end.cast("long")).alias("b")))))
-    rois = rois.withColumn("za", F.col("cut")["a"]).withColumn("zb", F.col("cut")["b"])
+    """Tiles of each roi, cut in z at its own start and, where ``size`` is a multiple of ``splices``, at the multiples of
+    ``splices`` inside it, else each ``size`` from its start; x and y as in ``tiles``."""
+    z0 = F.col("z0").cast("long")
+    end = z0 + F.col("sz").cast("long")
+    pace = F.lit(splices if size % splices == 0 else size).cast("long")
+    first = F.floor(z0 / splices) * splices + splices if size % splices == 0 else z0 + size
+    inner = F.when(first < end, F.sequence(first.cast("long"), end - 1, pace)).otherwise(F.array().cast("array<long>"))
+    rois = rois.where("sx > 0 and sy > 0 and sz > 0").withColumn("cuts", F.concat(F.array(z0), inner, F.array(end)))
+    rois = rois.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2)))
+    rois = rois.withColumns({"za": F.get("cuts", F.col("i")), "zb": F.get("cuts", F.col("i") + 1)})
     for k in "xy":
         rois = rois.withColumn(f"t{k}", F.explode(F.sequence(F.lit(0), F.ceil(F.col(f"s{k}") / size).cast("int") - 1)))
     return rois.select(
         "roi",
         *((F.col(f"{k}0") + F.col(f"t{k}") * size).cast("long").alias(f"{k}0") for k in "xy"),
-        F.col("za").cast("long").alias("z0"),
+        F.col("za").alias("z0"),
         *(F.least(F.lit(size), F.col(f"s{k}") - F.col(f"t{k}") * size).cast("long").alias(f"s{k}") for k in "xy"),
-        (F.col("zb") - F.col("za")).cast("long").alias("sz"),
+        (F.col("zb") - F.col("za")).alias("sz"),
     )
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES, angle, every_third, norm, step
+from tracegraph.operators.components import star_edges
+from tracegraph.operators.edits import patch
 from tracegraph.operators.graph import adjacency, canonical, degree
 from tracegraph.operators.grid import box_pairs, ends, neighbours
 from tracegraph.operators.paths import walk_from_ends
@@ -70,46 +72,84 @@ def connect_candidates(nodes: DataFrame, edges: DataFrame, half: float = 6, turn
     """(src, dst, turn, bend): pairs of terminals near each other that face each other.
 
     An end's direction runs inwards along its chain: the sum of every third step of its walk. Two ends fit if one's
-    direction is within ``turn`` degrees of the other's reversed, and the way between them meets both chains at
-    ``open_`` degrees or more. An end on the other's walk is no candidate.
+    direction is within ``turn`` degrees of the other's reversed, and the way between them meets the first step of both
+    chains at ``open_`` degrees or more. An end on the other's walk is no candidate.
     """
     tips = saved(degree(nodes, edges).where("degree = 1"), "tips")
     walks = saved(walk_from_ends(tips, edges, walk).join(nodes.select(F.col("nid").alias("at"), *AXES), "at"), "walks")
     nxt = walks.select("nid", (F.col("step") - 1).alias("step"), *(F.col(k).alias(f"n{k}") for k in AXES))
     steps = walks.join(nxt, ["nid", "step"]).where("step % 3 = 0")
-    ways = saved(steps.groupBy("nid").agg(*(F.sum(F.col(f"n{k}") - F.col(k)).cast("double").alias(f"d{k}") for k in AXES)), "ways")
+    moved = {k: F.col(f"n{k}") - F.col(k) for k in AXES}
+    ways = steps.groupBy("nid").agg(
+        *(F.sum(moved[k]).cast("double").alias(f"d{k}") for k in AXES), *(F.max(F.when(F.col("step") == 0, moved[k])).cast("double").alias(f"f{k}") for k in AXES)
+    )
+    ways = saved(ways, "ways")
     pairs = box_pairs(tips, tips, half).where("nid < m")
     own = walks.select("nid", F.col("at").alias("m"))
     back = walks.select(F.col("nid").alias("m"), F.col("at").alias("nid"))
     pairs = pairs.join(own, ["nid", "m"], "left_anti").join(back, ["nid", "m"], "left_anti")
-    pairs = pairs.join(ways, "nid").join(ways.select(F.col("nid").alias("m"), *(F.col(f"d{k}").alias(f"e{k}") for k in AXES)), "m")
-    d, e = [F.col(f"d{k}") for k in AXES], [F.col(f"e{k}") for k in AXES]
+    other = ways.select(F.col("nid").alias("m"), *(F.col(f"d{k}").alias(f"e{k}") for k in AXES), *(F.col(f"f{k}").alias(f"g{k}") for k in AXES))
+    pairs = pairs.join(ways, "nid").join(other, "m")
+    d, e, f, g = ([F.col(p + k) for k in AXES] for p in "defg")
     across = step("", "m")
     pairs = pairs.withColumn("turn", angle(d, [-c for c in e]))
-    pairs = pairs.withColumn("bend", F.least(angle(d, across), angle(e, [-c for c in across])))
+    # the lesser of the two; null, and so no match, where either end lies at its neighbour's or at the other's place
+    one, two = angle(f, across), angle(g, [-c for c in across])
+    pairs = pairs.withColumn("bend", F.when(one.isNotNull() & two.isNotNull(), F.least(one, two)))
     return pairs.where((F.col("turn") <= turn) & (F.col("bend") >= open_)).select(F.col("nid").alias("src"), F.col("m").alias("dst"), "turn", "bend")
 
 
-def match_ends(candidates: DataFrame) -> DataFrame:
-    """The candidate edges that are made: rounds of pairs that are each other's best by (turn, src, dst), until no pair is
-    left; an end is used once. Each round makes the best pair at least, so the rounds end. Where many ends that compete
-    have equal turns, one pair may be made a round."""
-    left, made = saved(candidates.where("src <> dst"), "candidates"), None
-    rounds = 0
+#: Candidates that compete, directly or through others, up to which one task matches them.
+TOGETHER = 1 << 16
+
+
+def _in_order(group: pd.DataFrame) -> pd.DataFrame:
+    used: set[int] = set()
+    made = []
+    for row in group.sort_values(["turn", "src", "dst"])[["src", "dst", "turn"]].itertuples(index=False):
+        if row.src not in used and row.dst not in used:
+            used.update((row.src, row.dst))
+            made.append(row)
+    return pd.DataFrame(made, columns=["src", "dst", "turn"])
+
+
+def match_ends(candidates: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """The candidate edges that are made: taken in order of (turn, src, dst), each end used once.
+
+    Ends that compete, directly or through others, are a component of the candidates. One of up to ``together`` candidates
+    is matched in that order in one task; in a larger one, rounds of pairs that are each other's best, which are in the
+    matching whatever follows, go on until all that is left falls into such small ones.
+    """
+    left, made = saved(candidates.where("src <> dst").select("src", "dst", "turn"), "candidates"), None
     while not left.isEmpty():
-        key = F.struct("turn", "src", "dst")
-        both = left.select(F.col("src").alias("nid"), key.alias("k")).unionAll(left.select("dst", key))
-        best = both.groupBy("nid").agg(F.min("k").alias("k"))
-        mutual = best.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("k.src", "k.dst", "k.turn")
-        mutual = saved(mutual, "mutual")
-        made = mutual if made is None else made.unionAll(mutual)
-        rounds += 1
-        if rounds % 20 == 0:  # one table instead of a plan that grows
-            made = saved(made, "made")
-        used = adjacency(mutual).select("nid").distinct()
-        left = left.join(used.withColumnRenamed("nid", "src"), "src", "left_anti").join(used.withColumnRenamed("nid", "dst"), "dst", "left_anti")
-        left = saved(left.select(*candidates.columns), "candidates")
-    return made if made is not None else candidates.select("src", "dst", "turn").limit(0)
+        comp = star_edges(left).select(F.col("nid").alias("src"), "comp")
+        own = saved(left.join(comp, "src"), "competing", instead_of=left)
+        large = own.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("comp")
+        left = saved(own.join(large, "comp", "left_semi").select("src", "dst", "turn"), "candidates")
+        small = own.join(large, "comp", "left_anti").groupBy("comp").applyInPandas(_in_order, "src long, dst long, turn double")
+        made = small if made is None else made.unionAll(small)
+        for _ in range(4):
+            if left.isEmpty():
+                break
+            key = F.struct("turn", "src", "dst")
+            both = left.select(F.col("src").alias("nid"), key.alias("k")).unionAll(left.select("dst", key))
+            best = both.groupBy("nid").agg(F.min("k").alias("k"))
+            mutual = saved(best.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("k.src", "k.dst", "k.turn"), "mutual")
+            used = adjacency(mutual).select("nid").distinct()
+            rest = left.join(used.withColumnRenamed("nid", "src"), "src", "left_anti").join(used.withColumnRenamed("nid", "dst"), "dst", "left_anti")
+            left = saved(rest.select("src", "dst", "turn"), "candidates", instead_of=left)
+            made = made.unionAll(mutual)
+    return made if made is not None else left
+
+
+def auto_connect(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` and ``edges`` (src, dst, creator) after the repair of a graph: sharp bends are cut, in order of nid, then
+    ends that face each other are joined by edges by 'connector', and both ends are flagged again (checked -1)."""
+    cut = saved(remove_bends(edges, cut_in_order(saved(sharp_bends(nodes, edges), "bends"))), "cut")
+    made = saved(match_ends(connect_candidates(nodes, cut)), "made")
+    new = made.select("src", "dst", F.lit("connector").alias("creator"))
+    flags = adjacency(made).select("nid", F.lit(-1).alias("checked"))
+    return patch(nodes, flags, "checked"), cut.select("src", "dst", "creator").unionByName(new)
 
 
 def mean_step(track: pd.DataFrame) -> np.ndarray:

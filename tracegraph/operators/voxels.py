@@ -239,15 +239,19 @@ def dense_skeleton(chains: DataFrame, voxels: DataFrame, margin: int = 5) -> Dat
 
 def rank_filter(voxels: DataFrame, size: list[int], radius: int = 5, tile: int = 16) -> DataFrame:
     """``voxels`` with rank, the share of the ball around each that is darker, and norm, its min-max normalised value in
-    the image: the two channels of a track model. Beyond the image's border (sizes ``size``) it is mirrored, and a voxel
-    without a row is 0. A task holds a tile with a margin of ``radius`` at a time."""
+    the image: the two channels of a track model. Beyond the image's border (sizes ``size``) it is mirrored, the border
+    voxel not repeated, and a voxel without a row is 0. A task holds a tile with a margin of ``radius`` at a time."""
     spread = range(-radius, radius + 1)
     ball = np.array([(a, b, c) for a in spread for b in spread for c in spread if a * a + b * b + c * c <= radius * radius])
     at = voxels.select(*(F.col(k).cast("long").alias(k) for k in AXES), "v").withColumn("own", F.lit(True))
     for k, n in zip(AXES, size, strict=True):
         # every place within the margin at which the voxel or one of its mirror images lies
-        turns = range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)
-        places = F.array(*(c for i in turns for c in (F.col(k) + 2 * n * i, 2 * n * i - 1 - F.col(k))))
+        if n == 1:
+            places = F.array(*(F.lit(i).cast("long") for i in range(-radius, radius + 1)))
+        else:
+            period = 2 * n - 2
+            turns = range(-(radius // period) - 1, radius // period + 2)
+            places = F.array(*(c for i in turns for c in (F.col(k) + period * i, period * i - F.col(k))))
         near = at.withColumn("p" + k, F.explode(F.array_distinct(places)))
         at = near.where((F.col("p" + k) >= -radius) & (F.col("p" + k) < n + radius))
         first, last = F.floor((F.col("p" + k) - radius) / tile), F.floor((F.col("p" + k) + radius) / tile)
@@ -282,24 +286,26 @@ def union_masks(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*AXES, "m").unionByName(b.select(*AXES, "m")).groupBy(*AXES).agg(F.least(F.max("m"), F.lit(1)).alias("m"))
 
 
-def match_histogram(source: DataFrame, reference: DataFrame) -> DataFrame:
-    """(v, to): each value of the source on the reference's scale: where its share of smaller or equal voxels falls among
-    the reference's, between values in proportion, cut to whole numbers."""
+def match_histogram(source: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
+    """(keys, v, to): each value of the source on the reference's scale: where its share of smaller or equal voxels falls
+    among the reference's, between values in proportion, cut to whole numbers; each image of ``keys`` on its own. A value
+    is of 16 bits, or the job fails: so the values of one image, which a task holds, are bounded."""
 
     def shares(df: DataFrame) -> DataFrame:
-        n = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        # distinct values of 16 bits: a bounded table
-        upto = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-        return n.select("v", (F.sum("c").over(upto) / F.sum("c").over(W.partitionBy())).alias("q"))
-
-    ref = shares(reference).select("q", F.col("v").cast("double").alias("r"), F.lit(None).cast("long").alias("v"))
-    both = ref.unionAll(shares(source).select("q", F.lit(None).cast("double"), F.col("v").cast("long")))
-    below = W.orderBy("q", F.col("v").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    above = W.orderBy("q", F.col("v").isNull()).rowsBetween(0, W.unboundedFollowing)
+        wide = F.raise_error(F.lit("a voxel's value is not of 16 bits")).cast("long")
+        n = df.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+        n = n.withColumn("v", F.when(F.col("v").between(0, 65535), F.col("v").cast("long")).otherwise(wide))
+        upto = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+        return n.select(*keys, "v", (F.sum("c").over(upto) / F.sum("c").over(W.partitionBy(*keys))).alias("q"))
+
+    ref = shares(reference).select(*keys, "q", F.col("v").cast("double").alias("r"), F.lit(None).cast("long").alias("v"))
+    both = ref.unionAll(shares(source).select(*keys, "q", F.lit(None).cast("double"), "v"))
+    below = W.partitionBy(*keys).orderBy("q", F.col("v").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    above = W.partitionBy(*keys).orderBy("q", F.col("v").isNull()).rowsBetween(0, W.unboundedFollowing)
     known = F.when(F.col("r").isNotNull(), F.col("q"))
-    both = both.select("v", "q", F.last("r", True).over(below).alias("r0"), F.last(known, True).over(below).alias("q0"), F.first("r", True).over(above).alias("r1"), F.first(known, True).over(above).alias("q1"))
+    both = both.select(*keys, "v", "q", F.last("r", True).over(below).alias("r0"), F.last(known, True).over(below).alias("q0"), F.first("r", True).over(above).alias("r1"), F.first(known, True).over(above).alias("q1"))
     between = F.when(F.col("q1") > F.col("q0"), F.col("r0") + (F.col("q") - F.col("q0")) / (F.col("q1") - F.col("q0")) * (F.col("r1") - F.col("r0"))).otherwise(F.col("r0"))
-    return both.where("v is not null").select("v", F.floor(F.round(F.coalesce(between, F.col("r1"), F.col("r0")), 6)).cast("long").alias("to"))
+    return both.where("v is not null").select(*keys, "v", F.floor(F.round(F.coalesce(between, F.col("r1"), F.col("r0")), 6)).cast("long").alias("to"))
 
 
 def ray_pick(rays: DataFrame, voxels: DataFrame, size: list[int]) -> DataFrame:

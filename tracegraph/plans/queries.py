@@ -146,20 +146,36 @@ def migrated_edges(spark, d):
     return tables.migrate(*_old(spark, d))[1]
 
 
-@query("select 'events' as name, (select count(*) from (describe events)) n_columns, count(*) n_rows from events union all select 'nation', (select count(*) from (describe nation)), count(*) from nation union all select 'part', (select count(*) from (describe part)), count(*) from part")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" union all ".join(f"select '{t}' as name, (select count(*) from (describe {t})) n_columns, count(*) n_rows from {t}" for t in TABLES))
 def table_profile(spark, d):
-    return tables.profile({t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("events", "nation", "part")})
+    return tables.profile({t: spark.read.parquet(f"{d}/{t}.parquet") for t in TABLES})
+
+
+#: Tables whose columns are profiled, all of them.
+PROFILED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "benchmark": ["item_id", "text"],
+}
 
 
 def _profile_sql(spec: dict[str, list[str]]) -> str:
-    one = "select '{t}' as name, {i}::bigint as place, '{c}' as \"column\", count(*) n_rows, count(*) - count({c}) n_null, count(distinct {c}) = count(*) is_key from {t}"
+    kind = "case typeof(any_value({c})) when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' else lower(typeof(any_value({c}))) end"
+    one = "select '{t}' as name, {i}::bigint as place, '{c}' as \"column\", " + kind + " as type, (select \"null\" = 'YES' from (describe {t}) where column_name = '{c}') nullable, count(*) n_rows, count(*) - count({c}) n_null, count(distinct {c}) = count(*) is_key from {t}"
     return " union all ".join(one.format(t=t, i=i, c=c) for t, cs in spec.items() for i, c in enumerate(cs))
 
 
-@query(_profile_sql({"nation": ["n_nationkey", "n_name", "n_regionkey"], "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"]}))
+@query(_profile_sql(PROFILED))
 def column_profile(spark, d):
-    t = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"]}
-    return tables.column_profile({k: spark.read.parquet(f"{d}/{k}.parquet").select(*c) for k, c in t.items()}).drop("type", "nullable")
+    return tables.column_profile({t: spark.read.parquet(f"{d}/{t}.parquet") for t in PROFILED})
 
 
 def _mirror_sql(padding: str) -> str:
@@ -184,10 +200,28 @@ def slab(spark, d):
     return tables.slab(f4_voxels(spark, d), [5, 8, 10], [20, 30, 25])
 
 
-@query(f"with {F4}, m as (select cast(max(x) + 1 as bigint) sx, cast(max(y) + 1 as bigint) sy, cast(max(z) + 1 as bigint) sz from vox), i as (select cast(unnest(generate_series(0, 4)) as bigint) level) select level, cast(pow(2, level) as double) spacing, sx >> level sx, sy >> level sy, sz >> level sz from i, m")
+def _level_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the volume at five levels, each of half the voxels, a last odd one kept."""
+    at = f4_voxels(spark, d).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("level"), *AXES)
+    return at.groupBy(F.col("level").cast("long").alias("level")).agg(*((F.max(F.floor(F.col(k) / F.pow(F.lit(2), F.col("level")))) + 1).cast("long").alias("s" + k) for k in AXES))
+
+
+def _levels_sql(width: tuple[str, str, str], low: tuple[float, float, float]) -> str:
+    sizes = "sz as (select cast(l as bigint) level, max(x >> l) + 1 sx, max(y >> l) + 1 sy, max(z >> l) + 1 sz from vox, (select unnest(generate_series(0, 4))::int l) group by 1)"
+    px = {k: f"{w}::double / s{k}" for k, w in zip("xyz", width, strict=True)}
+    spacing = ", ".join(f"{px[k]} p{k}" for k in "xyz")
+    origin = ", ".join(f"trunc(trunc({a}::double) / ({px[k]}))::bigint o{k}" for k, a in zip("xyz", low, strict=True))
+    return f"with {F4}, {sizes}, base as (select sx bx, sy by_, sz bz from sz where level = 0) select level, sx::bigint sx, sy::bigint sy, sz::bigint sz, {spacing}, {origin} from sz, base"
+
+
+@query(_levels_sql(("(31.5 - (-20.25))", "(180.0 - 15.75)", "(3000.0 - 333.3)"), (-20.25, 15.75, 333.3)))
 def level_info(spark, d):
-    m = f4_voxels(spark, d).agg(*((F.max(k) + 1).alias(k) for k in AXES)).first()
-    return tables.levels(spark, [m.x, m.y, m.z], [0, 0, 0]).select("level", "spacing", "sx", "sy", "sz")
+    return tables.level_info(_level_sizes(spark, d), [-20.25, 15.75, 333.3], [31.5, 180.0, 3000.0])
+
+
+@query(_levels_sql(("bx", "by_", "bz"), (0, 0, 0)))
+def level_info_without_extent(spark, d):
+    return tables.level_info(_level_sizes(spark, d))
 
 
 @query(f"with {F1} select cast(floor(x / 16.0) as bigint) tx, cast(floor(y / 16.0) as bigint) ty, cast(floor(z / 16.0) as bigint) tz, count(*) n from (select distinct x, y, z from n) group by 1, 2, 3")
@@ -432,14 +466,25 @@ def tiles_sliding(spark, d):
     return grid.sliding(_rois(spark, d), 100, 20)
 
 
-@query(f"""with {ROIS}, cuts as (select roi, z0 c from roi union select roi, c from (select roi, z0, sz, unnest(generate_series(0, z0 + sz, 300)) c from roi) where c > z0 and c < z0 + sz),
+def _spliced_sql(size: int, splices: int) -> str:
+    """Cuts where the reference's rule puts them: all z of a roi are looked at."""
+    at = f"c % {splices} = 0 or c % {size} = 0" if size % splices == 0 else f"(c - z0) % {size} = 0"
+    return f"""with {ROIS}, zs as (select *, unnest(generate_series(z0, z0 + sz - 1)) c from roi), cuts as (select roi, c from zs where c = z0 or {at}),
 zz as (select roi.*, c, coalesce(lead(c) over (partition by roi order by c), z0 + sz) nxt from roi join cuts using (roi)),
-a as (select *, unnest(generate_series(0, cast(ceil(sx / 300.0) as bigint) - 1)) tx from zz), b as (select *, unnest(generate_series(0, cast(ceil(sy / 300.0) as bigint) - 1)) ty from a)
-select roi, x0 + tx * 300 x0, y0 + ty * 300 y0, c z0, least(300, sx - tx * 300)::bigint sx, least(300, sy - ty * 300)::bigint sy, nxt - c sz from b""")
+a as (select *, unnest(generate_series(0, cast(ceil(sx / {size}.0) as bigint) - 1)) tx from zz), b as (select *, unnest(generate_series(0, cast(ceil(sy / {size}.0) as bigint) - 1)) ty from a)
+select roi, x0 + tx * {size} x0, y0 + ty * {size} y0, c z0, least({size}, sx - tx * {size})::bigint sx, least({size}, sy - ty * {size})::bigint sy, nxt - c sz from b"""
+
+
+@query(_spliced_sql(300, 150))
 def tiles_spliced(spark, d):
     return grid.spliced(_rois(spark, d), 300, 150)
 
 
+@query(_spliced_sql(300, 200))
+def tiles_spliced_by_size(spark, d):
+    return grid.spliced(_rois(spark, d), 300, 200)
+
+
 HALO = """h as (select x, y, z, v, unnest(generate_series(greatest(0, cast(floor((x - 4) / 16.0) as bigint)), cast(floor((x + 4) / 16.0) as bigint))) tx from vox),
 h2 as (select *, unnest(generate_series(greatest(0, cast(floor((y - 4) / 16.0) as bigint)), cast(floor((y + 4) / 16.0) as bigint))) ty from h),
 h3 as (select *, unnest(generate_series(greatest(0, cast(floor((z - 4) / 16.0) as bigint)), cast(floor((z + 4) / 16.0) as bigint))) tz from h2),
@@ -704,22 +749,66 @@ def sharp_bends_in_order(spark, d):
     return repair.cut_in_order(repair.sharp_bends(*_f1(spark, d)))
 
 
-@query(f"""with recursive {F1}, {DEG}, tip as (select n.nid, x, y, z from deg join n using (nid) where degree = 1),
+def _candidates_sql(e: str) -> str:
+    """Candidates (can) among the ends of the edges ``e`` of n."""
+    return f"""cadj as (select src s, dst d from {e} union all select dst, src from {e}), cdeg as (select n.nid, count(cadj.s) degree from n left join cadj on cadj.s = n.nid group by 1),
+tip as (select n.nid, x, y, z from cdeg join n using (nid) where degree = 1),
 w(nid, step, pos, prev) as (select nid, 0::bigint, nid, -1::bigint from tip union all
-  select w.nid, w.step + 1, adj.d, w.pos from w join adj on adj.s = w.pos and adj.d <> w.prev join deg on deg.nid = w.pos where w.step < 5 and degree <= 2),
-way as (select a.nid, sum(q.x - p.x) dx, sum(q.y - p.y) dy, sum(q.z - p.z) dz from w a join w b on b.nid = a.nid and b.step = a.step + 1 join n p on p.nid = a.pos join n q on q.nid = b.pos where a.step % 3 = 0 group by 1),
-pr as (select a.nid src, b.nid dst, p.dx, p.dy, p.dz, q.dx ex, q.dy ey, q.dz ez, b.x - a.x ax, b.y - a.y ay, b.z - a.z az from tip a join tip b on a.nid < b.nid and abs(a.x - b.x) <= 6 and abs(a.y - b.y) <= 6 and abs(a.z - b.z) <= 6
-  join way p on p.nid = a.nid join way q on q.nid = b.nid
+  select w.nid, w.step + 1, cadj.d, w.pos from w join cadj on cadj.s = w.pos and cadj.d <> w.prev join cdeg on cdeg.nid = w.pos where w.step < 5 and degree <= 2),
+one as (select a.nid, a.step, q.x - p.x dx, q.y - p.y dy, q.z - p.z dz from w a join w b on b.nid = a.nid and b.step = a.step + 1 join n p on p.nid = a.pos join n q on q.nid = b.pos),
+way as (select nid, sum(dx) dx, sum(dy) dy, sum(dz) dz from one where step % 3 = 0 group by 1),
+pr as (select a.nid src, b.nid dst, p.dx, p.dy, p.dz, q.dx ex, q.dy ey, q.dz ez, f.dx fx, f.dy fy, f.dz fz, g.dx gx, g.dy gy, g.dz gz, b.x - a.x ax, b.y - a.y ay, b.z - a.z az
+  from tip a join tip b on a.nid < b.nid and abs(a.x - b.x) <= 6 and abs(a.y - b.y) <= 6 and abs(a.z - b.z) <= 6
+  join way p on p.nid = a.nid join way q on q.nid = b.nid join one f on f.nid = a.nid and f.step = 0 join one g on g.nid = b.nid and g.step = 0
   where not exists (select 1 from w where w.nid = a.nid and w.pos = b.nid) and not exists (select 1 from w where w.nid = b.nid and w.pos = a.nid)),
-sc as (select src, dst, {_angle_sql(("dx", "dy", "dz"), ("(-ex)", "(-ey)", "(-ez)"))} turn, {_angle_sql(("dx", "dy", "dz"), ("ax", "ay", "az"))} one, {_angle_sql(("ex", "ey", "ez"), ("(-ax)", "(-ay)", "(-az)"))} other from pr)
-select src, dst, turn, least(one, other) bend from sc where turn <= 45 and least(one, other) >= 120""")
+sc as (select src, dst, {_angle_sql(("dx", "dy", "dz"), ("(-ex)", "(-ey)", "(-ez)"))} turn, {_angle_sql(("fx", "fy", "fz"), ("ax", "ay", "az"))} near, {_angle_sql(("gx", "gy", "gz"), ("(-ax)", "(-ay)", "(-az)"))} far from pr),
+can as (select src, dst, turn, least(near, far) bend from sc where turn <= 45 and near >= 120 and far >= 120)"""
+
+
+#: F1 folded into a cube of side FOLD, so that ends lie close enough to compete.
+FOLD = 60
+FOLDED = F1.replace("n as (", "n0 as (", 1).replace("from n)", "from n0)").replace(" from n0), e as", " from n0), e as") + f", n as (select * replace (x % {FOLD} as x, y % {FOLD} as y, z % {FOLD} as z) from n0)"
+
+
+def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n, e = _f1(spark, d)
+    return n.withColumns({k: F.col(k) % FOLD for k in AXES}), e
+
+
+@query(f"with recursive {F1}, {_candidates_sql('e')} select src, dst, turn, bend from can")
 def connect_candidates(spark, d):
     return repair.connect_candidates(*_f1(spark, d))
 
 
-@query()
+MATCHED = """cr as materialized (select src, dst, turn, row_number() over (order by turn, src, dst) i from can),
+mt(i, used, src, dst, turn) as (select 0::bigint, []::bigint[], null::bigint, null::bigint, null::double union all
+  select cr.i, case when list_contains(used, cr.src) or list_contains(used, cr.dst) then used else list_concat(used, [cr.src, cr.dst]) end,
+    case when list_contains(used, cr.src) or list_contains(used, cr.dst) then null else cr.src end, cr.dst, cr.turn from mt join cr on cr.i = mt.i + 1),
+made as (select src, dst, turn from mt where src is not null)"""
+
+
+@query(f"with recursive {FOLDED}, {_candidates_sql('e')}, {MATCHED} select src, dst, turn from made")
+def matched_ends(spark, d):
+    return repair.match_ends(repair.connect_candidates(*_folded(spark, d)))
+
+
+BENT = f"""{FOLDED}, {DEG}, t as (select a.s nid, a.d lo, b.d hi from adj a join adj b on a.s = b.s and a.d < b.d join deg on deg.nid = a.s where degree = 2),
+u as (select t.*, l.x - n.x ux, l.y - n.y uy, l.z - n.z uz, h.x - n.x vx, h.y - n.y vy, h.z - n.z vz from t join n on n.nid = t.nid join n l on l.nid = lo join n h on h.nid = hi),
+ang as (select nid, lo, hi, {_angle_sql(("ux", "uy", "uz"), ("vx", "vy", "vz"))} angle from u),
+bo as materialized (select nid, lo, hi, row_number() over (order by nid) i from ang where angle < 100),
+bs(i, cut) as (select 0::bigint, []::bigint[] union all select bo.i, case when list_contains(cut, lo) or list_contains(cut, hi) then cut else list_append(cut, nid) end from bs join bo on bo.i = bs.i + 1),
+gone as (select unnest(cut) nid from bs where i = (select max(i) from bs)), e1 as (select src, dst, creator from e where src not in (select nid from gone) and dst not in (select nid from gone)),
+{_candidates_sql('e1')}, {MATCHED}"""
+
+
+@query(f"with recursive {BENT} select src, dst, creator from e1 union all select src, dst, 'connector' from made")
 def auto_connect(spark, d):
-    return repair.match_ends(repair.connect_candidates(*_f1(spark, d)))
+    return repair.auto_connect(*_folded(spark, d))[1]
+
+
+@query(f"with recursive {BENT} select nid, cast(case when nid in (select src from made union all select dst from made) then -1 else checked end as bigint) checked from n")
+def reopened_ends(spark, d):
+    return repair.auto_connect(*_folded(spark, d))[0].select("nid", F.col("checked").cast("long"))
 
 
 @query(f"with {F1} select src, dst, round(sqrt(((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)::double), 6) length from e join n a on a.nid = src join n b on b.nid = dst")
@@ -886,7 +975,7 @@ def process_volume(spark, d):
     return voxels.process_volume(f4_voxels(spark, d), 16, background=45_000)
 
 
-@query(f"with {F4}, s as (select * from vox), o as (select unnest(generate_series(-5, 5)) i), ball as (select a.i dx, b.i dy, c.i dz from o a, o b, o c where a.i * a.i + b.i * b.i + c.i * c.i <= 25), p as (select s.x, s.y, s.z, s.v, ((s.x + dx) % 80 + 80) % 80 sx, ((s.y + dy) % 80 + 80) % 80 sy, ((s.z + dz) % 102 + 102) % 102 sz from s, ball), q as (select x, y, z, v, case when sx < 40 then sx else 79 - sx end sx, case when sy < 40 then sy else 79 - sy end sy, case when sz < 51 then sz else 101 - sz end sz from p) select q.x, q.y, q.z, q.v, round(count(*) filter (coalesce(w.v, 0) < q.v) / (select count(*) from ball)::double, 6) rank, round((q.v - (select min(v) from s)) / ((select max(v) from s) - (select min(v) from s))::double, 6) norm from q left join s w on w.x = sx and w.y = sy and w.z = sz group by 1, 2, 3, 4")
+@query(f"with {F4}, s as (select * from vox), o as (select unnest(generate_series(-5, 5)) i), ball as (select a.i dx, b.i dy, c.i dz from o a, o b, o c where a.i * a.i + b.i * b.i + c.i * c.i <= 25), p as (select s.x, s.y, s.z, s.v, ((s.x + dx) % 78 + 78) % 78 sx, ((s.y + dy) % 78 + 78) % 78 sy, ((s.z + dz) % 100 + 100) % 100 sz from s, ball), q as (select x, y, z, v, case when sx < 40 then sx else 78 - sx end sx, case when sy < 40 then sy else 78 - sy end sy, case when sz < 51 then sz else 100 - sz end sz from p) select q.x, q.y, q.z, q.v, round(count(*) filter (coalesce(w.v, 0) < q.v) / (select count(*) from ball)::double, 6) rank, round((q.v - (select min(v) from s)) / ((select max(v) from s) - (select min(v) from s))::double, 6) norm from q left join s w on w.x = sx and w.y = sy and w.z = sz group by 1, 2, 3, 4")
 def rank_filter(spark, d):
     return voxels.rank_filter(f4_voxels(spark, d), [40, 40, 51])
 
@@ -924,8 +1013,17 @@ def image_pairs(spark, d):
     return augment.paired(_files(spark, d))
 
 
-@query("""with f as (select case when c_custkey % 2 = 0 then 'img' else 'mask' end kind, cast(c_custkey % 61 as varchar) id from customer), i as (select id from f group by 1 having count(distinct kind) = 2),
-r as (select s::int as sample, id, row_number() over (partition by s order by md5('0:' || s || ':' || id), id) place from i, (select unnest(generate_series(1, 20)) s)) select sample, place::int place, id from r where place <= 3""")
+def _triples_sql(ids: str, n: int) -> str:
+    """Draws (r) of three of ``ids``."""
+    h = [f"cast('0x' || substr(md5('0:' || sample || ':{k}'), 1, 13) as bigint) % ((select count(*) from nm) - {k})" for k in range(3)]
+    return f"""nm as (select id, row_number() over (order by id) - 1 i from ({ids})), dr as (select unnest(generate_series(1, {n})) sample),
+d1 as (select sample, {h[0]} a, {h[1]} b, {h[2]} c from dr), d2 as (select sample, a, b + (b >= a)::int b, c from d1),
+d3 as (select sample, a, b, c + (c >= least(a, b))::int c, greatest(a, b) top from d2), d4 as (select sample, a, b, c + (c >= top)::int c from d3),
+r as (select sample::int as sample, place, id from (select sample, 1 place, a i from d4 union all select sample, 2, b from d4 union all select sample, 3, c from d4) join nm using (i))"""
+
+
+@query(f"""with f as (select case when c_custkey % 2 = 0 then 'img' else 'mask' end kind, cast(c_custkey % 61 as varchar) id from customer),
+{_triples_sql("select id from f group by 1 having count(distinct kind) = 2", 20)} select sample, place, id from r""")
 def image_triples(spark, d):
     return augment.triples(augment.paired(_files(spark, d)), 20)
 
@@ -935,10 +1033,27 @@ def background_blocks(spark, d):
     return augment.background_blocks(_rois(spark, d), 128, 50)
 
 
-@query()
+#: Background images: seven, of lineitem's line numbers, 300 x 260 x 130 voxels.
+BACK_SIZE = (300, 260, 130)
+BACK = """back as (select l_linenumber::bigint roi, (l_partkey % 300)::int x, (l_suppkey % 260)::int y, (l_orderkey % 130)::int z, cast(max(floor(l_extendedprice / 2)) as int) v from lineitem group by 1, 2, 3, 4),
+bl as (select (row_number() over (order by md5(concat_ws(':', '0', roi, x0, y0, z0)), roi, x0, y0, z0))::int number, * from (select distinct roi, tx * 128 x0, ty * 128 y0, 0 z0 from back, (select unnest(generate_series(0, 1)) tx), (select unnest(generate_series(0, 1)) ty)) order by 1 limit 10)"""
+
+
+@query(f"""with {F5}, {BACK}, {_triples_sql("select distinct image id from img", 4)},
+ov as (select sample, x, y, z, max(v) v from img join r on image = id where place < 3 group by all), mk as (select sample, x, y, z, max(case when v > 20000 then 1 else 0 end) m from img join r on image = id where place < 3 group by all),
+s as (select sample, v, sum(count(*)) over (partition by sample order by v) / (sum(count(*)) over (partition by sample))::double q from ov group by sample, v),
+t as (select sample, v, sum(count(*)) over (partition by sample order by v) / (sum(count(*)) over (partition by sample))::double q from img join r on image = id where place = 3 group by sample, v),
+lo as (select s.*, t.v r0, t.q q0 from s asof left join t on s.sample = t.sample and s.q >= t.q), hi as (select lo.*, t.v r1, t.q q1 from lo asof left join t on lo.sample = t.sample and lo.q <= t.q),
+k as (select sample, v, cast(floor(round(coalesce(case when q1 > q0 then r0 + (q - q0) / (q1 - q0) * (r1 - r0) else r0::double end, r1, r0), 6)) as bigint) tv from hi)
+select ov.sample, ov.x, ov.y, ov.z, k.tv v, m from ov join k using (sample, v) join mk on mk.sample = ov.sample and mk.x = ov.x and mk.y = ov.y and mk.z = ov.z
+union all select number + 4, x - x0, y - y0, z - z0, v, 0 from bl join back on back.roi = bl.roi and x >= x0 and x < x0 + 128 and y >= y0 and y < y0 + 128 and z >= z0 and z < z0 + 128""")
 def generated_set(spark, d):
-    names = f5_images(spark, d).select("image").distinct()
+    images = f5_images(spark, d)
+    names = images.select("image").distinct()
     files = names.select(F.concat(F.lit("img_"), "image", F.lit(".tif")).alias("name")).union(names.select(F.concat(F.lit("mask_"), "image", F.lit(".tif"))))
-    background = f4_voxels(spark, d).crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("roi"))))  # four images
-    rois = spark.range(4).select(F.col("id").alias("roi"), *(F.lit(0).cast("long").alias(f"{k}0") for k in AXES), *(F.lit(130).cast("long").alias(f"s{k}") for k in AXES))
-    return augment.gen_dataset(f5_images(spark, d), files, _image(spark, d, "N"), background, rois, 4, 3)
+    masks = images.select("image", *AXES, (F.col("v") > 20000).cast("int").alias("m"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    at = {k: (F.col(c) % n).cast("int").alias(k) for k, c, n in zip(AXES, ("l_partkey", "l_suppkey", "l_orderkey"), BACK_SIZE, strict=True)}
+    back = saved(li.groupBy(F.col("l_linenumber").cast("long").alias("roi"), *at.values()).agg(F.max(F.floor(F.col("l_extendedprice") / 2)).cast("int").alias("v")), "back")
+    rois = back.select("roi").distinct().select("roi", *(F.lit(0).cast("long").alias(f"{k}0") for k in AXES), *(F.lit(n).cast("long").alias(f"s{k}") for k, n in zip(AXES, BACK_SIZE, strict=True)))
+    return augment.gen_dataset(images, masks, files, back, rois, 4, 10)

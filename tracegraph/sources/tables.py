@@ -154,6 +154,20 @@ def levels(spark: SparkSession, sizes: list[int], origin: list[float]) -> DataFr
     return spark.createDataFrame(rows, "level long, spacing double, sx long, sy long, sz long, ox long, oy long, oz long")
 
 
+def level_info(sizes: DataFrame, low: list[float] | None = None, high: list[float] | None = None) -> DataFrame:
+    """``sizes`` (level, sx, sy, sz), the voxels of an image at each level, with its spacing on each axis (px, py, pz), the
+    physical extent from ``low`` to ``high`` over its size, and the image's origin (ox, oy, oz), the corner ``low`` in
+    voxels. Without an extent the voxels of level 0 are the unit and the origin is 0."""
+    if low is None or high is None:
+        base = sizes.where("level = 0").select(*(F.col("s" + k).cast("double").alias("w" + k) for k in AXES), *(F.lit(0.0).alias("l" + k) for k in AXES))
+        out = sizes.crossJoin(F.broadcast(base))  # one row
+    else:
+        out = sizes.select("*", *(F.lit(float(h - a)).alias("w" + k) for k, a, h in zip(AXES, low, high, strict=True)), *(F.lit(float(a)).alias("l" + k) for k, a in zip(AXES, low, strict=True)))
+    out = out.select("*", *((F.col("w" + k) / F.col("s" + k)).alias("p" + k) for k in AXES))
+    # the origin is cut to whole units first, then to whole voxels
+    return out.select(*sizes.columns, *("p" + k for k in AXES), *((F.col("l" + k).cast("long") / F.col("p" + k)).cast("long").alias("o" + k) for k in AXES))
+
+
 def raster_tiles(points: DataFrame, size: int = 16) -> DataFrame:
     """(tx, ty, tz, n): the distinct voxels of points (x, y, z) by tile."""
     cells = points.select(*(F.col(k).cast("int").cast("long").alias(k) for k in AXES)).distinct()

@@ -37,8 +37,16 @@ def saved(df: DataFrame, name: str = "table", instead_of: DataFrame | None = Non
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    old = _PATHS.pop(instead_of, None) if instead_of is not None else None
-    if old:
-        where = spark._jvm.org.apache.hadoop.fs.Path(old)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if instead_of is not None:
+        forget(instead_of)
     return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the tables that ``saved`` gave; nothing may read them any more. Others are left alone."""
+    for df in tables:
+        old = _PATHS.pop(df, None)
+        if old:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
