@@ -4,10 +4,11 @@
 it to FILE_BYTES, so that no partition of our own archives is much larger. Filters on record_type, record_id, target_uri,
 refers_to and payload_digest are pushed down: a record's headers are parsed first, and the payload of a record that
 they rule out (or of all, with option ``payload`` false) is neither inflated nor decoded. Written files are gzip with a
-member per record, whose length stands in the member's extra field ``sl``, so that a reader skips to the next one;
-other archives, gzip or plain, are read as well.
+member per record, whose length stands in the member's extra field ``sl``, so that a reader skips to the next one. A
+member of 4 GB or more has no such field, and is read through.
 
-A member of 4 GB or more has no such field, and is read through.
+Other archives, plain or gzip, are read as well: members may hold several records or parts of one, or be empty, and zeros
+may follow them. An archive that ends too soon or holds anything else fails the job.
 
 Null or empty payloads are records of 0 bytes. A null uri has no WARC-Target-URI. Line ends in header values are
 percent-coded.
@@ -154,75 +155,123 @@ def _bare(name: str, value: str | None) -> str | None:
 
 
 class _Plain:
-    """Bytes of an open file: ``peek`` up to the end of the headers, ``take`` and ``skip`` after it."""
+    """Records of an open file: ``headers`` of the next one, then ``take`` and ``skip`` inside its block. A file that ends
+    inside a record, or holds anything else between records, is an error."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.buf = f, bytearray()
+        f.seek(0, 2)
+        self.end = f.tell()
+        f.seek(0)
+
+    def _more(self, most: int) -> bool:
+        """Adds up to ``most`` bytes to ``buf``; False at the end."""
+        got = self.f.read(most)
+        self.buf += got
+        return bool(got)
 
     def headers(self) -> bytes | None:
-        buf = b""
-        while b"\r\n\r\n" not in buf:
-            more = self.f.read(4096)
-            if not more:
-                if buf.strip():
+        seen = 0
+        while True:
+            if not seen:
+                self.buf = self.buf.lstrip(b"\r\n")
+            if not b"WARC/".startswith(self.buf[:5]):
+                raise ValueError("an archive holds something that is not a WARC record")
+            at = self.buf.find(b"\r\n\r\n", max(0, seen - 3)) if self.buf else -1
+            if at >= 0:
+                head = bytes(self.buf[:at])
+                del self.buf[: at + 4]
+                return head
+            seen = len(self.buf)
+            if not self._more(8192):
+                if self.buf:
                     raise ValueError("an archive ends inside a record's headers")
                 return None
-            buf += more
-            buf = buf.lstrip(b"\r\n") if not buf.startswith(b"WARC") else buf
-        head, _, rest = buf.partition(b"\r\n\r\n")
-        self.f.seek(-len(rest), 1)
-        return head
 
     def take(self, n: int) -> bytes:
-        out = self.f.read(n)
-        if len(out) < n:
-            raise ValueError("an archive ends inside a record")
+        while len(self.buf) < n:
+            if not self._more(n - len(self.buf)):
+                raise ValueError("an archive ends inside a record")
+        out = bytes(self.buf[:n])
+        del self.buf[:n]
         return out
 
-    def skip(self, n: int) -> None:
+    def _pass(self, n: int) -> int:
+        """Goes over up to ``n`` bytes that are not in ``buf`` without reading them; how many."""
+        if self.f.tell() + n > self.end:
+            raise ValueError("an archive ends inside a record")
         self.f.seek(n, 1)
+        return n
+
+    def skip(self, n: int) -> None:
+        while n:
+            here = min(n, len(self.buf))
+            del self.buf[:here]
+            n -= here
+            if n:
+                n -= self._pass(n)
 
 
-class _Gzip:
-    """The same over gzip members of one record each."""
+class _Gzip(_Plain):
+    """The same over gzip members, which may hold one record, several, a part of one or nothing, with zeros between them.
+    A member that tells its lengths is left for the next one as soon as nothing in it is wanted any more."""
 
     def __init__(self, f):
-        self.f, self.rest, self.next = f, b"", 0
+        super().__init__(f)
+        self.raw, self.z, self.left, self.next = b"", None, None, None
+
+    def _member(self) -> bool:
+        """Begins the next member, if there is one."""
+        while True:
+            self.raw = self.raw.lstrip(b"\0")
+            if len(self.raw) >= 24:
+                break
+            more = self.f.read(1 << 14)
+            if not more:
+                break
+            self.raw += more
+        if not self.raw:
+            return False
+        head = self.raw[:24]
+        if head[:2] != b"\x1f\x8b":
+            raise ValueError("an archive holds something that is not a gzip member")
+        self.left = self.next = None
+        if len(head) == 24 and head[3] & 4 and head[12:14] == b"sl":
+            total, size = struct.unpack("<II", head[16:24])
+            if total > len(head):
+                self.left, self.next = size, self.f.tell() - len(self.raw) + total
+        self.z = zlib.decompressobj(31)
+        return True
 
-    def headers(self) -> bytes | None:
-        if self.next is None:  # the member before had no length: it ends where its data do
-            while not self.z.eof:
-                self._more()
-            self.next = self.f.tell() - len(self.z.unused_data)
-        self.f.seek(self.next)
-        start = self.f.read(24)
-        if not start:
-            return None
-        known = start[:2] == b"\x1f\x8b" and start[3] & 4 and start[12:14] == b"sl"
-        self.next = self.next + struct.unpack("<I", start[16:20])[0] if known else None
-        self.f.seek(-len(start), 1)
-        self.z, self.buf = zlib.decompressobj(31), b""
-        while b"\r\n\r\n" not in self.buf:
-            self._more()
-        head, _, self.buf = self.buf.partition(b"\r\n\r\n")
-        return head
-
-    def _more(self, most: int = 8192) -> None:
-        tail = self.z.unconsumed_tail
-        raw = tail or self.f.read(1 << 14)
-        if not raw and not self.z.eof:
+    def _more(self, most: int) -> bool:
+        while True:
+            if self.z is None and not self._member():
+                return False
+            out = self.z.decompress(self.raw, most)
+            self.raw = self.z.unconsumed_tail
+            if self.left is not None:
+                self.left -= len(out)
+            if self.z.eof:
+                self.raw, self.z = self.z.unused_data, None
+            elif not out and not self.raw:
+                self.raw = self.f.read(1 << 14)
+                if not self.raw:
+                    raise ValueError("an archive ends inside a gzip member")
+            if out:
+                self.buf += out
+                return True
+
+    def _pass(self, n: int) -> int:
+        if self.z is not None and self.left is not None and self.left <= n + 4:  # the record's last line ends may follow
+            gone = max(0, min(n, self.left))
+            if self.next > self.end:
+                raise ValueError("an archive ends inside a gzip member")
+            self.f.seek(self.next)
+            self.raw, self.z = b"", None
+            return gone
+        if not self._more(min(n, 1 << 16)):
             raise ValueError("an archive ends inside a record")
-        self.buf += self.z.decompress(raw, most)
-
-    def take(self, n: int) -> bytes:
-        while len(self.buf) < n:
-            self._more(n - len(self.buf))
-        out, self.buf = self.buf[:n], self.buf[n:]
-        return out
-
-    def skip(self, n: int) -> None:
-        """The rest of the member goes unread."""
-        self.buf = b""
+        return 0
 
 
 @dataclass
@@ -265,7 +314,9 @@ class WarcReader(DataSourceReader):
             source = _Gzip(f) if magic == b"\x1f\x8b" else _Plain(f)
             while (raw := source.headers()) is not None:
                 head = parse_headers(raw)
-                size = int(head.get("content-length", 0))
+                if not head.get("content-length", "").isdecimal():
+                    raise ValueError("a record has no Content-Length")
+                size = int(head["content-length"])
                 if not self._fits(head):
                     source.skip(size)
                     continue
@@ -274,8 +325,10 @@ class WarcReader(DataSourceReader):
                     http = b""
                     while b"\r\n\r\n" not in http and len(http) < size:
                         http += source.take(min(512, size - len(http)))
-                    http, _, payload = http.partition(b"\r\n\r\n")
-                    length = size - len(http) - 4
+                    http, found, payload = http.partition(b"\r\n\r\n")
+                    if not found:  # no HTTP headers after all
+                        http, payload = b"", http
+                    length = size - len(http) - len(found)
                     if head.get("warc-type") == "revisit":
                         length, payload = int(parse_headers(http).get("content-length", 0)), None
                     elif self.payload:
