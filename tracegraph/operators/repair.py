@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES, angle, every_third, norm, step
 from tracegraph.operators.components import star_edges
+from tracegraph.operators.dense import with_crops
 from tracegraph.operators.edits import patch
 from tracegraph.operators.graph import adjacency, canonical, degree
 from tracegraph.operators.grid import box_pairs, ends, neighbours
@@ -158,26 +159,45 @@ def mean_step(track: pd.DataFrame) -> np.ndarray:
     return (16.0 - track[["x0", "y0", "z0"]].to_numpy(float)) / (track.attrs["points"] - 1)
 
 
-def next_points(nodes: DataFrame, edges: DataFrame, points: int = 5, model: Callable[[pd.DataFrame], np.ndarray] = mean_step) -> DataFrame:
+#: Side of the crop that a model gets, its middle being the end.
+CROP = 32
+
+
+def next_points(
+    nodes: DataFrame, edges: DataFrame, points: int = 5, model: Callable[[pd.DataFrame], np.ndarray] = mean_step, voxels: DataFrame | None = None, image: list[int] | None = None
+) -> DataFrame:
     """(nid, x, y, z): a new point beyond each end whose walk has ``points`` nodes: where ``model`` moves it.
 
     The model gets tracks, some at a time: columns x0, y0, z0 of the farthest point to those of the end itself, moved so
-    that the end is at 16 on each axis, the middle of a cube of 32.
+    that the end is at 16 on each axis, the middle of a cube of 32. With ``voxels`` of an image (sizes ``image``) it gets one
+    track at a time, with a column ``crop``: that cube of the image, 0 outside it.
     """
     tips = degree(nodes, edges).where("degree = 1")
     walks = walk_from_ends(tips, edges, points - 1)
     at = walks.join(nodes.select(F.col("nid").alias("at"), *(F.col(k).cast("double").alias(k) for k in AXES)), "at")
     whole = at.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("step"), *AXES))).alias("p")).where(F.size("p") == points)
     end = F.col("p")[points - 1]
-    tracks = whole.select("nid", *(end[k].alias("end_" + k) for k in AXES), *((F.col("p")[i][k] - end[k] + 16).alias(f"{k}{i}") for i in range(points) for k in AXES))
+    tracks = whole.select("nid", *(end[k].alias("end_" + k) for k in AXES), *((F.col("p")[i][k] - end[k] + CROP // 2).alias(f"{k}{i}") for i in range(points) for k in AXES))
+
+    def moved(b: pd.DataFrame) -> np.ndarray:
+        b.attrs["points"] = points
+        return np.round(b[[f"end_{k}" for k in AXES]].to_numpy(float) + model(b), 6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b.attrs["points"] = points
-            moved = np.round(b[[f"end_{k}" for k in AXES]].to_numpy(float) + model(b), 6)
-            yield pd.DataFrame({"nid": b["nid"], **{k: moved[:, i] for i, k in enumerate(AXES)}})
+            to = moved(b)
+            yield pd.DataFrame({"nid": b["nid"], **{k: to[:, i] for i, k in enumerate(AXES)}})
+
+    if voxels is None:
+        return tracks.mapInPandas(run, "nid long, x double, y double, z double")
+
+    def one(row: pd.Series, cube: np.ndarray) -> tuple:
+        track = pd.DataFrame([row.drop("track").to_dict() | row["track"]])
+        track["crop"] = [cube]
+        return (int(row["roi"]), *moved(track)[0])
 
-    return tracks.mapInPandas(run, "nid long, x double, y double, z double")
+    corners = tracks.select(F.col("nid").alias("roi"), *((F.floor("end_" + k) - CROP // 2).alias(k + "0") for k in AXES), F.struct(*tracks.columns).alias("track"))
+    return with_crops(corners, voxels, CROP, image, one, "nid long, x double, y double, z double")
 
 
 def extended(nodes: DataFrame, edges: DataFrame, found: DataFrame, creator: str = "extend") -> tuple[DataFrame, DataFrame]:

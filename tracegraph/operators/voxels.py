@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES, norm, step
-from tracegraph.operators.components import star_edges
+from tracegraph.operators.components import hook, star_edges
 from tracegraph.operators.graph import adjacency, degree, induced, spanning_forest
 from tracegraph.operators.grid import haloed
 from tracegraph.operators.numbers import numbered
@@ -99,11 +101,54 @@ def score_tiles(voxels: DataFrame, size: int, halo: int = 4, scorer: Callable[[p
     return tiles.groupBy("tx", "ty", "tz").applyInPandas(run, f"x {kind['x']}, y {kind['y']}, z {kind['z']}, v {kind['v']}, norm double")
 
 
-def regions(voxels: DataFrame) -> DataFrame:
-    """``voxels`` with region, the least voxel id of the 26-connected region."""
-    own = saved(checked(voxels).withColumn("nid", voxel_id()), "voxels")
-    found = star_edges(touching(own))
-    return own.join(found, "nid", "left").withColumn("region", F.coalesce("comp", "nid")).drop("nid", "comp")
+def local_regions(places: np.ndarray) -> np.ndarray:
+    """For each of some voxels (n x 3) the first of them, in their order, that it is 26-connected to among them."""
+    corner = places.min(0) - 1
+    at = np.full(places.max(0) - corner + 2, -1, np.int64)
+    at[tuple((places - corner).T)] = np.arange(len(places))
+    root = np.arange(len(places))
+    for o in FORWARD:
+        other = at[tuple((places - corner + o).T)]
+        here = np.flatnonzero(other >= 0)
+        hook(root, here, other[here])
+    return root
+
+
+#: Side of the cubes in which voxels are first joined.
+CUBE = 32
+
+
+def regions(voxels: DataFrame, side: int = CUBE) -> DataFrame:
+    """``voxels`` with region, the least voxel id of the 26-connected region.
+
+    Voxels of a cube of ``side`` are joined in one task and get the least id as a label. Only those at a cube's faces, edges
+    and corners then look for neighbours, across them; labels that touch there are joined as a graph."""
+    own = checked(voxels).withColumn("_id", voxel_id())
+    names = own.columns
+
+    def run(cube: pa.Table) -> pa.Table:
+        cube = cube.sort_by("_id")
+        places = np.stack([cube.column(k).to_numpy().astype(np.int64) for k in AXES], 1)
+        ids = cube.column("_id").to_numpy()
+        first = np.unique(ids, return_index=True)[1]  # rows may repeat a voxel
+        of = np.searchsorted(ids[first], ids)
+        return cube.append_column("_label", pa.array(ids[first][local_regions(places[first])][of]))
+
+    keys = [F.floor(F.col(k) / side) for k in AXES]
+    labelled = own.groupBy(*keys).applyInArrow(lambda cube: run(cube.select(names)), T.StructType([*own.schema.fields, T.StructField("_label", T.LongType())]))
+    labelled = saved(labelled, "labelled")
+    at = labelled.select("_label", *(F.col(k).cast("long").alias(k) for k in AXES))
+    face = F.lit(False)
+    for k in AXES:
+        face = face | (F.col(k) % side == 0) | (F.col(k) % side == side - 1)
+    shell = at.where(face)
+    across = F.lit(False)
+    for k in AXES:
+        across = across | (F.floor(F.col(k) / side) != F.floor((F.col(k) + F.col("o." + k)) / side))
+    moved = _offsets(shell).where(across).select(F.col("_label").alias("src"), *((F.col(k) + F.col("o." + k)).alias(k) for k in AXES))
+    links = moved.join(shell.withColumnRenamed("_label", "dst"), list(AXES)).select("src", "dst").distinct()
+    found = star_edges(links).withColumnRenamed("nid", "_label")
+    return labelled.join(found, "_label", "left").select(*voxels.columns, F.coalesce("comp", "_label").alias("region"))
 
 
 def large_regions(voxels: DataFrame, least: int = 50) -> DataFrame:

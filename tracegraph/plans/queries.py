@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegraph.functions.geometry import AXES, every_third
-from tracegraph.operators import augment, edits, graph, grid, paths, repair, review, voxels
+from tracegraph.operators import augment, dense, edits, graph, grid, paths, repair, review, voxels
 from tracegraph.plans.fixtures import (
     ADJ, COMP, DEG, F1, F2, F3, F4, F5, F6, GRAPH, PENDING, SEGMENTS,
     f1_edges, f1_nodes, f1_segments, f2_edges, f2_nodes, f3_points, f4_voxels, f5_images, f6_edits,
 )
-from tracegraph.sources import tables
-from tracegraph.store import saved
+from tracegraph.sources import layout, tables
+from tracegraph.store import new_path, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,6 +196,34 @@ def crop_reflect(spark, d):
     return tables.crop(f4_voxels(spark, d), [-3, 30, -2], [16, 16, 16], [40, 40, 51], "reflect")
 
 
+#: Corners of crops: one for each supplier, some beyond the volume.
+CORNERS = "roi as (select cast(s_suppkey as bigint) roi, s_suppkey * 7 % 53 - 9 x0, s_suppkey * 11 % 50 - 6 y0, s_suppkey * 3 % 61 - 7 z0 from supplier)"
+
+
+def _crops_sql(padding: str) -> str:
+    at = {k: f"{k}0 + {k}.i" for k in "xyz"}
+    if padding == "reflect":
+        at = {k: f"case when (({c}) % {2 * n - 2} + {2 * n - 2}) % {2 * n - 2} < {n} then (({c}) % {2 * n - 2} + {2 * n - 2}) % {2 * n - 2} else {2 * n - 2} - (({c}) % {2 * n - 2} + {2 * n - 2}) % {2 * n - 2} end" for (k, c), n in zip(at.items(), (40, 40, 51), strict=True)}
+    return f"""with {F4}, {CORNERS}, a as (select unnest(generate_series(0, 7)) i),
+p as (select roi, x.i x, y.i y, z.i z, {at['x']} vx, {at['y']} vy, {at['z']} vz from roi, a x, a y, a z)
+select roi, p.x, p.y, p.z, coalesce(v, 0)::bigint v from p left join vox on vox.x = vx and vox.y = vy and vox.z = vz"""
+
+
+def _corners(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("long")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("roi"), (k * 7 % 53 - 9).alias("x0"), (k * 11 % 50 - 6).alias("y0"), (k * 3 % 61 - 7).alias("z0"))
+
+
+@query(_crops_sql("constant"))
+def crops_constant(spark, d):
+    return dense.unpacked(dense.crops(_corners(spark, d), f4_voxels(spark, d), 8, [40, 40, 51]), 8)
+
+
+@query(_crops_sql("reflect"))
+def crops_reflect(spark, d):
+    return dense.unpacked(dense.crops(_corners(spark, d), f4_voxels(spark, d), 8, [40, 40, 51], "reflect"), 8)
+
+
 @query(f"with {F4} select x, y, z, v from vox where x >= 5 and x < 20 and y >= 8 and y < 30 and z >= 10 and z < 25")
 def slab(spark, d):
     return tables.slab(f4_voxels(spark, d), [5, 8, 10], [20, 30, 25])
@@ -206,6 +235,17 @@ def _level_sizes(spark: SparkSession, d: str) -> DataFrame:
     return at.groupBy(F.col("level").cast("long").alias("level")).agg(*((F.max(F.floor(F.col(k) / F.pow(F.lit(2), F.col("level")))) + 1).cast("long").alias("s" + k) for k in AXES))
 
 
+def _laid_out(spark: SparkSession, rows: DataFrame, side: int) -> str:
+    path = new_path(spark, "cells")
+    layout.write_cells(rows, path, side)
+    return path
+
+
+@query(SQL["slab"])
+def slab_by_cells(spark, d):
+    return layout.read_box(spark, _laid_out(spark, f4_voxels(spark, d), 4), [5, 8, 10], [20, 30, 25])
+
+
 def _levels_sql(width: tuple[str, str, str], low: tuple[float, float, float]) -> str:
     sizes = "sz as (select cast(l as bigint) level, max(x >> l) + 1 sx, max(y >> l) + 1 sy, max(z >> l) + 1 sz from vox, (select unnest(generate_series(0, 4))::int l) group by 1)"
     px = {k: f"{w}::double / s{k}" for k, w in zip("xyz", width, strict=True)}
@@ -405,6 +445,12 @@ def roi_nodes(spark, d):
     return f1_nodes(spark, d).where("x >= 100 and x < 400 and y >= 10 and y < 300 and z >= 5 and z < 700").select("nid")
 
 
+@query(SQL["roi_nodes"])
+def roi_nodes_by_cells(spark, d):
+    path = _laid_out(spark, f1_nodes(spark, d).select("nid", *AXES), 64)
+    return layout.read_box(spark, path, [100, 10, 5], [400, 300, 700]).select("nid")
+
+
 @query(f"with {F3} select a.nid, b.nid m from n a, n b where a.nid <> b.nid and abs(a.x - b.x) <= 6 and abs(a.y - b.y) <= 6 and abs(a.z - b.z) <= 6")
 def box_pairs(spark, d):
     p = f3_points(spark, d)
@@ -830,6 +876,25 @@ def next_points(spark, d):
     return repair.next_points(*_f1(spark, d))
 
 
+def brightest(track):
+    """A model that reads the crop: to its first brightest voxel; nowhere in a dark one."""
+    cube = track["crop"].iloc[0]
+    at = np.unravel_index(int(cube.argmax()), cube.shape) if cube.any() else (16, 16, 16)
+    return np.array([at]) - 16.0
+
+
+@query(f"""with recursive {FOLDED.replace(f"z % {FOLD}", "z % 51").replace(f"x % {FOLD}", "x % 40").replace(f"y % {FOLD}", "y % 40")}, {DEG}, {F4},
+w(nid, step, pos, prev) as (select nid, 0::bigint, nid, -1::bigint from deg where degree = 1 union all
+select w.nid, w.step + 1, adj.d, w.pos from w join adj on adj.s = w.pos and adj.d <> w.prev join deg on deg.nid = w.pos where w.step < 4 and degree <= 2),
+tip as (select n.nid, n.x, n.y, n.z from w join n on n.nid = w.nid where step = 4),
+c as (select nid, arg_max((v.x, v.y, v.z), (v, -v.x, -v.y, -v.z)) p from tip join vox v on v.x >= tip.x - 16 and v.x < tip.x + 16 and v.y >= tip.y - 16 and v.y < tip.y + 16 and v.z >= tip.z - 16 and v.z < tip.z + 16 where v > 0 group by 1)
+select tip.nid, coalesce(p[1], tip.x)::double x, coalesce(p[2], tip.y)::double y, coalesce(p[3], tip.z)::double z from tip left join c using (nid)""")
+def next_points_by_image(spark, d):
+    n, e = _f1(spark, d)
+    inside = n.select("nid", (F.col("x") % 40).alias("x"), (F.col("y") % 40).alias("y"), (F.col("z") % 51).alias("z"))
+    return repair.next_points(inside, e, model=brightest, voxels=f4_voxels(spark, d), image=[40, 40, 51])
+
+
 @query(f"""with recursive {F1}, {DEG}, w(nid, step, pos, prev) as (select nid, 0::bigint, nid, -1::bigint from deg where degree = 1 union all
 select w.nid, w.step + 1, adj.d, w.pos from w join adj on adj.s = w.pos and adj.d <> w.prev join deg on deg.nid = w.pos where w.step < 4 and degree <= 2),
 k as (select nid, (select max(nid) from n) + row_number() over (order by nid) new from w where step = 4)
@@ -947,6 +1012,16 @@ def score_tiles(spark, d):
     return voxels.score_tiles(f4_voxels(spark, d), 16).withColumn("norm", F.round("norm", 6))
 
 
+def _block_volume() -> str:
+    return " * ".join(f"(least({n}, t{k} * 16 + 20) - greatest(0, t{k} * 16 - 4))" for k, n in zip("xyz", (40, 40, 51), strict=True))
+
+
+@query(f"""with {F4}, {HALO}, m as (select tx, ty, tz, case when count(*) < {_block_volume()} then 0 else min(v) end lo, max(v) hi from tile group by 1, 2, 3)
+select x, y, z, v, round(case when hi > lo then (v - lo) / (hi - lo)::double else 0.0 end, 6) norm from tile join m using (tx, ty, tz) where core""")
+def score_dense(spark, d):
+    return dense.score_dense(f4_voxels(spark, d), [40, 40, 51], 16).withColumn("norm", F.round("norm", 6))
+
+
 @query(f"with {SCORED} select x, y, z, v from sc where norm >= 0.5 and v > 20000")
 def mask(spark, d):
     return voxels.mask(voxels.score_tiles(f4_voxels(spark, d), 16), background=20000).select(*AXES, "v")
