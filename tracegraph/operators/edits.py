@@ -68,38 +68,61 @@ def replay(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFr
     other, in either order; the pair's last edit holds, an added edge only if it is later than the last delete_node of
     both ends and both are there at the end. A pair that was there all along keeps its row.
     """
+    return apply_summaries(nodes, edges, *summaries(edits))
+
+
+def summaries(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a log says of each node and of each pair: enough to replay it, a row for each however long the log is.
+
+    Of nodes: the last add_node or delete_node (fate) and its seq, the seq of the last delete_node (gone), the last
+    change_type (kind) and the last check or uncheck (flag), with their seqs. Of pairs (a < b): the last edit, its seq, and
+    whether it was ever cut. An edit that comes twice counts once."""
     if "other" not in edits.columns:
         edits = edits.withColumn("other", F.lit(None).cast("long"))
-    deleted = edits.where("action = 'delete_node'").groupBy("nid").agg(F.max("seq").alias("gone"))
-    later = edits.where("action in ('change_type', 'check', 'uncheck')").join(deleted, "nid", "left").where("gone is null or seq > gone")
-    fate = edits.where("action in ('add_node', 'delete_node')").groupBy("nid").agg(F.max_by("action", "seq").alias("fate"))
+    of = lambda *names: F.when(F.col("action").isin(*names), F.col("seq"))
+    fate, kind, flag = of("add_node", "delete_node"), of("change_type"), of("check", "uncheck")
+    node = edits.where(F.coalesce(fate, kind, flag).isNotNull() & F.col("nid").isNotNull()).groupBy("nid").agg(
+        F.max_by("action", fate).alias("fate"), F.max(fate).alias("fate_seq"), F.max(of("delete_node")).alias("gone"),
+        F.max_by(F.col("arg").cast("long"), kind).alias("kind"), F.max(kind).alias("kind_seq"),
+        F.max_by(F.when(F.col("action") == "check", 1).otherwise(-1), flag).alias("flag"), F.max(flag).alias("flag_seq"),
+    )
+    pairs = edits.where("action in ('add_edge', 'delete_edge') and nid is not null and other is not null")
+    pairs = pairs.groupBy(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b")).agg(
+        F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"), F.max(F.col("action") == "delete_edge").alias("cut")
+    )
+    return node, pairs
+
+
+def merged_summaries(node: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each node and pair of the summaries of several logs."""
+    last = lambda c: (F.max_by(c, c + "_seq").alias(c), F.max(c + "_seq").alias(c + "_seq"))
+    node = node.groupBy("nid").agg(*last("fate"), F.max("gone").alias("gone"), *last("kind"), *last("flag"))
+    pairs = pairs.groupBy("a", "b").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"), F.max("cut").alias("cut"))
+    return node, pairs
+
+
+def apply_summaries(nodes: DataFrame, edges: DataFrame, node: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the log that the summaries are of."""
+    deleted = node.where("gone is not null").select("nid", "gone")
     kept, left = delete_nodes(nodes, edges, deleted)
-    added = fate.where("fate = 'add_node'").join(kept.select("nid"), "nid", "left_anti")
+    added = node.where("fate = 'add_node'").select("nid").join(kept.select("nid"), "nid", "left_anti")
     blank = added.select(
         *(F.col("nid") if c == "nid" else F.lit({"status": 1, "checked": 0, "type": 0, "x": 0, "y": 0, "z": 0, "creator": "edit"}.get(c)).cast(t).alias(c) for c, t in nodes.dtypes)
     )
-    nodes = kept.unionByName(blank)
-    is_type = F.col("action") == "change_type"
-    new = later.groupBy("nid").agg(
-        F.max_by(F.when(is_type, F.col("arg")), F.when(is_type, F.col("seq"))).alias("type"),
-        F.max_by(F.when(F.col("action") == "check", 1).when(F.col("action") == "uncheck", -1), F.when(~is_type, F.col("seq"))).alias("checked"),
-    )
-    return patch(nodes, new, "type", "checked"), _replay_edges(nodes, left, edits, deleted)
-
-
-def _replay_edges(nodes: DataFrame, edges: DataFrame, edits: DataFrame, deleted: DataFrame) -> DataFrame:
-    """``edges``, without those of deleted nodes, after the log's edits of edges."""
-    pairs = edits.where("action in ('add_edge', 'delete_edge') and nid is not null and other is not null")
-    pairs = pairs.select(F.least("nid", "other").alias("_a"), F.greatest("nid", "other").alias("_b"), "seq", "action")
-    pairs = pairs.groupBy("_a", "_b").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"), F.max(F.col("action") == "delete_edge").alias("cut"))
-    own = edges.withColumns({"_a": F.least("src", "dst"), "_b": F.greatest("src", "dst")})
-    stay = own.join(pairs.where("cut").select("_a", "_b"), ["_a", "_b"], "left_anti")
-    new = pairs.where("action = 'add_edge'").join(stay.select("_a", "_b"), ["_a", "_b"], "left_anti")
-    for end in ("_a", "_b"):
-        new = new.join(deleted.select(F.col("nid").alias(end), "gone"), end, "left").where("gone is null or seq > gone").drop("gone")
-        new = new.join(nodes.select(F.col("nid").alias(end)), end, "left_semi")
-    made = new.select(F.col("_a").alias("src"), F.col("_b").alias("dst"), F.lit("edit").alias("creator"))
-    return stay.select("src", "dst", "creator").unionByName(made)
+    kinds = dict(nodes.dtypes)
+    since = lambda c: F.when(F.col("gone").isNull() | (F.col(c + "_seq") > F.col("gone")), F.col(c))
+    new = node.select("nid", since("kind").cast(kinds["type"]).alias("type"), since("flag").cast(kinds["checked"]).alias("checked"))
+    nodes = patch(kept.unionByName(blank), new, "type", "checked")
+
+    own = left.withColumns({"_a": F.least("src", "dst"), "_b": F.greatest("src", "dst")})
+    cut = pairs.where("cut").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    stay = own.join(cut, ["_a", "_b"], "left_anti")
+    made = pairs.where("action = 'add_edge'").join(stay.select(F.col("_a").alias("a"), F.col("_b").alias("b")), ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        made = made.join(deleted.withColumnRenamed("nid", end), end, "left").where("gone is null or seq > gone").drop("gone")
+        made = made.join(nodes.select(F.col("nid").alias(end)), end, "left_semi")
+    made = made.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("edit").alias("creator"))
+    return nodes, stay.select("src", "dst", "creator").unionByName(made)
 
 
 def until(edits: DataFrame, seq: int) -> DataFrame:

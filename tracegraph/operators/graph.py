@@ -130,12 +130,29 @@ def _chains(adj: DataFrame, own: DataFrame) -> DataFrame:
     return state.where("end is not null").select("a", "end", "far")
 
 
+def tree_costs(ways: DataFrame, roots: DataFrame) -> DataFrame:
+    """(nid, hops): the sum of the costs from ``roots`` (nid), one in each tree, to the nodes of the trees of ``ways`` (nid,
+    nbr, cost), which have both directions of each edge. Rounds grow with the logarithm of a tree's size."""
+    parents = rooted(ways.where("nid < nbr").select(F.col("nid").alias("src"), F.col("nbr").alias("dst")), roots)
+    step = ways.select(F.col("nid").alias("parent"), F.col("nbr").alias("nid"), "cost")
+    state = parents.join(roots, "nid", "left_anti").join(step, ["nid", "parent"]).select("nid", F.col("parent").alias("up"), F.col("cost").alias("hops"))
+    top = roots.select("nid", F.lit(None).cast("long").alias("up"), F.lit(0).cast("long").alias("hops"))
+    state = saved(state.unionByName(top), "depth")
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("nid").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("more"))
+        moved = state.where("up is not null").join(above, "up").select("nid", F.col("up2").alias("up"), (F.col("hops") + F.col("more")).alias("hops"))
+        state = saved(state.where("up is null").unionByName(moved), "depth", instead_of=state)
+    return state.select("nid", "hops")
+
+
 def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(nid, hops): least number of edges from the nodes of ``start`` (nid).
 
     With ``nodes_cost`` (nid, cost of 0 or 1) a step costs what the node it leaves costs (nothing at a start).
-    Chains of nodes that no way forks, starts or costs at become one edge first, so that the frontier moves chain by chain:
-    rounds grow with the forks on a way, not with its length. Raises if a node is more than ``limit`` hops away.
+    Chains of nodes that no way forks, starts or costs at become one edge first. Components that are then trees with one
+    start are solved by their tours and by doubling the way to the root, in a number of rounds that grows with its
+    logarithm. In others a frontier moves chain by chain: rounds grow with the forks on a way. Raises if a node is more than
+    ``limit`` hops away.
     """
     adj = saved(adjacency(edges).where("nid <> nbr").distinct(), "adjacency")
     first = start.select("nid").where("nid is not null").distinct()
@@ -154,6 +171,16 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     price = F.col("far") if nodes_cost is None else F.col("cost")
     ways = chains.where("a <> end").join(leaving, "a").groupBy(F.col("a").alias("nid"), F.col("end").alias("nbr")).agg(F.min(price).alias("cost"))
     ways = saved(ways, "ways")
+    comp = saved(star_edges(ways, "nid", "nbr"), "parts")
+    size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"))
+    size = size.join(ways.join(comp, "nid").groupBy("comp").agg((F.count(F.lit(1)) / 2).alias("edges")), "comp")
+    size = size.join(first.join(comp, "nid").groupBy("comp").agg(F.count(F.lit(1)).alias("starts")), "comp")
+    trees = comp.join(size.where("edges = nodes - 1 and starts = 1"), "comp", "left_semi").select("nid")
+    trees = saved(trees, "trees")
+    solved = None
+    if not trees.isEmpty():
+        solved = saved(tree_costs(ways.join(trees, "nid", "left_semi"), first.join(trees, "nid", "left_semi")), "solved")
+        first, ways = first.join(trees, "nid", "left_anti"), ways.join(trees, "nid", "left_anti")
     done = front = first.withColumn("hops", F.lit(0).cast("long"))
     while True:
         reached = front.join(ways, "nid").groupBy(F.col("nbr").alias("nid")).agg(F.min(F.col("hops") + F.col("cost")).alias("hops"))
@@ -163,6 +190,8 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
             break
         new = done.join(front.select("nid", F.col("hops").alias("new")), "nid", "full").select("nid", F.coalesce("new", "hops").alias("hops"))
         done = saved(new, "reached", instead_of=done)
+    if solved is not None:
+        done = saved(done.unionByName(solved), "reached")
 
     at = done.select(F.col("nid").alias("end"), "hops")
     inside = chains.join(own.where("not key").select(F.col("nid").alias("a")), "a", "left_semi").join(at, "end")
@@ -171,3 +200,29 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     if limit is not None and not out.where(F.col("hops") > limit).isEmpty():
         raise RuntimeError(f"there are nodes more than {limit} hops away")
     return out
+
+
+def update_components(comp: DataFrame, edges: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """(nid, comp) after an edit: ``comp`` was right before it, ``edges`` (src, dst) are those after it; ``added`` and
+    ``removed`` (src, dst) are edges and ``gone`` (nid) nodes that came or went. A node of ``added`` may be new.
+
+    Only components with an end of such an edge, or such a node, are worked out again; all others keep their rows as they
+    are and take no part in any round."""
+    ids = [x for e in (added, removed) if e is not None for x in (e.select(F.col("src").alias("nid")), e.select(F.col("dst").alias("nid")))]
+    ids += [gone.select("nid")] if gone is not None else []
+    if not ids:
+        return comp
+    named = ids[0]
+    for x in ids[1:]:
+        named = named.unionAll(x)
+    named = saved(named.where("nid is not null").distinct(), "named")
+    touched = saved(comp.join(named, "nid", "left_semi").select("comp").distinct(), "touched")
+    few = F.broadcast(touched) if touched.count() <= 1_000_000 else touched
+    nodes = comp.join(few, "comp", "left_semi").select("nid")
+    if added is not None:
+        nodes = nodes.unionAll(adjacency(added).select("nid")).distinct()
+    if gone is not None:
+        nodes = nodes.join(gone.select("nid"), "nid", "left_anti")
+    nodes = saved(nodes, "again")
+    again = components(nodes, saved(induced(nodes, edges.select("src", "dst")), "again_edges"))
+    return comp.join(few, "comp", "left_anti").select("nid", "comp").unionByName(again.select("nid", "comp"))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from tracegraph.functions.geometry import AXES, norm, step
 from tracegraph.operators.components import hook, star_edges
 from tracegraph.operators.graph import adjacency, degree, induced, spanning_forest
-from tracegraph.operators.grid import haloed
+from tracegraph.operators.grid import box_pairs, haloed
 from tracegraph.operators.numbers import numbered
 from tracegraph.operators.paths import paths
 from tracegraph.store import saved
@@ -92,12 +92,17 @@ def default_scorer(tile: pd.DataFrame) -> np.ndarray:
 def score_tiles(voxels: DataFrame, size: int, halo: int = 4, scorer: Callable[[pd.DataFrame], np.ndarray] = default_scorer) -> DataFrame:
     """(x, y, z, v, norm): the scorer applied to each tile with its halo; core voxels stay. A tile bounds what a task holds."""
 
+    return score_haloed(haloed(voxels.select(*AXES, "v"), size, halo), scorer)
+
+
+def score_haloed(tiles: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray] = default_scorer) -> DataFrame:
+    """The same for tiles (tx, ty, tz, x, y, z, v, core) that come with their halos."""
+
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         tile["norm"] = scorer(tile)
         return tile.loc[tile["core"], ["x", "y", "z", "v", "norm"]]
 
-    kind = dict(voxels.dtypes)
-    tiles = haloed(voxels.select(*AXES, "v"), size, halo)
+    kind = dict(tiles.dtypes)
     return tiles.groupBy("tx", "ty", "tz").applyInPandas(run, f"x {kind['x']}, y {kind['y']}, z {kind['z']}, v {kind['v']}, norm double")
 
 
@@ -118,8 +123,9 @@ def local_regions(places: np.ndarray) -> np.ndarray:
 CUBE = 32
 
 
-def regions(voxels: DataFrame, side: int = CUBE) -> DataFrame:
-    """``voxels`` with region, the least voxel id of the 26-connected region.
+def regions(voxels: DataFrame, side: int = CUBE, *keys: str) -> DataFrame:
+    """``voxels`` with region, the least voxel id of the 26-connected region. With ``keys`` only voxels of equal keys touch;
+    a voxel has one.
 
     Voxels of a cube of ``side`` are joined in one task and get the least id as a label. Only those at a cube's faces, edges
     and corners then look for neighbours, across them; labels that touch there are joined as a graph."""
@@ -134,10 +140,10 @@ def regions(voxels: DataFrame, side: int = CUBE) -> DataFrame:
         of = np.searchsorted(ids[first], ids)
         return cube.append_column("_label", pa.array(ids[first][local_regions(places[first])][of]))
 
-    keys = [F.floor(F.col(k) / side) for k in AXES]
-    labelled = own.groupBy(*keys).applyInArrow(lambda cube: run(cube.select(names)), T.StructType([*own.schema.fields, T.StructField("_label", T.LongType())]))
+    cubes = [F.floor(F.col(k) / side) for k in AXES]
+    labelled = own.groupBy(*keys, *cubes).applyInArrow(lambda cube: run(cube.select(names)), T.StructType([*own.schema.fields, T.StructField("_label", T.LongType())]))
     labelled = saved(labelled, "labelled")
-    at = labelled.select("_label", *(F.col(k).cast("long").alias(k) for k in AXES))
+    at = labelled.select("_label", *keys, *(F.col(k).cast("long").alias(k) for k in AXES))
     face = F.lit(False)
     for k in AXES:
         face = face | (F.col(k) % side == 0) | (F.col(k) % side == side - 1)
@@ -145,24 +151,48 @@ def regions(voxels: DataFrame, side: int = CUBE) -> DataFrame:
     across = F.lit(False)
     for k in AXES:
         across = across | (F.floor(F.col(k) / side) != F.floor((F.col(k) + F.col("o." + k)) / side))
-    moved = _offsets(shell).where(across).select(F.col("_label").alias("src"), *((F.col(k) + F.col("o." + k)).alias(k) for k in AXES))
-    links = moved.join(shell.withColumnRenamed("_label", "dst"), list(AXES)).select("src", "dst").distinct()
+    moved = _offsets(shell).where(across).select(F.col("_label").alias("src"), *keys, *((F.col(k) + F.col("o." + k)).alias(k) for k in AXES))
+    links = moved.join(shell.withColumnRenamed("_label", "dst"), [*keys, *AXES]).select("src", "dst").distinct()
     found = star_edges(links).withColumnRenamed("nid", "_label")
     return labelled.join(found, "_label", "left").select(*voxels.columns, F.coalesce("comp", "_label").alias("region"))
 
 
-def large_regions(voxels: DataFrame, least: int = 50) -> DataFrame:
-    out = saved(regions(voxels), "regions")
+def large_regions(voxels: DataFrame, least: int = 50, *keys: str) -> DataFrame:
+    out = saved(regions(voxels, CUBE, *keys), "regions")
     return out.join(out.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least), "region")
 
 
-def inner_voxels(voxels: DataFrame, size: int) -> DataFrame:
-    """``voxels`` without the border of one voxel of each tile of side ``size``."""
-    for k in AXES:
-        voxels = voxels.where(F.pmod(F.col(k), F.lit(size)).between(1, size - 2))
+def inner_voxels(voxels: DataFrame, size: int, image: list[int]) -> DataFrame:
+    """``voxels`` without the border of one voxel of each tile of side ``size``; the last tiles end with the image."""
+    for k, n in zip(AXES, image, strict=True):
+        first = F.floor(F.col(k) / size) * size
+        voxels = voxels.where((F.col(k) > first) & (F.col(k) < F.least(first + size, F.lit(n)) - 1))
     return voxels
 
 
+def tile_segments(mask_: DataFrame, size: int, image: list[int], least: int = 50, longer_than: int = 6) -> DataFrame:
+    """(sid, ord, x, y, z): segments of each tile of side ``size`` by itself, as they come when tiles are worked on one at a
+    time: regions of fewer than ``least`` voxels inside the tile go, the border of one voxel of what is left is cleared, and
+    no chain crosses into the next tile."""
+    tiled = mask_.select(*AXES, *(F.floor(F.col(k) / size).alias("t" + k) for k in AXES))
+    kept = large_regions(tiled, least, "tx", "ty", "tz")
+    return skeleton_segments(inner_voxels(kept, size, image), longer_than, "tx", "ty", "tz")
+
+
+def border_links(segments: DataFrame, size: int, reach: int = 3) -> DataFrame:
+    """(src, dst, turn): ends of chains in different tiles of side ``size``, as voxel ids, to be joined across the tiles'
+    border: at most ``reach`` voxels apart on each axis, the nearest first (turn is their distance), each end once. Cleared
+    borders leave ends 3 voxels apart."""
+    last = segments.groupBy("sid").agg(F.max("ord").alias("last")).where("last > 0")
+    ends = segments.join(last, "sid").where("ord = 0 or ord = last").select(voxel_id().alias("nid"), *AXES)
+    ends = saved(ends, "ends")
+    apart = F.lit(False)
+    for k in AXES:
+        apart = apart | (F.floor(F.col(k) / size) != F.floor(F.col("m" + k) / size))
+    pairs = box_pairs(ends, ends, reach).where("nid < m").where(apart)
+    return pairs.select(F.col("nid").alias("src"), F.col("m").alias("dst"), F.round(norm(step("", "m")), 6).alias("turn"))
+
+
 def skeleton_segments(voxels: DataFrame, longer_than: int = 6, *keys: str) -> DataFrame:
     """(sid, ord, x, y, z): chains of skeleton voxels and, as segments of one point, branch voxels of degree 3. With
     ``keys`` only voxels of equal keys touch; a voxel has one.
@@ -366,9 +396,17 @@ def ray_pick(rays: DataFrame, voxels: DataFrame, size: list[int]) -> DataFrame:
     return at.withColumn("r", F.row_number().over(first)).where("r = 1").select("ray", *AXES, "v")
 
 
-def process_volume(voxels: DataFrame, size: int, background: int = 150, least: int = 50, scorer: Callable[[pd.DataFrame], np.ndarray] = default_scorer, longer_than: int = 6) -> DataFrame:
+def process_volume(
+    voxels: DataFrame, size: int, background: int = 150, least: int = 50, scorer: Callable[[pd.DataFrame], np.ndarray] = default_scorer, longer_than: int = 6,
+    clip: int | None = None, image: list[int] | None = None,
+) -> DataFrame:
     """(sid, ord, x, y, z): tiles scored with halos, masked, small regions removed, what is left turned into segments;
-    sids count from 1 over the whole volume, ready for ``tables.ingest_segments``."""
-    kept = large_regions(mask(score_tiles(voxels, size, scorer=scorer), background=background), least)
-    found = saved(skeleton_segments(saved(kept.select(*AXES), "mask"), longer_than).withColumnRenamed("sid", "of"), "segments")
+    sids count from 1 over the whole volume, ready for ``tables.ingest_segments``. With ``clip``, tiles of that side of an
+    image (sizes ``image``) are each worked on by themselves (``tile_segments``)."""
+    found = mask(score_tiles(voxels, size, scorer=scorer), background=background)
+    if clip is not None:
+        found = tile_segments(saved(found.select(*AXES), "mask"), clip, image, least, longer_than)
+    else:
+        found = skeleton_segments(saved(large_regions(found, least).select(*AXES), "mask"), longer_than)
+    found = saved(found.withColumnRenamed("sid", "of"), "segments")
     return found.join(numbered(found.select("of").distinct(), "sid", "of"), "of").select("sid", "ord", *AXES)
