@@ -43,15 +43,18 @@ def f1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.08")
-    pairs = rows.select((F.col("l_partkey") * 2).cast("long").alias("src"), (F.col("l_suppkey") * 2 + 1).cast("long").alias("dst")).distinct()
+    """The orders of each customer as a chain, hung on the customer at every third order key."""
+    o = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).cast("long").alias("o"), (F.col("o_custkey") * 2 + 1).cast("long").alias("c"), "o_orderdate")
+    chain = o.select(F.lag("o").over(W.partitionBy("c").orderBy("o_orderdate", "o")).alias("src"), F.col("o").alias("dst")).where("src is not null")
+    hung = o.where("o % 3 = 0").select(F.col("o").alias("src"), F.col("c").alias("dst"))
+    pairs = chain.unionAll(hung).distinct()
     return pairs.withColumn("creator", F.when(F.col("src") % 3 == 0, "seger").otherwise("tester"))
 
 
 def f2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = f2_edges(spark, sf_dir)
     n = e.select(F.col("src").alias("nid")).union(e.select("dst")).distinct()
-    return n.select("nid", (F.col("nid") % 64).alias("x"), (F.col("nid") % 47).alias("y"), (F.col("nid") % 31).alias("z"))
+    return n.select("nid", (F.col("nid") * 37 % 509).alias("x"), (F.col("nid") * 101 % 383).alias("y"), (F.col("nid") % 251).alias("z"))
 
 
 def f3_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +96,10 @@ l as (select *, lag(nid) over (partition by user_id order by ts, nid) p, lag(x)
 e as (select p src, nid dst, creator from l where x - px <= 24)"""
 SEGMENTS = """q as (select *, sum(case when x - px <= 24 then 0 else 1 end) over (partition by user_id order by ts, nid) part from l),
 s as (select first_value(nid) over (partition by user_id, part order by ts, nid) sid, row_number() over (partition by user_id, part order by ts, nid) - 1 ord, nid, x, y, z, type from q)"""
-F2 = """e as (select distinct cast(l_partkey * 2 as bigint) src, cast(l_suppkey * 2 + 1 as bigint) dst, case when l_partkey * 2 % 3 = 0 then 'seger' else 'tester' end creator
-  from lineitem where l_quantity >= 49 and l_discount >= 0.08),
-n as (select nid, nid % 64 x, nid % 47 y, nid % 31 z from (select src nid from e union select dst from e))"""
+F2 = """oc as (select cast(o_orderkey * 2 as bigint) o, cast(o_custkey * 2 + 1 as bigint) c, o_orderdate from orders),
+ch as (select lag(o) over (partition by c order by o_orderdate, o) src, o dst from oc union all select o, c from oc where o % 3 = 0),
+e as (select distinct src, dst, case when src % 3 = 0 then 'seger' else 'tester' end creator from ch where src is not null),
+n as (select nid, nid * 37 % 509 x, nid * 101 % 383 y, nid % 251 z from (select src nid from e union select dst from e))"""
 F3 = """n as (select cast(vec_id as bigint) nid, cast(floor(cast(embedding[1] as double) * 100) as bigint) x, cast(floor(cast(embedding[2] as double) * 100) as bigint) y,
   cast(floor(cast(embedding[3] as double) * 100) as bigint) z from embeddings)"""
 F4 = """vox as (select cast(l_partkey % 40 as int) x, cast(l_suppkey % 40 as int) y, cast(l_quantity as int) z, cast(max(floor(l_extendedprice / 2)) as int) v

@@ -639,6 +639,25 @@ def forest_edges(spark, d):
     return graph.spanning_forest(f2_edges(spark, d))
 
 
+@query(f"""with recursive {FOREST}, fa as (select src s, dst d from forest union all select dst, src from forest), fr(nid, m) as (select nid, nid from n2 union select fa.d, fr.m from fr join fa on fa.s = fr.nid),
+root as (select distinct m nid from (select nid, min(m) m from fr group by nid)), h(nid, k) as (select nid, 0::bigint from root union select fa.d, h.k + 1 from h join fa on fa.s = h.nid where h.k < 100)
+select nid, min(k) hops from h group by 1""")
+def forest_hops(spark, d):
+    forest = saved(graph.spanning_forest(f2_edges(spark, d)), "forest")
+    roots = graph.components(f2_nodes(spark, d).select("nid"), forest).groupBy("comp").agg(F.min("nid").alias("nid")).select("nid")
+    return graph.hops(forest, saved(roots, "roots"))
+
+
+@query(f"""with recursive {F1.replace("e as (", "e0 as (")}, e as (select src, dst from e0 where src % 97 <> 0 union all select nid, nid + 1 from n where nid % 89 = 0 and nid + 1 in (select nid from n)), {ADJ}, {COMP} select nid, comp from comp""")
+def components_after_edit(spark, d):
+    n, e = _f1(spark, d)
+    removed, added = e.where("src % 97 = 0"), n.where("nid % 89 = 0").select(F.col("nid").alias("src"), (F.col("nid") + 1).alias("dst"))
+    added = added.join(n.select(F.col("nid").alias("dst")), "dst", "left_semi").select("src", "dst")
+    before = saved(graph.components(n.select("nid"), e), "before")
+    after = e.where("src % 97 <> 0").select("src", "dst").unionAll(added)
+    return graph.update_components(before, after, added, removed)
+
+
 @query(f"with recursive {PARENTS} select nid, parent from t")
 def parents(spark, d):
     g, e = _g1(spark, d)
@@ -692,11 +711,11 @@ def long_components(spark, d):
     return review.by_size(_g1(spark, d)[0]).select("nid", "comp", "size")
 
 
-@query(f"""with recursive {F2}, blk as (select nid from n where x >= 0 and x < 50 and y >= 0 and y < 40), be as (select src, dst from e where src in (select nid from blk) and dst in (select nid from blk)),
+@query(f"""with recursive {F2}, blk as (select nid from n where x >= 90 and x < 350 and y >= 40 and y < 350), be as (select src, dst from e where src in (select nid from blk) and dst in (select nid from blk)),
 ba as (select src s, dst d from be union all select dst, src from be), br(nid, m) as (select nid, nid from blk union select ba.d, br.m from br join ba on ba.s = br.nid), bc as (select nid, min(m) comp from br group by 1)
 select nid from bc where comp in (select comp from bc group by 1 having count(*) <= 4 and max(case when nid = 1 then 1 else 0 end) = 0)""")
 def purge(spark, d):
-    return review.purge(f2_nodes(spark, d), f2_edges(spark, d), 1, [10, 10, 10], [20, 10, 1000])
+    return review.purge(f2_nodes(spark, d), f2_edges(spark, d), 1, [100, 50, 10], [230, 280, 1000])
 
 
 @query(f"with {F1} select src, dst, creator from e where src % 9 <> 0 and dst % 9 <> 0")
