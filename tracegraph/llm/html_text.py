@@ -35,13 +35,13 @@ SAMPLE_PAGES = 100
 EPOCHS, RATE, PENALTY = 30, 0.1, 1e-4
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark picture q ruby s samp "
-    "small source span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark math object picture q ruby s samp "
+    "small source span strike strong sub sup svg time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noembed xmp template svg math select object".split())
+RAW = frozenset("script style title textarea iframe noembed xmp template".split())
 #: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("head script style title textarea noscript iframe noembed template svg math select object button option".split())
+HIDDEN = frozenset("head script style title textarea iframe noembed template".split())
 #: An opening tag on the left ends an open element on the right.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",),
@@ -52,7 +52,7 @@ SCOPE = frozenset("html body article section main aside nav header footer div ta
 FRAME = frozenset("nav aside footer form dialog menu".split())
 PLAIN = frozenset("html body div span p section".split())
 #: A token that begins or ends with one of these describes a state of the page, and its other words name no part of it.
-STATE = frozenset("has no not is with without open opened closed enabled disabled active visible".split())
+STATE = frozenset("has no not is free with without open opened closed enabled disabled active visible".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 #: The same where quotes are not closed.
@@ -72,6 +72,7 @@ class Block:
     text: str
     linked: int  # characters inside links
     label: int | None = None
+    most: bool = False  # the element around the nearest one holds more of the page's text outside links than any other
 
 
 class _Open:
@@ -82,6 +83,8 @@ def _features(tag: str, attributes: str) -> tuple[list[str], list[str]]:
     """Features of an element that hold for all below it, and those of its names alone."""
     if tag in ("html", "body"):
         return [], []
+    if tag in ("article", "main"):  # what they are called is their subject
+        attributes = ""
     tokens = [t for n in _NAMED.finditer(attributes) for t in (n[2] or n[3] or n[4] or "").split()] if "=" in attributes else []
     names = []
     for t in tokens:
@@ -149,7 +152,7 @@ def blocks_of(page: str, weights: dict[str, float] | None = None) -> list[Block]
             elif tag in ("br", "p"):
                 flush() if tag == "p" else run.append(" ")
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or open_["math"] + open_["svg"] > 0
         if not inline:
             flush()
             ends = (*CLOSES.get(tag, ()), "p")
@@ -183,9 +186,20 @@ def blocks_of(page: str, weights: dict[str, float] | None = None) -> list[Block]
         stack.append(o)
         open_[tag] += 1
     flush()
+    best = fullest(out)
+    for b in out:
+        b.most = b.home == best
     return out
 
 
+def fullest(blocks: list[Block]) -> int:
+    """The number of the element that directly holds the most text outside links."""
+    held: defaultdict[int, int] = defaultdict(int)
+    for b in blocks:
+        held[b.home] += len(b.text) - b.linked
+    return max(held, key=held.__getitem__, default=-1)
+
+
 def page_features(blocks: list[Block]) -> str:
     """What holds for all blocks outside article and main elements."""
     return "outside the article" if any(b.inside for b in blocks) else "no article"
@@ -197,6 +211,8 @@ def block_features(block: Block, page: str) -> list[str]:
     out = ["bias", f"length={min(7, n.bit_length() // 2)}", "inside" if block.inside else page, *block.near]
     if block.linked * 2 > n:
         out.append("linked")
+    if block.most:
+        out.append("most text")
     if block.text[0] == "©":
         out.append("copyright")
     if block.text[-1] in ".!?…":
@@ -210,11 +226,7 @@ def weak_labels(blocks: list[Block]) -> list[int]:
     links."""
     if any(b.inside for b in blocks):
         return [int(b.inside and not any(f"in={t}" in b.features for t in FRAME) and "head of the article" not in b.near) for b in blocks]
-    held: defaultdict[int, int] = defaultdict(int)
-    for b in blocks:
-        held[b.home] += len(b.text) - b.linked
-    best = max(held, key=held.__getitem__, default=-1)
-    return [int(b.home == best and b.linked * 2 <= len(b.text)) for b in blocks]
+    return [int(b.most and b.linked * 2 <= len(b.text)) for b in blocks]
 
 
 @dataclass
@@ -344,6 +356,16 @@ _ARTICLE = [
 _NAMES = "content post entry article story main text post-content entry-content article-body main-content page has-sidebar comments-open no-ads".split()
 
 
+def _blanks() -> Iterator[str]:
+    """Names that say nothing, each once: an element that has one is known by its place, its links and its text alone."""
+    for k in itertools.count(26**3):
+        name = ""
+        while k:
+            k, c = divmod(k, 26)
+            name += chr(97 + c)
+        yield name
+
+
 def layouts() -> list[str]:
     """Labelled pages; data-label on an element holds for all blocks inside it that have no nearer one. Each name of each
     part is seen outside and inside of articles of different make; parts of links alone also without a name."""
@@ -351,7 +373,7 @@ def layouts() -> list[str]:
     for k, a in enumerate(_ARTICLE * 4):
         links = f'<div data-label="0"><a href="/">{_R}</a>{" <a href=/c>More</a>" if k % 2 else ""}</div>'
         out.append(f'<body>{links}<div data-label="1">{a.replace("|", "")}</div>{links}</body>')
-    bodies, names = itertools.cycle(_ARTICLE), itertools.cycle(_NAMES)
+    bodies, names, blank = itertools.cycle(_ARTICLE), itertools.cycle(_NAMES), _blanks()
     around = [
         lambda a, n: f'<article class="{n}" data-label="1">{a}</article>',
         lambda a, n: f'<div class="{n}" data-label="1">{a}</div>',
@@ -373,7 +395,18 @@ def layouts() -> list[str]:
                 else:
                     page = next(shapes)(first + second, next(names))
                     page = piece + page if part in ("menu", "header", "notice", "advert") else page + piece
+                    if part in ("sidebar", "advert", "notice", "form", "comments"):  # the same without a name, after the article
+                        first, second = next(bodies).split("|")
+                        plain = f'<div class="{next(blank)}" data-label="0">{next(says)}</div>'
+                        out.append(f'<body><nav data-label="0">{_LINKS}</nav><article class="{next(blank)}" data-label="1">{first + second}</article>{plain}<footer data-label="0">&copy; {_R}</footer></body>')
                 out.append(f'<body class="single has-sidebar comments-open"><nav data-label="0">{_LINKS}</nav>{page}<footer data-label="0">&copy; {_R}</footer></body>')
+    # names in which a part's word does not name a part: such an element holds most of its page
+    for part, (_, named) in PARTS.items():
+        for k, word in enumerate(named.split()):
+            body = next(bodies).replace("|", f"<p>{_P}</p><p>{_Q}</p>")
+            name = (f"story-{word}-note", f"{word}-of-address", f"long-{word}-story")[k % 3]
+            side = f'<div class="{word}" data-label="0">{next(itertools.cycle(_SAYS[part]))}</div>' if k % 2 else ""
+            out.append(f'<body><nav data-label="0">{_LINKS}</nav><div class="{name}" data-label="1">{body}</div>{side}<footer data-label="0">&copy; {_R}</footer></body>')
     return out
 
 
