@@ -171,7 +171,7 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     price = F.col("far") if nodes_cost is None else F.col("cost")
     ways = chains.where("a <> end").join(leaving, "a").groupBy(F.col("a").alias("nid"), F.col("end").alias("nbr")).agg(F.min(price).alias("cost"))
     ways = saved(ways, "ways")
-    comp = saved(star_edges(ways, "nid", "nbr"), "parts")
+    comp = star_edges(ways, "nid", "nbr")  # of a written table
     size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"))
     size = size.join(ways.join(comp, "nid").groupBy("comp").agg((F.count(F.lit(1)) / 2).alias("edges")), "comp")
     size = size.join(first.join(comp, "nid").groupBy("comp").agg(F.count(F.lit(1)).alias("starts")), "comp")
@@ -179,7 +179,7 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     trees = saved(trees, "trees")
     solved = None
     if not trees.isEmpty():
-        solved = saved(tree_costs(ways.join(trees, "nid", "left_semi"), first.join(trees, "nid", "left_semi")), "solved")
+        solved = tree_costs(ways.join(trees, "nid", "left_semi"), first.join(trees, "nid", "left_semi"))
         first, ways = first.join(trees, "nid", "left_anti"), ways.join(trees, "nid", "left_anti")
     done = front = first.withColumn("hops", F.lit(0).cast("long"))
     while True:
@@ -191,7 +191,7 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
         new = done.join(front.select("nid", F.col("hops").alias("new")), "nid", "full").select("nid", F.coalesce("new", "hops").alias("hops"))
         done = saved(new, "reached", instead_of=done)
     if solved is not None:
-        done = saved(done.unionByName(solved), "reached")
+        done = done.unionByName(solved)
 
     at = done.select(F.col("nid").alias("end"), "hops")
     inside = chains.join(own.where("not key").select(F.col("nid").alias("a")), "a", "left_semi").join(at, "end")
