@@ -47,6 +47,34 @@ def test_nothing_inside_an_article_is_dropped_for_its_tag(model):
         assert x in got.split("\n\n")
 
 
+P, Q, R = "Some other words of a text that nobody has seen before are written here, and then it stops.", "It says more.", "Plain words"
+SHAPES = {
+    "sections": "".join(f"<section><h2>{R} {i}</h2><p>{P} {i}</p><p>{Q} {i}</p></section>" for i in range(4)),
+    "divs": "".join(f"<div><p>{P} {i}</p></div>" for i in range(5)),
+    "named divs": "".join(f'<div class="para-{c}"><p>{Q} {c}</p></div>' for c in "abcde") + f"<p>{P}</p>",
+    "deep": f"<div><div><div><p>{P} 1</p><p>{Q} 2</p></div></div></div><p>{P} 3</p>",
+    "lists": f"<p>{P} 1</p><ul><li>{R} 2</li><li>{Q} 3</li></ul><ol><li><p>{P} 4</p></li></ol>",
+    "quote": f"<p>{P} 1</p><blockquote><p>{Q} 2</p></blockquote><p>{P} 3</p><pre>code 4</pre>",
+    "table": f"<p>{P} 1</p><table><tr><td>{R} 2</td><td>{R} 3</td></tr><tr><td><p>{Q} 4</p></td><td>x 5</td></tr></table>",
+    "figure": f"<p>{P} 1</p><figure><img><figcaption>{Q} 2</figcaption></figure><div class='caption'>{R} 3</div>",
+    "details": f"<p>{P} 1</p><details><summary>{R} 2</summary><p>{Q} 3</p></details><noscript><p>{Q} 4</p></noscript><center><p>{Q} 5</p></center>",
+    "definitions": f"<dl><dt>{R} 1</dt><dd>{P} 2</dd><dt>{R} 3</dt><dd><p>{Q} 4</p></dd></dl>",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_articles_of_any_shape_are_whole(model, shape):
+    inner = "<h1>Title</h1>" + SHAPES[shape]
+    for around in ("<article>{}</article>", "<div class=post>{}</div>", "<main><div>{}</div></main>", "<div>{}</div>"):
+        got = model.text(page(around.format(inner)))
+        assert got.split("\n\n") == [b.text for b in h.blocks_of(inner)], around
+
+
+def test_a_named_part_inside_an_article_goes(model):
+    for name in (x for _, names in h.PARTS.values() for x in names.split()):
+        assert h._Q not in model.text(page(f'<article>{PROSE}<div class="{name}"><p>{h._Q}</p></div></article>')), name
+
+
 def test_the_field_against_all_labellings():
     """At the fitted weights the gradient of the likelihood, with its penalty, is nearly nothing; expectations are taken by
     enumeration. Decoding finds the best labelling."""

@@ -352,6 +352,10 @@ _ARTICLE = [
     f"<h1>{_R}</h1><div>{_P}</div><blockquote>{_P}</blockquote>|<table><tr><td>{_R}</td><td>{_R}</td></tr></table><p>{_Q}</p>",
     f"<h1>{_R}</h1><section><h2>{_R}</h2><p>{_P}</p></section>|<section><p>{_Q}</p><pre>a b</pre><figure><figcaption>{_Q}</figcaption></figure></section>",
     f"<p>{_P}</p><p>{_P}</p>|<dl><dt>{_R}</dt><dd>{_Q}</dd></dl><p>{_Q}</p>",
+    f"<h1>{_R}</h1><div><p>{_P}</p></div><div><p>{_Q}</p></div>|<div><p>{_P}</p></div><div><p>{_R}</p></div>",
+    f"<h1>{_R}</h1><div><div><p>{_P}</p><p>{_Q}</p></div></div>|<div>{_R}</div><p>{_P}</p>",
+    f"<p>{_P}</p><blockquote><p>{_Q}</p></blockquote>|<ul><li><p>{_P}</p></li></ul><dl><dt>{_R}</dt><dd><p>{_Q}</p></dd></dl>",
+    f"<p>{_P}</p><details><summary>{_R}</summary><p>{_Q}</p></details>|<noscript><p>{_Q}</p></noscript><center><p>{_Q}</p></center>",
 ]
 _NAMES = "content post entry article story main text post-content entry-content article-body main-content page has-sidebar comments-open no-ads".split()
 
@@ -405,6 +409,10 @@ def layouts() -> list[str]:
         for k, word in enumerate(named.split()):
             body = next(bodies).replace("|", f"<p>{_P}</p><p>{_Q}</p>")
             name = (f"story-{word}-note", f"{word}-of-address", f"long-{word}-story")[k % 3]
+            # and the plain word, on one paragraph inside an article
+            first, second = next(bodies).split("|")
+            own = f'<div class="{word}" data-label="0"><p>{(_P, _Q)[k % 2]}</p></div>'
+            out.append(f'<body><nav data-label="0">{_LINKS}</nav><article data-label="1">{first + (own + second if k % 4 < 2 else second + own)}</article><footer data-label="0">&copy; {_R}</footer></body>')
             side = f'<div class="{word}" data-label="0">{next(itertools.cycle(_SAYS[part]))}</div>' if k % 2 else ""
             out.append(f'<body><nav data-label="0">{_LINKS}</nav><div class="{name}" data-label="1">{body}</div>{side}<footer data-label="0">&copy; {_R}</footer></body>')
     return out
