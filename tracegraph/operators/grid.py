@@ -7,36 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES, norm, step
+from tracegraph.operators import octree
 from tracegraph.operators.graph import adjacency
 
 
-def _cells(df: DataFrame, prefix: str, size: float, spread: bool) -> DataFrame:
+def _spread(df: DataFrame) -> DataFrame:
     for k in AXES:
-        cell = F.floor(F.col(prefix + k) / size)
-        df = df.withColumn(f"c{k}", F.explode(F.array(cell - 1, cell, cell + 1)) if spread else cell)
+        c = F.col("c" + k)
+        df = df.withColumn("c" + k, F.explode(F.array(c - 1, c, c + 1)))
     return df
 
 
-def box_pairs(centres: DataFrame, nodes: DataFrame, half: float) -> DataFrame:
-    """All nodes within ``half`` of each centre on every axis, the centre itself left out.
+def _pairs(a: DataFrame, b: DataFrame, half: float, capacity: int, k: int | None = None) -> DataFrame:
+    """(nid, x, y, z, comp, m, mx, my, mz, mcomp): pairs of different nodes within ``half`` on every axis; with ``k``, those
+    that can be among the k nearest of another component, at least.
 
-    (nid, x, y, z) against (m, mx, my, mz): each centre goes to the 27 cells around its own, so that an equi-join on
-    cells finds every pair once.
+    Each row of ``a`` goes to the 27 cells around its own, so that an equi-join on cells finds every pair once; what lies
+    in crowded cells, or next to them, goes by the leaves of octrees.
     """
-    a = centres.select("nid", *(F.col(k).cast("double") for k in AXES))
-    b = nodes.select(F.col("nid").alias("m"), *(F.col(k).cast("double").alias("m" + k) for k in AXES))
     size = float(max(half, 1))
-    pairs = _cells(a, "", size, True).join(_cells(b, "m", size, False), ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    a, b = octree.placed(a, size), octree.placed(b, size)
+    crowded = octree.crowded_cells(a, b, capacity)
+    far = None
+    if not crowded.isEmpty():
+        far = octree.crowded_pairs(a, b, crowded, half, capacity, k)
+        a, b = (p.join(crowded, octree.CELL, "left_anti") for p in (a, b))
+    other = b.select(F.col("nid").alias("m"), *(F.col(c).alias("m" + c) for c in (*AXES, "comp")), *octree.CELL)
+    pairs = _spread(a.drop(*octree.FINE)).join(other, octree.CELL).drop(*octree.CELL)
+    if far is not None:
+        pairs = pairs.unionByName(far)
     near = F.col("nid") != F.col("m")
-    for k in AXES:
-        near = near & (F.abs(F.col(k) - F.col("m" + k)) <= half)
+    for c in AXES:
+        near = near & (F.abs(F.col(c) - F.col("m" + c)) <= half)
     return pairs.where(near)
 
 
-def nearest_foreign(centres: DataFrame, nodes: DataFrame, half: float, k: int = 1) -> DataFrame:
+def _points(df: DataFrame, comp: Column) -> DataFrame:
+    return df.select("nid", *(F.col(k).cast("double") for k in AXES), comp.alias("comp"))
+
+
+def box_pairs(centres: DataFrame, nodes: DataFrame, half: float, capacity: int = octree.CAPACITY) -> DataFrame:
+    """All nodes within ``half`` of each centre on every axis, the centre itself left out: (nid, x, y, z) against (m, mx,
+    my, mz). A cell of more than ``capacity`` nodes or centres is split (see ``octree``)."""
+    none = F.lit(None).cast("long")
+    return _pairs(_points(centres, none), _points(nodes, none), half, capacity).drop("comp", "mcomp")
+
+
+def nearest_foreign(centres: DataFrame, nodes: DataFrame, half: float, k: int = 1, capacity: int = octree.CAPACITY) -> DataFrame:
     """(nid, m, dist, rank): the k nearest nodes of other components in each centre's box, ties by nid; nothing for a
-    centre with fewer than k. Both inputs have comp."""
-    pairs = box_pairs(centres, nodes, half).join(centres.select("nid", "comp"), "nid").join(nodes.select(F.col("nid").alias("m"), F.col("comp").alias("mcomp")), "m")
+    centre with fewer than k. Both inputs have comp. In cells of more than ``capacity`` nodes or centres, only pairs of
+    leaves that may hold one of the k are compared (see ``octree``)."""
+    pairs = _pairs(_points(centres, F.col("comp")), _points(nodes, F.col("comp")), half, capacity, k)
     pairs = pairs.where("comp <> mcomp").withColumn("dist", F.round(norm(step("", "m")), 6))
     of = W.partitionBy("nid")
     return (

@@ -457,6 +457,12 @@ def box_pairs(spark, d):
     return grid.box_pairs(p, p, 6).select("nid", "m")
 
 
+@query(SQL["box_pairs"])
+def box_pairs_by_leaves(spark, d):
+    p = f3_points(spark, d)
+    return grid.box_pairs(p, p, 6, capacity=4).select("nid", "m")
+
+
 def _near_sql(k: int) -> str:
     return f"""with recursive {F2}, {ADJ}, {COMP}, g as (select n.*, comp from n join comp using (nid)),
 p as (select a.nid, b.nid m, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) dist from g a join g b on abs(a.x - b.x) <= 8 and abs(a.y - b.y) <= 8 and abs(a.z - b.z) <= 8 and a.comp <> b.comp),
@@ -464,10 +470,10 @@ o as (select *, row_number() over (partition by nid order by dist, m) rank, coun
 select nid, m, dist, rank from o where c >= {k} and rank <= {k}"""
 
 
-def _near(spark, d, k):
+def _near(spark, d, k, **how):
     n, e = f2_nodes(spark, d), f2_edges(spark, d)
     g = saved(graph.components(n, e), "graph")
-    return grid.nearest_foreign(g, g, 8, k)
+    return grid.nearest_foreign(g, g, 8, k, **how)
 
 
 @query(_near_sql(1))
@@ -480,6 +486,11 @@ def two_nearest_foreign(spark, d):
     return _near(spark, d, 2)
 
 
+@query(_near_sql(2))
+def two_nearest_foreign_by_leaves(spark, d):
+    return _near(spark, d, 2, capacity=2)
+
+
 @query(f"""with recursive {F1}, {GRAPH}, big as (select comp from g group by 1 having count(*) > 10),
 p as (select a.nid, b.nid m, b.degree, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) dist from g a join g b on abs(a.x - b.x) <= 6 and abs(a.y - b.y) <= 6 and abs(a.z - b.z) <= 6 and a.comp <> b.comp
       where a.degree = 1 and a.checked = 0 and a.comp in (select comp from big)),
