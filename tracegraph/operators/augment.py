@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES
-from tracegraph.operators.grid import tiles
-from tracegraph.operators.numbers import numbered
+from tracegraph.operators.numbers import numbered, permuted, summed_before
 from tracegraph.operators.voxels import match_histogram
 from tracegraph.store import saved
 
@@ -38,9 +36,26 @@ def triples(ids: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def background_blocks(images: DataFrame, size: int, n: int, seed: int = 0) -> DataFrame:
-    """(number, roi, x0, y0, z0, sx, sy, sz): complete tiles of background images, drawn by hash, numbered from 1."""
-    blocks = tiles(images, size, whole_only=True).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("roi", "x0", "y0", "z0"))))).orderBy("h", "roi", "x0", "y0", "z0").limit(n)
-    return blocks.withColumn("number", F.row_number().over(W.orderBy("h", "roi", "x0", "y0", "z0"))).drop("h")  # at most n rows
+    """(number, roi, x0, y0, z0, sx, sy, sz): up to ``n`` complete tiles of background images (roi, x0 to z0, sx to sz), drawn
+    by a keyed permutation of the tiles' numbers and numbered from 1.
+
+    No tile is made that isn't drawn: an image has as many numbers as tiles, and a draw finds its image by the interval that
+    its number is in. Tiles are numbered by image, then x, y, z."""
+    per = {k: F.expr(f"s{k} div {size}").cast("long") for k in AXES}
+    own = images.select("roi", *(F.col(k + "0").cast("long").alias(k + "0") for k in AXES), *(per[k].alias("n" + k) for k in AXES))
+    own = own.withColumn("n", F.col("nx") * F.col("ny") * F.col("nz")).where("nx > 0 and ny > 0 and nz > 0")
+    own = saved(summed_before(own, "n", "first", "roi", "x0", "y0", "z0"), "numbered")
+    count, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    draws = images.sparkSession.range(min(n, total)).select((F.col("id") + 1).cast("int").alias("number"), F.col("id").alias("i"))
+    draws = permuted(draws, "i", total, seed)
+    # intervals and draws meet in cells as wide as the mean image: twice as many rows as images, at most
+    wide = max(1, total // max(1, count))
+    own = own.withColumn("cell", F.explode(F.expr(f"sequence(first div {wide}, (first + n - 1) div {wide})")))
+    found = draws.withColumn("cell", F.expr(f"i div {wide}")).join(own, "cell").where("i >= first and i < first + n").withColumn("i", F.expr("i - first"))
+    at = {"x": "i div (ny * nz)", "y": "i div nz % ny", "z": "i % nz"}
+    return found.select(
+        "number", "roi", *((F.col(k + "0") + F.expr(at[k]) * size).alias(k + "0") for k in AXES), *(F.lit(size).cast("long").alias("s" + k) for k in AXES)
+    )
 
 
 def generate(images: DataFrame, masks: DataFrame, files: DataFrame, n: int, seed: int = 0) -> DataFrame:

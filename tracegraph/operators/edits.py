@@ -125,6 +125,18 @@ def apply_summaries(nodes: DataFrame, edges: DataFrame, node: DataFrame, pairs:
     return nodes, stay.select("src", "dst", "creator").unionByName(made)
 
 
+def proofread(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """``nodes`` (with comp) after the log was submitted in proofreading mode, in which nodes, edges, types and the centre's
+    own check are not written, only flags: each check submits its node's component, and what was unchecked in that
+    component before gets checked -1. As nothing is cut or joined, a node is flagged if its first uncheck is earlier than
+    its component's last check. Nodes without a component are left as they are."""
+    of = lambda name: F.when(F.col("action") == name, F.col("seq"))
+    log = edits.where("action in ('check', 'uncheck')").groupBy("nid").agg(F.min(of("uncheck")).alias("first"), F.max(of("check")).alias("last"))
+    log = log.join(nodes.select("nid", "comp"), "nid").where("comp is not null")
+    sent = log.groupBy("comp").agg(F.max("last").alias("sent")).where("sent is not null")
+    return patch(nodes, log.join(sent, "comp").where("first < sent").select("nid", F.lit(-1).alias("checked")), "checked")
+
+
 def until(edits: DataFrame, seq: int) -> DataFrame:
     """The log without what came after ``seq``."""
     return edits.where(F.col("seq") <= seq)

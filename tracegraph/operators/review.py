@@ -60,9 +60,9 @@ def by_size(nodes: DataFrame, more_than: int = 10, limit: int = 20, long: bool =
 
 def purge(nodes: DataFrame, edges: DataFrame, centre: int, low: list[int], size: list[int], most: int = 4) -> DataFrame:
     """(nid) of small fragments: components of the block's own subgraph with at most ``most`` nodes and without the centre.
-    The block grows by 10 below and 20 above."""
+    The block grows by 10 below and 20 above, and a node on its border is in it."""
     for k, o, s in zip(AXES, low, size, strict=True):
-        nodes = nodes.where((F.col(k) >= o - 10) & (F.col(k) < o + s + 20))
+        nodes = nodes.where((F.col(k) >= o - 10) & (F.col(k) <= o + s + 20))
     block = saved(components(nodes.select("nid"), induced(nodes.select("nid"), edges)), "block")
     small = block.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("nid") == centre).alias("own")).where((F.col("n") <= most) & ~F.col("own"))
     return block.join(small, "comp", "left_semi").select("nid")

@@ -366,6 +366,12 @@ def edit_rollback(spark, d):
     return _node(edits.replay(*_f1(spark, d), edits.until(f6_edits(spark, d), 400))[0])
 
 
+@query(f"""with recursive {F1}, {F6}, {ADJ}, {COMP}, lg as (select nid, comp, min(case when action = 'uncheck' then seq end) f, max(case when action = 'check' then seq end) s from ed join comp using (nid) group by all),
+sent as (select comp, max(s) sent from lg group by 1) select nid, x, y, z, creator, cast(type as bigint) type, cast(case when f < sent then -1 else checked end as bigint) checked from n left join lg using (nid) left join sent using (comp)""")
+def edit_proofread(spark, d):
+    return _node(edits.proofread(_g1(spark, d)[0], f6_edits(spark, d)))
+
+
 def _edge_log(spark, d):
     """The node log with an edit of an edge of F1, or of a pair that is none, beside every third edit."""
     log = f6_edits(spark, d)
@@ -722,7 +728,7 @@ def long_components(spark, d):
     return review.by_size(_g1(spark, d)[0]).select("nid", "comp", "size")
 
 
-@query(f"""with recursive {F2}, blk as (select nid from n where x >= 90 and x < 350 and y >= 40 and y < 350), be as (select src, dst from e where src in (select nid from blk) and dst in (select nid from blk)),
+@query(f"""with recursive {F2}, blk as (select nid from n where x >= 90 and x <= 350 and y >= 40 and y <= 350), be as (select src, dst from e where src in (select nid from blk) and dst in (select nid from blk)),
 ba as (select src s, dst d from be union all select dst, src from be), br(nid, m) as (select nid, nid from blk union select ba.d, br.m from br join ba on ba.s = br.nid), bc as (select nid, min(m) comp from br group by 1)
 select nid from bc where comp in (select comp from bc group by 1 having count(*) <= 4 and max(case when nid = 1 then 1 else 0 end) = 0)""")
 def purge(spark, d):
@@ -1133,7 +1139,22 @@ def image_triples(spark, d):
     return augment.triples(augment.paired(_files(spark, d)), 20)
 
 
-@query(_tiles_sql("cast(floor({} / 128.0) as bigint)", True).replace("select roi, x0 + tx", "select row_number() over (order by md5(concat_ws(':', '0', roi, x0, y0, z0)), roi, x0, y0, z0)::int number, * from (select roi, x0 + tx") + ") order by number limit 50")
+def _drawn_sql(tiles: str, n: int) -> str:
+    """bl: ``n`` of ``tiles`` (roi, x0, y0, z0) at the first places of a keyed permutation."""
+
+    def turned(rows: str) -> str:
+        out = f"select number, x // b l, x % b r, a, b, n from ({rows})"
+        for k in range(4):
+            to, by, most = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+            out = f"select * replace (({to} + cast('0x' || substr(md5('0:{k}:' || {by}), 1, 13) as bigint)) % {most} as {to}) from ({out})"
+        return f"select number, l * b + r x, a, b, n from ({out})"
+
+    return f"""ti as (select row_number() over (order by roi, x0, y0, z0) - 1 i, * from ({tiles})), cn as (select count(*) n, cast(ceil(sqrt(count(*))) as bigint) a from ti),
+tu(number, x, a, b, n) as ({turned(f"select unnest(generate_series(1, least({n}, n))) number, number - 1 x, a, (n + a - 1) // a b, n from cn")} union all {turned("select * from tu where x >= n")}),
+bl as (select number::int number, ti.* exclude (i) from tu join ti on i = x where x < n)"""
+
+
+@query("with recursive " + _drawn_sql(_tiles_sql("cast(floor({} / 128.0) as bigint)", True), 50) + " select * from bl")
 def background_blocks(spark, d):
     return augment.background_blocks(_rois(spark, d), 128, 50)
 
@@ -1141,10 +1162,10 @@ def background_blocks(spark, d):
 #: Background images: seven, of lineitem's line numbers, 300 x 260 x 130 voxels.
 BACK_SIZE = (300, 260, 130)
 BACK = """back as (select l_linenumber::bigint roi, (l_partkey % 300)::int x, (l_suppkey % 260)::int y, (l_orderkey % 130)::int z, cast(max(floor(l_extendedprice / 2)) as int) v from lineitem group by 1, 2, 3, 4),
-bl as (select (row_number() over (order by md5(concat_ws(':', '0', roi, x0, y0, z0)), roi, x0, y0, z0))::int number, * from (select distinct roi, tx * 128 x0, ty * 128 y0, 0 z0 from back, (select unnest(generate_series(0, 1)) tx), (select unnest(generate_series(0, 1)) ty)) order by 1 limit 10)"""
+""" + _drawn_sql("select distinct roi, tx * 128 x0, ty * 128 y0, 0 z0 from back, (select unnest(generate_series(0, 1)) tx), (select unnest(generate_series(0, 1)) ty)", 10)
 
 
-@query(f"""with {F5}, {BACK}, {_triples_sql("select distinct image id from img", 4)},
+@query(f"""with recursive {F5}, {BACK}, {_triples_sql("select distinct image id from img", 4)},
 ov as (select sample, x, y, z, max(v) v from img join r on image = id where place < 3 group by all), mk as (select sample, x, y, z, max(case when v > 20000 then 1 else 0 end) m from img join r on image = id where place < 3 group by all),
 s as (select sample, v, sum(count(*)) over (partition by sample order by v) / (sum(count(*)) over (partition by sample))::double q from ov group by sample, v),
 t as (select sample, v, sum(count(*)) over (partition by sample order by v) / (sum(count(*)) over (partition by sample))::double q from img join r on image = id where place = 3 group by sample, v),
