@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracegraph.operators import augment, edits, grid, numbers, review
+from tracegraph.operators import augment, edits, grid, numbers, paths, review
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000])
@@ -51,3 +51,16 @@ def test_purge_takes_nodes_on_the_border(spark):
     nodes = spark.createDataFrame([(1, 50, 50, 50), (2, 0, 0, 0), (3, 130, 130, 130), (4, 131, 50, 50), (5, -1, 50, 50)], "nid long, x long, y long, z long")
     edges = spark.createDataFrame([], "src long, dst long")
     assert sorted(r.nid for r in review.purge(nodes, edges, 1, [10, 10, 10], [100, 100, 100]).collect()) == [2, 3]
+
+
+def test_chains_by_creator_and_counts(spark):
+    """Node 3 is a fork of all edges, but not of those by 'a'."""
+    nodes = spark.createDataFrame([(i, i, 2 * i, 0) for i in range(1, 8)], "nid long, x long, y long, z long")
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 3, "a"), (3, 4, "a"), (3, 5, "b"), (6, 7, "b"), (5, 6, None)], "src long, dst long, creator string")
+    chains = paths.paths_by(nodes, edges, "a")
+    assert sorted((r.ord, r.nid) for r in chains.collect()) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert paths.paths_by(nodes, edges, "a", 4).isEmpty() and paths.paths_by(nodes, edges, "c").isEmpty()
+    got = {tuple(r) for r in grid.edges_by_creator(edges, nodes, ["a"]).collect()}
+    assert got == {("a", 3, 3, 6, 0), ("default", 3, 4, 8, 0)}
+    assert paths.chain_counts(spark.createDataFrame([(1,), (1,), (2,)], "sid long"), "sid").first() == (1, 1, 3)
+    assert paths.chain_counts(nodes.limit(0), "nid").first() == (0, 0, 0)

@@ -150,6 +150,14 @@ def ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
+def edges_by_creator(edges: DataFrame, nodes: DataFrame, known: list[str]) -> DataFrame:
+    """(creator, n_edges, dx, dy, dz): the edges of each of the creators ``known``, and of all others as 'default', and
+    the sum of their vectors from src to dst."""
+    who = F.when(F.col("creator").isin(known), F.col("creator")).otherwise("default").alias("creator")
+    vectors = (F.sum(c).alias("d" + k) for c, k in zip(step("a", "b"), AXES, strict=True))
+    return ends(edges, nodes).groupBy(who).agg(F.count(F.lit(1)).alias("n_edges"), *vectors)
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(nid, nbr) and the coordinates of both (prefixes a and b)."""
     adj = adjacency(edges)

@@ -44,6 +44,20 @@ def paths(nodes: DataFrame, edges: DataFrame, longer_than: int = 0) -> DataFrame
     return good.select("comp", F.lit(0).cast("long").alias("ord"), F.col("start").alias("nid")).unionAll(walked)
 
 
+def paths_by(nodes: DataFrame, edges: DataFrame, creator: str, longer_than: int = 0) -> DataFrame:
+    """``paths`` of the graph that the edges of one creator make alone: what forks only by others' edges is no branch."""
+    own = edges.where(F.col("creator") == creator).select("src", "dst")
+    ends = own.select(F.col("src").alias("nid")).union(own.select("dst")).distinct()
+    return paths(nodes.select("nid").join(ends, "nid", "left_semi"), own, longer_than)
+
+
+def chain_counts(points: DataFrame, chain: str) -> DataFrame:
+    """One row (chains, points, total): how many chains have two points or more, how many have one, and all points. A row
+    of ``points`` is a point of the chain in the column ``chain``."""
+    sizes = points.groupBy(chain).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.count_if(F.col("_n") >= 2).alias("chains"), F.count_if(F.col("_n") == 1).alias("points"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
+
+
 def walk_from_ends(ends: DataFrame, edges: DataFrame, steps: int = 5) -> DataFrame:
     """(nid, step, at): nodes met from each end (nid) along a chain, itself at step 0, at most ``steps`` edges far; a walk
     stops where the way forks or ends."""

@@ -77,9 +77,7 @@ def edges_not_seger(spark, d):
 
 @query(f"with {F1}, {SEGMENTS} select sid, ord, cast(x as double) x, cast(y as double) y, cast(z as double) z from s")
 def read_segments(spark, d):
-    s = f1_segments(spark, d).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("ord", *AXES))).alias("p"))
-    text = s.select("sid", F.to_json(F.transform("p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("points"))
-    return tables.parse_segments(text)
+    return paths.chain_counts(f1_segments(spark, d), "sid")
 
 
 @query(f"with {F1}, {SEGMENTS} select row_number() over (order by sid, ord) nid, sid, x, y, z, 'seger' creator, cast(0 as bigint) type from s")
@@ -627,6 +625,17 @@ def paths_f1(spark, d):
     return paths.paths(n, e, 3)
 
 
+@query(f"with recursive {_path_sql(F1.replace('x - px <= 24', "x - px <= 24 and creator = 'click'"), 1)} select comp, ord, nid from w")
+def paths_by_creator(spark, d):
+    n, e = _f1(spark, d)
+    return paths.paths_by(n, e, "click", 1)
+
+
+@query(f"with recursive {_path_sql(F2.replace('e as (select distinct src', 'e0 as (select distinct src').replace('n as (select nid, nid * 37', "e as (select * from e0 where creator = 'tester'), n as (select nid, nid * 37").replace('select src nid from e union select dst from e', 'select src nid from e0 union select dst from e0'), 2)} select comp, ord, nid from w")
+def paths_branched_by_creator(spark, d):
+    return paths.paths_by(f2_nodes(spark, d), f2_edges(spark, d), "tester", 2)
+
+
 @query(f"with recursive {_path_sql(F2, 1)} select comp, ord, nid from w")
 def paths_branched(spark, d):
     return paths.paths(f2_nodes(spark, d), f2_edges(spark, d), 1)
@@ -795,9 +804,8 @@ def segment_counts(spark, d):
 @query(f"with {F1} select case when e.creator in ('click', 'view') then e.creator else 'default' end creator, count(*) n_edges, sum(b.x - a.x)::bigint dx, sum(b.y - a.y)::bigint dy, sum(b.z - a.z)::bigint dz from e join n a on a.nid = src join n b on b.nid = dst group by 1")
 def edges_by_creator(spark, d):
     n, e = _f1(spark, d)
-    who = F.when(F.col("creator").isin("click", "view"), F.col("creator")).otherwise("default").alias("creator")
-    v = grid.ends(e, n)
-    return v.groupBy(who).agg(F.count(F.lit(1)).alias("n_edges"), *(F.sum(F.col(f"b{k}") - F.col(f"a{k}")).cast("long").alias(f"d{k}") for k in AXES))
+    found = grid.edges_by_creator(e, n, ["click", "view"])
+    return found.select("creator", "n_edges", *(F.col("d" + k).cast("long").alias("d" + k) for k in AXES))
 
 
 # repair
