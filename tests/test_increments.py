@@ -30,6 +30,22 @@ def test_hops_of_a_comb_take_few_rounds(spark, monkeypatch):
     assert sum(x in ("tour", "depth", "chains", "front") for x in names) < 30
 
 
+def test_hops_of_a_comb_closed_to_a_ring_take_few_rounds(spark, monkeypatch):
+    """A comb hangs on a ring and has two starts: neither is a tree with one start, and a frontier would take a round a tooth."""
+    names = []
+    real = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, name="table", instead_of=None: names.append(name) or real(df, name, instead_of))
+    n = 300
+    e = comb(n) + [(n, 30_000), (30_000, 30_001), (30_001, n)]
+    starts = [0, 10_040]
+    at = lambda i: min(i, abs(i - 40) + 1)
+    want = {i: at(i) for i in range(n + 1)} | {10_000 + i: at(i) + 1 for i in range(n + 1)} | {10_040: 0, 30_000: at(n) + 1, 30_001: at(n) + 1}
+    got = graph.hops(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame([(s,) for s in starts], "nid long"))
+    assert dict(rows(got, "nid", "hops")) == want
+    assert sum(x in ("raked", "compressed") for x in names) < 24
+    assert sum(x == "front" for x in names) < 8
+
+
 def test_hops_of_mixed_components(spark):
     """A tree with one start, one with two, a ring with trees on it, and a part without a start, against a search."""
     r = random.Random(6)

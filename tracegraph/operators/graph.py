@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracegraph.operators.components import MAX_ROUNDS, star_edges
-from tracegraph.store import saved
+from tracegraph.store import forget, saved
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -102,32 +102,76 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
     return down.unionAll(roots.select("nid", F.lit(-1).cast("long")))
 
 
-def _chains(adj: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, end, far): for each arc (nid, nbr) of ``adj``, the first node with ``key`` that a walk along it meets, and the
-    edges to there. ``own`` has a row (nid, key, lo, hi) for each node; one without key has two neighbours, lo and hi.
+def _chains(arcs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, end, far, back): for each arc (nid, nbr, far, back) of ``arcs``, the first node with ``key`` that a walk along it
+    meets, and what it costs to get there and back. ``own`` has a row (nid, key, lo, hi) for each node; one without key has
+    two neighbours, lo and hi.
 
     Pointer jumping: rounds grow with the logarithm of the longest chain. Rings without a key node give no rows.
     """
     to = own.select(F.col("nid").alias("b"), "key", "lo", "hi")
     on = ~F.col("key")
-    state = adj.select(F.col("nid").alias("a"), F.col("nbr").alias("b")).join(to, "b")
+    state = arcs.select(F.col("nid").alias("a"), F.col("nbr").alias("b"), "far", "back").join(to, "b")
     state = state.select(
         "a",
         "b",
         F.when(on, F.col("b")).alias("na"),
         F.when(on, F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("nb"),
         F.when(F.col("key"), F.col("b")).alias("end"),
-        F.lit(1).cast("long").alias("far"),
+        "far",
+        "back",
     )
     state, before = saved(state, "chains"), None
     # as long as a walk has not met its end, one each round does; those left are rings
     while (left := state.where("na is not null").count()) and left != before:
         before = left
-        ahead = state.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("end").alias("end2"), F.col("far").alias("more"))
+        ahead = state.select(
+            F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("na2"), F.col("nb").alias("nb2"), F.col("end").alias("end2"), F.col("far").alias("more"), F.col("back").alias("more_back")
+        )
         moved = state.where("na is not null").join(ahead, ["na", "nb"])
-        moved = moved.select("a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), F.col("end2").alias("end"), (F.col("far") + F.col("more")).alias("far"))
+        moved = moved.select(
+            "a", "b", F.col("na2").alias("na"), F.col("nb2").alias("nb"), F.col("end2").alias("end"), (F.col("far") + F.col("more")).alias("far"), (F.col("back") + F.col("more_back")).alias("back")
+        )
         state = saved(state.where("na is null").unionByName(moved), "chains", instead_of=state)
-    return state.where("end is not null").select("a", "end", "far")
+    return state.where("end is not null").select("a", "end", "far", "back")
+
+
+def _reduced(ways: DataFrame, first: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of ``ways`` (nid, nbr, cost) once no node but those of ``first`` (nid) has fewer than three neighbours,
+    and the nodes taken out, in order: tables (nid, at, cost) of the nodes ``at`` that each is reached from.
+
+    Rake and compress: leaves go, then each chain becomes one edge, until neither is there. Trees that hang on rings go in
+    a number of rounds that grows with the logarithm of their size, as half of a chainless tree's nodes are leaves. Ways
+    between the nodes left cost what they did.
+    """
+    begin = first.select("nid", F.lit(True).alias("begin"))
+    both = ways.join(ways.select(F.col("nid").alias("nbr"), F.col("nbr").alias("nid"), F.col("cost").alias("back")), ["nid", "nbr"])
+    arcs = saved(both.select("nid", "nbr", F.col("cost").alias("far"), "back"), "arcs")
+    removed: list[DataFrame] = []
+
+    def degrees() -> DataFrame:
+        out = arcs.groupBy("nid").agg(F.count(F.lit(1)).alias("n"), F.min("nbr").alias("lo"), F.max("nbr").alias("hi"))
+        return out.join(begin, "nid", "left")
+
+    while True:
+        leaves = saved(degrees().where("n = 1 and begin is null").select("nid"), "leaves")
+        raked = not leaves.isEmpty()
+        if raked:
+            removed.append(saved(arcs.join(leaves, "nid", "left_semi").select("nid", F.col("nbr").alias("at"), F.col("back").alias("cost")), "raked"))
+            rest = arcs.join(leaves, "nid", "left_anti").join(leaves.withColumnRenamed("nid", "nbr"), "nbr", "left_anti")
+            arcs = saved(rest.select("nid", "nbr", "far", "back"), "arcs", instead_of=arcs)
+        own = saved(degrees().select("nid", "lo", "hi", ((F.col("n") != 2) | F.col("begin").isNotNull()).alias("key")), "own")
+        inner = own.where("not key").select(F.col("nid").alias("a"))
+        compressed = not inner.isEmpty()
+        if compressed:
+            chains = _chains(arcs, own)
+            removed.append(saved(chains.join(inner, "a", "left_semi").select(F.col("a").alias("nid"), F.col("end").alias("at"), F.col("back").alias("cost")), "compressed"))
+            kept = chains.where("a <> end").join(own.where("key").select(F.col("nid").alias("a")), "a", "left_semi")
+            kept = kept.groupBy(F.col("a").alias("nid"), F.col("end").alias("nbr")).agg(F.min("far").alias("far"), F.min("back").alias("back"))
+            arcs = saved(kept, "arcs", instead_of=arcs)
+        forget(leaves, own)
+        if not raked and not compressed:
+            return arcs.select("nid", "nbr", F.col("far").alias("cost")), removed
 
 
 def tree_costs(ways: DataFrame, roots: DataFrame) -> DataFrame:
@@ -151,8 +195,9 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     With ``nodes_cost`` (nid, cost of 0 or 1) a step costs what the node it leaves costs (nothing at a start).
     Chains of nodes that no way forks, starts or costs at become one edge first. Components that are then trees with one
     start are solved by their tours and by doubling the way to the root, in a number of rounds that grows with its
-    logarithm. In others a frontier moves chain by chain: rounds grow with the forks on a way. Raises if a node is more than
-    ``limit`` hops away.
+    logarithm. From others the trees that hang on rings are taken out by rake and compress, and a frontier moves over
+    what is left, chain by chain: rounds grow with the forks on a way that are forks of rings or ways between starts. Raises if
+    a node is more than ``limit`` hops away.
     """
     adj = saved(adjacency(edges).where("nid <> nbr").distinct(), "adjacency")
     first = start.select("nid").where("nid is not null").distinct()
@@ -165,7 +210,8 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     cost = F.when(F.col("begin").isNull(), F.coalesce("cost", F.lit(0))).otherwise(0).cast("long")
     own = own.withColumn("cost", cost)
     own = saved(own.select("nid", "lo", "hi", "cost", ((F.col("n") != 2) | F.col("begin").isNotNull() | (F.col("cost") != 0)).alias("key")), "ends")
-    chains = _chains(adj, own)
+    one = F.lit(1).cast("long")
+    chains = _chains(adj.select("nid", "nbr", one.alias("far"), one.alias("back")), own)
 
     leaving = own.where("key").select(F.col("nid").alias("a"), "cost")
     price = F.col("far") if nodes_cost is None else F.col("cost")
@@ -175,12 +221,16 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
     size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes"))
     size = size.join(ways.join(comp, "nid").groupBy("comp").agg((F.count(F.lit(1)) / 2).alias("edges")), "comp")
     size = size.join(first.join(comp, "nid").groupBy("comp").agg(F.count(F.lit(1)).alias("starts")), "comp")
-    trees = comp.join(size.where("edges = nodes - 1 and starts = 1"), "comp", "left_semi").select("nid")
-    trees = saved(trees, "trees")
-    solved = None
+    # of the components that have a start
+    started = saved(comp.join(size.select("comp", (F.expr("edges = nodes - 1") & (F.col("starts") == 1)).alias("tree")), "comp").select("nid", "tree"), "started")
+    trees, others = (started.where(F.col("tree") == x).select("nid") for x in (True, False))
+    solved, removed = None, []
     if not trees.isEmpty():
         solved = tree_costs(ways.join(trees, "nid", "left_semi"), first.join(trees, "nid", "left_semi"))
-        first, ways = first.join(trees, "nid", "left_anti"), ways.join(trees, "nid", "left_anti")
+        first = first.join(trees, "nid", "left_anti")
+    ways = ways.join(others, "nid", "left_semi")
+    if not others.isEmpty():
+        ways, removed = _reduced(ways, first)
     done = front = first.withColumn("hops", F.lit(0).cast("long"))
     while True:
         reached = front.join(ways, "nid").groupBy(F.col("nbr").alias("nid")).agg(F.min(F.col("hops") + F.col("cost")).alias("hops"))
@@ -190,6 +240,10 @@ def hops(edges: DataFrame, start: DataFrame, nodes_cost: DataFrame | None = None
             break
         new = done.join(front.select("nid", F.col("hops").alias("new")), "nid", "full").select("nid", F.coalesce("new", "hops").alias("hops"))
         done = saved(new, "reached", instead_of=done)
+    for gone in reversed(removed):
+        back = gone.join(done.withColumnRenamed("nid", "at"), "at").groupBy("nid").agg(F.min(F.col("hops") + F.col("cost")).alias("hops"))
+        done = saved(done.unionByName(back), "reached", instead_of=done)
+        forget(gone)
     if solved is not None:
         done = done.unionByName(solved)
 
