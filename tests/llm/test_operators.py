@@ -363,12 +363,13 @@ def test_base_scores(spark, docs):
 
 
 def test_rare_words_are_joined(spark, docs, monkeypatch):
-    every = lambda: sorted((r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in lattice.score(docs, F.col("doc_id") % 3 != 0).collect())
+    every = lambda: sorted((r.n_tokens, r.n_known, round(r.base_score, 6), r.score, r.pieces_score) for r in lattice.score(docs, F.col("doc_id") % 3 != 0).collect())
     want = every()
     monkeypatch.setattr(lattice, "FREQUENT", 0.002)
     got = every()
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-6)
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in want], rel=1e-6)
 
 
 def test_long_words_arc_by_arc():
@@ -412,8 +413,14 @@ def test_scores_are_sums_over_parts_and_segmentations(spark):
     def text(t):
         return sum(ends[k] / 5 * math.prod(word(k, w) for w in (t or "").split()) * (ends[k] / tokens[k] + left[k] * lattice.SHARED * ends["all"] / tokens["all"]) for k in "xy")
 
-    got = {r.doc_id: r.score for r in lattice.score(docs, taught).collect()}
-    assert got == pytest.approx({r[0]: math.log10(text(r[1])) for r in [*rows, (9, "aa c zz"), (10, None)]}, rel=1e-5)
+    def of_pieces(t):
+        pieces = lambda w: math.exp(fitted.forward(np.frombuffer(b" " + w.encode(), np.uint8)[None])[0, -1] + fitted.log_word)
+        return 5 / tokens["all"] * math.prod((1 - 5 / tokens["all"]) * pieces(w) for w in (t or "").split())
+
+    every = [*rows, (9, "aa c zz"), (10, None)]
+    scored = lattice.score(docs, taught).collect()
+    assert {r.doc_id: r.score for r in scored} == pytest.approx({r[0]: math.log10(text(r[1])) for r in every}, rel=1e-5)
+    assert {r.doc_id: r.pieces_score for r in scored} == pytest.approx({r[0]: math.log10(of_pieces(r[1])) for r in every}, rel=1e-5)
 
 
 def brute_hits(text, items):

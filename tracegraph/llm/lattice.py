@@ -21,7 +21,11 @@ Beside it stands a unigram base over whole words. Words' counts are those of all
 least FREQUENT of all tokens is broadcast (never more than 1 / FREQUENT words, some 30 bytes each); all others are looked
 up by a join, in which no key is hot, as each has fewer occurrences than that.
 
-A null text is empty: no words, only the end. Repeated rows are each scored.
+Beside the score stands that of the pieces alone (``pieces_score``): each word the sum over its cuts into pieces, without
+arcs over whole words and without parts; the end has its share of the training tokens, half of all where there is none.
+
+A null text is empty: no words, only the end. Repeated rows are each scored. A row with a null doc_id is not held out, and
+teaches, as in the other queries that hold documents out.
 """
 
 from __future__ import annotations
@@ -251,7 +255,7 @@ def fit(words: DataFrame, pieces: list[tuple[bytes, float]], rounds: int = ROUND
 
 
 def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, taught, n_tokens, n_known, train_tokens, base_score, score) of every document; scores are log10.
+    """(doc_id, taught, n_tokens, n_known, train_tokens, base_score, score, pieces_score) of every document; scores are log10.
 
     ``docs``: doc_id, text, lang. ``taught``: a condition on its columns; where it holds, the text is learnt from.
     """
@@ -308,19 +312,19 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
                 gain = np.logaddexp(0, own - np.repeat(log_p, size))
                 flat = pa.StructArray.from_arrays([pa.array(k.astype(np.int32)), pa.array(gain.astype(np.float32))], names=["k", "g"])
                 gains = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(hash_words(texts).view(np.int64)), b.column("n"), pa.array(log_p.astype(np.float32)), gains], names=["h", "n", "log_p", "gains"])
+                yield pa.RecordBatch.from_arrays([pa.array(hash_words(texts).view(np.int64)), b.column("n"), pa.array(log_p.astype(np.float32)), pa.array(pieces.astype(np.float32)), gains], names=["h", "n", "log_p", "pieces", "gains"])
         release()
 
-    known = saved(words.mapInArrow(weigh, "h long, n long, log_p float, gains array<struct<k:int,g:float>>"), "known")
+    known = saved(words.mapInArrow(weigh, "h long, n long, log_p float, pieces float, gains array<struct<k:int,g:float>>"), "known")
     often = known.where(F.col("n") >= max(1, N * FREQUENT)).toArrow().sort_by("h").combine_chunks()
     gains = often.column("gains").combine_chunks() if often.num_rows else None
     flat = [gains.flatten().field(i).to_numpy() for i in (0, 1)] if gains is not None else [np.zeros(0, np.int32), np.zeros(0, np.float32)]
     first_gain = np.concatenate([[0], np.cumsum(gains.value_lengths().to_numpy())]) if gains is not None else np.zeros(1, np.int64)
-    table = spark.sparkContext.broadcast((*(often.column(c).to_numpy() for c in ("h", "n", "log_p")), first_gain, *flat))
+    table = spark.sparkContext.broadcast((*(often.column(c).to_numpy() for c in ("h", "n", "log_p", "pieces")), first_gain, *flat))
     fixed = float(np.log10(N + 0.1 * (V + 1)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, log_p, first_gain, gain_k, gain = table.value
+        keys, counts, log_p, pieces, first_gain, gain_k, gain = table.value
         base = np.log10(counts + 0.1)
         for batch in batches:
             for b in slices(batch, limit=1 << 21):
@@ -340,26 +344,34 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row"), b.column("doc_id"), b.column("taught"), pa.array(w.per_doc(n)), pa.array(np.bincount(doc[counts[at] > 0], minlength=n)),
-                        pa.array(of(base[at])), pa.array(of(log_p[at])), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * parts, pa.int32()), pa.array(of_parts)),
+                        pa.array(of(base[at])), pa.array(of(log_p[at])), pa.array(of(pieces[at])), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * parts, pa.int32()), pa.array(of_parts)),
                         pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[~hit])),
                     ],
-                    names=["row", "doc_id", "taught", "n_words", "n_known", "base", "log_p", "by_part", "rare"],
+                    names=["row", "doc_id", "taught", "n_words", "n_known", "base", "log_p", "pieces", "by_part", "rare"],
                 )
         release()
 
     numbered = docs.drop("lang").withColumn("row", F.monotonically_increasing_id())
-    rows = numbered.mapInArrow(sums, "row long, doc_id long, taught boolean, n_words long, n_known long, base double, log_p double, by_part array<double>, rare array<long>")
+    rows = numbered.mapInArrow(sums, "row long, doc_id long, taught boolean, n_words long, n_known long, base double, log_p double, pieces double, by_part array<double>, rare array<long>")
     rows = saved(rows, "rows")
     found = rows.select("row", F.explode("rare").alias("h")).join(known, "h")
     # a line for the word itself and one for each part that has it; a document's lines meet once
     none = F.struct(F.lit(-1).alias("k"), F.lit(0.0).cast("float").alias("g"))
-    lines = found.select("row", "n", "log_p", F.explode(F.concat(F.array(none), "gains")).alias("x")).select("row", "n", "log_p", "x.k", "x.g").repartition("row")
+    lines = found.select("row", "n", "log_p", "pieces", F.explode(F.concat(F.array(none), "gains")).alias("x")).select("row", "n", "log_p", "pieces", "x.k", "x.g").repartition("row")
     own = F.when(F.col("k") < 0, 1)
     lines = lines.groupBy("row", "k").agg(
-        F.sum(own * (F.col("n") > 0).cast("long")).alias("known"), F.sum(own * F.log10(F.col("n") + 0.1)).alias("base"), F.sum(own * F.col("log_p").cast("double")).alias("log_p"), F.sum(F.col("g").cast("double")).alias("g")
+        F.sum(own * (F.col("n") > 0).cast("long")).alias("known"),
+        F.sum(own * F.log10(F.col("n") + 0.1)).alias("base"),
+        F.sum(own * F.col("log_p").cast("double")).alias("log_p"),
+        F.sum(own * F.col("pieces").cast("double")).alias("pieces"),
+        F.sum(F.col("g").cast("double")).alias("g"),
     )
     rare = lines.groupBy("row").agg(
-        F.sum("known").alias("r_known"), F.sum("base").alias("r_base"), F.sum("log_p").alias("r_log_p"), F.map_from_entries(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "g")))).alias("r_parts")
+        F.sum("known").alias("r_known"),
+        F.sum("base").alias("r_base"),
+        F.sum("log_p").alias("r_log_p"),
+        F.sum("pieces").alias("r_pieces"),
+        F.map_from_entries(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "g")))).alias("r_parts"),
     )
     c = lambda x: F.coalesce(F.col(x), F.lit(0))
     # in each part: its share of the texts, its end, and for each word the mass left to all parts
@@ -371,6 +383,9 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
         F.arrays_zip("by_part", constant(first).alias("first"), constant(stay).alias("stay")),
         lambda p, k: p["by_part"] + p["first"] + p["stay"] * F.col("n_words") + F.coalesce(F.try_element_at("r_parts", k), F.lit(0.0)),
     )
+    end = all_ends / N if all_ends else 0.5
+    # training texts without a word leave no word a chance but this
+    word = math.log(max(1 - end, 1e-9))
     last = float(np.log10(all_ends + 0.1))
     out = rows.drop("rare").join(rare, "row", "left").withColumn("every", every).withColumn("top", F.array_max("every"))
     total = F.col("top") + F.log(F.aggregate("every", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
@@ -382,12 +397,13 @@ def score(docs: DataFrame, taught: Column, vocabulary: str = VOCABULARY) -> Data
         F.lit(N).cast("long").alias("train_tokens"),
         (F.col("base") + c("r_base") + last - (F.col("n_words") + 1) * fixed).alias("base_score"),
         ((F.col("log_p") + c("r_log_p") + total) / math.log(10)).alias("score"),
+        ((F.col("pieces") + c("r_pieces") + F.col("n_words") * word + math.log(end)) / math.log(10)).alias("pieces_score"),
     )
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Every document's base and lattice scores."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0, F.lit(False))
     out = score(docs, ~held_out).withColumn("held_out", ~F.col("taught"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "pieces_score")
