@@ -74,3 +74,21 @@ def test_one_place_of_many_nodes_is_dealt_into_parts(spark):
     assert sum(sizes) == 20_000 and max(sizes) < 750
     got = grid.nearest_foreign(spots, spots, 8, 1, capacity=500)
     assert {(r.m, r["count"]) for r in got.groupBy("m").count().collect()} == {(0, 19_999), (1, 1)}
+
+
+@pytest.mark.parametrize(("k", "capacity"), [(1, 512), (2, 4)])
+def test_nearest_in_full_boxes_begins_with_small_ones(spark, monkeypatch, k, capacity):
+    """800 nodes in a cube of 16: small boxes do for them; a few nodes far away go on to the whole box."""
+    r = np.random.default_rng(k)
+    at = np.concatenate([r.integers(0, 16, (800, 3)), [(100, 100, 100), (100, 100, 107), (200, 0, 0)]]).astype(float)
+    rows = [(i, *map(float, p), int(c)) for i, (p, c) in enumerate(zip(at, r.integers(0, 200, len(at)), strict=True))]
+    x, near = _all_pairs(rows, 8)
+    want = set()
+    for i, row in enumerate(rows):
+        found = sorted((round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 6), j) for j in np.flatnonzero(near[i]) if rows[j][4] != row[4])
+        want |= {(i, n + 1, j) for n, (_, j) in enumerate(found[:k])} if len(found) >= k else set()
+    boxes, pairs = [], grid._pairs
+    monkeypatch.setattr(grid, "_pairs", lambda a, b, half, *how: boxes.append(half) or pairs(a, b, half, *how))
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert {(q.nid, q["rank"], q.m) for q in grid.nearest_foreign(df, df, 8, k, capacity).collect()} == want
+    assert boxes[0] < 8 and boxes[-1] == 8

@@ -9,12 +9,15 @@ from pyspark.sql import Window as W
 from tracegraph.functions.geometry import AXES, norm, step
 from tracegraph.operators import octree
 from tracegraph.operators.graph import adjacency
+from tracegraph.store import saved
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, half: float, size: float) -> DataFrame:
+    """Each row once for every cell that its box touches."""
+    wide = half * 1.0001
     for k in AXES:
-        c = F.col("c" + k)
-        df = df.withColumn("c" + k, F.explode(F.array(c - 1, c, c + 1)))
+        lo, hi = (F.floor((F.col(k) + d) / size) for d in (-wide, wide))
+        df = df.withColumn("c" + k, F.explode(F.sequence(lo, hi)))
     return df
 
 
@@ -22,10 +25,11 @@ def _pairs(a: DataFrame, b: DataFrame, half: float, capacity: int, k: int | None
     """(nid, x, y, z, comp, m, mx, my, mz, mcomp): pairs of different nodes within ``half`` on every axis; with ``k``, those
     that can be among the k nearest of another component, at least.
 
-    Each row of ``a`` goes to the 27 cells around its own, so that an equi-join on cells finds every pair once; what lies
-    in crowded cells, or next to them, goes by the leaves of octrees.
+    Each row of ``a`` goes to the cells that its box touches, so that an equi-join on cells finds every pair once; what
+    lies in crowded cells, or next to them, goes by the leaves of octrees. Cells are as wide as the reach, or, where few
+    pairs are kept, as the box, which then touches 8 at most in place of 27.
     """
-    size = float(max(half, 1))
+    size = float(max(half, 1)) if k is None else 2.001 * (half or 1)
     a, b = octree.placed(a, size), octree.placed(b, size)
     crowded = octree.crowded_cells(a, b, capacity)
     far = None
@@ -33,7 +37,7 @@ def _pairs(a: DataFrame, b: DataFrame, half: float, capacity: int, k: int | None
         far = octree.crowded_pairs(a, b, crowded, half, capacity, k)
         a, b = (p.join(crowded, octree.CELL, "left_anti") for p in (a, b))
     other = b.select(F.col("nid").alias("m"), *(F.col(c).alias("m" + c) for c in (*AXES, "comp")), *octree.CELL)
-    pairs = _spread(a.drop(*octree.FINE)).join(other, octree.CELL).drop(*octree.CELL)
+    pairs = _spread(a.drop(*octree.FINE), half, size).join(other, octree.CELL).drop(*octree.CELL)
     if far is not None:
         pairs = pairs.unionByName(far)
     near = F.col("nid") != F.col("m")
@@ -53,20 +57,55 @@ def box_pairs(centres: DataFrame, nodes: DataFrame, half: float, capacity: int =
     return _pairs(_points(centres, none), _points(nodes, none), half, capacity).drop("comp", "mcomp")
 
 
+#: Nodes in a centre's box, on average, up to which it is searched at once.
+CROWD = 64
+
+
+def _first_reach(nodes: DataFrame, half: float) -> float:
+    """``half`` or, where a node's box holds more than CROWD nodes on average, a half, a quarter and so on of it."""
+    cells = nodes.groupBy(*(F.floor(F.col(k) / (half or 1)) for k in AXES)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = 8 * (cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0)
+    reach = float(half)
+    for _ in range(10):
+        if held <= CROWD:
+            break
+        reach, held = reach / 2, held / 8
+    return reach
+
+
+def _k_best(centres: DataFrame, nodes: DataFrame, half: float, k: int, capacity: int) -> DataFrame:
+    pairs = _pairs(centres, nodes, half, capacity, k).where("comp <> mcomp").select("nid", "m", F.round(norm(step("", "m")), 6).alias("dist"))
+    of = W.partitionBy("nid")
+    # a task leaves all but its own k best of a centre before rows are dealt by centre
+    best = pairs.withColumn("rank", F.row_number().over(of.orderBy("dist", "m"))).where(F.col("rank") <= k)
+    if k > 1:
+        best = best.withColumn("n", F.max("rank").over(of)).where(F.col("n") == k)
+    return best.select("nid", "m", "dist", F.col("rank").cast("long"))
+
+
 def nearest_foreign(centres: DataFrame, nodes: DataFrame, half: float, k: int = 1, capacity: int = octree.CAPACITY) -> DataFrame:
     """(nid, m, dist, rank): the k nearest nodes of other components in each centre's box, ties by nid; nothing for a
     centre with fewer than k. Both inputs have comp. In cells of more than ``capacity`` nodes or centres, only pairs of
-    leaves that may hold one of the k are compared (see ``octree``)."""
-    pairs = _pairs(_points(centres, F.col("comp")), _points(nodes, F.col("comp")), half, capacity, k)
-    pairs = pairs.where("comp <> mcomp").withColumn("dist", F.round(norm(step("", "m")), 6))
-    of = W.partitionBy("nid")
-    return (
-        pairs.withColumn("rank", F.row_number().over(of.orderBy("dist", "m")))
-        .withColumn("n", F.count(F.lit(1)).over(of))
-        .where(F.col("n") >= k)
-        .where(F.col("rank") <= k)
-        .select("nid", "m", "dist", F.col("rank").cast("long"))
-    )
+    leaves that may hold one of the k are compared (see ``octree``).
+
+    Where boxes hold many nodes, smaller boxes are searched first: a centre with k nodes of other components no farther
+    than a smaller box reaches is done, as all nodes outside are farther; the others go on with one twice as wide.
+    """
+    a, b = _points(centres, F.col("comp")), _points(nodes, F.col("comp"))
+    reach, found = _first_reach(b, half), []
+    if reach < half:
+        a, b = saved(a, "centres"), saved(b, "nodes")
+    while reach < half:
+        # a little wider, so that no distance outside is rounded to one inside
+        best = saved(_k_best(a, b, reach * 1.001, k, capacity), "nearest")
+        done = best.where((F.col("rank") == k) & (F.col("dist") <= reach)).select("nid")
+        found.append(best.join(done, "nid", "left_semi"))
+        a = saved(a.join(done, "nid", "left_anti"), "centres", instead_of=a)
+        reach *= 2
+    out = _k_best(a, b, half, k, capacity)
+    for best in found:
+        out = out.unionByName(best)
+    return out
 
 
 def uncheck_junctions(nodes: DataFrame, edges: DataFrame, half: float = 6, more_than: int = 10) -> DataFrame:
