@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -256,46 +257,74 @@ def cheapest_way(bright: np.ndarray, start: tuple, end: tuple) -> tuple[np.ndarr
     return np.stack(np.unravel_index(way[::-1], shape), 1) - 1, float(cost[b])
 
 
+#: Side of the blocks that boxes begin in, and boxes of a block that are solved beside one set of tiles.
+BLOCK, BESIDE = 64, 512
+
+
+def beside_tiles(boxes: DataFrame, tiles: DataFrame, run: Callable[[pd.DataFrame, dict[tuple, bytes]], pd.DataFrame], returns: str) -> DataFrame:
+    """What ``run`` makes of ``boxes`` and the packed tiles that they touch, as rows of type ``returns``. A box has a key of
+    its own, corners _cx, _cy, _cz and arrays _tx, _ty, _tz of the numbers of its tiles on each axis.
+
+    Boxes that begin in one block, up to BESIDE or so at a time, share their tiles: a tile moves once for all of them, not
+    once for each. A task holds the tiles of a block and of the reach of a box around it.
+    """
+    at = [f"_b{k}" for k in AXES]
+    boxes = boxes.withColumns({"_b" + k: F.floor(F.col("_c" + k) / BLOCK) for k in AXES})
+    parts = boxes.groupBy(at).agg(F.ceil(F.count(F.lit(1)) / BESIDE).alias("_parts"))
+    boxes = saved(boxes.join(parts, at).withColumn("_part", F.pmod(F.xxhash64(*(c for c in boxes.columns if not c.startswith("_"))), "_parts")).drop("_parts"), "boxes")
+    at.append("_part")
+    of = ["of" + c for c in at]
+    needed = boxes.select(*(F.col(c).alias(n) for c, n in zip(at, of, strict=True)), "_tx", "_ty", "_tz").distinct()
+    for k in AXES:
+        needed = needed.withColumn("t" + k, F.explode("_t" + k)).drop("_t" + k)
+    needed = needed.distinct().join(tiles, ["tx", "ty", "tz"])
+
+    def solve(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        return run(own, {(x, y, z): tile for x, y, z, tile in near[["tx", "ty", "tz", "tile"]].itertuples(index=False)})
+
+    return boxes.groupBy(at).cogroup(needed.groupBy(of)).applyInPandas(solve, returns)
+
+
 def brightest_paths(edges: DataFrame, voxels: DataFrame, margin: int = 5) -> DataFrame:
     """(edge, ord, x, y, z, cost): the cheapest 26-connected way between the ends of each edge (edge, ax..az, bx..bz) in
     the box around it; a step costs its length over the brightness of the voxel it enters, at least 1e-3. ``edge`` is a
     number of its own for each row. Ties go to the lower voxel.
 
     Every voxel of a box can be entered, so each edge has its cheapest way; only one with an end outside the image (a
-    coordinate below 0) gets its two ends instead, with a null cost. A task holds one box at a time.
+    coordinate below 0) gets its two ends instead, with a null cost. A task holds one box at a time, and the tiles of one
+    block (see ``beside_tiles``).
     """
-    box = edges.select("edge", *(F.col(p + k).cast("long").alias(p + k) for p in "ab" for k in AXES))
-    at = box
+    at = edges.select("edge", *(F.col(p + k).cast("long").alias(p + k) for p in "ab" for k in AXES))
     for k in AXES:
         lo, hi = F.greatest(F.lit(0), F.least(f"a{k}", f"b{k}") - margin), F.greatest(F.lit(0), F.greatest(f"a{k}", f"b{k}") + margin)
-        at = at.withColumn(f"t{k}", F.explode(F.sequence(F.floor(lo / TILE), F.floor(hi / TILE))))
-    at = at.join(saved(packed_tiles(voxels.where("x >= 0 and y >= 0 and z >= 0")), "tiles"), ["tx", "ty", "tz"], "left")
+        at = at.withColumns({"_c" + k: lo, "_t" + k: F.sequence(F.floor(lo / TILE), F.floor(hi / TILE))})
+    tiles = saved(packed_tiles(voxels.where("x >= 0 and y >= 0 and z >= 0")), "tiles")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        a, b = (np.array([row[p + k] for k in AXES], np.int64) for p in "ab")
+    def one(row, tiles: dict[tuple, bytes]) -> tuple[np.ndarray, float | None]:
+        a, b = (np.array([getattr(row, p + k) for k in AXES], np.int64) for p in "ab")
         if min(a.min(), b.min()) < 0:
-            way, total = np.stack([a, b]), None
-        else:
-            lo, hi = np.maximum(np.minimum(a, b) - margin, 0), np.maximum(a, b) + margin + 1
-            values = np.zeros(hi - lo, np.float64)
-            for tx, ty, tz, tile in group[["tx", "ty", "tz", "tile"]].itertuples(index=False):
-                if tile is not None:
-                    corner = np.array([tx, ty, tz]) * TILE
-                    first, last = np.maximum(corner, lo), np.minimum(corner + TILE, hi)
-                    cut = tuple(slice(*c) for c in zip(first - corner, last - corner, strict=True))
-                    values[tuple(slice(*c) for c in zip(first - lo, last - lo, strict=True))] = np.frombuffer(tile, "<i4").reshape(TILE, TILE, TILE)[cut]
-            values -= values.min()
-            bright = np.maximum(values / (values.max() or 1), 1e-3)
-            way, total = cheapest_way(bright, a - lo, b - lo)
-            way = way + lo
-        out = pd.DataFrame(way, columns=list(AXES))
-        out.insert(0, "ord", np.arange(len(way)))
-        out.insert(0, "edge", row["edge"])
-        out["cost"] = pd.Series([total] * len(way), dtype="float64")
-        return out
-
-    return at.groupBy("edge").applyInPandas(run, f"edge {dict(edges.dtypes)['edge']}, ord long, x long, y long, z long, cost double")
+            return np.stack([a, b]), None
+        lo, hi = np.maximum(np.minimum(a, b) - margin, 0), np.maximum(a, b) + margin + 1
+        values = np.zeros(hi - lo, np.float64)
+        for t in product(*(range(i // TILE, (j - 1) // TILE + 1) for i, j in zip(lo, hi, strict=True))):
+            if t in tiles:
+                corner = np.array(t) * TILE
+                first, last = np.maximum(corner, lo), np.minimum(corner + TILE, hi)
+                cut = tuple(slice(*c) for c in zip(first - corner, last - corner, strict=True))
+                values[tuple(slice(*c) for c in zip(first - lo, last - lo, strict=True))] = np.frombuffer(tiles[t], "<i4").reshape(TILE, TILE, TILE)[cut]
+        values -= values.min()
+        way, total = cheapest_way(np.maximum(values / (values.max() or 1), 1e-3), a - lo, b - lo)
+        return way + lo, total
+
+    def run(own: pd.DataFrame, tiles: dict[tuple, bytes]) -> pd.DataFrame:
+        made = []
+        for row in own.itertuples(index=False):
+            way, total = one(row, tiles)
+            made.append((np.full(len(way), row.edge), np.arange(len(way)), *way.T, np.full(len(way), np.nan if total is None else total)))
+        out = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("edge", "ord", *AXES, "cost"), zip(*made, strict=True), strict=True)})
+        return out.astype({"cost": "Float64"})
+
+    return beside_tiles(at, tiles, run, f"edge {dict(edges.dtypes)['edge']}, ord long, x long, y long, z long, cost double")
 
 
 def along(points: DataFrame, voxels: DataFrame) -> DataFrame:
