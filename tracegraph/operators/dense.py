@@ -1,8 +1,8 @@
 """Dense arrays of voxels: tiles with halos for scorers, and many crops at once for models.
 
 Voxels are packed into binary tiles once. Tiles with halos are made by an exchange: each tile sends the slabs at its faces,
-edges and corners to its neighbours, so that a voxel row moves once and what moves again is bytes. Crops gather the tiles
-that they touch by key. A task holds one tile or one crop at a time.
+edges and corners to its neighbours, so that a voxel row moves once and what moves again is bytes. Crops share the
+tiles that they touch, block by block. A task holds one tile, or one crop and the tiles of a block, at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracegraph.functions.geometry import AXES
 from tracegraph.operators.grid import mirror
-from tracegraph.operators.voxels import packed_tiles
+from tracegraph.operators.voxels import beside_tiles, packed_tiles
 from tracegraph.store import saved
 
 Filter = Callable[[np.ndarray], np.ndarray]
@@ -127,21 +127,27 @@ def with_crops(rois: DataFrame, voxels: DataFrame, size: int, image: list[int],
         at = at.withColumn("_s" + k, _sources(F.floor(F.col(k + "0")).cast("long"), size, n, padding))
     for k in AXES:
         keys = F.array_distinct(F.transform(F.filter("_s" + k, lambda s: s >= 0), lambda s: F.floor(s / side)))
-        at = at.withColumn("t" + k, F.explode_outer(keys))
-    at = at.join(tiles, ["tx", "ty", "tz"], "left")
-
-    def crop(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        sources = [np.asarray(row["_s" + k]) for k in AXES]
-        cube = np.zeros((size, size, size), np.int32)
-        for tx, ty, tz, tile in group[["tx", "ty", "tz", "tile"]].itertuples(index=False):
-            if tile is not None:
-                here = [np.flatnonzero((s >= 0) & (s // side == t)) for s, t in zip(sources, (tx, ty, tz), strict=True)]
-                from_ = [s[i] % side for s, i in zip(sources, here, strict=True)]
-                cube[np.ix_(*here)] = np.frombuffer(tile, "<i4").reshape(side, side, side)[np.ix_(*from_)]
-        return pd.DataFrame([run(row, cube)], columns=[c.split()[0] for c in returns.split(", ")])
-
-    return at.groupBy("roi").applyInPandas(crop, returns)
+        at = at.withColumns({"_c" + k: F.floor(F.col(k + "0")), "_t" + k: keys})
+
+    def crops_of(own: pd.DataFrame, tiles: dict[tuple, bytes]) -> pd.DataFrame:
+        # the tiles as one array, with a layer of zeros behind the last on each axis for all that is nowhere
+        known = [np.unique([t[i] for t in tiles]).astype(np.int64) for i in range(3)]
+        block = np.zeros([len(n) * side + 1 for n in known], np.int32)
+        for t, data in tiles.items():
+            first = [int(np.searchsorted(n, i)) * side for n, i in zip(known, t, strict=True)]
+            block[tuple(slice(f, f + side) for f in first)] = np.frombuffer(data, "<i4").reshape(side, side, side)
+        made = []
+        for i in range(len(own)):
+            row = own.iloc[i]
+            places = []
+            for k, n in zip(AXES, known, strict=True):
+                s = np.asarray(row["_s" + k])
+                there = (s >= 0) & np.isin(s // side, n)
+                places.append(np.where(there, np.searchsorted(n, s // side) * side + s % side, len(n) * side))
+            made.append(run(row, block[np.ix_(*places)]))
+        return pd.DataFrame(made, columns=[c.split()[0] for c in returns.split(", ")])
+
+    return beside_tiles(at, tiles, crops_of, returns)
 
 
 def slab_of(voxels: DataFrame, image: list[int]) -> DataFrame:
