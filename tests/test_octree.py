@@ -92,3 +92,13 @@ def test_nearest_in_full_boxes_begins_with_small_ones(spark, monkeypatch, k, cap
     df = spark.createDataFrame(rows, COLUMNS)
     assert {(q.nid, q["rank"], q.m) for q in grid.nearest_foreign(df, df, 8, k, capacity).collect()} == want
     assert boxes[0] < 8 and boxes[-1] == 8
+
+
+def test_boxes_with_one_child_are_left_out(spark):
+    """Nodes at two places: the cell and two leaves, or the parts of what is full, are all there is; before, a box a level."""
+    spots = spark.range(40).selectExpr("id nid", "1 + id % 2 * 0.001D x", "1D y", "1D z", "id comp")
+    a = octree.placed(spots, 8.0)
+    rows = octree.with_leaves(a.join(octree.around(octree.crowded_cells(a, a, 30)), octree.CELL), 30)
+    t = octree.tree(rows)
+    assert sorted(r.id.l for r in t.select("id").distinct().collect())[0] == 0 and t.select("id").distinct().count() <= 4
+    assert octree.leaf_pairs(t, t, 8.0).count() == 4
