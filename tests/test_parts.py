@@ -142,3 +142,52 @@ def test_chains_equal_a_walk(spark, way):
             want += [(c, far, x) for x, far in _search(near, ends[:1]).items() if sum(v == c for v in comp.values()) > 2]
     got = paths.paths(_ids(spark, _next_to(edges)), _frame(spark, edges), 2).collect()
     assert sorted((r.comp, r.ord, r.nid) for r in got) == sorted(want)
+
+
+def _coloured(forest, nodes, more_than):
+    """Chains with their branches of a forest's large components, by plain walks."""
+    comp = _comp(near := _next_to(forest))
+    n = {c: sum(comp.get(x) == c for x in nodes) for c in set(comp.values())}
+    left = {x: {y for y in near[x] if y in nodes} for x in near if x in nodes and n[comp[x]] > more_than}
+    plain = {x: {y for y in left[x] if len(left[y]) < 3} for x in left if len(left[x]) < 3}
+    want, chains = [], _comp(plain)
+    for c in set(chains.values()):
+        ends = sorted(x for x in chains if chains[x] == c and len(plain[x]) == 1)
+        if not ends:
+            continue
+        far = _search(plain, ends[:1])
+        want += [(c, k, x) for x, k in far.items()]
+        for tip, k in zip(ends, (-1, len(far)), strict=True):
+            want += [(c, k, y) for y in left[tip] - plain[tip]]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_coloured_paths_equal_plain_walks_and_find_components_once(spark, way, given, monkeypatch):
+    edges, calls, real = _graph(6), [], paths.star_edges
+    monkeypatch.setattr(paths, "star_edges", lambda *a: calls.append(a) or real(*a))
+    forest = [(r.src, r.dst) for r in graph.spanning_forest(_frame(spark, edges)).collect()]
+    nodes = {x for e in edges for x in e if not given or x % 11}
+    got = paths.coloured_paths(_ids(spark, nodes) if given else None, _frame(spark, edges))
+    assert sorted((r.comp, r.ord, r.nid) for r in got.collect()) == _coloured(forest, nodes, 10)
+    assert len(calls) == 1 or way == "rounds"
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_chains_with_branches_equal_those_attached_after(spark, way, given):
+    edges = _frame(spark, _graph(7) + [(3, 3), (10_000, 10_000)])
+    ids = graph.adjacency(edges).select("nid").distinct()
+    nodes = ids.where("nid % 13 <> 0") if given else ids
+    want = paths.attach_branches(paths.paths(nodes, edges, 1), edges).collect()
+    got = paths.paths(nodes if given else None, edges, 1, branches=True).collect()
+    assert len(want) > 300 and sorted(got) == sorted(want)
+
+
+def test_rooted_forests_equal_the_two_steps(spark, way):
+    edges = _frame(spark, _graph(8) + [(3, 3)])
+    comp = components.star_edges(edges).cache()
+    lone = spark.createDataFrame([(-900, -900)], "comp long, nid long")
+    roots = comp.where("comp % 2 = 0").groupBy("comp").agg({"nid": "max"}).withColumnRenamed("max(nid)", "nid").unionByName(lone).cache()
+    want = graph.rooted(graph.spanning_forest(edges, comp), roots.select("nid"), comp).collect()
+    got = graph.rooted_forest(edges, roots, comp).collect()
+    assert len(want) > 100 and sorted(got) == sorted(want)

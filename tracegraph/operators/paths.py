@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.functions.geometry import AXES
 from tracegraph.operators import parts
 from tracegraph.operators.components import MAX_ROUNDS, star_edges
-from tracegraph.operators.graph import adjacency, canonical, components, degree, induced, spanning_forest
+from tracegraph.operators.graph import adjacency, by_component, canonical, degree, forest_by_rounds, induced
 from tracegraph.store import saved
 
+CHAINS = "comp long, ord long, nid long"
+
 
-def paths(nodes: DataFrame, edges: DataFrame, longer_than: int = 0) -> DataFrame:
+def paths(nodes: DataFrame | None, edges: DataFrame, longer_than: int = 0, branches: bool = False) -> DataFrame:
     """(comp, ord, nid): what is left without nodes of degree 3 or more, where it has exactly two ends, in order from the
-    end of lower nid; only chains of more than ``longer_than`` nodes. Rings and lone nodes vanish.
+    end of lower nid; only chains of more than ``longer_than`` nodes. Rings and lone nodes vanish. Without ``nodes`` the ends
+    of ``edges`` are the nodes. With ``branches``, as ``attach_branches`` gives them.
 
-    Chains are put in order in tasks, long ones by pointer jumping.
+    Components are solved in tasks; of large ones the chains, or, of long chains, the order by pointer jumping.
     """
-    edges = canonical(edges)
-    plain = saved(degree(nodes.select("nid"), edges).where("degree < 3").select("nid"), "plain")
+    edges = saved(canonical(edges), "pairs")
+    rows = by_component(edges, star_edges(edges), nodes if nodes is None else nodes.select("nid"))
+    small, large = parts.dealt(rows)
+    solve = partial(parts.chains, longer_than=longer_than, given=nodes is not None, branches=branches)
+    out = parts.solved(small.select("src", "dst", "edge", "part"), solve, CHAINS)
+    if large is not None:
+        rest = saved(rows.join(large, "comp", "left_semi"), "rest")
+        left, own = _taken_apart(rest, nodes is not None)
+        chains = _chains_of(left.select("nid"), own, longer_than)
+        out = out.unionByName(attach_branches(saved(chains, "chains"), own) if branches else chains)
+    return out
+
+
+def _taken_apart(rows: DataFrame, given: bool) -> tuple[DataFrame, DataFrame]:
+    """Nodes (comp, nid) and edges (src, dst) of rows that ``by_component`` made; if no nodes were ``given``, the ends."""
+    own = rows.where("edge = 1").select("src", "dst")
+    if given:
+        return rows.where("edge = 0").select("comp", F.col("src").alias("nid")), own
+    ends = rows.where("edge = 1")
+    return ends.select("comp", F.col("src").alias("nid")).union(ends.select("comp", "dst")).distinct(), own
+
+
+def _chains_of(nodes: DataFrame, edges: DataFrame, longer_than: int) -> DataFrame:
+    """``paths`` of large components: chains have components of their own once the branches are out."""
+    plain = saved(degree(nodes, edges).where("degree < 3").select("nid"), "plain")
     inner = saved(induced(plain, edges).where("src <> dst"), "inner")
-    rows = saved(inner.join(star_edges(inner).withColumnRenamed("nid", "src"), "src").select("comp", "src", "dst"), "chains")
+    rows = by_component(inner, star_edges(inner))
     small, large = parts.dealt(rows)
-    out = parts.solved(small, parts.chains, "comp long, ord long, nid long, size long").where(F.col("size") > longer_than).drop("size")
+    out = parts.solved(small.select("src", "dst", "edge", "part"), partial(parts.chains, longer_than=longer_than), CHAINS)
     if large is not None:
         out = out.unionByName(_in_order(rows.join(large, "comp", "left_semi"), longer_than))
     return out
@@ -99,16 +127,23 @@ def segments_within(nodes: DataFrame, edges: DataFrame, voxels: DataFrame, origi
     return out.select("comp", "ord", "nid", *((F.col(k) - o).alias(k) for k, o in zip(AXES, origin, strict=True)), F.coalesce("v", F.lit(0)).alias("v"))
 
 
-def coloured_paths(nodes: DataFrame, edges: DataFrame, more_than: int = 10, longer_than: int = 1) -> DataFrame:
+def coloured_paths(nodes: DataFrame | None, edges: DataFrame, more_than: int = 10, longer_than: int = 1) -> DataFrame:
     """(comp, ord, nid): the chains, with branch nodes put back at their ends, of a spanning forest of the components of
-    more than ``more_than`` nodes."""
-    found = star_edges(edges)
-    forest = spanning_forest(edges, found)
-    comp = saved(components(nodes.select("nid"), forest, found), "comp")
-    large = comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than), "comp", "left_semi").select("nid")
-    large = saved(large, "large")
-    own = saved(induced(large, forest), "own")
-    return attach_branches(saved(paths(large, own, longer_than), "chains"), own)
+    more than ``more_than`` nodes. Without ``nodes`` the ends of ``edges`` are the nodes. Components are solved in tasks, large
+    ones by rounds."""
+    edges = saved(canonical(edges).where("src <> dst"), "pairs")
+    rows = by_component(edges, star_edges(edges), nodes if nodes is None else nodes.select("nid"))
+    small, large = parts.dealt(rows)
+    solve = partial(parts.coloured, more_than=more_than, longer_than=longer_than, given=nodes is not None)
+    out = parts.solved(small.select("src", "dst", "edge", "part"), solve, CHAINS)
+    if large is not None:
+        rest = saved(rows.join(large, "comp", "left_semi"), "rest")
+        left, own = _taken_apart(rest, nodes is not None)
+        full = left.join(left.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than), "comp", "left_semi").select("nid")
+        full = saved(full, "full")
+        own = saved(induced(full, forest_by_rounds(own)), "own")
+        out = out.unionByName(attach_branches(saved(_chains_of(full, own, longer_than), "chains"), own))
+    return out
 
 
 def attach_branches(chains: DataFrame, edges: DataFrame) -> DataFrame:
