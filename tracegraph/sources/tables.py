@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tracegraph.functions.geometry import AXES
 from tracegraph.operators.components import star_edges
-from tracegraph.operators.graph import rooted, spanning_forest
+from tracegraph.operators.graph import rooted_forest
 from tracegraph.operators.grid import mirror
 from tracegraph.operators.numbers import numbered, summed_before
 
@@ -71,13 +71,12 @@ def import_swc(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def swc_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def swc_lines(nodes: DataFrame, edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(file, nid, value): a rooted tree for each component of ``nodes`` (with comp), from its least soma, else its least
-    node; the file's prefix tells no soma, one or many."""
+    node; the file's prefix tells no soma, one or many. ``found``: what ``star_edges`` gives for ``edges``, if it is there."""
     per = nodes.groupBy("comp").agg(F.count_if(F.col("type") == 1).alias("somas"), F.min(F.when(F.col("type") == 1, F.col("nid"))).alias("soma"), F.min("nid").alias("least"))
     roots = per.select("comp", "somas", F.coalesce("soma", "least").alias("root"))
-    comp = star_edges(edges)
-    parents = rooted(spanning_forest(edges, comp), roots.select(F.col("root").alias("nid")), comp)
+    parents = rooted_forest(edges, roots.select(F.col("root").alias("nid")), star_edges(edges) if found is None else found)
     prefix = F.when(F.col("somas") == 0, "no_soma_").when(F.col("somas") == 1, "").otherwise("many_soma_")
     rows = nodes.join(parents, "nid").join(roots, "comp")
     value = F.format_string("%d %d %.1f %.1f %.1f 1.0 %d", "nid", F.col("type").cast("int"), *(F.col(k).cast("double") for k in AXES), "parent")
