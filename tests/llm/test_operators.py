@@ -506,3 +506,13 @@ def test_rare_grams_are_looked_up(spark, docs, monkeypatch):
     model = perplexity.train(ids)
     assert {r.doc_id: r.log_ppl for r in perplexity.measured(ids, model).collect()} == pytest.approx(every)
     assert len(every) == 40
+
+
+def test_texts_without_words_have_a_verdict_beside_good_ones(spark, tmp_path):
+    """Texts without a word, in a language that has a band: their width was a division by zero, which is an error."""
+    rows = [(i, f"the quick brown fox {i} jumps over the lazy dog and runs far away {i * 7} times", "en") for i in range(60)]
+    odd = [(900, "", "en"), (901, None, "en"), (902, " \n\t ", "en"), (903, "", None)]
+    spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in perplexity.op7_quality_rules(spark, str(tmp_path)).collect()}
+    assert len(got) == 64 and any(got[i].kept for i in range(60))
+    assert all((got[i].n_words, got[i].word_chars, got[i].base_failed, got[i].kept) == (0, 0, True, False) for i in range(900, 904))

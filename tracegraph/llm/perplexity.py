@@ -265,7 +265,8 @@ def judged(rows: DataFrame, band: float = BAND) -> DataFrame:
     middle = saved(good.groupBy("_lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("middle")), "middle")
     few = middle.count() <= BROADCAST_LANGUAGES
     joined = lambda a, b, how="inner": a.join(F.broadcast(b) if few else b, "_lang", how)
-    wide = F.sqrt(1 + F.lit(float(SHORT)) / F.col("n_words"))
+    # null without words: a division by zero is an error
+    wide = F.when(F.col("n_words") > 0, F.sqrt(1 + F.lit(float(SHORT)) / F.col("n_words")))
     away = F.abs(F.col("log_ppl") - F.col("middle")) / wide
     spread = joined(good, middle).groupBy("_lang").agg((1.4826 * F.percentile_approx(away, 0.5, 10_000)).alias("spread"), F.first("middle").alias("middle"))
     half = band * F.col("spread") * wide
