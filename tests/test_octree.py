@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracegraph.operators import grid, octree
 
 
@@ -102,3 +104,11 @@ def test_boxes_with_one_child_are_left_out(spark):
     t = octree.tree(rows)
     assert sorted(r.id.l for r in t.select("id").distinct().collect())[0] == 0 and t.select("id").distinct().count() <= 4
     assert octree.leaf_pairs(t, t, 8.0).count() == 4
+
+
+def test_pairs_of_leaves_are_dealt_out(spark):
+    """800 nodes of few bytes and 60,000 pairs: before, Spark put the pairs of leaves together into four tasks or fewer."""
+    spots = spark.range(800).selectExpr("id nid", *(f"pmod(xxhash64(id, {i}), 1009) / 1009D * 20 {k}" for i, k in enumerate("xyz")), "cast(null as long) comp")
+    a = octree.placed(spots, 8.0)
+    pairs = octree.crowded_pairs(a, a, octree.crowded_cells(a, a, 20), 8.0, 20)
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 6
