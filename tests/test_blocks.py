@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracegraph.operators import blocks, grid
 
 
@@ -28,3 +30,10 @@ def test_pairs_that_are_not_kept_are_not_dealt(spark):
     """Before, a centre was joined with all nodes of its cells: 240 nodes in one box gave 57,360 pairs."""
     n = spark.range(240).selectExpr("id nid", "id % 8 + 0D x", "id div 8 % 6 + 0D y", "id div 48 + 0D z", "id comp")
     assert grid._pairs(n, n, 4.0, 512, 1).count() == 240
+
+
+def test_pairs_of_cells_are_dealt_out(spark):
+    """Before, the few bytes of 600 nodes made all their pairs in four tasks at most, and those of one file in one."""
+    n = spark.range(0, 600, 1, 1).selectExpr("id nid", "id % 10 * 3D x", "id div 10 % 10 * 3D y", "id div 100 * 3D z")
+    pairs = grid.box_pairs(n, n, 6)
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 6

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tracegraph.functions.geometry import AXES, norm, step
 from tracegraph.operators import blocks, octree
 from tracegraph.operators.graph import adjacency
-from tracegraph.store import saved
+from tracegraph.store import saved, tasks
 
 
 def _spread(df: DataFrame, half: float, size: float) -> DataFrame:
@@ -44,7 +44,9 @@ def _pairs(a: DataFrame, b: DataFrame, half: float, capacity: int, k: int | None
         pairs = blocks.k_nearest(a, b, half, k)
         return pairs if far is None else pairs.unionByName(far.where("comp <> mcomp").select("nid", "m", F.round(norm(step("", "m")), 6).alias("dist")))
     other = b.select(F.col("nid").alias("m"), *(F.col(c).alias("m" + c) for c in (*AXES, "comp")), *octree.CELL)
-    pairs = _spread(a.drop(*octree.FINE), half, size).join(other, octree.CELL).drop(*octree.CELL)
+    # few bytes, much work: dealt out among tasks
+    n = tasks(a.sparkSession)
+    pairs = _spread(a.drop(*octree.FINE), half, size).repartition(n, *octree.CELL).join(other.repartition(n, *octree.CELL), octree.CELL).drop(*octree.CELL)
     pairs = pairs.where(near)
     return pairs if far is None else pairs.unionByName(far)
 
